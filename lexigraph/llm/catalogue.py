@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import lines, mixing, quality, urls
+from lexigraph.llm import contamination, lines, mixing, quality, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_decontamination": contamination.op2_decontamination,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_url_filters": urls.op6_url_filters,
     "op7_mixing": mixing.op7_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
 
 SQL = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op2_decontamination": contamination.OP2_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,

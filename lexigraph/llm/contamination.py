@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import stored, table, words_of
+from lexigraph.llm.common import stored, table
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between tokens.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows whose terms are sent to the executors at a time; a larger benchmark is taken in blocks of so many.
 BLOCK = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def tokens_of(text: Column) -> Column:
     """Words in lower case (A-Z only); null has none."""
-    return words_of(F.translate(text, UPPER, LOWER), TOKEN)
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, -1), "")
 
 
 def benchmark_windows(items: DataFrame, width: int = 10) -> DataFrame:
@@ -94,7 +96,7 @@ def proximity_matches(posted: DataFrame, slop: int) -> DataFrame:
     )
 
 
-def find_items(docs: DataFrame, items: DataFrame, width: int = 10, anchors: int = 3, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def find_items(docs: DataFrame, items: DataFrame, width: int = 10, anchors: int = 2, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Matches of the items' windows in ``docs`` (with a row key ``__doc``): phrase matches (__doc, win, start, width,
     items), and with ``slop`` proximity matches (__doc, win, pos, items), else None."""
     windows = stored(benchmark_windows(items, width), "windows")
@@ -111,7 +113,7 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 10, anchors: int
     return reduce(DataFrame.union, phrases), reduce(DataFrame.union, close) if close else None
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, anchors: int = 3, slop: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, anchors: int = 2, slop: int | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, item_ids, items_sha256, contaminated; with ``slop`` also near_items.
 
     n_hit counts the words inside any occurrence of a window of ``items`` (item_id, text); item_ids are the items with
@@ -130,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, anchors: i
         .select("__doc", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), grown)["n"].alias("__hit"), F.sort_array(F.array_distinct("ids")).alias("__ids"))
     )
     out = (
-        keyed.withColumn("n_words", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TOKEN)).cast("long"))
+        keyed.withColumn("n_words", F.size(tokens_of(F.col("text"))).cast("long"))
         .join(hits, "__doc", "left")
         .withColumn("n_hit", F.coalesce("__hit", F.lit(0)).cast("long"))
         .withColumn("item_ids", F.coalesce("__ids", F.array().cast("array<string>")))

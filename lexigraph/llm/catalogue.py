@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import contamination, lines, mixing, quality, urls
+from lexigraph.llm import contamination, language, lines, mixing, quality, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_url_filters": urls.op6_url_filters,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language.op8_language_id,
 }
 
 SQL = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import contamination, language, lines, mixing, quality, urls
+from lexigraph.llm import contamination, language, lines, mixing, quality, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": contamination.op2_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_url_filters": urls.op6_url_filters,
     "op7_mixing": mixing.op7_mixing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import contamination, language, lines, mixing, quality, toxicity, urls
+from lexigraph.llm import contamination, html, language, lines, mixing, quality, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filters": urls.op6_url_filters,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 
 SQL = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import contamination, html, language, lines, mixing, quality, toxicity, urls
+from lexigraph.llm import contamination, html, language, lines, lm_score, mixing, quality, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontamination": contamination.op2_decontamination,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_url_filters": urls.op6_url_filters,

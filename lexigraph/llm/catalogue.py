@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import contamination, html, language, lines, lm_score, mixing, quality, toxicity, urls
+from lexigraph.llm import contamination, html, language, lines, lm_score, mixing, near_dup, quality, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filters": urls.op6_url_filters,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
+    "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_html_extraction": html.op10_html_extraction,
 }
 

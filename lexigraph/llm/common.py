@@ -44,6 +44,13 @@ def salted_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     return salted.join(copies, [*keys, "__salt"], "left_semi").drop("__salt")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """Left join on ``key`` whose left side may hold one key in a third of its rows; ``right`` must be distinct on it."""
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where the session names none, as in tests."""
     sc = spark.sparkContext

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexigraph.llm import contamination, html, language, lines, lm_score, mixing, near_dup, quality, toxicity, urls
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_html_extraction": html.op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {

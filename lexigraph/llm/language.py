@@ -24,9 +24,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 MARK = "▁"
 #: Words whose scores or counts a Python worker holds at a time.
-CACHE = 300_000
+CACHE = 100_000
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-8
+#: Words whose segmentations are laid out in memory at once.
+WIDTH = 5_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 
@@ -195,8 +197,8 @@ def fit_language_model(docs: DataFrame, vocabulary: str | None = None, rounds: i
             names, tongues, held = shared.value
             cut, total, place = Segmenter(names), np.zeros(held.shape), {x: i for i, x in enumerate(tongues)}
             for batch in batches:
-                for i in range(0, len(batch), 20_000):
-                    part = batch.iloc[i : i + 20_000]
+                for i in range(0, len(batch), WIDTH):
+                    part = batch.iloc[i : i + WIDTH]
                     total += cut.expected(part["word"].tolist(), part["n"].to_numpy(dtype=float), part["lang"].map(place).to_numpy(), held)
             piece, lang = np.nonzero(total[:-1])
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
@@ -221,8 +223,8 @@ def score_texts(model: LanguageModel, texts: Iterator[pd.Series]) -> Iterator[pd
             if len(seen) > CACHE:
                 seen, logs = {}, logs[:0]
             new = [w for w in dict.fromkeys(w for own in words for w in own) if w not in seen]
-            for i in range(0, len(new), 20_000):
-                logs = np.concatenate([logs, cut.forward(new[i : i + 20_000], model.probs)])
+            for i in range(0, len(new), WIDTH):
+                logs = np.concatenate([logs, cut.forward(new[i : i + WIDTH], model.probs)])
             seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
             for own in words:
                 if not own:
@@ -236,7 +238,7 @@ def score_texts(model: LanguageModel, texts: Iterator[pd.Series]) -> Iterator[pd
         yield pd.DataFrame({"lang_pred": preds, "score": scores})
 
 
-def _portions(batch: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
+def _portions(batch: pd.Series, chars: int = 500_000) -> Iterator[list[str]]:
     """The texts of a batch in order, in lists of about so many characters; "" for null."""
     part, size = [], 0
     for text in batch:

@@ -29,7 +29,7 @@ REGISTERS = ROWS * BANDS
 BUCKET = 2048
 #: Texts in a block of verification; a larger candidate class is verified by pairs of blocks.
 BLOCK = 512
-CACHE = 300_000
+CACHE = 100_000
 U = np.uint64
 
 

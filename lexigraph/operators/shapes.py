@@ -120,6 +120,12 @@ def values_failing(triples: DataFrame, focus: DataFrame, path: str, ok: Column)
     return focus.join(path_values(triples, path), "s").where(~F.coalesce(ok, F.lit(False))).select("s", F.col("o").alias("value"))
 
 
+def components_failing(triples: DataFrame, focus: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(component, s, value) of several value components in one scan: ``checks`` maps a name to its path and test."""
+    failed = F.filter(F.array(*[F.when((F.col("p") == path) & ~F.coalesce(ok, F.lit(False)), name) for name, (path, ok) in checks.items()]), lambda x: x.isNotNull())
+    return focus.join(triples.where(F.col("p").isin(*{path for path, _ in checks.values()})), "s").select(F.explode(failed).alias("component"), "s", F.col("o").alias("value"))
+
+
 def missing_value(triples: DataFrame, focus: DataFrame, path: str, wanted: str) -> DataFrame:
     """hasValue."""
     return G.where_not_exists(focus, G.match(triples, "s", path, where=F.col("o") == wanted)).withColumn("value", F.lit(None).cast("string"))

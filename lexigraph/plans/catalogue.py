@@ -1,4 +1,4 @@
 """All queries of the engine."""
 
-from lexigraph.plans import queries_graph, queries_lift, queries_shapes  # noqa: F401
+from lexigraph.plans import queries_functions, queries_graph, queries_lift, queries_shapes  # noqa: F401
 from lexigraph.plans.registry import QUERIES, SQL  # noqa: F401

@@ -24,11 +24,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 MARK = "▁"
 #: Words whose scores or counts a Python worker holds at a time.
-CACHE = 100_000
+CACHE = 150_000
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-8
 #: Words whose segmentations are laid out in memory at once.
-WIDTH = 5_000
+WIDTH = 10_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 

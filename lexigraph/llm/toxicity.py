@@ -142,12 +142,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
-            yield pd.DataFrame({"positive": batch["positive"], "unlabelled": batch["unlabelled"], "f": [text_features(x, seen) for x in batch["text"]]})
+            yield pd.DataFrame({"positive": batch["positive"], "unlabelled": batch["unlabelled"], "f": [text_features(x, seen).astype(np.int32).tobytes() for x in batch["text"]]})
 
     # The chosen ids are bounded, so they are sent to the documents and not the texts to them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("toxic")), "doc_id").mapInPandas(featured, "positive boolean, unlabelled boolean, f array<int>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("toxic")), "doc_id").mapInPandas(featured, "positive boolean, unlabelled boolean, f binary")
     got = rows.toPandas()
-    toxic, unlabelled = ([np.asarray(x, dtype=np.int32) for x in got["f"][got[kind].astype(bool)]] for kind in ("positive", "unlabelled"))
+    toxic, unlabelled = ([np.frombuffer(x, dtype=np.int32) for x in got["f"][got[kind].astype(bool)]] for kind in ("positive", "unlabelled"))
     return train_nnpu(toxic, unlabelled, n_toxic / n if n else 0.0)
 
 

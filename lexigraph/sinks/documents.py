@@ -101,7 +101,9 @@ def short(c: Column) -> Column:
 
 
 def turtle_term(o: Column, kind: Column, dt: Column, lang: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(o, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n")
+    escaped = o
+    for char, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(code))
     text = F.concat(F.lit('"'), escaped, F.lit('"'))
     literal = F.when(F.coalesce(lang, F.lit("")) != "", F.concat(text, F.lit("@"), lang)).when(F.coalesce(dt, F.lit("")) != "", F.concat(text, F.lit("^^"), short(dt))).otherwise(text)
     return F.when(kind == L.IRI, short(o)).when(kind == L.BNODE, o).otherwise(literal)

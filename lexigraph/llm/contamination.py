@@ -67,10 +67,9 @@ def postings(docs: DataFrame, rare: DataFrame) -> DataFrame:
         docs.select("__doc", tokens_of(F.col("text")).alias("w"))
         .select("__doc", "w", F.posexplode("w").alias("pos", "term"))
         .join(F.broadcast(rare), "term")
-        .where(F.col("pos") >= F.col("offset"))
         .select(
             "__doc", "win", "rank", "full", "pos", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("width"),
-            ((F.col("rank") == 0) & (there == F.col("words"))).alias("same"),
+            ((F.col("rank") == 0) & (F.col("pos") >= F.col("offset")) & (there == F.col("words"))).alias("same"),
         )
     )
 

@@ -24,6 +24,7 @@ SPACE = re.compile(r"\s+")
 
 # HTML tag names.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+RAW_ENDS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike",
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
@@ -68,7 +69,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     open_: list[tuple[str, bool, int]] = []  # tag, stands in something that isn't the article, article
     words: list[str] = []
-    links, in_link, articles, raw = 0, False, 0, ""
+    links, in_link, articles, at = 0, False, 0, 0
 
     def end() -> None:
         nonlocal links
@@ -79,18 +80,20 @@ def blocks_of(page: str) -> list[Block]:
         words.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         tag, piece = m[2], m[0]
         if tag is None:
-            if not raw and not (piece[0] == "<" and len(piece) > 1):
+            if not (piece[0] == "<" and len(piece) > 1):
                 words.append(piece)
                 links += len(piece) if in_link else 0
             continue
         tag = tag.lower()
-        if raw:
-            raw = "" if m[1] and tag == raw else raw
-        elif tag in RAW:
-            raw = "" if m[1] or m[3].endswith("/") else tag
+        if tag in RAW:  # what it holds isn't markup
+            if not m[1] and not m[3].endswith("/"):
+                closed = RAW_ENDS[tag].search(page, at)
+                at = closed.end() if closed else len(page)
         elif tag == "a":
             in_link = not m[1]
         elif tag in INLINE:

@@ -167,7 +167,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def sent() -> Iterator[pd.DataFrame]:
             for lang, table_ in held.items():
-                yield pd.DataFrame({"lang": lang, "word": list(table_), "n": list(table_.values())})
+                if table_:
+                    yield pd.DataFrame({"lang": lang, "word": list(table_), "n": list(table_.values())})
             held.clear()
 
         for batch in batches:

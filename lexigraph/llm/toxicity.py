@@ -100,7 +100,7 @@ def train_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
         return np.bincount(who, weights=theta[flat], minlength=len(rows)) + theta[-1], flat, who
 
     def gradient(flat: np.ndarray, who: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        g = np.bincount(flat, weights=slope[who], minlength=len(theta))
+        g = np.bincount(flat, weights=slope[who], minlength=len(theta)).astype(np.float64)
         g[-1] += slope.sum()
         return g
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,27 @@ def concept_objects(triples: DataFrame) -> DataFrame:
     return rows.select(F.col("s").alias("iri"), F.to_json(F.struct(*fields)).alias("object"))
 
 
-def jsonld_document(triples: DataFrame, vocabulary: DataFrame, context: str = "https://ofn.gov.cz/slovníky/draft/kontexty/slovníky.jsonld") -> DataFrame:
-    """One row with the whole document of a (small) vocabulary; large graphs keep one object a row, see concept_objects."""
-    objects = concept_objects(triples).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iri", "object"))), lambda x: x["object"]), ",").alias("objects"))
-    head = F.to_json(F.struct(F.lit(context).alias("@context"), F.col("iri"), F.array(F.lit("Slovník"), F.lit("Tezaurus"), F.lit("Konceptuální model")).alias("typ"), F.create_map(F.lit("cs"), F.col("name")).alias("název")))
-    return vocabulary.crossJoin(F.broadcast(objects)).select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"pojmy":['), F.col("objects"), F.lit("]}")).alias("document"))
+def jsonld_lines(triples: DataFrame, iri: str, name: str, context: str = "https://ofn.gov.cz/slovníky/draft/kontexty/slovníky.jsonld") -> DataFrame:
+    """(place, iri, line): the lines of the whole document, a concept a line. Sorted by place and iri and written as text
+    (see write_lines), the part files one after another are the document."""
+    spark = triples.sparkSession
+    objects = concept_objects(triples)
+    first = objects.agg(F.min("iri")).first()[0]
+    head = json.dumps({"@context": context, "iri": iri, "typ": ["Slovník", "Tezaurus", "Konceptuální model"], "název": {"cs": name}}, ensure_ascii=False)[:-1] + ', "pojmy": ['
+    ends = spark.createDataFrame([(0, "", head), (2, "", "]}")], "place int, iri string, line string")
+    return ends.unionByName(objects.select(F.lit(1).alias("place"), "iri", F.concat(F.when(F.col("iri") == F.lit(first), "").otherwise(","), "object").alias("line")))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes (place, iri, line) in order, range by range."""
+    lines.repartitionByRange("place", "iri").sortWithinPartitions("place", "iri").select("line").write.mode("overwrite").text(path)
+
+
+def write_turtle(triples: DataFrame, path: str) -> None:
+    """Writes the graph as Turtle: the prefixes, then the subjects in order."""
+    spark = triples.sparkSession
+    head = spark.createDataFrame([(0, "", turtle_head())], "place int, iri string, line string")
+    write_lines(head.unionByName(turtle_blocks(triples).select(F.lit(1).alias("place"), F.col("s").alias("iri"), F.col("block").alias("line"))), path)
 
 
 def short(c: Column) -> Column:

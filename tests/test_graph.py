@@ -122,13 +122,38 @@ def test_workbook(spark, tmp_path):
     assert [(r["key"], r["value"]) for r in got["vocabulary"].collect()] == [("Název slovníku", "Zkouška")]
 
 
-def test_jsonld_document(spark):
-    t = rows(spark, *concept("https://n/1", (N.SKOS + "prefLabel", "A"), (N.SKOS + "altLabel", "B")))
-    v = spark.createDataFrame([("https://v", "V")], "iri string, name string")
+def joined(path):
+    return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+
+def test_documents(spark, tmp_path):
     import json
 
-    doc = json.loads(D.jsonld_document(t, v).first()["document"])
-    assert doc["pojmy"] == [{"iri": "https://n/1", "typ": ["Pojem"], "název": {"cs": "A"}, "alternativní-název": {"cs": ["B"]}}]
+    t = rows(spark, *concept("https://n/1", (N.SKOS + "prefLabel", "A"), (N.SKOS + "altLabel", "B")), *concept("https://n/2"))
+    D.write_lines(D.jsonld_lines(t, "https://v", "V"), str(tmp_path / "j"))
+    doc = json.loads(joined(tmp_path / "j"))
+    assert doc["pojmy"] == [{"iri": "https://n/1", "typ": ["Pojem"], "název": {"cs": "A"}, "alternativní-název": {"cs": ["B"]}}, {"iri": "https://n/2", "typ": ["Pojem"]}]
+    D.write_turtle(t, str(tmp_path / "t"))
+    assert len(rdf.statements(joined(tmp_path / "t"), "g")) == t.count()
+
+
+def test_api(spark, tmp_path):
+    from lexigraph import api
+
+    D.write_turtle(rows(spark, *concept("https://n/1", (N.SKOS + "prefLabel", "A"))), str(tmp_path / "t"))
+    (tmp_path / "in.ttl").write_text(joined(tmp_path / "t"))
+    got = api.convert(spark, str(tmp_path / "in.ttl"), "TURTLE")
+    assert got.triples.count() == 2 and raised(got.results) == [("https://n/1", k) for k in BOTH]
+    assert api.validate_text(spark, (tmp_path / "in.ttl").read_text()).count() == 3
+    assert api.output_format("Turtle", None) == "turtle" and api.output_format(None, "text/turtle") == "turtle" and api.output_format("", "*/*") == "json"
+    assert api.report_name("a", "csv", "2024-01-02T03:04:05") == "a_2024-01-02_03-04-05.csv"
+    with pytest.raises(ValueError):
+        api.convert(spark, "x", "PDF")
+    with pytest.raises(ValueError):
+        api.validate_text(spark, "  ")
+    with pytest.raises(ValueError):
+        api.fetchable("http://localhost/x")
+    assert api.fetchable("https://data.example.org/x.ttl")
 
 
 def test_stream(spark, tmp_path):

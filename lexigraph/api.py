@@ -102,11 +102,11 @@ def fetchable(url: str) -> bool:
     if parts.scheme != "https" or not parts.hostname or parts.hostname == "localhost" or (parts.port or 443) != 443:
         raise ValueError("only public https addresses can be fetched")
     try:
-        if not ipaddress.ip_address(parts.hostname).is_global:
-            raise ValueError("private addresses can't be fetched")
-    except ValueError as e:
-        if "private" in str(e):
-            raise
+        address = ipaddress.ip_address(parts.hostname)
+    except ValueError:  # a name
+        return True
+    if not address.is_global:
+        raise ValueError("private addresses can't be fetched")
     return True
 
 

@@ -3,6 +3,7 @@ looked up by joins. Blank nodes are named by a hash of what they say, so that gr
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,23 +16,32 @@ from lexigraph.operators import graph as G
 IRI, BNODE, LITERAL = "iri", "bnode", "literal"
 
 
-def fact(p: str | Column, o: Column, kind: str | Column = LITERAL, dt: Column | None = None, lang: str | None = None) -> Column:
-    """A (p, o, ...) struct, null where ``o`` is null or blank."""
-    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    row = F.struct(text(p).alias("p"), o.cast("string").alias("o"), text(kind).alias("o_kind"), (F.lit(None).cast("string") if dt is None else dt).alias("o_dt"), text(lang).alias("o_lang"))
+def text(x: str | Column | None) -> Column:
+    return x if isinstance(x, Column) else F.lit(x).cast("string")
+
+
+def fact(p: str | Column, o: Column, kind: str | Column = LITERAL, dt: str | Column | None = None, lang: str | Column | None = None, s: Column | None = None) -> Column:
+    """A triple as struct, null where ``o`` is null or blank; ``s`` names another subject (a blank node) than the record."""
+    row = F.struct(
+        text(s).alias("s"), text(IRI if s is None else BNODE).alias("s_kind"), text(p).alias("p"), o.cast("string").alias("o"), text(kind).alias("o_kind"), text(dt).alias("o_dt"), text(lang).alias("o_lang")
+    )
     return F.when(~T.blank(o.cast("string")), row)
 
 
-def told(records: DataFrame, iri: Column, *facts: Column, graph_id: str = "g") -> DataFrame:
-    """Triples from an array of facts a record."""
-    rows = records.select(iri.alias("s"), F.explode(F.filter(F.array(*facts), lambda x: x.isNotNull())).alias("f"))
-    return rows.select(F.lit(graph_id).alias("graph_id"), "s", F.lit(IRI).alias("s_kind"), "f.*")
+def told(records: DataFrame, iri: Column, *facts: Column, lists: Sequence[Column] = (), graph_id: str = "g") -> DataFrame:
+    """Triples of the records, in one pass: from the facts and from arrays of facts. Subjects without a name of their own are ``iri``."""
+    every = F.filter(F.concat(F.array(*facts), *lists) if facts else F.concat(*lists), lambda x: x.isNotNull())
+    rows = records.select(iri.alias("__s"), F.explode(every).alias("f"))
+    return rows.select(F.lit(graph_id).alias("graph_id"), F.coalesce("f.s", "__s").alias("s"), *[F.col(f"f.{c}").alias(c) for c in ("s_kind", "p", "o", "o_kind", "o_dt", "o_lang")])
+
+
+def list_facts(p: str, parts: Column, kind: str = LITERAL, lang: str | None = None) -> Column:
+    """A fact for each part of a list."""
+    return F.transform(parts, lambda v: fact(p, v, kind, lang=lang))
 
 
 def listed(records: DataFrame, iri: Column, p: str, parts: Column, kind: str = LITERAL, lang: str | None = None, graph_id: str = "g") -> DataFrame:
-    """A triple for each part of a list."""
-    rows = records.select(iri.alias("s"), F.explode(parts).alias("o"))
-    return rows.select(F.lit(graph_id).alias("graph_id"), "s", F.lit(IRI).alias("s_kind"), F.lit(p).alias("p"), "o", F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(lang).cast("string").alias("o_lang"))
+    return told(records, iri, lists=[list_facts(p, parts, kind, lang)], graph_id=graph_id)
 
 
 def common_facts() -> list[Column]:
@@ -57,23 +67,20 @@ def governance_facts() -> list[Column]:
     return out
 
 
+def source_facts(iri: Column, field: str, law: str, other: str, namespace: str = N.DEFAULT_NS) -> Column:
+    """Facts on the sources of a ;-list: addresses of laws as IRIs; other sources as digital objects with an address or a title."""
+
+    def one(v: Column) -> Column:
+        doc, url = F.concat(F.lit("_:"), F.sha2(F.concat_ws("|", iri, F.lit(other), v), 256)), T.is_uri(v)
+        about = fact(F.when(url, N.SCHEMA_URL).otherwise(N.DCT + "title"), v, LITERAL, F.when(url, N.XSD + "anyURI"), F.when(~url, "cs"), s=doc)
+        named = T.eli_iri(v)
+        return F.when(named.isNotNull(), F.array(fact(namespace + law, named, IRI))).otherwise(F.array(fact(namespace + other, doc, BNODE), fact(N.TYPE, F.lit(N.DIGITAL_OBJECT), IRI, s=doc), about))
+
+    return F.flatten(F.transform(T.split_list(F.col(field)), one))
+
+
 def source_triples(records: DataFrame, iri: Column, field: str, law: str, other: str, namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:
-    """Sources of a ;-list: addresses of laws as IRIs; other sources as digital objects with an address or a title."""
-    parts = records.select(iri.alias("s"), F.explode(T.split_list(F.col(field))).alias("v"))
-    parts = parts.withColumns({"law": T.eli_iri(F.col("v")), "doc": F.concat(F.lit("_:"), F.sha2(F.concat_ws("|", "s", F.lit(other), "v"), 256)), "url": T.is_uri(F.col("v"))})
-    by_law = parts.where(F.col("law").isNotNull())
-    docs = parts.where(F.col("law").isNull())
-    about = docs.select(
-        F.col("doc").alias("s"),
-        F.inline(F.array(
-            F.struct(F.lit(N.TYPE).alias("p"), F.lit(N.DIGITAL_OBJECT).alias("o"), F.lit(IRI).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang")),
-            F.struct(
-                F.when(F.col("url"), N.SCHEMA_URL).otherwise(N.DCT + "title").alias("p"), F.col("v").alias("o"), F.lit(LITERAL).alias("o_kind"),
-                F.when(F.col("url"), N.XSD + "anyURI").alias("o_dt"), F.when(~F.col("url"), "cs").alias("o_lang"),
-            ),
-        )),
-    ).select(F.lit(graph_id).alias("graph_id"), "s", F.lit(BNODE).alias("s_kind"), "p", "o", "o_kind", "o_dt", "o_lang")
-    return G.union_bag(told(by_law, F.col("s"), fact(namespace + law, F.col("law"), IRI), graph_id=graph_id), told(docs, F.col("s"), fact(namespace + other, F.col("doc"), BNODE), graph_id=graph_id), about)
+    return told(records, iri, lists=[source_facts(iri, field, law, other, namespace)], graph_id=graph_id)
 
 
 def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:
@@ -84,13 +91,11 @@ def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAU
         *common_facts(), fact(N.TYPE, F.lit(N.OFN + N.CLASS), IRI), fact(N.TYPE, F.concat(F.lit(N.OFN), kind), IRI), *public_facts(namespace),
         fact(namespace + N.AGENDA, T.agenda_iri(F.col("agendaCode")), IRI), fact(namespace + N.AIS, T.ais_iri(F.col("agendaSystemCode")), IRI), *governance_facts(),
     ]
-    return G.union_bag(
-        told(classes, s, *facts, graph_id=graph_id),
-        source_triples(classes, s, "source", N.DEFINING_LAW, N.DEFINING_OTHER, namespace, graph_id),
-        source_triples(classes, s, "relatedSource", N.RELATED_LAW, N.RELATED_OTHER, namespace, graph_id),
-        listed(classes, s, N.SKOS + "altLabel", T.split_list(F.col("alternativeName")), lang="cs", graph_id=graph_id),
-        listed(classes, s, N.SKOS + "exactMatch", F.filter(T.split_list(F.col("equivalentConcept")), T.is_iri), IRI, graph_id=graph_id),
-    )
+    lists = [
+        source_facts(s, "source", N.DEFINING_LAW, N.DEFINING_OTHER, namespace), source_facts(s, "relatedSource", N.RELATED_LAW, N.RELATED_OTHER, namespace),
+        list_facts(N.SKOS + "altLabel", T.split_list(F.col("alternativeName")), lang="cs"), list_facts(N.SKOS + "exactMatch", F.filter(T.split_list(F.col("equivalentConcept")), T.is_iri), IRI),
+    ]
+    return told(classes, s, *facts, lists=lists, graph_id=graph_id)
 
 
 def property_triples(properties: DataFrame, lookup: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:

@@ -175,6 +175,12 @@ def conformance(focus: DataFrame, **failing: DataFrame) -> DataFrame:
     return focus
 
 
+def conformance_of(triples: DataFrame, target: str, **tests: Column) -> DataFrame:
+    """Direct instances of the target with a boolean column a test: whether one of the node's triples passes it. One aggregation for all tests."""
+    flags = triples.groupBy("s").agg(F.bool_or((F.col("p") == N.TYPE) & (F.col("o") == target)).alias("__focus"), *[F.bool_or(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
+    return flags.where("__focus").drop("__focus")
+
+
 def all_of(*shapes: str) -> Column:
     return reduce(lambda a, b: a & b, map(F.col, shapes))
 

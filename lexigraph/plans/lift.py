@@ -83,8 +83,8 @@ def source_triples(records: DataFrame, iri: Column, field: str, law: str, other:
     return told(records, iri, lists=[source_facts(iri, field, law, other, namespace)], graph_id=graph_id)
 
 
-def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:
-    """Triples of the class records with their IRI in ``iri``."""
+def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g", more: Sequence[Column] = ()) -> DataFrame:
+    """Triples of the class records with their IRI in ``iri``, and of ``more`` facts on them."""
     s = F.col(iri)
     kind = F.when(F.col("type") == "Subjekt práva", N.SUBJECT_TYPE).when(F.col("type") == "Objekt práva", N.OBJECT_TYPE)
     facts = [
@@ -95,7 +95,7 @@ def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAU
         source_facts(s, "source", N.DEFINING_LAW, N.DEFINING_OTHER, namespace), source_facts(s, "relatedSource", N.RELATED_LAW, N.RELATED_OTHER, namespace),
         list_facts(N.SKOS + "altLabel", T.split_list(F.col("alternativeName")), lang="cs"), list_facts(N.SKOS + "exactMatch", F.filter(T.split_list(F.col("equivalentConcept")), T.is_iri), IRI),
     ]
-    return told(classes, s, *facts, lists=lists, graph_id=graph_id)
+    return told(classes, s, *facts, *more, lists=lists, graph_id=graph_id)
 
 
 def property_triples(properties: DataFrame, lookup: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:

@@ -73,9 +73,8 @@ def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph of the class records, with the subjects' PPDF flags as asserted triples."""
-    held = classes(spark, sf_dir)
-    flags = L.told(held, F.col("iri"), L.fact(N.DEFAULT_NS + N.PPDF, F.when(F.col("sharedInPPDF") == "ano", "true").when(F.col("sharedInPPDF") == "ne", "false"), L.LITERAL, F.lit(N.XSD + "boolean")), graph_id="tpch")
-    return L.class_triples(held, graph_id="tpch").unionByName(flags)
+    flag = F.when(F.col("sharedInPPDF") == "ano", "true").when(F.col("sharedInPPDF") == "ne", "false")
+    return L.class_triples(classes(spark, sf_dir), graph_id="tpch", more=[L.fact(N.DEFAULT_NS + N.PPDF, flag, L.LITERAL, N.XSD + "boolean")])
 
 
 #: The same class records and triples in SQL, for the comparisons: WITH c, t.

@@ -178,4 +178,7 @@ def test_components(spark):
     f = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
     assert {(r["s"], r["value"]) for r in S.count_outside(t, f, "p", 1, 1).collect()} == {("a", "2"), ("c", "0")}
     assert {r["value"] for r in S.values_failing(t, f, "p", F.col("o").cast("int") < 6).collect()} == {"9"}
+    c = S.conformance(f, one=S.count_outside(t, f, "p", 1, 1), small=S.values_failing(t, f, "p", F.col("o").cast("int") < 6))
+    assert {(r["s"], r["one"], r["small"]) for r in c.collect()} == {("a", False, True), ("b", True, False), ("c", False, True)}
+    assert {r["s"] for r in c.where(S.exactly_one_of("one", "small")).collect()} == {"a", "b", "c"} and c.where(S.all_of("one", "small")).count() == 0
     assert {r["s"] for r in S.missing_value(t, f, "p", "5").collect()} == {"b", "c"}

@@ -49,7 +49,7 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFra
 
     A window with a term that no document has can't occur and is left out.
     """
-    at = windows.select("win", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    at = windows.select("win", "words", F.posexplode("words").alias("offset", "term")).join(F.broadcast(counts), "term")  # of a block's terms only
     one = Window.partitionBy("win")
     return (
         at.withColumns({"there": F.count("*").over(one), "rank": F.row_number().over(one.orderBy("n", "offset")) - 1})

@@ -19,6 +19,7 @@ from lexigraph.operators import shapes as S
 from lexigraph.plans import lift as L
 from lexigraph.schema import CLASSES, PROPERTIES, RELATIONSHIPS, TRIPLES
 from lexigraph.sources import archimate, rdf, xlsx, xmi
+from lexigraph.sources import rules as rule_sets
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,12 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def convert(spark: SparkSession, path: str, kind: str, rules: list[str] | None = None) -> Conversion:
-    """Reads the files at ``path`` in the format ``kind`` and validates their graph."""
+def convert(spark: SparkSession, path: str, kind: str, rules: list[str] | None = None, rule_files: str | None = None) -> Conversion:
+    """Reads the files at ``path`` in the format ``kind`` and validates their graph, with the profile's rules (or the named ones) or with those of Turtle files."""
     if kind not in READERS:
         raise ValueError(f"no reader for {kind}: one of {', '.join(READERS)}")
     triples = READERS[kind](spark, path)
-    return Conversion(triples, S.validate(triples, rules))
+    return Conversion(triples, rule_sets.validate_with(triples, rule_sets.load_rules(spark, rule_files)) if rule_files else S.validate(triples, rules))
 
 
 def validate_text(spark: SparkSession, text: str) -> DataFrame:

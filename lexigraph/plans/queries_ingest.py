@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.functions import names as N
 from lexigraph.plans import lift as L
 from lexigraph.plans import tpch
 from lexigraph.plans.registry import query
 from lexigraph.plans.tpch import read, with_graph
 from lexigraph.sinks import documents as D
-from lexigraph.sources import archimate, rdf, xmi
+from lexigraph.sources import archimate, rdf, rules, xmi
 from lexigraph.streaming import checks
 
 
@@ -96,6 +97,20 @@ def ingest_xmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick("classes", "class", "type").union(pick("properties", "property", "domain"))
 
 
+RULE_FILE = f"""@prefix sh: <http://www.w3.org/ns/shacl#> .
+<https://rules.example/described> a sh:NodeShape ; sh:targetClass <{N.OFN}{N.CONCEPT}> ; sh:severity sh:Warning ; sh:message "no description" ;
+  sh:or ( [ sh:path <{N.DCT}description> ; sh:minCount 1 ] [ sh:path <{N.SKOS}definition> ; sh:minCount 1 ] ) .
+<https://rules.example/label> a sh:NodeShape ; sh:targetClass <{N.OFN}{N.CONCEPT}> ; sh:message "long label" ; sh:property [ sh:path <{N.SKOS}prefLabel> ; sh:maxLength 15 ] ."""
+
+
+@query(with_graph(f"""SELECT 'WARNING' AS severity, 'no description' AS message, 'https://rules.example/described' AS "ruleName", iri AS "focusNodeUri", NULL::VARCHAR AS "resultPathUri", iri AS value FROM c WHERE description IS NULL
+  UNION ALL SELECT 'ERROR', 'long label', 'https://rules.example/label', iri, '{N.SKOS}prefLabel', name FROM c WHERE length(name) > 15"""))
+def shape_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shapes from a Turtle file on the tables' graph."""
+    path = written(spark.createDataFrame([(RULE_FILE,)], "text string"), "rules")
+    return rules.validate_with(tpch.triples(spark, sf_dir), rules.load_rules(spark, path))
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: events as results, counted by day and severity; the same function runs on a stream."""

@@ -14,7 +14,7 @@ from lexigraph.functions import names as N
 from lexigraph.schema import TRIPLES
 
 LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
-TOKEN = re.compile(r'\s+|#[^\n]*|(<[^>\s]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\^\^|@[A-Za-z][A-Za-z0-9-]*|[;,.\[\]]|_:[\w-]+|(?:[^\s<>"\';,\[\]()^@:]*:)(?:[^\s<>"\';,\[\]()^]*[^\s<>"\';,\[\]()^.])?|[-+]?\d+(?:\.\d+)?|true|false|a)', re.S)
+TOKEN = re.compile(r'\s+|#[^\n]*|(<[^>\s]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\^\^|@[A-Za-z][A-Za-z0-9-]*|[;,.\[\]()]|_:[\w-]+|(?:[^\s<>"\';,\[\]()^@:]*:)(?:[^\s<>"\';,\[\]()^]*[^\s<>"\';,\[\]()^.])?|[-+]?\d+(?:\.\d+)?|true|false|a)', re.S)
 ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "\\": "\\", "'": "'"}
 
 
@@ -32,7 +32,7 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def statements(text: str, graph: str) -> list[tuple]:
-    """Rows of the Turtle text: prefixes, a, ; and , lists, [] nodes, literals with language or type."""
+    """Rows of the Turtle text: prefixes, a, ; and , lists, [] nodes, () lists, literals with language or type."""
     prefixes: dict[str, str] = {}
     base, rows, at = "", [], 0
     tokens = [m[1] for m in TOKEN.finditer(text) if m[1]]
@@ -59,6 +59,18 @@ def statements(text: str, graph: str) -> list[tuple]:
             node = "_:" + hashlib.sha256(f"{graph}|{made}".encode()).hexdigest()[:32]
             j = i + 1 if tokens[i + 1] == "]" else pairs(node, "bnode", i + 1)
             return (node, "bnode", None, None), j + (tokens[j] == "]" if j < len(tokens) else 0)
+        if t == "(":
+            items, j = [], i + 1
+            while tokens[j] != ")":
+                item, j = term(j)
+                items.append(item)
+            made += 1
+            nodes = ["_:" + hashlib.sha256(f"{graph}|{made}|{k}".encode()).hexdigest()[:32] for k in range(len(items))]
+            for k, (o, kind, dt, lang) in enumerate(items):
+                rest = (nodes[k + 1], "bnode") if k + 1 < len(items) else (N.RDF + "nil", "iri")
+                rows.append((graph, nodes[k], "bnode", N.RDF + "first", o, kind, dt, lang))
+                rows.append((graph, nodes[k], "bnode", N.RDF + "rest", *rest, None, None))
+            return (nodes[0] if nodes else N.RDF + "nil", "bnode" if nodes else "iri", None, None), j + 1
         if t.startswith("_:"):
             return (t, "bnode", None, None), i + 1
         if t in ("true", "false"):

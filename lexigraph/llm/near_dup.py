@@ -28,7 +28,7 @@ REGISTERS = ROWS * BANDS
 #: Largest bucket whose texts are compared by their bits; a larger one is taken whole as one candidate class.
 BUCKET = 2048
 #: Texts in a block of verification; a larger candidate class is verified by pairs of blocks.
-BLOCK = 512
+BLOCK = 256
 CACHE = 100_000
 U = np.uint64
 

@@ -52,10 +52,10 @@ def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: st
     """
     slice_of = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (SLICE_DAYS * 86400))
     asked = captures.select(F.col(url).alias("__url"), F.col(at).alias("__at")).distinct()
-    span = asked.agg(F.max(slice_of(F.col("__at"))).alias("last"))
+    last = asked.agg(F.max(slice_of(F.col("__at")))).first()[0]  # one number
     spans = (
         validity_intervals(entries)
-        .crossJoin(F.broadcast(span))  # one row
+        .withColumn("last", F.lit(last).cast("long"))
         .withColumn("end", F.coalesce(slice_of(F.col("valid_to")), F.col("last")))
         .where(slice_of(F.col("listed_at")) <= F.least("end", "last"))
         .withColumn("slice", F.explode(F.sequence(slice_of(F.col("listed_at")), F.least("end", "last"))))

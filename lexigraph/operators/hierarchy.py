@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 50
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, parent) over paths of any length, each pair once. Rounds double the paths' length; cycles end by themselves.
-
-    Each round is written to the checkpoint folder, so that plans stay small and lost executors cost one round.
-    """
-    spark = edges.sparkSession
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder (a local one only where none is set), so that plans stay small and lost executors cost one round."""
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    paths = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct().checkpoint()
+    return df.checkpoint()
+
+
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, parent) over paths of any length, each pair once. Rounds double the paths' length; cycles end by themselves."""
+    paths = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct())
     size = paths.count()
     for _ in range(MAX_DEPTH):
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"))
-        grown = paths.union(longer).distinct().checkpoint()
+        grown = _cut(paths.union(longer).distinct())
         more = grown.count()
         if more == size:
             return paths
@@ -44,8 +46,7 @@ def inherited_domains(properties: DataFrame, hierarchies: DataFrame) -> DataFram
     links = hierarchies.select(F.col("subClass").alias("name"), F.col("superClass").alias("super")).distinct()
     for _ in range(MAX_DEPTH):
         ups = links.join(own.where("domain is not null").withColumnRenamed("name", "super"), "super").groupBy("name").agg(F.min("domain").alias("found"))
-        filled = own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new"))
-        filled = filled.checkpoint() if properties.sparkSession.sparkContext.getCheckpointDir() else filled.cache()
+        filled = _cut(own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
         if filled.where("new").limit(1).count() == 0:
             break
         own = filled.drop("new")

@@ -13,7 +13,7 @@ from lexigraph.plans import tpch
 from lexigraph.plans.registry import query
 from lexigraph.plans.tpch import read, with_graph
 from lexigraph.sinks import documents as D
-from lexigraph.sources import archimate, rdf, rules, xmi
+from lexigraph.sources import archimate, rdf, rules, xlsx, xmi
 from lexigraph.streaming import checks
 
 
@@ -97,6 +97,21 @@ def ingest_xmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick("classes", "class", "type").union(pick("properties", "property", "domain"))
 
 
+@query("""SELECT 'book-' || s_nationkey AS path, s_name AS name, 'Subjekt práva' AS type, CASE WHEN s_suppkey % 3 <> 0 THEN 'popis ' || s_name END AS description,
+         NULL::VARCHAR AS definition, 'S' || s_suppkey AS identifier FROM supplier WHERE s_suppkey % 5 <> 0""")
+def ingest_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the cells of one workbook a nation, read as class records: headers found by name, rows without a name left out."""
+    s = read(spark, sf_dir, "supplier")
+    book, sheet = F.concat(F.lit("book-"), F.col("s_nationkey").cast("string")).alias("path"), F.lit(xlsx.SHEETS["classes"][0]).alias("sheet")
+    cell = lambda row, col, value: F.struct(row.cast("long").alias("row"), F.lit(col).cast("long").alias("col"), value.alias("value"))
+    title = ["Popis subjektu", "Typ", "Název", "Identifikátor"]
+    heads = s.select("s_nationkey").distinct().select(book, sheet, F.inline(F.array(cell(F.lit(1), 0, F.lit("Slovník dodavatelů")), *[cell(F.lit(3), i, F.lit(x)) for i, x in enumerate(title)])))
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    values = [F.when(key % 3 != 0, F.concat(F.lit("popis "), name)), F.lit("Subjekt práva"), F.when(key % 5 != 0, name), F.concat(F.lit("S"), key.cast("string"))]
+    body = s.select(book, sheet, F.inline(F.array(*[cell(key + 4, i, v) for i, v in enumerate(values)]))).where("value is not null")
+    return xlsx.sheet_records(heads.union(body), *xlsx.SHEETS["classes"]).select("path", "name", "type", "description", "definition", "identifier")
+
+
 RULE_FILE = f"""@prefix sh: <http://www.w3.org/ns/shacl#> .
 <https://rules.example/described> a sh:NodeShape ; sh:targetClass <{N.OFN}{N.CONCEPT}> ; sh:severity sh:Warning ; sh:message "no description" ;
   sh:or ( [ sh:path <{N.DCT}description> ; sh:minCount 1 ] [ sh:path <{N.SKOS}definition> ; sh:minCount 1 ] ) .

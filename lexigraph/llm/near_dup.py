@@ -77,9 +77,9 @@ def prob_min_hash(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, bands, bits_a, bits_b, shingles) of each document, by whole texts.
+    """(doc_id, row, id, bands, bits_a, bits_b, shingles) of each document, by whole texts.
 
-    id is a 64-bit hash of the words in order, null for a text without words; at 1e10 distinct texts about three
+    row is a hash of the text as it stands. id is a 64-bit hash of the words in order, null for a text without words; at 1e10 distinct texts about three
     pairs share one. The features come with the first document of an id in a task and are null on its other ones.
     """
 
@@ -101,18 +101,18 @@ def text_features(docs: DataFrame) -> DataFrame:
                 bands = mixed(bands + np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0xE7037ED1A0B428DB)).view(np.int64)
                 bits = np.packbits(((kept[:, :128] >> U(20)) & U(1)).astype(np.uint8), axis=1).view(np.int64)
                 for i, (own, _) in enumerate(waiting):
-                    rows[places[i]][2:] = bands[i], bits[i, 0], bits[i, 1], np.sort((own >> U(32)).astype(np.uint32)).tobytes()
+                    rows[places[i]][3:] = bands[i], bits[i, 0], bits[i, 1], np.sort((own >> U(32)).astype(np.uint32)).tobytes()
                 waiting.clear()
                 places.clear()
 
             size = 0
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, row, text in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
                 words = WORDS.findall(text.lower()) if isinstance(text, str) else []
                 if not words:
-                    rows.append([doc, None, None, None, None, None])
+                    rows.append([doc, row, None, None, None, None, None])
                     continue
                 key = xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63
-                rows.append([doc, key, None, None, None, None])
+                rows.append([doc, row, key, None, None, None, None])
                 if key in seen:
                     continue
                 seen.add(key)
@@ -136,10 +136,10 @@ def text_features(docs: DataFrame) -> DataFrame:
                 seen.clear()
 
     def framed(rows: list[list]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "id", "bands", "bits_a", "bits_b", "shingles"])
-        return out.astype({c: "Int64" for c in ("doc_id", "id", "bits_a", "bits_b")})
+        out = pd.DataFrame(rows, columns=["doc_id", "row", "id", "bands", "bits_a", "bits_b", "shingles"])
+        return out.astype({c: "Int64" for c in ("doc_id", "row", "id", "bits_a", "bits_b")})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(features, "doc_id long, id long, bands array<long>, bits_a long, bits_b long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInPandas(features, "doc_id long, row long, id long, bands array<long>, bits_a long, bits_b long, shingles binary")
 
 
 def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -256,6 +256,20 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return (out + both).astype(np.int64)
 
 
+def classed_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, best) for every row of ``docs``: best is the (doc_id, row) with the least id in the row's class, null
+    for a text without words and for a class without ids."""
+    found = stored(text_features(docs), "near_features")
+    texts = found.where(F.col("bands").isNotNull()).dropDuplicates(["id"])
+    classes = connected_components(candidate_links(texts))
+    roots = connected_components(verified_links(texts, stored(classes, "near_candidates")))
+    this = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    ids = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(this).alias("least"))
+    ids = ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = salted_join(ids, ids.groupBy("root").agg(F.min("least").alias("best")), "root", F.col("id")).select("id", "best")
+    return salted_join(found.select("doc_id", "row", "id"), named, "id", F.col("doc_id")).select("doc_id", "row", "best")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least id of the document's class of near-duplicates, for every row of ``docs``.
 
@@ -264,20 +278,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     text. A text without words is a class of its own, and so is a null id, whose class is null unless its text has
     other documents. Repeated rows are in one class. An empty table gives an empty result.
     """
-    found = stored(text_features(docs), "near_features")
-    texts = found.where(F.col("bands").isNotNull()).dropDuplicates(["id"])
-    classes = connected_components(candidate_links(texts))
-    roots = connected_components(verified_links(texts, stored(classes, "near_candidates")))
-    ids = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = salted_join(ids, ids.groupBy("root").agg(F.min("least").alias("class_id")), "root", F.col("id")).select("id", "class_id")
-    return salted_join(found.select("doc_id", "id"), named, "id", F.col("doc_id")).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return classed_rows(docs).select("doc_id", F.coalesce("best.doc_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the one document of each class that has the least id; rows with a null id stay."""
-    kept = near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with the one row of each class that has the least id. Of rows alike in id and text one stays, of rows that
+    share an id but not the class one of each class; rows with a null id stay, and so do texts without words."""
+    kept = classed_rows(docs).where(F.coalesce((F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.row") == F.col("row")), F.lit(True)))
+    kept = kept.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    one_each = keyed.join(kept, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"]).drop("__row")
+    return one_each.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,52 @@ def test_near_classes_brute_force(spark, sf_dir, monkeypatch, small):
     assert kept == {find(i) for i in rows}
 
 
+def test_near_repeated_rows(spark):
+    from lexigraph.llm import near_dup as N
+
+    base = [f"w{i}" for i in range(60)]
+    one, edited, other = " ".join(base), " ".join([*base, "x"]), " ".join(base[::-1])
+    rows = [(5, one), (5, one), (3, edited), (7, other), (7, other), (7, one), (8, None), (8, None), (None, one), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("id", F.lit(1))
+    got = sorted((r["doc_id"], r["class_id"]) for r in N.near_classes(d).where("doc_id is not null").collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 7), (7, 7), (8, 8), (8, 8)]
+    assert sorted(r["class_id"] or 0 for r in N.near_classes(d).where("doc_id is null").collect()) == [0, 3]
+    kept = N.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == sorted([(3, edited), (7, other), (8, ""), (0, one), (0, "")])
+
+
+@pytest.mark.parametrize("shape", ["copies", "stars", "apart"])
+def test_verification_by_blocks(spark, monkeypatch, shape):
+    """One candidate class of many blocks: all near one text; several groups and single texts; no links at all."""
+    from lexigraph.llm import near_dup as N
+
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = [rng.integers(1, 2**32, 60) for _ in range({"copies": 1, "stars": 4, "apart": 70}[shape])]
+    sets = []
+    for i in range(70):
+        s = centres[i % len(centres) if shape != "stars" or i % 7 else 0].copy()
+        s[rng.integers(0, 60, 1 + i % 8)] = rng.integers(1, 2**32, 1)
+        sets.append(np.unique(s.astype(np.uint32)))
+    texts = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    classes = spark.range(70).select("id", F.lit(0).cast("long").alias("root"))
+    root = list(range(70))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(70), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    got = {r["id"]: r["root"] for r in N.connected_components(N.verified_links(texts, classes)).collect()}
+    assert [got.get(i, i) for i in range(70)] == [find(i) for i in range(70)]
+
+
 def test_components_of_chains(spark):
     from lexigraph.llm.components import connected_components
 

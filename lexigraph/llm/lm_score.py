@@ -4,7 +4,8 @@ A small bidirectional window network, trained in numpy, predicts every word of a
 it; a document's score is the sum of the conditional log-probabilities of its words. The network predicts a word's
 class and the class's unigram gives the word: p(word | sides) = p(class | sides) * p(word | class).
 
-The vocabulary and all unigrams come from word counts over the whole corpus. The network is trained on all documents:
+The vocabulary and all unigrams come from word counts over the whole corpus: tasks hold the most frequent words by name,
+the counts of all others are a table that is joined to the texts' words. The network is trained on all documents:
 each task makes its passes over its own texts from the same start, and the weights are averaged by the number of words.
 """
 
@@ -13,20 +14,21 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import checkpointed, table
+from lexigraph.llm.common import checkpointed, salted_join, table
 
-#: Words known by name; every other word is one of OTHERS by a hash.
-KNOWN, OTHERS = 8_000, 64
-#: Classes: the most frequent words are classes of their own, the rest share the others by a hash of their end.
-SINGLE, SHARED = 48, 48
-CLASSES = SINGLE + SHARED
+#: Words that tasks hold by name; the others get their counts by a join, and their class and input by one of OTHERS hashes.
+KNOWN, OTHERS = 50_000, 1 << 16
+#: Classes at least: half of them are the most frequent words, the rest of the words share the others by a hash.
+CLASSES = 96
+#: Powers of the corpus's number of words that give the classes to predict and the inputs around a word.
+CLASS_POWER, INPUT_POWER = 0.26, 0.4
 #: Places to the left and to the right, and sizes of the embedding and hidden layers.
 SIDES, EMBED, HIDDEN = 2, 8, 24
 #: Words whose count a task holds before it sends them on.
@@ -38,15 +40,27 @@ CHUNK = 1024
 class Vocabulary:
     ids: dict[str, int]  # known words
     of_class: np.ndarray  # class of each id
-    log_share: np.ndarray  # log of the id's share of its class
+    log_share: np.ndarray  # log of a known word's share of its class; of others, of the share that a single occurrence has
+    of_input: np.ndarray  # what the network sees of each id around a word
+    classes: int = CLASSES
+    inputs: int = CLASSES
+    tail: DataFrame | None = None  # (word, n) of the words not known by name that occur more than once
 
 
 def words_in(text: str | None) -> list[str]:
     return text.lower().split() if isinstance(text, str) else []
 
 
-def word_class(word: str) -> int:
-    return SINGLE + zlib.crc32(word[-2:].encode()) % SHARED
+def grouped(top: list[str], size: int, part: slice) -> np.ndarray:
+    """One of ``size`` groups for each id: the first half are words of their own, known words share the others by a hash
+    of ``part`` of them, other words by their id."""
+    single = size // 2
+    shared = size - single
+    out = np.zeros(KNOWN + OTHERS, dtype=np.int64)
+    for i, w in enumerate(top):
+        out[i] = i if i < single else single + zlib.crc32(w[part].encode()) % shared
+    out[KNOWN:] = single + np.arange(OTHERS) % shared
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -67,64 +81,65 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_vocabulary(docs: DataFrame) -> Vocabulary:
-    """Of the corpus counts the driver gets the KNOWN most frequent words and the sums of the rest by hash."""
+    """Of the corpus counts the driver gets the KNOWN most frequent words and the sums of the rest by hash; the counts of
+    all other words stay a table. The numbers of classes and inputs follow from the number of words in the corpus."""
     counts = checkpointed(word_counts(docs))
     # Levels of counts tell how frequent a word of the first KNOWN is at least, so that each partition sends few others.
     level = F.floor(8 * F.log2("n"))
-    above, least = 0, 0
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
-        above, least = above + r["words"], r["level"]
-        if above >= KNOWN:
-            break
-    top = counts.where(level >= least).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    ids = {r["word"]: i for i, r in enumerate(top)}
-    n = np.full(KNOWN + OTHERS, 0.5)  # of a word
+    above, least, total = 0, None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True):
+        above, total = above + r["words"], total + r["n"]
+        if least is None and above >= KNOWN:
+            least = r["level"]
+    top = counts.where(level >= (least or 0)).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    names = [r["word"] for r in top]
+    classes, inputs = (max(CLASSES, round(total**power)) for power in (CLASS_POWER, INPUT_POWER))
+    of_class = grouped(names, classes, slice(-2, None))
+    n = np.zeros(KNOWN + OTHERS)
     n[: len(top)] = [r["n"] for r in top]
-    all_n = n.copy()  # of an id
+    tail = None
     if len(top) == KNOWN:
         edge = top[-1]
         rest = counts.where((F.col("n") < edge["n"]) | ((F.col("n") == edge["n"]) & (F.col("word") > edge["word"])))
         other = F.crc32(F.col("word").cast("binary")) % OTHERS
-        for r in rest.groupBy(other.alias("other")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-            n[KNOWN + r["other"]] = r["n"] / r["words"]
-            all_n[KNOWN + r["other"]] = r["n"]
-    of_class = np.full(KNOWN + OTHERS, 0, dtype=np.int64)
-    for r in top:
-        i = ids[r["word"]]
-        of_class[i] = i if i < SINGLE else word_class(r["word"])
-    of_class[KNOWN:] = SINGLE + np.arange(OTHERS) % SHARED
-    mass = np.bincount(of_class, weights=all_n, minlength=CLASSES)
-    return Vocabulary(ids, of_class, np.log(n / mass[of_class]))
-
-
-def encode(words: list[str], ids: dict[str, int]) -> np.ndarray:
+        for r in rest.groupBy(other.alias("other")).agg(F.sum("n").alias("n")).collect():
+            n[KNOWN + r["other"]] = r["n"]
+        tail = rest.where("n > 1")
+    mass = np.maximum(np.bincount(of_class, weights=n, minlength=classes), 1)
+    n[len(top) :] = 1
+    of_input = grouped(names, inputs, slice(None)) if inputs > classes else of_class
+    return Vocabulary({w: i for i, w in enumerate(names)}, of_class, np.log(n / mass[of_class]), of_input, classes, max(inputs, classes), tail)
+
+
+def encode(words: list[str], ids: dict[str, int], known: int | None = None) -> np.ndarray:
+    known = KNOWN if known is None else known
     out = np.array([ids.get(w, -1) for w in words], dtype=np.int64)
     new = np.flatnonzero(out < 0)
-    out[new] = [KNOWN + zlib.crc32(words[i].encode()) % OTHERS for i in new]
+    out[new] = [known + zlib.crc32(words[i].encode()) % OTHERS for i in new]
     return out
 
 
 class Network:
-    """Embeddings by place for the classes on both sides, one tanh layer, a softmax over classes. Class CLASSES is the text's edge."""
-
-    SHAPES = {"e": (2 * SIDES, CLASSES + 1, EMBED), "h": (2 * SIDES * EMBED, HIDDEN), "hb": (HIDDEN,), "o": (HIDDEN, CLASSES), "ob": (CLASSES,)}
+    """Embeddings by place for the inputs on both sides, one tanh layer, a softmax over classes. The last input is the text's edge."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 7):
-        sizes = {k: int(np.prod(s)) for k, s in self.SHAPES.items()}
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 7, classes: int = CLASSES, inputs: int = CLASSES):
+        self.classes, self.inputs = classes, inputs
+        shapes = {"e": (2 * SIDES, inputs + 1, EMBED), "h": (2 * SIDES * EMBED, HIDDEN), "hb": (HIDDEN,), "o": (HIDDEN, classes), "ob": (classes,)}
+        sizes = {k: int(np.prod(s)) for k, s in shapes.items()}
         if flat is None:
             rng = np.random.default_rng(seed)
             flat = np.concatenate([rng.normal(0, {"e": 0.3, "h": 0.2, "o": 0.2}.get(k, 0), n) for k, n in sizes.items()])
         self.flat = np.asarray(flat, dtype=np.float32).copy()
         self.p, at = {}, 0
-        for k, s in self.SHAPES.items():
+        for k, s in shapes.items():
             self.p[k] = self.flat[at : at + sizes[k]].reshape(s)
             at += sizes[k]
 
     @staticmethod
-    def sides(classes: np.ndarray) -> np.ndarray:
-        """Classes around each word of one text, words by 2 * SIDES."""
-        padded = np.concatenate([np.full(SIDES, CLASSES), classes, np.full(SIDES, CLASSES)])
-        n = len(classes)
+    def sides(inputs: np.ndarray, edge: int) -> np.ndarray:
+        """Inputs around each word of one text, words by 2 * SIDES."""
+        padded = np.concatenate([np.full(SIDES, edge), inputs, np.full(SIDES, edge)])
+        n = len(inputs)
         return np.stack([padded[k : k + n] for k in range(2 * SIDES + 1) if k != SIDES], axis=1)
 
     def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +164,19 @@ class Network:
         z /= len(target)
         back = (z @ self.p["o"].T) * (1 - h * h)
         inner = back @ self.p["h"].T
-        grads = {"o": h.T @ z, "ob": z.sum(axis=0), "h": x.T @ back, "hb": back.sum(axis=0), "e": np.zeros_like(self.p["e"])}
-        for k in range(2 * SIDES):
-            hot = np.zeros((CLASSES + 1, len(target)), dtype=np.float32)
-            hot[near[:, k], np.arange(len(target))] = 1
-            grads["e"][k] = hot @ inner[:, k * EMBED : (k + 1) * EMBED]
+        grads = {"o": h.T @ z, "ob": z.sum(axis=0), "h": x.T @ back, "hb": back.sum(axis=0)}
         for k, g in grads.items():
             state[k] = state.get(k, 1e-8) + g * g
             self.p[k] -= rate * g / np.sqrt(state[k])
+        if "e" not in state:
+            state["e"] = np.full_like(self.p["e"], 1e-8)
+        for k in range(2 * SIDES):  # only the inputs that occur have a gradient
+            order = np.argsort(near[:, k], kind="stable")
+            found, first = np.unique(near[order, k], return_index=True)
+            g = np.add.reduceat(inner[order, k * EMBED : (k + 1) * EMBED], first, axis=0)
+            held = state["e"][k]
+            held[found] += g * g
+            self.p["e"][k][found] -= rate * g / np.sqrt(held[found])
 
 
 def windows_in(texts: Iterator[pd.DataFrame], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,8 +187,9 @@ def windows_in(texts: Iterator[pd.DataFrame], vocabulary: Vocabulary) -> Iterato
             words = words_in(text)
             if not words:
                 continue
-            classes = vocabulary.of_class[encode(words, vocabulary.ids)]
-            around = Network.sides(classes)
+            ids = encode(words, vocabulary.ids, len(vocabulary.of_class) - OTHERS)
+            classes = vocabulary.of_class[ids]
+            around = Network.sides(vocabulary.of_input[ids], vocabulary.inputs)
             for i in range(0, len(classes), CHUNK):
                 near.append(around[i : i + CHUNK])
                 target.append(classes[i : i + CHUNK])
@@ -186,16 +207,17 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
     A task sends one row for every weight block; the sums are formed in two steps (over groups of tasks, then over the
     groups), so that no task or driver sees the rows of all tasks. Without words the network stays as it began.
     """
-    net = Network()
+    sizes = {"classes": vocabulary.classes, "inputs": vocabulary.inputs}
+    net = Network(**sizes)
     spark = docs.sparkSession
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, net.flat))
+        shared = spark.sparkContext.broadcast((replace(vocabulary, tail=None), net.flat))
 
         def train(batches: Iterator[pd.DataFrame], shared=shared, rate=rate / (k + 1)) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
             words, start = shared.value
-            own, state, n = Network(start), {}, 0
+            own, state, n = Network(start, **sizes), {}, 0
             for near, target in windows_in(batches, words):
                 own.step(near, target, state, rate)
                 n += len(target)
@@ -211,22 +233,49 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
         rows = trained.groupBy("part", "task").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
         if rows:
             rows.sort(key=lambda r: r["part"])
-            net = Network(np.concatenate([np.asarray(r["w"]) / r["n"] for r in rows]))
+            net = Network(np.concatenate([np.asarray(r["w"]) / r["n"] for r in rows]), **sizes)
     return net
 
 
+def tail_sums(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(__text, __tail) of ``texts`` (__text, text): the sum of the logarithms of the corpus counts of the words not known by name."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.ids)
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = shared.value
+        for batch in batches:
+            key, word, times = [], [], []
+            for k, text in zip(batch["__text"], batch["text"], strict=True):
+                found = Counter([w for w in words_in(text) if w not in ids])
+                key += [k] * len(found)
+                word += found.keys()
+                times += found.values()
+                if len(key) > CACHE:
+                    yield pd.DataFrame({"__text": key, "word": word, "times": times})
+                    key, word, times = [], [], []
+            if key:
+                yield pd.DataFrame({"__text": key, "word": word, "times": times})
+
+    met = texts.mapInPandas(others, "__text long, word string, times long").join(vocabulary.tail, "word")
+    # Repeated texts count once.
+    once = met.groupBy("word", "__text").agg(F.max(F.col("times") * F.log("n")).alias("logs"))
+    return once.groupBy("__text").agg(F.sum("logs").alias("__tail"))
+
+
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """``docs`` with lm_words, lm_logprob (the sum over all words) and lm_mean (a word's mean, 0 for no words).
 
     Whole texts are read in portions of CHUNK words with their true sides. A null or empty text has no words and a
-    sum of 0; repeated rows get the same result; other columns are kept, columns named like the new ones replaced.
+    sum of 0; repeated rows get the same result; other columns are kept, columns named like the new ones replaced. A word that the corpus of the
+    vocabulary doesn't hold counts as one that it holds once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.flat))
+    sizes = {"classes": net.classes, "inputs": net.inputs}
 
     @F.pandas_udf("lm_words long, lm_logprob double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, flat = shared.value
-        own = Network(flat)
+        own = Network(flat, **sizes)
         for batch in texts:
             n, total = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
             near, target, who, size = [], [], [], 0
@@ -239,10 +288,10 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> Da
                 found = words_in(text)
                 if not found:
                     continue
-                ids = encode(found, words.ids)
+                ids = encode(found, words.ids, len(words.of_class) - OTHERS)
                 classes = words.of_class[ids]
                 n[i], total[i] = len(ids), total[i] + words.log_share[ids].sum()
-                around = Network.sides(classes)
+                around = Network.sides(words.of_input[ids], words.inputs)
                 for k in range(0, len(ids), CHUNK):
                     near.append(around[k : k + CHUNK])
                     target.append(classes[k : k + CHUNK])
@@ -254,11 +303,15 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> Da
             settle()
             yield pd.DataFrame({"lm_words": n, "lm_logprob": total})
 
+    scored, total = docs.withColumn("__lm", score(F.col("text"))), F.col("__lm.lm_logprob")
+    if vocabulary.tail is not None:
+        key = F.xxhash64("text").alias("__text")
+        scored = salted_join(scored.withColumn("__text", key), tail_sums(docs.select(key, "text"), vocabulary), "__text", F.col("doc_id") if "doc_id" in docs.columns else F.col("text"))
+        total = total + F.coalesce("__tail", F.lit(0.0))
     return (
-        docs.withColumn("__lm", score(F.col("text")))
-        .withColumns({"lm_words": F.col("__lm.lm_words"), "lm_logprob": F.col("__lm.lm_logprob")})
+        scored.withColumns({"lm_words": F.col("__lm.lm_words"), "lm_logprob": total})
         .withColumn("lm_mean", F.when(F.col("lm_words") > 0, F.col("lm_logprob") / F.col("lm_words")).otherwise(0.0))
-        .drop("__lm")
+        .drop("__lm", "__text", "__tail")
     )
 
 

@@ -164,6 +164,38 @@ def test_lm_score_is_the_sum_over_words(spark, sf_dir):
     assert L.score_documents(d, v, net).agg(F.sum("lm_logprob")).first()[0] > start
 
 
+def test_lm_words_beyond_the_known(spark, monkeypatch):
+    """Each word has its own count, known by name or not, and neighbours of one class are told apart in a large corpus."""
+    from lexigraph.llm import lm_score as L
+
+    monkeypatch.setattr(L, "KNOWN", 20)
+    monkeypatch.setattr(L, "INPUT_POWER", 1.0)
+    rows = [(i, " ".join(f"w{k}aa" for k in range(120) if i % (k // 10 + 1) == 0)) for i in range(60)]
+    rows += [(60, "w119aa w55aa w119aa"), (61, "w119aa w55aa w119aa"), (62, "new w3aa"), (62, "new w3aa"), (63, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    v = L.fit_vocabulary(d)
+    net = L.fit_network(d, v)
+    assert len(v.ids) == 20 and v.inputs > 96
+    count: dict = {}
+    for _, text in rows:
+        for w in L.words_in(text):
+            count[w] = count.get(w, 0) + 1
+    cls = {w: int(v.of_class[L.encode([w], v.ids)[0]]) for w in count}
+    mass: dict = {}
+    for w, n in count.items():
+        mass[cls[w]] = mass.get(cls[w], 0) + n
+    text_of = dict(rows)
+    for r in L.score_documents(d, v, net).collect():
+        words = L.words_in(text_of[r["doc_id"]])
+        assert r["lm_words"] == len(words)
+        if words:
+            ids = L.encode(words, v.ids)
+            own = net.log_probs(L.Network.sides(v.of_input[ids], v.inputs), v.of_class[ids]).sum()
+            assert math.isclose(r["lm_logprob"], own + sum(math.log(count[w] / mass[cls[w]]) for w in words), rel_tol=1e-4)
+    same = [w for w in list(v.ids)[:20]]
+    assert len({int(v.of_input[v.ids[w]]) for w in same}) > 10
+
+
 def test_lm_gradient():
     from lexigraph.llm import lm_score as L
 

@@ -14,8 +14,6 @@ from lexigraph.llm.near_dup import drop_near_duplicates
 
 #: Share of a text's probability that its language must have.
 MIN_LANGUAGE = 0.5
-#: Share of a text that may be taken out as shared lines.
-MAX_LINES = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +24,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that many sources share out of the texts; n_chars follows the text. Texts of such lines for the most
-    part are copies of documents and are left to the next stage."""
-    return line_dedup(docs, max_share=MAX_LINES).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Takes lines that many sources share out of the texts; n_chars follows the text. Texts without a line of
+    their own are copies of documents and are left to the next stage."""
+    return line_dedup(docs, spare_whole=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

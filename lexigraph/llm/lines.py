@@ -35,12 +35,12 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     return spread.where(F.col("sites") > min_sites + slack).select("line").union(exact.select("line"))
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = 1.0) -> DataFrame:
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = 1.0, spare_whole: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed (both of lines that aren't blank).
 
     Lines are compared in lower case with runs of white space as one space, trimmed; blank lines stay where they are.
     A text that would lose more than ``max_share`` of its characters is a copy of a document rather than a page with
-    boilerplate and stays as it is; at 1.0 there is no such exception. A null site counts as one site; a null or empty text has no lines and stays as it is. A text that loses every line
+    boilerplate and stays as it is; at 1.0 there is no such exception. With ``spare_whole`` a text that would lose every line that isn't blank stays as it is. A null site counts as one site; a null or empty text has no lines and stays as it is. A text that loses every line
     becomes empty; the row stays. Rows alike in id and text get the same result. An empty table gives an empty
     result. Columns named n_lines or n_removed are replaced, others are kept.
     """
@@ -57,6 +57,7 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
         .join(found, "__doc", "left")
         .withColumn("__clean", F.when(F.col("__cut").isNotNull(), cleaned))
         .withColumn("__clean", F.when(F.length("__clean") >= (1 - max_share) * F.length("text"), F.col("__clean")))
+        .withColumn("__clean", F.when(~(F.lit(spare_whole) & (F.size("__cut") == F.col("n_lines"))), F.col("__clean")))
         .withColumn("n_removed", F.when(F.col("__clean").isNull(), 0).otherwise(F.size("__cut")).cast("long"))
         .withColumn("text", F.coalesce("__clean", "text"))
         .drop("__doc", "__cut", "__clean")

@@ -475,6 +475,30 @@ def test_extraction_on_the_pages(spark, sf_dir):
 # The pipeline.
 
 
+def test_pipeline_line_stage_brute_force(spark, sf_dir):
+    """Every text with a line of its own is cleaned, however much of it is shared; texts of shared lines alone stay."""
+    import corpus_pipeline as P
+
+    shared = "one long passage that stands on the pages of many sites and says nothing of them " * 3
+    planted = [(900_000 + i, f"{shared}\nown {i}\n\n", "en", f"site{i}", 1) for i in range(6)] + [(900_010 + i, f" {shared.upper()}\n", "en", f"site{i}", 1) for i in range(2)]
+    docs = table(spark, sf_dir, "documents").unionByName(spark.createDataFrame([*planted, (900_020, None, None, None, None), (900_021, "\n", "en", "a", 1)], DOCS))
+    rows = docs.collect()
+    norm = lambda x: re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x.lower()).strip(" ")
+    sites: dict = {}
+    for r in rows:
+        for x in (r["text"] or "").split("\n"):
+            sites.setdefault(norm(x), set()).add(r["source"])
+    want = {}
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        kept = [x for x in lines if not norm(x) or len(sites[norm(x)]) < 5]
+        whole = not any(norm(x) for x in kept)
+        want[r["doc_id"]] = r["text"] if whole or len(kept) == len(lines) else "\n".join(kept)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.line_stage(spark, docs, sf_dir).collect()}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+    assert got[900_003][0] == "own 3\n\n" and got[900_011][0] == planted[7][1]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
     from lexigraph.llm.contamination import decontaminate

@@ -1,9 +1,9 @@
 """Near-duplicates by probability minwise hashing, banding and verification.
 
-A text is the weighted set of its five-word shingles. Each shingle sends arrivals of a Poisson process with its
+A text is the set of its five-word shingles, all of weight 1, as links are defined on sets. Each shingle sends arrivals of a Poisson process with its
 weight as rate, each to one register; a register keeps the earliest arrival, and a shingle stops once it is later than
 all registers. The chance that two texts agree in a register is the probability Jaccard similarity of their weighted
-sets. Registers are banded; texts that share a band are candidates; candidate classes are verified on the shingle sets.
+sets; with equal weights it is the Jaccard similarity. Registers are banded; texts that share a band are candidates; candidate classes are verified on the shingle sets.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def text_features(docs: DataFrame) -> DataFrame:
             def sign() -> None:
                 if not waiting:
                     return
-                kept = prob_min_hash([(s, 1 + np.log(n)) for s, n in waiting])
+                kept = prob_min_hash([(s, np.ones(len(s))) for s, _ in waiting])
                 bands = np.zeros((len(waiting), BANDS), dtype=U)
                 for k in range(ROWS):
                     bands = bands * U(0x9E3779B97F4A7C15) + kept[:, k::ROWS]

@@ -386,6 +386,21 @@ def test_near_classes_brute_force(spark, sf_dir, monkeypatch, small):
     assert kept == {find(i) for i in rows}
 
 
+def test_near_texts_with_a_repeated_passage(spark):
+    """Counts of shingles are no part of the similarity: one text of each pair repeats a passage, on sets they are at 0.8 or more."""
+    from lexigraph.llm import near_dup as N
+
+    rows = []
+    for k in range(40):
+        base, more = [f"w{k}x{i}" for i in range(104)], [f"m{k}x{i}" for i in range(20)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more * 50))]
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for (_, x), (_, y) in zip(rows[::2], rows[1::2], strict=True):
+        assert 5 * len(cut(x) & cut(y)) >= 4 * len(cut(x) | cut(y))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in got}
+
+
 def test_near_repeated_rows(spark):
     from lexigraph.llm import near_dup as N
 

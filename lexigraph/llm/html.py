@@ -32,6 +32,7 @@ INLINE = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 AWAY = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head"}
 ARTICLE = {"article", "main"}
+WRAPPERS = {"div", "section", "form", *ARTICLE}
 # Words in class names, ids and roles that mark what isn't the article.
 AWAY_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent",
@@ -51,6 +52,11 @@ STOP_WORDS = set(
     " sus también te tiene todo un una uno y ya".split()
 )
 
+# Parts of a class name that say that a page or article has something, not that it is that.
+STATES = {"has", "no", "not", "with", "without", "enabled", "disabled", "hidden", "off"}
+
+#: A page with a lower density of stop words is in none of their languages.
+FOREIGN = 0.03
 #: Link density above which a block is no text; below LONG characters a block without enough stop words stays open; densities of stop words.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.3
 
@@ -64,10 +70,17 @@ class Block:
     label: str = ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, character references decoded and white space runs as one space; empty ones left out."""
+def away_name(attributes: str) -> bool:
+    """Whether a class, id or role marks what isn't the article; names of states (no-sidebar, share-enabled) don't."""
+    names = [re.split(r"[^a-z0-9]+", name) for found in NAMES.findall(attributes) for name in "".join(found).lower().split()]
+    return any(AWAY_NAMES & set(parts) and not STATES & set(parts) for parts in names)
+
+
+def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
+    """The page's blocks in order, character references decoded and white space runs as one space; empty ones left out.
+    With ``wrapped`` outermost forms and elements named as away are taken for wrappers of the page."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # tag, stands in something that isn't the article, article
+    open_: list[tuple[str, bool, int, bool]] = []  # tag, stands in something that isn't the article, article, in a wrapper
     words: list[str] = []
     links, in_link, articles, at = 0, False, 0, 0
 
@@ -75,7 +88,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = SPACE.sub(" ", unescape("".join(words))).strip()
         if text:
-            _, away, article = open_[-1] if open_ else ("", False, 0)
+            _, away, article, _ = open_[-1] if open_ else ("", False, 0, False)
             out.append(Block(text, links, away, article))
         words.clear()
         links = 0
@@ -112,13 +125,15 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
                 open_.pop()
-            _, away, article = open_[-1] if open_ else ("", False, 0)
-            names = {w for found in NAMES.findall(m[3]) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())}
+            _, away, article, inside = open_[-1] if open_ else ("", False, 0, False)
             if tag in ARTICLE and not article:
                 articles += 1
                 article = articles
-            away = away or tag in AWAY or (tag == "header" and not article) or (tag not in ("body", "html") and bool(names & AWAY_NAMES))
-            open_.append((tag, away, article))
+            named = tag == "form" or (tag not in ("body", "html") and away_name(m[3]))
+            if named and wrapped and not inside and tag in WRAPPERS:
+                named, inside = False, True
+            away = away or named or (tag in AWAY and tag != "form") or (tag == "header" and not article)
+            open_.append((tag, away, article, inside))
     end()
     return out
 
@@ -132,8 +147,10 @@ def label_blocks(blocks: list[Block]) -> list[Block]:
     """Sets each block's label to good or bad.
 
     Inside an article or main element only place and links speak against a block. Elsewhere a block is good if it is
-    long and rich in stop words, bad if it is long and poor in them, and open if it is short or in between.
+    long and rich in stop words, bad if it is long and poor in them, and open if it is short or in between. On a page
+    in none of the stop words' languages length alone makes a block good.
     """
+    foreign = stop_density(" ".join(b.text for b in blocks)) < FOREIGN
     for b in blocks:
         density = b.links / max(len(b.text), 1)
         if b.away or density > LINKS and not (b.article and len(b.text) >= LONG):
@@ -141,7 +158,7 @@ def label_blocks(blocks: list[Block]) -> list[Block]:
         elif b.article:
             b.label = "good" if len(b.text) >= SHORT else ""
         elif len(b.text) >= SHORT:
-            stops = stop_density(b.text)
+            stops = (STOP_LOW if len(b.text) >= LONG else 0) if foreign else stop_density(b.text)
             b.label = "good" if stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) >= LONG) else "bad" if stops < STOP_LOW and len(b.text) >= LONG else ""
     decided = [(i, b) for i, b in enumerate(blocks) if b.label]
     before = [None] * len(blocks)
@@ -166,7 +183,17 @@ def label_blocks(blocks: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(b.text for b in label_blocks(blocks_of(page)) if b.label == "good") if isinstance(page, str) and page else ""
+    """The text of the good blocks. If there is none, the page may stand in a wrapper that looks like a part beside it:
+    its text counts if it has an article or two good blocks at least, so that a lone notice stays out."""
+    if not isinstance(page, str) or not page:
+        return ""
+    first = blocks_of(page)
+    good = [b for b in label_blocks(first) if b.label == "good"]
+    if not good and any(b.away for b in first):
+        good = [b for b in label_blocks(blocks_of(page, wrapped=True)) if b.label == "good"]
+        if len(good) < 2 and not any(b.article for b in good):
+            good = []
+    return "\n".join(b.text for b in good)
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -475,6 +475,19 @@ def test_extraction(spark):
     assert extract_text(pages).count() == 7 and extract_text(pages.limit(0)).count() == 0
 
 
+def test_extraction_in_wrappers():
+    from lexigraph.llm.html import main_text
+
+    text = "This is the text of a page that stands in a wrapper, and it is long enough to have many of the words that are in all texts."
+    for head, tail in (("<div class='layout no-sidebar'><article>", "</article></div>"), ("<div class=has-sidebar><main>", "</main></div>"), ("<div class='content-with-comments'><article>", "</article></div>"),
+                       ("<article class='post share-enabled'>", "</article>"), ("<form id=aspnet><article>", "</article></form>"), ("<div class=widget><article>", "</article></div>"), ("<form>", f"<p>{text}</p></form>")):
+        page = f"{head}<p>{text}</p><div class=comments><p>{text} It is a comment.</p></div>{tail}<footer>{text}</footer>"
+        assert main_text(page) == (f"{text}\n{text}" if head == "<form>" else text), head
+    assert main_text(f"<div class=cookie-notice><p>{text}</p></div>") == ""
+    czech = "Vlak přijel pozdě večer, všichni cestující vystoupili, nádraží bylo prázdné, venku padal sníh, ulice mlčely, lampy svítily matně, psi štěkali daleko, hodiny odbily jedenáct, průvodčí zavřel dveře, město usnulo."
+    assert main_text(f"<div><p>{czech}</p></div><p>{czech}</p>") == f"{czech}\n{czech}"
+
+
 def test_extraction_on_the_pages(spark, sf_dir):
     """The pages of the tables have one article each, of headings and paragraphs."""
     from html import unescape

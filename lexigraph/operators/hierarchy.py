@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest chain that the loops follow; deeper hierarchies stop there.
+#: Rounds of a closure; as each doubles the paths' length, no hierarchy is deeper.
 MAX_DEPTH = 50
 
 
@@ -39,12 +39,12 @@ def in_cycles(edges: DataFrame, child: str = "child", parent: str = "parent") ->
 def inherited_domains(properties: DataFrame, hierarchies: DataFrame) -> DataFrame:
     """``properties`` (name, domain, ...) whose blank domains are those of their nearest super-properties.
 
-    The search goes level by level until nothing changes, so that its result doesn't depend on the rows' order; of
+    The search goes level by level until nothing changes (each round fills a name at least, so it ends), so that its result doesn't depend on the rows' order; of
     several super-properties the least domain counts.
     """
     own = properties.select("name", F.when(F.trim(F.coalesce("domain", F.lit(""))) != "", F.col("domain")).alias("domain")).groupBy("name").agg(F.max("domain").alias("domain"))
     links = hierarchies.select(F.col("subClass").alias("name"), F.col("superClass").alias("super")).distinct()
-    for _ in range(MAX_DEPTH):
+    while True:
         ups = links.join(own.where("domain is not null").withColumnRenamed("name", "super"), "super").groupBy("name").agg(F.min("domain").alias("found"))
         filled = _cut(own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
         if filled.where("new").limit(1).count() == 0:

@@ -182,3 +182,14 @@ def test_components(spark):
     assert {(r["s"], r["one"], r["small"]) for r in c.collect()} == {("a", False, True), ("b", True, False), ("c", False, True)}
     assert {r["s"] for r in c.where(S.exactly_one_of("one", "small")).collect()} == {"a", "b", "c"} and c.where(S.all_of("one", "small")).count() == 0
     assert {r["s"] for r in S.missing_value(t, f, "p", "5").collect()} == {"b", "c"}
+
+
+def test_domains_from_any_depth(spark, monkeypatch):
+    """No number of levels ends the search; a cycle without a domain does."""
+    from lexigraph.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "MAX_DEPTH", 2)
+    properties = spark.createDataFrame([("p0", "d"), *[(f"p{i}", None) for i in range(1, 7)], ("x", None), ("y", " ")], "name string, domain string")
+    links = spark.createDataFrame([*[(f"p{i}", f"p{i - 1}") for i in range(1, 7)], ("x", "y"), ("y", "x")], "subClass string, superClass string")
+    got = {r["name"]: r["domain"] for r in H.inherited_domains(properties, links).collect()}
+    assert got == {**{f"p{i}": "d" for i in range(7)}, "x": None, "y": None}

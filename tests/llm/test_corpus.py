@@ -126,15 +126,34 @@ def test_contamination_brute_force(spark, sf_dir):
         assert got[r["doc_id"]] == (len(hit), sorted(ids))
 
 
-def test_proximity_and_blocks(spark, monkeypatch):
+def test_intersection_decides(spark):
+    """Texts that hold a window's rarest words at their places, and its other words elsewhere, are no matches."""
     from lexigraph.llm import contamination as C
 
-    monkeypatch.setattr(C, "BLOCK", 2)
-    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon"), (3, "zeta eta theta iota"), (4, "beta gamma delta")], "item_id long, text string")
-    d = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha beta gamma delta epsilon"), (3, "alpha " + "x " * 50 + "beta gamma")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in C.decontaminate(d, items, anchors=3, slop=5).collect()}
+    window = [f"w{i}" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(window))], "item_id long, text string")
+    rows = [(1, " ".join(window)), (2, " ".join(window[:9] + ["x"] + window[9:])), (3, " ".join([*window[:2], *window[:1:-1]])), (4, " ".join(window[:5] * 4))]
+    rows += [(5 + i, " ".join(w for w in window[2:] for _ in range(3))) for i in range(5)]  # w0 and w1 are the rarest
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__doc", F.col("doc_id"))
+    index = C.token_index(d)
+    windows, held = C.benchmark_windows(items)
+    ranked = C.ranked_terms(windows, index)
+    anchors = C.anchor_postings(index, ranked)
+    assert {r["term"] for r in ranked.where("rank < 2").collect()} == {"w0", "w1"} and ranked.count() == 10 and held.count() == 1
+    assert {r["__doc"] for r in anchors.where("start = 0").collect()} == {1, 2, 3, 4}
+    assert [(r["__doc"], r["start"]) for r in C.phrase_matches(index, ranked, anchors).collect()] == [(1, 0)]
+    assert {r["__doc"] for r in C.proximity_matches(index, ranked, anchors, 20).collect()} == {1, 2, 3}
+    assert {r["__doc"] for r in C.proximity_matches(index, ranked, anchors, 9).collect()} == {1, 3}
+
+
+def test_proximity(spark):
+    from lexigraph.llm import contamination as C
+
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon"), (3, "zeta eta theta iota"), (4, "beta gamma delta"), (5, "omega")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "gamma x alpha y beta"), (2, "alpha beta gamma delta epsilon omega"), (3, "alpha " + "x " * 50 + "beta gamma")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in C.decontaminate(d, items, slop=5).collect()}
     assert got[1]["n_hit"] == 0 and got[1]["near_items"] == ["1"]
-    assert got[2]["item_ids"] == ["1", "2", "4"] and got[2]["n_hit"] == 5
+    assert got[2]["item_ids"] == got[2]["near_items"] == ["1", "2", "4", "5"] and got[2]["n_hit"] == got[2]["n_words"] == 6
     assert got[3]["near_items"] == []
 
 

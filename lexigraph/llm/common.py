@@ -51,6 +51,15 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, sal
     return salted.join(copies, [key, "__salt"], "left").drop("__salt")
 
 
+#: Rows of a table that may be sent to all tasks; larger ones are joined by a shuffle.
+SMALL = 500_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a stored table has SMALL rows at most; the count reads only its files' footers."""
+    return df.count() <= SMALL
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where the session names none, as in tests."""
     sc = spark.sparkContext

@@ -5,8 +5,8 @@ benchmark window (ten consecutive words) is found from its rarest terms on: the
 shifted by the terms' offsets in the window and intersected, and the starts that remain are intersected with the lists
 of all its other terms. The same postings give proximity matches: all terms of a window near its rarest one.
 
-Joins with tables of a benchmark's size are left to the optimizer, which broadcasts them below its own limit, as their
-files' sizes are known; joins that grow with the documents are asked to sort both sides.
+Tables of a benchmark's size are counted before they are sent to all tasks; larger ones are joined by a shuffle in which
+the postings of a frequent term are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import salted_join, stored, table
+from lexigraph.llm.common import is_small, salted_join, salted_semi, stored, table
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between tokens.
@@ -50,21 +50,33 @@ def benchmark_windows(items: DataFrame, width: int = 10) -> tuple[DataFrame, Dat
     return held.select("win", "words").distinct(), held.where(F.col("item").isNotNull()).select("win", "item")
 
 
+def with_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the stored, distinct ``terms``."""
+    if is_small(terms):
+        return index.join(F.broadcast(terms), "term", "left_semi")
+    return salted_semi(index, terms, ["term"], F.struct("__doc", "pos"))
+
+
 def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
     """Each window's places by the number of their terms' postings: win, term, offset, rank (0 for the rarest) and width; stored.
 
     A window with a term that no document has can't occur and is left out.
     """
     at = windows.select("win", F.size("words").alias("width"), F.posexplode("words").alias("offset", "term"))
-    counts = index.join(at.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = with_terms(index, stored(at.select("term").distinct(), "terms")).groupBy("term").agg(F.count("*").alias("n"))
     one = Window.partitionBy("win")
     ranked = at.join(counts, "term").withColumns({"there": F.count("*").over(one), "rank": F.row_number().over(one.orderBy("n", "offset")) - 1})
-    return stored(ranked.where(F.col("there") == F.col("width")).drop("there", "n"), "terms")
+    return stored(ranked.where(F.col("there") == F.col("width")).drop("there", "n"), "ranked")
 
 
 def anchor_postings(index: DataFrame, ranked: DataFrame) -> DataFrame:
     """Postings of the windows' two rarest terms: __doc, win, rank, pos, ``start`` (pos less the term's offset) and width; stored."""
-    found = index.join(ranked.where("rank < 2"), "term")
+    rare = ranked.where("rank < 2")
+    if is_small(ranked):
+        found = index.join(F.broadcast(rare), "term")
+    else:
+        by_term = rare.groupBy("term").agg(F.collect_list(F.struct("win", "offset", "rank", "width")).alias("places"))
+        found = salted_join(index, by_term, "term", F.struct("__doc", "pos")).select("__doc", "pos", F.inline("places"))
     return stored(found.select("__doc", "win", "rank", "pos", (F.col("pos") - F.col("offset")).alias("start"), "width"), "anchors")
 
 
@@ -76,7 +88,7 @@ def postings_of(index: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFram
     slot = F.pmod(F.xxhash64("__doc", F.lit("thin")), F.lit(THIN))
     slots = docs.select(slot.alias("__slot")).distinct()
     thinned = index.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
-    return thinned.join(terms.select("term").distinct(), "term", "left_semi")
+    return with_terms(thinned, stored(terms.select("term").distinct(), "terms"))
 
 
 def phrase_matches(index: DataFrame, ranked: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexigraph.llm.common import stored, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A run of more letters is scored in parts of so many.
+#: Words of more letters are summed one by one with rescaling, as their probabilities would leave the range of a float.
 LONGEST = 32
 MARK = "▁"
 #: Words whose scores or counts a Python worker holds at a time.
@@ -49,10 +49,7 @@ def load_pieces(path: str) -> list[str]:
 
 
 def words_in(text: str | None) -> list[str]:
-    words = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    return LETTERS.findall(text.lower()) if text else []
 
 
 class Segmenter:
@@ -114,11 +111,59 @@ class Segmenter:
 
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Logarithm of each word's probability in each language; probs: pieces by languages."""
-        if not words:
-            return np.zeros((0, probs.shape[1]), dtype=np.float64)
-        size, edges = self.lattice(words)
-        alpha = self._alpha(size, edges, probs)
-        return np.log(np.maximum(alpha[size, np.arange(len(words))], 1e-300))
+        out = np.zeros((len(words), probs.shape[1]))
+        long = np.fromiter((len(w) > LONGEST for w in words), dtype=bool, count=len(words))
+        for i in np.flatnonzero(long):
+            at, scale = self._scaled(self._spans(words[i]), probs)
+            out[i] = np.log(at[-1]) + scale[-1]
+        if not long.all():
+            size, edges = self.lattice([w for w, is_long in zip(words, long, strict=True) if not is_long])
+            alpha = self._alpha(size, edges, probs)
+            out[~long] = np.log(np.maximum(alpha[size, np.arange(len(size))], 1e-300))
+        return out
+
+    def _spans(self, word: str) -> np.ndarray:
+        """Pieces of one word: spans[e, n] is the piece of n characters that ends after e, -1 if there is none."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        spans = np.full((len(codes) + 1, self.longest + 1), -1, dtype=np.int32)
+        hashes = np.zeros(0, dtype=np.uint64)
+        for n in range(1, min(self.longest, len(codes)) + 1):
+            # The hash of n characters from the hash of the n - 1 before the last.
+            hashes = codes if n == 1 else hashes[:-1] * BASE + codes[n - 1 :]
+            spans[n:, n] = self._find(hashes)
+        spans[1:, 1][spans[1:, 1] < 0] = self.size - 1
+        return spans
+
+    def _scaled(self, spans: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the segmentations of each beginning, by lanes of ``probs``, as numbers and logarithms of their scales."""
+        last, lanes = len(spans) - 1, probs.shape[1]
+        value, scale = np.zeros((last + 1, lanes)), np.zeros((last + 1, lanes))
+        value[0] = 1
+        for e in range(1, last + 1):
+            n = np.flatnonzero(spans[e] >= 0)
+            scale[e] = scale[e - n].max(axis=0)
+            value[e] = (value[e - n] * np.exp(scale[e - n] - scale[e]) * probs[spans[e, n]]).sum(axis=0)
+            low = value[e] < 1e-100
+            value[e][low] *= 1e100
+            scale[e][low] -= np.log(1e100)
+        return value, scale
+
+    def _expected_long(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one word, by the probabilities of one language."""
+        spans = self._spans(word)
+        last = len(spans) - 1
+        ahead, ahead_scale = self._scaled(spans, probs[:, None])
+        # Seen from the end, a piece of n characters that ends after e starts the rest of last - e characters.
+        mirrored = np.full_like(spans, -1)
+        for n in range(1, spans.shape[1]):
+            mirrored[n:, n] = spans[n:, n][::-1]
+        back, back_scale = (x[::-1] for x in self._scaled(mirrored, probs[:, None]))
+        out = np.zeros(len(probs))
+        for e in range(1, last + 1):
+            n = np.flatnonzero(spans[e] >= 0)
+            logs = ahead_scale[e - n, 0] + back_scale[e, 0] - ahead_scale[last, 0]
+            out[spans[e, n]] += ahead[e - n, 0] / ahead[last, 0] * probs[spans[e, n]] * back[e, 0] * np.exp(logs)
+        return out
 
     @staticmethod
     def _alpha(size: np.ndarray, edges: list, probs: np.ndarray) -> np.ndarray:
@@ -130,6 +175,14 @@ class Segmenter:
 
     def expected(self, words: list[str], counts: np.ndarray, lang: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language, given each word's language and count."""
+        long = np.fromiter((len(w) > LONGEST for w in words), dtype=bool, count=len(words))
+        if long.any():
+            out = np.zeros(probs.shape)
+            for i in np.flatnonzero(long):
+                out[:, lang[i]] += counts[i] * self._expected_long(words[i], probs[:, lang[i]])
+            if not long.all():
+                out += self.expected([w for w, is_long in zip(words, long, strict=True) if not is_long], counts[~long], lang[~long], probs)
+            return out
         size, edges = self.lattice(words)
         alpha, beta = np.zeros((2, int(size.max()) + 1, len(size)))
         alpha[0] = 1
@@ -182,7 +235,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_language_model(docs: DataFrame, vocabulary: str | None = None, rounds: int = 2) -> LanguageModel:
-    """Piece probabilities of every language in ``docs`` (text, lang); rows without a language teach nothing.
+    """Piece probabilities of every language in ``docs`` (text, lang); rows without a language teach nothing, and
+    without rows the model has no languages.
 
     Each round sends (language, piece) sums to the driver: languages times the vocabulary at most, at any corpus size.
     """
@@ -256,7 +310,8 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred and score, the share of the text's probability that the predicted language has.
 
     Letters are compared in lower case; whatever isn't a letter parts words. A null, empty or letterless text, or a
-    model without languages, gives ``und`` with score 0. Whole texts are read whatever their length. Columns named
+    model without languages, gives ``und`` with score 0. Whole texts and words are read whatever their length. An empty
+    table gives an empty result. Columns named
     lang_pred or score are replaced, others are kept; repeated rows get the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,16 +1,21 @@
 """Document scores by masked pseudo-likelihood.
 
 A small bidirectional window network, trained in numpy, predicts every word of a text from the words on both sides of
-it; a document's score is the sum of the conditional log-probabilities of its words. The network predicts a word's
-class and the class's unigram gives the word: p(word | sides) = p(class | sides) * p(word | class).
-
-The vocabulary and all unigrams come from word counts over the whole corpus: tasks hold the most frequent words by name,
-the counts of all others are a table that is joined to the texts' words. The network is trained on all documents:
-each task makes its passes over its own texts from the same start, and the weights are averaged by the number of words.
+it; a document's score is the sum of the conditional log-probabilities of its words. The output is a binary tree with
+a leaf for each frequent word and one for each of LEAVES groups of all other words (by their last letters), built from
+their counts, so that a word's probability is the product of the decisions on its way. A word of a group has its share
+of the group's occurrences besides: p(word | sides) = p(group | sides) * n(word) / n(group).
+
+The words and all counts come from the whole corpus: tasks hold the frequent words by name, more of them the larger the
+corpus; the counts of all others are a table that is joined to the texts' words. The network is trained on all
+documents: each task makes its pass over its own texts from the same start, and each row of weights is averaged by the
+number of times that the tasks used it. The result depends on how the rows are dealt to tasks: the same files, read in
+the same splits, give the same scores.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,44 +28,42 @@ from pyspark.sql import functions as F
 
 from lexigraph.llm.common import checkpointed, salted_join, table
 
-#: Words that tasks hold by name; the others get their counts by a join, and their class and input by one of OTHERS hashes.
-KNOWN, OTHERS = 50_000, 1 << 16
-#: Classes at least: half of them are the most frequent words, the rest of the words share the others by a hash.
-CLASSES = 96
-#: Powers of the corpus's number of words that give the classes to predict and the inputs around a word.
-CLASS_POWER, INPUT_POWER = 0.26, 0.4
+#: Words held by name: so many at least, and KNOWN_RATE times the fourth root of the corpus's words.
+KNOWN, KNOWN_RATE = 30_000, 300
+#: Groups of the words that aren't held by name.
+LEAVES = 1024
 #: Places to the left and to the right, and sizes of the embedding and hidden layers.
-SIDES, EMBED, HIDDEN = 2, 8, 24
+SIDES, EMBED, HIDDEN = 2, 8, 16
+#: Decisions nearest to the tree's root, on most words' ways, that are computed for all words at once.
+TOP = 128
 #: Words whose count a task holds before it sends them on.
 CACHE = 300_000
-CHUNK = 1024
+CHUNK = 2048
+#: Blocks in which a task's weights are sent.
+BLOCKS = 16
 
 
 @dataclass
 class Vocabulary:
-    ids: dict[str, int]  # known words
-    of_class: np.ndarray  # class of each id
-    log_share: np.ndarray  # log of a known word's share of its class; of others, of the share that a single occurrence has
-    of_input: np.ndarray  # what the network sees of each id around a word
-    classes: int = CLASSES
-    inputs: int = CLASSES
-    tail: DataFrame | None = None  # (word, n) of the words not known by name that occur more than once
+    """Ids 0 to len(ids) - 1 are the words held by name, the LEAVES ids after them the groups of the others."""
+
+    ids: dict[str, int]
+    log_mass: np.ndarray  # of each group, the logarithm of its occurrences
+    near_root: tuple[np.ndarray, np.ndarray, np.ndarray]  # the ways as far as decisions below TOP, see tree_ways
+    low: tuple[np.ndarray, np.ndarray, np.ndarray]  # the rest of the ways
+    tail: DataFrame | None = None  # (word, n) of the words not held by name that occur more than once
+
+    @property
+    def size(self) -> int:
+        return len(self.low[0]) - 1
 
 
 def words_in(text: str | None) -> list[str]:
     return text.lower().split() if isinstance(text, str) else []
 
 
-def grouped(top: list[str], size: int, part: slice) -> np.ndarray:
-    """One of ``size`` groups for each id: the first half are words of their own, known words share the others by a hash
-    of ``part`` of them, other words by their id."""
-    single = size // 2
-    shared = size - single
-    out = np.zeros(KNOWN + OTHERS, dtype=np.int64)
-    for i, w in enumerate(top):
-        out[i] = i if i < single else single + zlib.crc32(w[part].encode()) % shared
-    out[KNOWN:] = single + np.arange(OTHERS) % shared
-    return out
+def group_of(word: str) -> int:
+    return zlib.crc32(word[-2:].encode()) % LEAVES
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -80,165 +83,226 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def tree_ways(counts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ways to the leaves of the binary tree that joins the two rarest parts again and again, as far as decisions below
+    TOP and the rest, each as (first, nodes, turns): the decisions nodes[first[i] : first[i + 1]] are on the way to leaf i
+    and turns, 1 or -1, says where they lead. The root is decision 0, the part joined first the last one."""
+    heap = [(n, i) for i, n in enumerate(counts)]
+    heapq.heapify(heap)
+    size = len(counts)
+    parent, turn = np.zeros(2 * size - 1, dtype=np.int64), np.zeros(2 * size - 1, dtype=np.int8)
+    for new in range(size, 2 * size - 1):
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        parent[[a[1], b[1]]], turn[[a[1], b[1]]] = new, (1, -1)
+        heapq.heappush(heap, (a[0] + b[0], new))
+    at, steps = np.arange(size), []
+    while (up := at < 2 * size - 2).any():  # all leaves go up to the root together
+        steps.append((np.where(up, 2 * size - 2 - parent[at], -1), turn[at]))
+        at = np.where(up, parent[at], at)
+    nodes, turns = np.stack([x for x, _ in steps], axis=1), np.stack([x for _, x in steps], axis=1)
+    parts = []
+    for on in ((nodes >= 0) & (nodes < TOP), nodes >= TOP):
+        parts.append((np.concatenate([[0], np.cumsum(on.sum(axis=1))]), nodes[on].astype(np.int32), turns[on].astype(np.float32)))
+    return parts
+
+
 def fit_vocabulary(docs: DataFrame) -> Vocabulary:
-    """Of the corpus counts the driver gets the KNOWN most frequent words and the sums of the rest by hash; the counts of
-    all other words stay a table. The numbers of classes and inputs follow from the number of words in the corpus."""
+    """Of the corpus counts the driver gets the frequent words and the sums of the other words' groups; the counts of all
+    other words stay a table."""
     counts = checkpointed(word_counts(docs))
-    # Levels of counts tell how frequent a word of the first KNOWN is at least, so that each partition sends few others.
+    # Levels of counts tell the size of the corpus, and how frequent the words held by name are at least, so that each
+    # partition sends few others.
     level = F.floor(8 * F.log2("n"))
-    above, least, total = 0, None, 0
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True):
-        above, total = above + r["words"], total + r["n"]
-        if least is None and above >= KNOWN:
+    levels = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
+    known = max(KNOWN, round(KNOWN_RATE * sum(r["n"] for r in levels) ** 0.25))
+    above, least = 0, 0
+    for r in levels:
+        above += r["words"]
+        if above >= known:
             least = r["level"]
-    top = counts.where(level >= (least or 0)).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    names = [r["word"] for r in top]
-    classes, inputs = (max(CLASSES, round(total**power)) for power in (CLASS_POWER, INPUT_POWER))
-    of_class = grouped(names, classes, slice(-2, None))
-    n = np.zeros(KNOWN + OTHERS)
-    n[: len(top)] = [r["n"] for r in top]
-    tail = None
-    if len(top) == KNOWN:
+            break
+    top = counts.where(level >= least).orderBy(F.desc("n"), "word").limit(known).collect()
+    mass, tail = np.zeros(LEAVES), None
+    if above > known or len(top) == known:
         edge = top[-1]
         rest = counts.where((F.col("n") < edge["n"]) | ((F.col("n") == edge["n"]) & (F.col("word") > edge["word"])))
-        other = F.crc32(F.col("word").cast("binary")) % OTHERS
-        for r in rest.groupBy(other.alias("other")).agg(F.sum("n").alias("n")).collect():
-            n[KNOWN + r["other"]] = r["n"]
+        group = F.crc32(F.right("word", F.lit(2)).cast("binary")) % LEAVES
+        for r in rest.groupBy(group.alias("group")).agg(F.sum("n").alias("n")).collect():
+            mass[r["group"]] = r["n"]
         tail = rest.where("n > 1")
-    mass = np.maximum(np.bincount(of_class, weights=n, minlength=classes), 1)
-    n[len(top) :] = 1
-    of_input = grouped(names, inputs, slice(None)) if inputs > classes else of_class
-    return Vocabulary({w: i for i, w in enumerate(names)}, of_class, np.log(n / mass[of_class]), of_input, classes, max(inputs, classes), tail)
+    mass = np.maximum(mass, 1)
+    return Vocabulary({r["word"]: i for i, r in enumerate(top)}, np.log(mass), *tree_ways([r["n"] for r in top] + mass.astype(np.int64).tolist()), tail)
 
 
-def encode(words: list[str], ids: dict[str, int], known: int | None = None) -> np.ndarray:
-    known = KNOWN if known is None else known
+def encode(words: list[str], ids: dict[str, int]) -> np.ndarray:
+    known = len(ids)
     out = np.array([ids.get(w, -1) for w in words], dtype=np.int64)
-    new = np.flatnonzero(out < 0)
-    out[new] = [known + zlib.crc32(words[i].encode()) % OTHERS for i in new]
+    others = np.flatnonzero(out < 0).tolist()
+    out[others] = [known + group_of(words[i]) for i in others]
     return out
 
 
 class Network:
-    """Embeddings by place for the inputs on both sides, one tanh layer, a softmax over classes. The last input is the text's edge."""
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 7, classes: int = CLASSES, inputs: int = CLASSES):
-        self.classes, self.inputs = classes, inputs
-        shapes = {"e": (2 * SIDES, inputs + 1, EMBED), "h": (2 * SIDES * EMBED, HIDDEN), "hb": (HIDDEN,), "o": (HIDDEN, classes), "ob": (classes,)}
-        sizes = {k: int(np.prod(s)) for k, s in shapes.items()}
-        if flat is None:
-            rng = np.random.default_rng(seed)
-            flat = np.concatenate([rng.normal(0, {"e": 0.3, "h": 0.2, "o": 0.2}.get(k, 0), n) for k, n in sizes.items()])
-        self.flat = np.asarray(flat, dtype=np.float32).copy()
-        self.p, at = {}, 0
-        for k, s in shapes.items():
-            self.p[k] = self.flat[at : at + sizes[k]].reshape(s)
-            at += sizes[k]
+    """Embeddings of the words on both sides, one tanh layer, and a logistic decision at each node of the tree.
+
+    ``rows``: weights as matrices whose rows are averaged by their use. The last embedding is the text's edge; the last
+    column of the decisions is their bias."""
+
+    def __init__(self, vocabulary: Vocabulary, rows: dict[str, np.ndarray] | None = None, seed: int = 7):
+        rng, self.words = np.random.default_rng(seed), vocabulary
+        shapes = {"e": (vocabulary.size + 1, EMBED, 0.3), "h": (2 * SIDES * EMBED + 1, HIDDEN, 0.15), "o": (vocabulary.size - 1, HIDDEN + 1, 0.0)}
+        self.rows = {k: (rng.normal(0, s, (n, m)) if rows is None else rows[k]).astype(np.float32) for k, (n, m, s) in shapes.items()}
 
     @staticmethod
-    def sides(inputs: np.ndarray, edge: int) -> np.ndarray:
-        """Inputs around each word of one text, words by 2 * SIDES."""
-        padded = np.concatenate([np.full(SIDES, edge), inputs, np.full(SIDES, edge)])
-        n = len(inputs)
+    def sides(ids: np.ndarray, edge: int) -> np.ndarray:
+        """Ids around each word of one text, words by 2 * SIDES."""
+        padded = np.concatenate([np.full(SIDES, edge), ids, np.full(SIDES, edge)])
+        n = len(ids)
         return np.stack([padded[k : k + n] for k in range(2 * SIDES + 1) if k != SIDES], axis=1)
 
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.concatenate([self.p["e"][k][near[:, k]] for k in range(2 * SIDES)], axis=1)
-        h = np.tanh(x @ self.p["h"] + self.p["hb"])
-        z = h @ self.p["o"] + self.p["ob"]
-        z -= z.max(initial=0)  # the hidden layer's bounds keep the rows near each other
-        return x, h, z
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stands around the words, and the hidden layer; both end with a column of ones."""
+        one = np.ones((len(near), 1), dtype=np.float32)
+        x = np.concatenate([self.rows["e"][near].reshape(len(near), 2 * SIDES * EMBED), one], axis=1)
+        return x, np.concatenate([np.tanh(x @ self.rows["h"]), one], axis=1)
+
+    @staticmethod
+    def steps(way: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By each decision on the words' ways: the word's place, the decision and the turn."""
+        first, nodes, turns = way
+        begin = first[target]
+        n = first[target + 1] - begin
+        who = np.repeat(np.arange(len(target)), n)
+        at = np.arange(len(who)) + np.repeat(begin - np.cumsum(n) + n, n)
+        return who, nodes[at], turns[at]
+
+    def decisions(self, h: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Steps near the root and below, each with turn times the decision's sum; ``h`` ends with a column of ones."""
+        o, (who, node, turn), (low_who, low_node, low_turn) = self.rows["o"], self.steps(self.words.near_root, target), self.steps(self.words.low, target)
+        dense = h @ o[:TOP].T
+        z, low_z = dense.ravel()[who * dense.shape[1] + node], np.einsum("ij,ij->i", h[low_who], o[low_node])
+        return [(who, node, turn, turn * z), (low_who, low_node, low_turn, low_turn * low_z)]
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, z = self.forward(near)
-        at = np.arange(len(target))
-        picked = z[at, target].astype(np.float64)
-        return picked - np.log(np.exp(z, out=z).sum(axis=1).astype(np.float64))
-
-    def step(self, near: np.ndarray, target: np.ndarray, state: dict, rate: float) -> None:
-        """One Adagrad step on the words' mean negative log-probability."""
-        x, h, z = self.forward(near)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
-        back = (z @ self.p["o"].T) * (1 - h * h)
-        inner = back @ self.p["h"].T
-        grads = {"o": h.T @ z, "ob": z.sum(axis=0), "h": x.T @ back, "hb": back.sum(axis=0)}
-        for k, g in grads.items():
-            state[k] = state.get(k, 1e-8) + g * g
-            self.p[k] -= rate * g / np.sqrt(state[k])
-        if "e" not in state:
-            state["e"] = np.full_like(self.p["e"], 1e-8)
-        for k in range(2 * SIDES):  # only the inputs that occur have a gradient
-            order = np.argsort(near[:, k], kind="stable")
-            found, first = np.unique(near[order, k], return_index=True)
-            g = np.add.reduceat(inner[order, k * EMBED : (k + 1) * EMBED], first, axis=0)
-            held = state["e"][k]
-            held[found] += g * g
-            self.p["e"][k][found] -= rate * g / np.sqrt(held[found])
-
-
-def windows_in(texts: Iterator[pd.DataFrame], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole texts' (sides, classes), CHUNK words or a text's end at a time, in batches of about CHUNK words."""
-    near, target, size = [], [], 0
-    for batch in texts:
-        for text in batch["text"]:
-            words = words_in(text)
-            if not words:
-                continue
-            ids = encode(words, vocabulary.ids, len(vocabulary.of_class) - OTHERS)
-            classes = vocabulary.of_class[ids]
-            around = Network.sides(vocabulary.of_input[ids], vocabulary.inputs)
-            for i in range(0, len(classes), CHUNK):
-                near.append(around[i : i + CHUNK])
-                target.append(classes[i : i + CHUNK])
-                size += len(target[-1])
-                if size >= CHUNK:
-                    yield np.concatenate(near), np.concatenate(target)
-                    near, target, size = [], [], 0
+        _, h = self.hidden(near)
+        parts = self.decisions(h, target)
+        return -sum(np.bincount(who, weights=np.log1p(np.exp(-z)), minlength=len(target)) for who, _, _, z in parts)
+
+    def gradients(self, near: np.ndarray, target: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Slopes of the words' mean negative log-probability: by matrix the rows used, how often each is, and their slopes."""
+        x, h = self.hidden(near)
+        (who, node, turn, z), (low_who, low_node, low_turn, low_z) = self.decisions(h, target)
+        o = self.rows["o"]
+        dense = np.zeros((len(target), min(TOP, len(o))), dtype=np.float32)
+        dense.ravel()[who * dense.shape[1] + node] = -turn / (1 + np.exp(z)) / len(target)
+        back = dense @ o[:TOP]
+        low = (-low_turn / (1 + np.exp(low_z)) / len(target))[:, None]
+        back += summed(low_who, low * o[low_node], len(target))
+        used = np.bincount(node, minlength=dense.shape[1])
+        rows, (low_rows, low_times, low_slopes) = np.flatnonzero(used), row_sums(low_node, h[low_who] * low)
+        back = back[:, :-1] * (1 - h[:, :-1] ** 2)
+        return {
+            "o": (np.concatenate([rows, low_rows]), np.concatenate([used[rows], low_times]), np.concatenate([(dense.T @ h)[rows], low_slopes])),
+            "h": (np.arange(x.shape[1]), np.full(x.shape[1], len(target)), x.T @ back),
+            "e": row_sums(near.ravel(), (back @ self.rows["h"][:-1].T).reshape(-1, EMBED)),
+        }
+
+    def step(self, near: np.ndarray, target: np.ndarray, state: dict[str, np.ndarray], use: dict[str, np.ndarray], rate: float) -> None:
+        """One step by Adagrad with a rate for each row of weights; ``use`` counts how often each row was used."""
+        for k, (rows, times, slopes) in self.gradients(near, target).items():
+            use.setdefault(k, np.zeros(len(self.rows[k]), dtype=np.int64))[rows] += times
+            held = state.setdefault(k, np.full(len(self.rows[k]), 1e-8, dtype=np.float32))
+            held[rows] = squares = held[rows] + np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
+            self.rows[k][rows] -= (rate / np.sqrt(squares))[:, None] * slopes
+
+
+def summed(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their group, 0 to ``groups`` - 1."""
+    width = values.shape[1]
+    at = group[:, None] * width + np.arange(width)
+    return np.bincount(at.ravel(), weights=values.ravel(), minlength=groups * width).reshape(groups, width).astype(values.dtype)
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sums of their values."""
+    order = np.argsort(rows)
+    at = rows[order]
+    first = np.ones(len(at), dtype=bool)
+    np.not_equal(at[1:], at[:-1], out=first[1:])
+    group = np.empty(len(at), dtype=np.int64)
+    group[order] = np.cumsum(first) - 1
+    found = at[first]
+    return found, np.bincount(group, minlength=len(found)), summed(group, values, len(found))
+
+
+def windows_in(texts: Iterator[list[str]], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of whole texts' words (number of the text, ids around, id), CHUNK words or a text's end at a time, in batches of about CHUNK words."""
+    near, target, who, size = [], [], [], 0
+    for i, words in enumerate(texts):
+        if not words:
+            continue
+        ids = encode(words, vocabulary.ids)
+        around = Network.sides(ids, vocabulary.size)
+        for k in range(0, len(ids), CHUNK):
+            near.append(around[k : k + CHUNK])
+            target.append(ids[k : k + CHUNK])
+            who.append(np.full(len(target[-1]), i))
+            size += len(target[-1])
+            if size >= CHUNK:
+                yield np.concatenate(who), np.concatenate(near), np.concatenate(target)
+                near, target, who, size = [], [], [], 0
     if size:
-        yield np.concatenate(near), np.concatenate(target)
+        yield np.concatenate(who), np.concatenate(near), np.concatenate(target)
+
+
+def merged(parts: pd.DataFrame) -> pd.DataFrame:
+    """One row for rows of one block of one matrix: the sums of the uses and of the weights times uses, by row of weights."""
+    parts = parts.sort_values("task", kind="stable")
+    rows = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in parts["rows"]])
+    uses = np.concatenate([np.frombuffer(x, dtype=np.float64) for x in parts["uses"]])
+    sums = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in parts["sums"]]).reshape(len(rows), -1)
+    found, _, both = row_sums(rows, np.concatenate([uses[:, None], sums], axis=1))
+    return pd.DataFrame({"matrix": parts["matrix"].iloc[:1].tolist(), "block": parts["block"].iloc[:1].tolist(), "task": [int(parts["task"].min()) // 64], "rows": [found.tobytes()], "uses": [both[:, 0].tobytes()], "sums": [both[:, 1:].astype(np.float32).tobytes()]})
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate: float = 0.05) -> Network:
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate: float = 0.1) -> Network:
     """Rounds of local training and averaging over all documents.
 
-    A task sends one row for every weight block; the sums are formed in two steps (over groups of tasks, then over the
-    groups), so that no task or driver sees the rows of all tasks. Without words the network stays as it began.
+    A task sends the rows of weights that its texts used, in BLOCKS blocks a matrix; their sums are formed in two steps
+    (over 64 tasks at a time, then over those groups), so that no task or driver sees the rows of all tasks. Without
+    words the network stays as it began.
     """
-    sizes = {"classes": vocabulary.classes, "inputs": vocabulary.inputs}
-    net = Network(**sizes)
-    spark = docs.sparkSession
+    net = Network(vocabulary)
+    kind = "matrix string, block long, task long, rows binary, uses binary, sums binary"
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((replace(vocabulary, tail=None), net.flat))
+        shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.rows))
 
         def train(batches: Iterator[pd.DataFrame], shared=shared, rate=rate / (k + 1)) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
             words, start = shared.value
-            own, state, n = Network(start, **sizes), {}, 0
-            for near, target in windows_in(batches, words):
-                own.step(near, target, state, rate)
-                n += len(target)
-            if n:
-                parts = np.array_split(own.flat.astype(np.float64) * n, 16)
-                yield pd.DataFrame({"part": range(16), "task": TaskContext.get().partitionId() % 64, "n": n, "w": parts})
-
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": [rows["part"].iloc[0]], "n": [rows["n"].sum()], "w": [np.sum(np.stack(rows["w"].to_numpy()), axis=0)]})
-
-        kind = "part long, n long, w array<double>"
-        trained = docs.select("text").mapInPandas(train, "part long, task long, n long, w array<double>")
-        rows = trained.groupBy("part", "task").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
-        if rows:
-            rows.sort(key=lambda r: r["part"])
-            net = Network(np.concatenate([np.asarray(r["w"]) / r["n"] for r in rows]), **sizes)
+            own, state, use = Network(words, {k: v.copy() for k, v in start.items()}), {}, {}
+            for _, near, target in windows_in((words_in(t) for b in batches for t in b["text"]), words):
+                own.step(near, target, state, use, rate)
+            for matrix, times in use.items():
+                used = np.flatnonzero(times)
+                for block in range(BLOCKS):
+                    rows = used[used % BLOCKS == block]
+                    if len(rows):
+                        uses = times[rows].astype(np.float64)
+                        sums = (own.rows[matrix][rows] * uses[:, None]).astype(np.float32)
+                        yield pd.DataFrame({"matrix": [matrix], "block": [block], "task": [TaskContext.get().partitionId()], "rows": [rows.tobytes()], "uses": [uses.tobytes()], "sums": [sums.tobytes()]})
+
+        trained = docs.select("text").mapInPandas(train, kind)
+        group = F.floor(F.col("task") / 64).alias("group")
+        for r in trained.groupBy("matrix", "block", group).applyInPandas(merged, kind).groupBy("matrix", "block").applyInPandas(merged, kind).toLocalIterator():
+            rows, uses = np.frombuffer(r["rows"], dtype=np.int64), np.frombuffer(r["uses"], dtype=np.float64)
+            net.rows[r["matrix"]][rows] = np.frombuffer(r["sums"], dtype=np.float32).reshape(len(rows), -1) / uses[:, None]
     return net
 
 
 def tail_sums(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(__text, __tail) of ``texts`` (__text, text): the sum of the logarithms of the corpus counts of the words not known by name."""
+    """(__text, __tail) of ``texts`` (__text, text): the sum of the logarithms of the corpus counts of the words not held by name."""
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary.ids)
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,41 +330,24 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> Da
     """``docs`` with lm_words, lm_logprob (the sum over all words) and lm_mean (a word's mean, 0 for no words).
 
     Whole texts are read in portions of CHUNK words with their true sides. A null or empty text has no words and a
-    sum of 0; repeated rows get the same result; other columns are kept, columns named like the new ones replaced. A word that the corpus of the
-    vocabulary doesn't hold counts as one that it holds once.
+    sum of 0; an empty table gives an empty result; repeated rows get the same result; other columns are kept, columns
+    named like the new ones replaced. A word that the corpus of the vocabulary doesn't hold counts as one that it holds
+    once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.flat))
-    sizes = {"classes": net.classes, "inputs": net.inputs}
+    shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.rows))
 
     @F.pandas_udf("lm_words long, lm_logprob double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, flat = shared.value
-        own = Network(flat, **sizes)
+        words, rows = shared.value
+        own, known = Network(words, rows), len(words.ids)
         for batch in texts:
             n, total = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
-            near, target, who, size = [], [], [], 0
-
-            def settle() -> None:
-                if target:
-                    np.add.at(total, np.concatenate(who), own.log_probs(np.concatenate(near), np.concatenate(target)))
-
-            for i, text in enumerate(batch):
-                found = words_in(text)
-                if not found:
-                    continue
-                ids = encode(found, words.ids, len(words.of_class) - OTHERS)
-                classes = words.of_class[ids]
-                n[i], total[i] = len(ids), total[i] + words.log_share[ids].sum()
-                around = Network.sides(words.of_input[ids], words.inputs)
-                for k in range(0, len(ids), CHUNK):
-                    near.append(around[k : k + CHUNK])
-                    target.append(classes[k : k + CHUNK])
-                    who.append(np.full(len(target[-1]), i))
-                    size += len(target[-1])
-                    if size >= CHUNK:
-                        settle()
-                        near, target, who, size = [], [], [], 0
-            settle()
+            for who, near, target in windows_in(map(words_in, batch), words):
+                logs = own.log_probs(near, target)
+                other = target >= known
+                logs[other] -= words.log_mass[target[other] - known]
+                n += np.bincount(who, minlength=len(batch))
+                total += np.bincount(who, weights=logs, minlength=len(batch))
             yield pd.DataFrame({"lm_words": n, "lm_logprob": total})
 
     scored, total = docs.withColumn("__lm", score(F.col("text"))), F.col("__lm.lm_logprob")

@@ -3,7 +3,8 @@
 A linear classifier on hashed word and word-stem features is trained in numpy from confirmed toxic texts and
 unlabelled texts, by the risk estimator corrected for the class prior: prior times the risk of calling a toxic text
 clean, plus the risk of calling unlabelled texts toxic less the part of it that the toxic ones among them cause,
-which is held at or above zero. Scoring is a map over whole texts.
+which is held at or above zero. Texts that are labelled clean aren't used. The class prior is estimated from how much
+of the unlabelled texts scores as high as the best held-out toxic ones. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import table
+from lexigraph.llm.common import stored, table
 from lexigraph.llm.language import held_out
 
 WORDS = re.compile(r"\w+")
 BITS = 18
-#: Labelled rows (about so many, chosen by a hash of their id) that the classifier is fitted on, toxic ones and in all.
+#: Confirmed toxic and unlabelled documents (about so many, chosen by a hash of their id) that the classifier is fitted on.
 MAX_TOXIC, MAX_ROWS = 3_000, 6_000
 #: Word stems that are features beside the word itself.
 STEMS = (4, 5, 6, 7, 8)
-#: Shares of a text's words from which a word or stem counts as frequent in it.
-SHARES = (0.001, 0.003, 0.006, 0.015)
+#: Shares of a text's words from which a word or stem counts as frequent in it; at 0 its mere presence counts.
+SHARES = (0.0, 0.001, 0.003, 0.006, 0.015)
+LEVELS = len(SHARES)
 #: Number of features: each hash with its levels.
-SIZE = 4 << BITS
+SIZE = LEVELS << BITS
 #: Words whose weights a Python worker holds at a time.
 CACHE = 400_000
 
@@ -60,7 +62,7 @@ def text_features(text: str | None, known: dict[str, list[int]]) -> np.ndarray:
             got = known[word] = word_features(word)
         hashes += got
     found, times = np.unique(np.asarray(hashes, dtype=np.int32), return_counts=True)
-    return np.concatenate([found[times >= share * len(words)] * 4 + k for k, share in enumerate(SHARES)])
+    return np.concatenate([found[times >= share * len(words)] * LEVELS + k for k, share in enumerate(SHARES)])
 
 
 def telling_features(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
@@ -80,6 +82,24 @@ def telling_features(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prio
     return np.flatnonzero(tested & (share > prior) & (gain > np.log(max(tested.sum(), 1))))
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Parts of the risk of the scores: of calling toxic texts clean, and of calling clean texts toxic (below zero if overfitted)."""
+    loss = lambda z: np.logaddexp(0, z)
+    return prior * loss(-toxic).mean(), loss(unlabelled).mean() - prior * loss(toxic).mean()
+
+
+def risk_slopes(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By each score, the slope of the risk; where its second part is below zero, of that part's negative instead, a step back from it."""
+    toxic_part, clean_part = -prior * sigmoid(toxic) / len(toxic), sigmoid(unlabelled) / len(unlabelled)
+    if risk(toxic, unlabelled, prior)[1] < 0:
+        return -toxic_part, -clean_part
+    return toxic_part - prior * sigmoid(-toxic) / len(toxic), clean_part
+
+
 def train_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> ToxicityModel:
     """Adam on the non-negative risk with the logistic loss, over minibatches that hold both kinds in proportion."""
     rng = np.random.default_rng(seed)
@@ -104,20 +124,14 @@ def train_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
         g[-1] += slope.sum()
         return g
 
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     t = 0
     for _ in range(epochs):
         p_order, u_order = (np.array_split(rng.permutation(len(x)), min(steps, len(x))) for x in (toxic, unlabelled))
         for k in range(steps):
             zp, fp, wp = scores([toxic[i] for i in p_order[k % len(p_order)]])
             zu, fu, wu = scores([unlabelled[i] for i in u_order[k % len(u_order)]])
-            softplus = lambda z: np.logaddexp(0, z)
-            as_clean = softplus(zu).mean() - prior * softplus(zp).mean()
-            clean_slope = gradient(fu, wu, sig(zu) / len(zu)) - gradient(fp, wp, prior * sig(zp) / len(zp))
-            if as_clean >= 0:
-                g = gradient(fp, wp, -prior * sig(-zp) / len(zp)) + clean_slope
-            else:  # the estimate of a risk has become negative: step back from it
-                g = -clean_slope
+            slope_p, slope_u = risk_slopes(zp, zu, prior)
+            g = gradient(fp, wp, slope_p) + gradient(fu, wu, slope_u)
             g[:-1] += decay * theta[:-1]
             t += 1
             m = 0.9 * m + 0.1 * g
@@ -128,33 +142,78 @@ def train_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
     return ToxicityModel(w, float(theta[-1]))
 
 
+def best_bin(toxic: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of toxic texts among the unlabelled ones, from scores of both that weren't trained on.
+
+    The unlabelled texts above a threshold hold at least the prior's part of the toxic texts' share above it, so each
+    threshold bounds the prior from above by the quotient of the shares; the one with the least bound, allowing for the
+    sizes of the samples, gives the estimate.
+    """
+    if not len(toxic) or not len(unlabelled):
+        return 0.0
+    at = np.sort(toxic)[::-1]
+    share_p = np.searchsorted(np.sort(toxic), at, side="left")
+    share_p = 1 - share_p / len(toxic)
+    share_u = 1 - np.searchsorted(np.sort(unlabelled), at, side="left") / len(unlabelled)
+    slack = (1 + gamma) * sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (toxic, unlabelled))
+    best = np.argmin((share_u + slack) / share_p)
+    return float(share_u[best] / share_p[best])
+
+
+def estimate_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = 2, seed: int = 5) -> float:
+    """Share of toxic texts among the unlabelled ones: each half is scored by a classifier trained on the other half, in
+    the first round with a prior of one half, then with the estimate so far."""
+    rng, prior = np.random.default_rng(seed), 0.5
+    halves = [[[rows[i] for i in order[k::2]] for k in (0, 1)] for rows in (toxic, unlabelled) for order in [rng.permutation(len(rows))]]
+    for _ in range(rounds):
+        found = []
+        for k in (0, 1):
+            model = train_nnpu(halves[0][k], halves[1][k], prior, epochs=8)
+            scored = [np.array([model.weights[x].sum() + model.bias for x in rows[1 - k]]) for rows in halves]
+            found.append(best_bin(*scored))
+        prior = float(np.clip(np.mean(found), 1e-4, 0.9))
+    return prior
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_rows: int = MAX_ROWS) -> ToxicityModel:
-    """Fits on documents with a row in ``labels`` (doc_id, toxic): confirmed are those with toxic 1, and all chosen rows,
-    their labels unseen, are the unlabelled texts, so that the class prior is the share of toxic labels.
+    """Fits on ``docs`` (doc_id, text): those with toxic 1 in ``labels`` (doc_id, toxic) are the confirmed toxic texts, those
+    without a row there the unlabelled ones; where every document has one, all are drawn on with their labels unseen.
 
-    About ``max_toxic`` and ``max_rows`` rows are chosen by a hash of the id; this bounds what the driver gets.
+    About ``max_toxic`` and ``max_rows`` documents are chosen by a hash of the id, one row an id, which bounds what the
+    driver gets. Rows with a null id teach nothing. Without toxic or unlabelled texts the model has no evidence.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n_toxic = known.where("toxic = 1").count()
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
+    n, n_known = ids.count(), known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.withColumns({"positive": (F.col("toxic") == 1) & (draw < max_toxic / max(n_toxic, 1)), "unlabelled": draw >= 1 - max_rows / max(n, 1)}).where("positive or unlabelled")
+    positive = known.where((F.col("toxic") == 1) & (draw < max_toxic / max(n_toxic, 1))).select("doc_id", F.lit(True).alias("positive"))
+
+    def drawn(left: int) -> DataFrame:
+        return ids.where(draw >= 1 - max_rows / max(left, 1)).distinct()
+
+    unlabelled = drawn(n - n_known).join(known, "doc_id", "left_anti")
+    if unlabelled.limit(1).count() == 0:
+        unlabelled = drawn(n)
+    chosen = stored(positive.unionByName(unlabelled.withColumn("positive", F.lit(False))), "toxicity_rows")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
-            yield pd.DataFrame({"positive": batch["positive"], "unlabelled": batch["unlabelled"], "f": [text_features(x, seen).astype(np.int32).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "positive": batch["positive"], "f": [text_features(x, seen).astype(np.int32).tobytes() for x in batch["text"]]})
 
     # The chosen ids are bounded, so they are sent to the documents and not the texts to them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("toxic")), "doc_id").mapInPandas(featured, "positive boolean, unlabelled boolean, f binary")
-    got = rows.toPandas()
-    toxic, unlabelled = ([np.frombuffer(x, dtype=np.int32) for x in got["f"][got[kind].astype(bool)]] for kind in ("positive", "unlabelled"))
-    return train_nnpu(toxic, unlabelled, n_toxic / n if n else 0.0)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").mapInPandas(featured, "doc_id long, positive boolean, f binary")
+    got = rows.groupBy("doc_id", "positive").agg(F.max("f").alias("f")).orderBy("doc_id").toPandas()
+    toxic, other = ([np.frombuffer(x, dtype=np.int32) for x in got["f"][got["positive"].astype(bool) == kind]] for kind in (True, False))
+    return train_nnpu(toxic, other, estimate_prior(toxic, other) if toxic and other else 0.0)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1, higher: toxic likelier) and predicted (1 from ``threshold`` on).
 
-    A text's features are its words and their stems; a null or empty text gets the score of no evidence.
+    A text's features are its words and their stems, of texts of any length all of them; a null or empty text gets the
+    score of no evidence. An empty table gives an empty result.
     Repeated rows get the same result, other columns are kept, and columns named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,7 +221,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value.weights, shared.value.bias
-        telling, seen = set((np.flatnonzero(weights) // 4).tolist()), {}
+        telling, seen = set((np.flatnonzero(weights) // LEVELS).tolist()), {}
         for batch in texts:
             out = np.empty(len(batch))
             for i, text in enumerate(batch):
@@ -174,7 +233,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
                         times[f] = times.get(f, 0) + 1
                 z = bias
                 for f, n in times.items():
-                    z += sum(weights[4 * f + k] for k, share in enumerate(SHARES) if n >= share * len(words))
+                    z += sum(weights[LEVELS * f + k] for k, share in enumerate(SHARES) if n >= share * len(words))
                 out[i] = 1 / (1 + np.exp(-min(max(float(z), -40.0), 40.0)))
                 if len(seen) > CACHE:
                     seen = {}
@@ -185,5 +244,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    model = fit_toxicity(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
     return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

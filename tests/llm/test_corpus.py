@@ -291,6 +291,45 @@ def test_url_intervals(spark):
     want = ["allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "block"]
     assert got == sorted((str(a), str(b), v) for (a, b), v in zip(u, want, strict=True))
     assert judge_urls(c, e.limit(0)).where("verdict = 'block'").count() == 0 and judge_urls(c.limit(0), e).count() == 0
+    clash = judge_urls(c.withColumns({"list_name": F.lit("old"), "pattern": F.lit("old"), "salt": F.lit("x"), "entry": F.lit("y"), "list": F.lit("z")}), e)
+    assert sorted(r["verdict"] for r in clash.collect()) == sorted(want) and clash.where("salt <> 'x' or entry <> 'y' or list <> 'z' or pattern = 'old'").count() == 0
+
+
+def test_hosts(spark):
+    from lexigraph.llm.urls import host_of, patterns_of
+
+    urls = ["http://Bad.Example./x", "https://[::1]:80/y", "http://u:p@10.0.0.1:8080/", "ftp://a.b.c", "mailto:x@y", "http://" + "a." * 5000 + "org/" + "z" * 100_000, None]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    got = [(r["h"], [p["pattern"] for p in r["p"]]) for r in d.orderBy("i").select(host_of(F.col("url")).alias("h"), patterns_of(F.col("url")).alias("p")).collect()]
+    assert got[:5] == [("bad.example", ["bad.example/x", "bad.example"]), ("[::1]", ["[::1]/y", "[::1]"]), ("10.0.0.1", ["10.0.0.1"]), ("a.b.c", ["a.b.c", "b.c"]), ("", [])]
+    assert len(got[5][0]) == 10_003 and got[5][1][-1] == "a.org" and got[6] == ("", [])
+
+
+def test_url_hot_patterns(spark, monkeypatch):
+    """Captures of a hot pattern are dealt over parts and judged as a plain loop judges them."""
+    from lexigraph.llm import urls as U
+
+    monkeypatch.setattr(U, "HOT_SHARE", 3)
+    rng = np.random.default_rng(3)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    entries = sorted({(f"l{rng.integers(3)}", ["hot.org", "x.org", "www.x.org"][rng.integers(3)], ["allow", "block"][rng.integers(2)], day(int(rng.integers(200)))) for _ in range(60)})
+    captures = [(f"http://{['hot', 'hot', 'hot', 'x', 'www.x', 'free'][rng.integers(6)]}.org/{i}", day(int(rng.integers(220)))) for i in range(400)]
+
+    def judged(url, at):
+        host = url.split("/")[2]
+        for pattern in [host] + ([host.split(".", 1)[1]] if host.count(".") > 1 else []):
+            last = {}
+            for name, _, action, since in sorted((e for e in entries if e[1] == pattern and e[3] <= at), key=lambda e: (e[3], e[2])):
+                last[name] = action
+            if last:
+                name = min(last, key=lambda x: (last[x] != "block", x))
+                return last[name], name, pattern
+        return "allow", None, None
+
+    c = spark.createDataFrame(captures, "url string, at string").withColumn("fetched_at", F.to_timestamp("at"))
+    e = spark.createDataFrame(entries, "list_name string, pattern string, action string, listed_at string").withColumn("listed_at", F.to_timestamp("listed_at"))
+    got = {(r["url"], r["at"]): (r["verdict"], r["list_name"], r["pattern"]) for r in U.judge_urls(c, e).collect()}
+    assert got == {x: judged(*x) for x in captures} and len({v for v in got.values()}) > 4
 
 
 # Mixing.
@@ -352,6 +391,30 @@ def test_forward_sums_all_segmentations():
     assert uses[:, 1].sum() == 0 and uses[:, 0].sum() > len(words)
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """The rescaled sums of long words equal the plain ones, and those in logarithms where the plain ones would vanish."""
+    from lexigraph.llm import language as L
+
+    pieces = [L.MARK, L.MARK + "a", "a", "b", "ab", "ba", L.MARK + "ab", "bab"]
+    probs = np.random.default_rng(2).random((len(pieces) + 1, 2)) / 3
+    cut, words = L.Segmenter(pieces), ["a", "abab", "bac", "babab", "abba" * 7]
+    count, lang = np.arange(1.0, 6.0), np.array([0, 1, 1, 0, 1])
+    plain, uses = cut.forward(words, probs), cut.expected(words, count, lang, probs)
+    monkeypatch.setattr(L, "LONGEST", 2)
+    assert np.allclose(cut.forward(words, probs), plain) and np.allclose(cut.expected(words, count, lang, probs), uses)
+
+    word = "abcba" * 200
+    assert L.words_in(word) == [word]
+    logs = [np.zeros(2)]
+    for e in range(1, len(word) + 2):
+        text = (L.MARK + word)[:e]
+        ends = [(n, pieces.index(text[-n:]) if text[-n:] in pieces else -1) for n in range(1, min(e, 3) + 1) if n == 1 or text[-n:] in pieces]
+        logs.append(np.logaddexp.reduce([logs[e - n] + np.log(probs[i] / 1e6) for n, i in ends], axis=0))
+    assert np.allclose(cut.forward([word], probs / 1e6)[0], logs[-1], rtol=1e-9) and logs[-1].max() < -2000
+    uses = cut.expected([word], np.ones(1), np.zeros(1, dtype=int), probs / 1e6)[:, 0]
+    assert math.isclose(uses @ [*map(len, pieces), 1], len(word) + 1, rel_tol=1e-9)  # each character is in one piece
+
+
 def test_language_held_out(spark, sf_dir):
     q = catalogue.QUERIES["op8_language_id"](spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in q) >= 0.95 * len(q) and all(0 <= r["score"] <= 1 for r in q)

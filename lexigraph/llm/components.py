@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm.common import checkpointed, salted_join
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = checkpointed(pairs)
     while True:
-        low = pairs.withColumn("low", F.min("b").over(Window.partitionBy("a")))
+        low = salted_join(pairs, pairs.groupBy("a").agg(F.min("b").alias("low")), "a", F.col("b"))
         if low.where("b <> low").limit(1).count() == 0:
             break
         moved = low.select(F.inline(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))))

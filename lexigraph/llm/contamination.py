@@ -75,8 +75,7 @@ def anchor_postings(index: DataFrame, ranked: DataFrame) -> DataFrame:
     if is_small(ranked):
         found = index.join(F.broadcast(rare), "term")
     else:
-        by_term = rare.groupBy("term").agg(F.collect_list(F.struct("win", "offset", "rank", "width")).alias("places"))
-        found = salted_join(index, by_term, "term", F.struct("__doc", "pos")).select("__doc", "pos", F.inline("places"))
+        found = salted_join(index, rare, "term", F.struct("__doc", "pos")).where(F.col("win").isNotNull())
     return stored(found.select("__doc", "win", "rank", "pos", (F.col("pos") - F.col("offset")).alias("start"), "width"), "anchors")
 
 

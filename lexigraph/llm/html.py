@@ -1,8 +1,9 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at its block-level tags. The first pass decides a block by where it stands (menus, footers
-and the like), its link density, its length and its density of stop words; short blocks stay open. In the second pass
-an open block inherits the label of its nearest decided neighbour.
+A page is cut into blocks at its block-level tags. The first pass decides a block by its link density, its length and
+its density of stop words, and by where it stands: what is marked as a menu, footer and the like is bad, and in an
+article no block is bad for a lack of stop words or for links within a sentence, but open. Short blocks are open too.
+In the second pass an open block inherits the label of its nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 SPACE = re.compile(r"\s+")
 
 # HTML tag names.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "annotation", "annotation-xml"}
 RAW_ENDS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike",
@@ -32,13 +33,21 @@ INLINE = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 AWAY = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head"}
 ARTICLE = {"article", "main"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption"}
+CLOSED_BY_THE_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 WRAPPERS = {"div", "section", "form", *ARTICLE}
 # Words in class names, ids and roles that mark what isn't the article.
 AWAY_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent",
-    "contentinfo", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
-    "notices", "pagination", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
-    "subscribe", "tags", "toolbar", "widget",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo",
+    "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promotion",
+    "replies", "respond", "sharing", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+# Words that do so alone or with words of their kind, but have other senses too (related-work, legal-history).
+AWAY_ALONE = {"alert", "disclaimer", "legal", "notice", "notices", "related", "reply", "search", "share", "social", "tags"}
+# Words that say nothing of what a part of a page is for.
+PLAIN_NAMES = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "column", "container", "content", "entry", "form", "group", "icons", "inner", "item", "items", "js", "left",
+    "link", "links", "list", "main", "media", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "text", "title", "top", "unit", "wrap", "wrapper",
 }
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = set(
@@ -57,8 +66,8 @@ STATES = {"has", "no", "not", "with", "without", "enabled", "disabled", "hidden"
 
 #: A page with a lower density of stop words is in none of their languages.
 FOREIGN = 0.03
-#: Link density above which a block is no text; below LONG characters a block without enough stop words stays open; densities of stop words.
-LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.3
+#: Link density above which a block is no text, and in an article; below LONG characters a block without enough stop words stays open; densities of stop words.
+LINKS, ALL_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 0.95, 70, 200, 0.15, 0.3
 
 
 @dataclass
@@ -67,13 +76,25 @@ class Block:
     links: int
     away: bool
     article: int  # number of the article or main element it stands in, 0 if none
+    prose: bool  # a paragraph or heading
     label: str = ""
 
 
-def away_name(attributes: str) -> bool:
-    """Whether a class, id or role marks what isn't the article; names of states (no-sidebar, share-enabled) don't."""
-    names = [re.split(r"[^a-z0-9]+", name) for found in NAMES.findall(attributes) for name in "".join(found).lower().split()]
-    return any(AWAY_NAMES & set(parts) and not STATES & set(parts) for parts in names)
+def away_name(attributes: str, in_article: bool) -> bool:
+    """Whether a class, id or role marks what isn't the article; names of states (no-sidebar, share-enabled) don't.
+
+    In an article all parts of the name must speak for it, and its header is the article's own."""
+    for found in NAMES.findall(attributes):
+        for name in "".join(found).lower().split():
+            parts = {p for p in re.split(r"[^a-z]+", name) if p}
+            if parts & STATES:
+                continue
+            known = AWAY_NAMES - {"header"} if in_article else AWAY_NAMES
+            if parts & known and not in_article:
+                return True
+            if parts & (known | AWAY_ALONE) and not parts - known - AWAY_ALONE - PLAIN_NAMES:
+                return True
+    return False
 
 
 def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
@@ -82,14 +103,16 @@ def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
     out: list[Block] = []
     open_: list[tuple[str, bool, int, bool]] = []  # tag, stands in something that isn't the article, article, in a wrapper
     words: list[str] = []
-    links, in_link, articles, at = 0, False, 0, 0
+    links, articles, at = 0, 0, 0
+    link_in = -1  # how many elements were open where the link began, -1 outside of links
+    math = False  # in a formula, whose elements are parts of a line
 
     def end() -> None:
         nonlocal links
         text = SPACE.sub(" ", unescape("".join(words))).strip()
         if text:
-            _, away, article, _ = open_[-1] if open_ else ("", False, 0, False)
-            out.append(Block(text, links, away, article))
+            tag, away, article, _ = open_[-1] if open_ else ("", False, 0, False)
+            out.append(Block(text, links, away, article, tag in PROSE))
         words.clear()
         links = 0
 
@@ -100,7 +123,7 @@ def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
         if tag is None:
             if not (piece[0] == "<" and len(piece) > 1):
                 words.append(piece)
-                links += len(piece) if in_link else 0
+                links += len(piece) if link_in >= 0 else 0
             continue
         tag = tag.lower()
         if tag in RAW:  # what it holds isn't markup
@@ -108,28 +131,30 @@ def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
                 closed = RAW_ENDS[tag].search(page, at)
                 at = closed.end() if closed else len(page)
         elif tag == "a":
-            in_link = not m[1]
+            link_in = -1 if m[1] else len(open_)
+        elif tag == "math" or math:
+            math = not (tag == "math" and m[1])
         elif tag in INLINE:
             if tag == "br":
                 words.append(" ")
         elif m[1]:
             end()
-            in_link = False
             if any(x[0] == tag for x in open_):
                 while open_.pop()[0] != tag:
                     pass
+                link_in = link_in if link_in <= len(open_) else -1
         else:
             end()
-            in_link = False
             if tag in VOID:
                 continue
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
+            if tag in CLOSED_BY_THE_NEXT and open_ and open_[-1][0] == tag:
                 open_.pop()
+                link_in = link_in if link_in <= len(open_) else -1
             _, away, article, inside = open_[-1] if open_ else ("", False, 0, False)
             if tag in ARTICLE and not article:
                 articles += 1
                 article = articles
-            named = tag == "form" or (tag not in ("body", "html") and away_name(m[3]))
+            named = tag == "form" or (tag not in ("body", "html") and away_name(m[3], bool(article) and tag not in ARTICLE))
             if named and wrapped and not inside and tag in WRAPPERS:
                 named, inside = False, True
             away = away or named or (tag in AWAY and tag != "form") or (tag == "header" and not article)
@@ -146,20 +171,20 @@ def stop_density(text: str) -> float:
 def label_blocks(blocks: list[Block]) -> list[Block]:
     """Sets each block's label to good or bad.
 
-    Inside an article or main element only place and links speak against a block. Elsewhere a block is good if it is
-    long and rich in stop words, bad if it is long and poor in them, and open if it is short or in between. On a page
-    in none of the stop words' languages length alone makes a block good.
+    A block is good if it is long and rich in stop words, bad if it is long and poor in them or made of links, and open
+    if it is short or in between. In an article or main element a lack of stop words leaves it open, and so do links in
+    a sentence, paragraph or heading. On a page in none of the stop words' languages length alone makes a block good.
     """
     foreign = stop_density(" ".join(b.text for b in blocks)) < FOREIGN
     for b in blocks:
-        density = b.links / max(len(b.text), 1)
-        if b.away or density > LINKS and not (b.article and len(b.text) >= LONG):
+        links, size = b.links / max(len(b.text), 1), len(b.text)
+        stops = (STOP_LOW if size >= LONG or b.article else 0) if foreign else stop_density(b.text)
+        if b.away or links > (ALL_LINKS if b.article else LINKS) and not (b.article and (b.prose or size >= LONG)):
+            b.label = "bad"
+        elif size >= SHORT and links <= LINKS and (stops >= STOP_HIGH or stops >= STOP_LOW and (size >= LONG or b.article)):
+            b.label = "good"
+        elif size >= LONG and stops < STOP_LOW and not b.article:
             b.label = "bad"
-        elif b.article:
-            b.label = "good" if len(b.text) >= SHORT else ""
-        elif len(b.text) >= SHORT:
-            stops = (STOP_LOW if len(b.text) >= LONG else 0) if foreign else stop_density(b.text)
-            b.label = "good" if stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) >= LONG) else "bad" if stops < STOP_LOW and len(b.text) >= LONG else ""
     decided = [(i, b) for i, b in enumerate(blocks) if b.label]
     before = [None] * len(blocks)
     after = [None] * len(blocks)

@@ -8,14 +8,15 @@ of the group's occurrences besides: p(word | sides) = p(group | sides) * n(word)
 
 The words and all counts come from the whole corpus: tasks hold the frequent words by name, more of them the larger the
 corpus; the counts of all others are a table that is joined to the texts' words. The network is trained on all
-documents: each task makes its pass over its own texts from the same start, and each row of weights is averaged by the
-number of times that the tasks used it. The result depends on how the rows are dealt to tasks: the same files, read in
-the same splits, give the same scores.
+documents: each task makes its pass over its own texts from the same start, which gives the words their own frequencies,
+and each row of weights is averaged by the number of times that the tasks used it. The result depends on how the rows
+are dealt to tasks: the same files, read in the same splits, give the same scores.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from lexigraph.llm.common import checkpointed, salted_join, table
 
 #: Words held by name: so many at least, and KNOWN_RATE times the fourth root of the corpus's words.
-KNOWN, KNOWN_RATE = 30_000, 300
+KNOWN, KNOWN_RATE = 40_000, 400
 #: Groups of the words that aren't held by name.
 LEAVES = 1024
 #: Places to the left and to the right, and sizes of the embedding and hidden layers.
@@ -38,7 +39,7 @@ SIDES, EMBED, HIDDEN = 2, 8, 16
 TOP = 128
 #: Words whose count a task holds before it sends them on.
 CACHE = 300_000
-CHUNK = 2048
+CHUNK = 4096
 #: Blocks in which a task's weights are sent.
 BLOCKS = 16
 
@@ -51,6 +52,7 @@ class Vocabulary:
     log_mass: np.ndarray  # of each group, the logarithm of its occurrences
     near_root: tuple[np.ndarray, np.ndarray, np.ndarray]  # the ways as far as decisions below TOP, see tree_ways
     low: tuple[np.ndarray, np.ndarray, np.ndarray]  # the rest of the ways
+    lean: np.ndarray  # by decision, the logarithm of the quotient of the occurrences on its two sides
     tail: DataFrame | None = None  # (word, n) of the words not held by name that occur more than once
 
     @property
@@ -83,17 +85,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def tree_ways(counts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The ways to the leaves of the binary tree that joins the two rarest parts again and again, as far as decisions below
+def tree_ways(counts: list[int]) -> list:
+    """near_root, low and lean of a vocabulary: the ways to the leaves of the binary tree that joins the two rarest parts again and again, as far as decisions below
     TOP and the rest, each as (first, nodes, turns): the decisions nodes[first[i] : first[i + 1]] are on the way to leaf i
     and turns, 1 or -1, says where they lead. The root is decision 0, the part joined first the last one."""
     heap = [(n, i) for i, n in enumerate(counts)]
     heapq.heapify(heap)
     size = len(counts)
-    parent, turn = np.zeros(2 * size - 1, dtype=np.int64), np.zeros(2 * size - 1, dtype=np.int8)
+    parent, turn, lean = np.zeros(2 * size - 1, dtype=np.int64), np.zeros(2 * size - 1, dtype=np.int8), np.zeros(size - 1)
     for new in range(size, 2 * size - 1):
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         parent[[a[1], b[1]]], turn[[a[1], b[1]]] = new, (1, -1)
+        lean[2 * size - 2 - new] = math.log(a[0] / b[0])
         heapq.heappush(heap, (a[0] + b[0], new))
     at, steps = np.arange(size), []
     while (up := at < 2 * size - 2).any():  # all leaves go up to the root together
@@ -103,7 +106,7 @@ def tree_ways(counts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     parts = []
     for on in ((nodes >= 0) & (nodes < TOP), nodes >= TOP):
         parts.append((np.concatenate([[0], np.cumsum(on.sum(axis=1))]), nodes[on].astype(np.int32), turns[on].astype(np.float32)))
-    return parts
+    return [*parts, lean]
 
 
 def fit_vocabulary(docs: DataFrame) -> Vocabulary:
@@ -134,12 +137,22 @@ def fit_vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary({r["word"]: i for i, r in enumerate(top)}, np.log(mass), *tree_ways([r["n"] for r in top] + mass.astype(np.int64).tolist()), tail)
 
 
-def encode(words: list[str], ids: dict[str, int]) -> np.ndarray:
-    known = len(ids)
-    out = np.array([ids.get(w, -1) for w in words], dtype=np.int64)
-    others = np.flatnonzero(out < 0).tolist()
-    out[others] = [known + group_of(words[i]) for i in others]
-    return out
+class Encoder:
+    """Ids of words; the groups of words that aren't held by name are kept for the next time."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.ids, self.groups = vocabulary.ids, {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = [self.ids.get(w, -1) for w in words]
+        for i, w in enumerate(words):
+            if out[i] < 0:
+                if (got := self.groups.get(w)) is None:
+                    if len(self.groups) > CACHE:
+                        self.groups.clear()
+                    got = self.groups[w] = len(self.ids) + group_of(w)
+                out[i] = got
+        return np.array(out, dtype=np.int64)
 
 
 class Network:
@@ -151,14 +164,16 @@ class Network:
     def __init__(self, vocabulary: Vocabulary, rows: dict[str, np.ndarray] | None = None, seed: int = 7):
         rng, self.words = np.random.default_rng(seed), vocabulary
         shapes = {"e": (vocabulary.size + 1, EMBED, 0.3), "h": (2 * SIDES * EMBED + 1, HIDDEN, 0.15), "o": (vocabulary.size - 1, HIDDEN + 1, 0.0)}
-        self.rows = {k: (rng.normal(0, s, (n, m)) if rows is None else rows[k]).astype(np.float32) for k, (n, m, s) in shapes.items()}
+        if rows is None:
+            rows = {k: rng.normal(0, s, (n, m)) for k, (n, m, s) in shapes.items()}
+            rows["o"][:, -1] = vocabulary.lean
+        self.rows = {k: x.astype(np.float32) for k, x in rows.items()}
 
     @staticmethod
     def sides(ids: np.ndarray, edge: int) -> np.ndarray:
         """Ids around each word of one text, words by 2 * SIDES."""
         padded = np.concatenate([np.full(SIDES, edge), ids, np.full(SIDES, edge)])
-        n = len(ids)
-        return np.stack([padded[k : k + n] for k in range(2 * SIDES + 1) if k != SIDES], axis=1)
+        return np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDES + 1)[:, [k for k in range(2 * SIDES + 1) if k != SIDES]]
 
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What stands around the words, and the hidden layer; both end with a column of ones."""
@@ -235,14 +250,14 @@ def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, np.bincount(group, minlength=len(found)), summed(group, values, len(found))
 
 
-def windows_in(texts: Iterator[list[str]], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def windows_in(texts: Iterator[list[str]], encode: Encoder, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of whole texts' words (number of the text, ids around, id), CHUNK words or a text's end at a time, in batches of about CHUNK words."""
     near, target, who, size = [], [], [], 0
     for i, words in enumerate(texts):
         if not words:
             continue
-        ids = encode(words, vocabulary.ids)
-        around = Network.sides(ids, vocabulary.size)
+        ids = encode(words)
+        around = Network.sides(ids, edge)
         for k in range(0, len(ids), CHUNK):
             near.append(around[k : k + CHUNK])
             target.append(ids[k : k + CHUNK])
@@ -282,7 +297,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
 
             words, start = shared.value
             own, state, use = Network(words, {k: v.copy() for k, v in start.items()}), {}, {}
-            for _, near, target in windows_in((words_in(t) for b in batches for t in b["text"]), words):
+            for _, near, target in windows_in((words_in(t) for b in batches for t in b["text"]), Encoder(words), words.size):
                 own.step(near, target, state, use, rate)
             for matrix, times in use.items():
                 used = np.flatnonzero(times)
@@ -339,10 +354,10 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> Da
     @F.pandas_udf("lm_words long, lm_logprob double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, rows = shared.value
-        own, known = Network(words, rows), len(words.ids)
+        own, known, encode = Network(words, rows), len(words.ids), Encoder(words)
         for batch in texts:
             n, total = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
-            for who, near, target in windows_in(map(words_in, batch), words):
+            for who, near, target in windows_in(map(words_in, batch), encode, words.size):
                 logs = own.log_probs(near, target)
                 other = target >= known
                 logs[other] -= words.log_mass[target[other] - known]

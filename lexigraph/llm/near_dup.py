@@ -212,8 +212,9 @@ def candidate_links(texts: DataFrame) -> DataFrame:
 
 
 def verified_links(texts: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b) links that join exactly the texts of each candidate class that chains of pairs with a Jaccard similarity of
-    ``percent`` join. ``classes``: (id, root). Each task compares two blocks of BLOCK texts at a time."""
+    """(a, b, n): links that join exactly the texts of each candidate class that chains of pairs with a Jaccard similarity of
+    ``percent`` join, with n 0, and rows with a = b whose n add up to the number of texts of the class that are so similar
+    to a. ``classes``: (id, root). Each task compares two blocks of BLOCK texts at a time."""
     size = classes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = salted_join(classes, size, "root", F.col("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -221,7 +222,7 @@ def verified_links(texts: DataFrame, classes: DataFrame, percent: int = 80) -> D
         texts.select("id", "shingles")
         .join(blocks, "id")
         .select("id", "shingles", "root", "block", other)
-        .select("id", "shingles", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        .select("id", "shingles", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block")
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,10 +231,14 @@ def verified_links(texts: DataFrame, classes: DataFrame, percent: int = 80) -> D
             common = intersections(sets)
             n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             close = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-            if links := linked(ids, lambda i, close=close: close[i]):
-                yield pd.DataFrame(links, columns=["a", "b"])
+            side = group["block"].to_numpy()
+            counted = close & (side[:, None] != side[None, :]) if group["p"].iloc[0] < group["q"].iloc[0] else close & ~np.eye(len(ids), dtype=bool)
+            degrees = counted.sum(axis=1)
+            rows = [(a, b, 0) for a, b in linked(ids, lambda i, close=close: close[i])] + [(int(i), int(i), int(d)) for i, d in zip(ids, degrees, strict=True) if d]
+            if rows:
+                yield pd.DataFrame(rows, columns=["a", "b", "n"])
 
-    return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInPandas(verify, "a long, b long").distinct()
+    return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInPandas(verify, "a long, b long, n long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -257,28 +262,32 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def classed_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, best) for every row of ``docs``: best is the (doc_id, row) with the least id in the row's class, null
-    for a text without words and for a class without ids."""
+    """(doc_id, row, best, links) for every row of ``docs``: best is the (doc_id, row) with the least id in the row's class, null
+    for a text without words and for a class without ids; links is the number of other texts that are as similar as asked."""
     found = stored(text_features(docs), "near_features")
     texts = found.where(F.col("bands").isNotNull()).dropDuplicates(["id"])
     classes = connected_components(candidate_links(texts))
-    roots = connected_components(verified_links(texts, stored(classes, "near_candidates")))
+    checked = stored(verified_links(texts, stored(classes, "near_candidates")), "near_links")
+    roots = connected_components(checked.where("a <> b").select("a", "b").distinct())
+    degrees = checked.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     this = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
     ids = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(this).alias("least"))
     ids = ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = salted_join(ids, ids.groupBy("root").agg(F.min("least").alias("best")), "root", F.col("id")).select("id", "best")
-    return salted_join(found.select("doc_id", "row", "id"), named, "id", F.col("doc_id")).select("doc_id", "row", "best")
+    named = salted_join(ids.join(degrees, "id", "left"), ids.groupBy("root").agg(F.min("least").alias("best")), "root", F.col("id")).select("id", "best", "links")
+    return salted_join(found.select("doc_id", "row", "id"), named, "id", F.col("doc_id")).select("doc_id", "row", "best", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): the least id of the document's class of near-duplicates, for every row of ``docs``.
+    """(doc_id, class_id, n_links) for every row of ``docs``: the least id of the document's class of near-duplicates, and how
+    many other texts are similar to its own.
 
     Texts are compared as sets of five-word shingles (lower-case runs of letters, digits and underscores); texts of
     similarity 0.8 or more are linked, and classes are the components of the links. Texts alike in all words are one
     text. A text without words is a class of its own, and so is a null id, whose class is null unless its text has
-    other documents. Repeated rows are in one class. An empty table gives an empty result.
+    other documents. Repeated rows are in one class. Texts of any length are compared whole, other columns aren't read.
+    An empty table gives an empty result. A member of a class needn't be similar to the class's least id itself.
     """
-    return classed_rows(docs).select("doc_id", F.coalesce("best.doc_id", "doc_id").alias("class_id"))
+    return classed_rows(docs).select("doc_id", F.coalesce("best.doc_id", "doc_id").alias("class_id"), F.col("links").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -17,17 +17,19 @@ from lexigraph.operators import graph as G
 from lexigraph.operators import report as R
 from lexigraph.operators import shapes as S
 from lexigraph.plans import lift as L
-from lexigraph.schema import CLASSES, PROPERTIES, RELATIONSHIPS, TRIPLES
+from lexigraph.schema import CLASSES, PROPERTIES, RELATIONSHIPS, TRIPLES, VOCABULARY
+from lexigraph.sinks import documents as D
 from lexigraph.sources import archimate, rdf, xlsx, xmi
 from lexigraph.sources import rules as rule_sets
 
 
 @dataclass(frozen=True)
 class Conversion:
-    """A converted input: its triples and the results of the rules on them, both lazy."""
+    """A converted input: its triples, the results of the rules on them, and what couldn't be read, all lazy."""
 
     triples: DataFrame
     results: DataFrame
+    errors: DataFrame
 
     def groups(self) -> DataFrame:
         return R.severity_groups(self.results)
@@ -40,16 +42,31 @@ class Conversion:
 
 
 def _full(records: DataFrame, schema) -> DataFrame:
-    return records.select(*[F.col(f.name) if f.name in records.columns else F.lit(None).cast("string").alias(f.name) for f in schema])
+    more = ["model"] if "model" in records.columns else []
+    return records.select(*more, *[F.col(f.name) if f.name in records.columns else F.lit(None).cast("string").alias(f.name) for f in schema])
+
+
+def _in_vocabulary(records: DataFrame, about: DataFrame | None, namespace: str, vocabulary: str) -> DataFrame:
+    """``records`` with the __namespace and __vocabulary of their model."""
+    if about is None or "model" not in records.columns:
+        return records.withColumns({"__namespace": F.lit(namespace), "__vocabulary": F.lit(vocabulary)})
+    return records.join(about, "model", "left").withColumns({"__namespace": F.coalesce("__namespace", F.lit(namespace)), "__vocabulary": F.coalesce("__vocabulary", F.lit(vocabulary))})
 
 
 def records_to_triples(records: dict[str, DataFrame], namespace: str = N.DEFAULT_NS, vocabulary: str = "slovník", graph_id: str = "g") -> DataFrame:
-    """Triples of the record sets: every record gets its IRI, names are resolved among all kinds, later kinds first."""
+    """Triples of the record sets: every record gets its IRI, names are resolved among all kinds, later kinds first.
+
+    Records with a ``model`` are resolved among the records of their model, and get their IRIs by the namespace and name
+    of its row in ``vocabulary``, if there is one; ``namespace`` and ``vocabulary`` serve the others."""
+    about = None
+    if "vocabulary" in records and "model" in records["vocabulary"].columns:
+        told = _full(records["vocabulary"], VOCABULARY)
+        about = told.select("model", T.effective_namespace(F.col("namespace")).alias("__namespace"), F.when(~T.blank(F.col("name")), F.col("name")).alias("__vocabulary")).dropDuplicates(["model"])
     named = {}
     for kind, schema in (("classes", CLASSES), ("properties", PROPERTIES), ("relationships", RELATIONSHIPS)):
         if kind in records:
-            held = L.valid_rows(_full(records[kind], schema), "name")
-            named[kind] = held.withColumn("iri", T.concept_iri(F.lit(namespace), F.lit(vocabulary), F.col("name"), F.col("identifier")))
+            held = _in_vocabulary(L.valid_rows(_full(records[kind], schema), "name"), about, namespace, vocabulary)
+            named[kind] = held.withColumn("iri", T.concept_iri(F.col("__namespace"), F.col("__vocabulary"), F.col("name"), F.col("identifier")))
     lookup = L.last_wins(*named.values())
     parts = [L.class_triples(named["classes"], graph_id=graph_id)]
     if "properties" in named:
@@ -58,6 +75,9 @@ def records_to_triples(records: dict[str, DataFrame], namespace: str = N.DEFAULT
         parts.append(L.relationship_triples(named["relationships"], lookup, graph_id=graph_id))
     if "hierarchies" in records:
         parts.append(L.hierarchy_triples(records["hierarchies"], lookup, named.get("properties"), graph_id=graph_id))
+    if about is not None:
+        scheme = _in_vocabulary(_full(records["vocabulary"], VOCABULARY), about, namespace, vocabulary).withColumn("iri", T.vocabulary_iri(F.col("__namespace"), F.col("__vocabulary")))
+        parts += [D.scheme_triples(scheme, F.col("iri"), graph_id=graph_id), L.temporal_triples(scheme, F.col("iri"), graph_id=graph_id)]
     return G.graph(G.union_bag(*parts))
 
 
@@ -67,7 +87,10 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "XLSX": lambda spark, path: records_to_triples(xlsx.read_xlsx(spark, path)),
     "TURTLE": rdf.read_turtle,
     "N-TRIPLES": rdf.read_ntriples,
+    "RDF/XML": rdf.read_rdfxml,
 }
+#: What tells in rows (path, error) which inputs, or parts of them, couldn't be read.
+ERRORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"XLSX": xlsx.workbook_errors, "TURTLE": rdf.turtle_errors, "N-TRIPLES": rdf.ntriples_errors, "RDF/XML": rdf.rdfxml_errors}
 
 
 def convert(spark: SparkSession, path: str, kind: str, rules: list[str] | None = None, rule_files: str | None = None) -> Conversion:
@@ -75,7 +98,8 @@ def convert(spark: SparkSession, path: str, kind: str, rules: list[str] | None =
     if kind not in READERS:
         raise ValueError(f"no reader for {kind}: one of {', '.join(READERS)}")
     triples = READERS[kind](spark, path)
-    return Conversion(triples, rule_sets.validate_with(triples, rule_sets.load_rules(spark, rule_files)) if rule_files else S.validate(triples, rules))
+    results = rule_sets.validate_with(triples, rule_sets.load_rules(spark, rule_files)) if rule_files else S.validate(triples, rules)
+    return Conversion(triples, results, ERRORS[kind](spark, path) if kind in ERRORS else spark.createDataFrame([], "path string, error string"))
 
 
 def validate_text(spark: SparkSession, text: str) -> DataFrame:

@@ -66,6 +66,11 @@ def concept_iri(namespace: Column, vocabulary: Column, name: Column, identifier:
     return F.when(is_iri(identifier) & identifier.contains("/pojem/"), identifier).otherwise(made)
 
 
+def vocabulary_iri(namespace: Column, name: Column) -> Column:
+    """Address of a vocabulary: its namespace and its name as part of an IRI."""
+    return F.concat_ws("/", F.rtrim(namespace, F.lit("/")), sanitize_iri(name))
+
+
 def rule_iri(name: Column, is_global: bool = False) -> Column:
     kebab = F.lower(F.regexp_replace(name, r"([a-z])([A-Z])", "$1-$2"))
     return F.concat(F.lit(N.SHACL_GLOBAL if is_global else N.SHACL_LOCAL), kebab)
@@ -180,14 +185,14 @@ def range_iri(value: Column) -> Column:
     x = F.trim(value)
     return (
         F.when(blank(value), N.RDFS + "Literal")
-        .when(x.startswith("xsd:"), F.concat(F.lit(N.XSD), F.substring(x, 5, 1000)))
+        .when(x.startswith("xsd:"), F.concat(F.lit(N.XSD), F.substring(x, F.lit(5), F.length(x))))
         .when(x.startswith(N.XSD) | is_uri(x), x)
         .otherwise(F.coalesce(F.try_element_at(label, F.lower(x)), F.lit(N.RDFS + "Literal")))
     )
 
 
 def abbreviate_range(c: Column) -> Column:
-    return F.when(c.startswith(N.XSD), F.concat(F.lit("xsd:"), F.substring(c, len(N.XSD) + 1, 1000))).otherwise(c)
+    return F.when(c.startswith(N.XSD), F.concat(F.lit("xsd:"), F.substring(c, F.lit(len(N.XSD) + 1), F.length(c)))).otherwise(c)
 
 
 def class_type(c: Column) -> Column:
@@ -214,19 +219,29 @@ def url_filename(c: Column) -> Column:
     return F.coalesce(or_null(F.regexp_extract(F.try_parse_url(c, F.lit("PATH")), r"([^/]+)$", 1)), F.lit("downloaded-file"))
 
 
-# Letters and their plain forms.
-LETTERS, PLAIN = "áčďéěíňóřšťúůýžàâçèêëîïôùûñ", "acdeeinorstuuyzaaceeeiiouun"
-DOUBLE = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "œ": "oe", "æ": "ae"}
+def _decomposed() -> tuple[str, str]:
+    """Latin letters that are a plain letter with marks, and the plain letters, by the rules of Unicode."""
+    plain = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(x))
+        if len(base) == 1 and base != chr(code):
+            plain[chr(code)] = base
+    return "".join(plain), "".join(plain.values())
+
+
+MARKED, UNMARKED = _decomposed()
+# Letters that are spelled out, and such as have no marks by Unicode's rules.
+SPELLED = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d"}
 
 
 def transliterate(c: Column) -> Column:
-    """Plain letters for the accented ones of Czech, German, French and Spanish, in either case."""
-    x = F.translate(c, LETTERS + LETTERS.upper(), PLAIN + PLAIN.upper())
-    for k, v in DOUBLE.items():
+    """Plain letters for Latin letters with marks, in either case."""
+    x = c
+    for k, v in SPELLED.items():
         x = F.replace(x, F.lit(k), F.lit(v))
         if k != "ß":
             x = F.replace(x, F.lit(k.upper()), F.lit(v.capitalize()))
-    return x
+    return F.regexp_replace(F.translate(x, MARKED, UNMARKED), r"\p{Mn}+", "")
 
 
 @F.pandas_udf(StringType())

@@ -29,10 +29,12 @@ def fact(p: str | Column, o: Column, kind: str | Column = LITERAL, dt: str | Col
 
 
 def told(records: DataFrame, iri: Column, *facts: Column, lists: Sequence[Column] = (), graph_id: str = "g") -> DataFrame:
-    """Triples of the records, in one pass: from the facts and from arrays of facts. Subjects without a name of their own are ``iri``."""
+    """Triples of the records, in one pass: from the facts and from arrays of facts. Subjects without a name of their own are
+    ``iri``; records with a ``model`` have it as their graph."""
     every = F.filter(F.concat(F.array(*facts), *lists) if facts else F.concat(*lists), lambda x: x.isNotNull())
-    rows = records.select(iri.alias("__s"), F.explode(every).alias("f"))
-    return rows.select(F.lit(graph_id).alias("graph_id"), F.coalesce("f.s", "__s").alias("s"), *[F.col(f"f.{c}").alias(c) for c in ("s_kind", "p", "o", "o_kind", "o_dt", "o_lang")])
+    graph = F.col("model") if "model" in records.columns else F.lit(graph_id)
+    rows = records.select(graph.alias("__graph"), iri.alias("__s"), F.explode(every).alias("f"))
+    return rows.select(F.col("__graph").alias("graph_id"), F.coalesce("f.s", "__s").alias("s"), *[F.col(f"f.{c}").alias(c) for c in ("s_kind", "p", "o", "o_kind", "o_dt", "o_lang")])
 
 
 def list_facts(p: str, parts: Column, kind: str = LITERAL, lang: str | None = None) -> Column:
@@ -83,6 +85,14 @@ def source_triples(records: DataFrame, iri: Column, field: str, law: str, other:
     return told(records, iri, lists=[source_facts(iri, field, law, other, namespace)], graph_id=graph_id)
 
 
+def shared_lists(iri: Column, namespace: str = N.DEFAULT_NS) -> list[Column]:
+    """Facts on sources, alternative names and equivalents, which all kinds of concepts have."""
+    return [
+        source_facts(iri, "source", N.DEFINING_LAW, N.DEFINING_OTHER, namespace), source_facts(iri, "relatedSource", N.RELATED_LAW, N.RELATED_OTHER, namespace),
+        list_facts(N.SKOS + "altLabel", T.split_list(F.col("alternativeName")), lang="cs"), list_facts(N.SKOS + "exactMatch", F.filter(T.split_list(F.col("equivalentConcept")), T.is_iri), IRI),
+    ]
+
+
 def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g", more: Sequence[Column] = ()) -> DataFrame:
     """Triples of the class records with their IRI in ``iri``, and of ``more`` facts on them."""
     s = F.col(iri)
@@ -91,11 +101,7 @@ def class_triples(classes: DataFrame, iri: str = "iri", namespace: str = N.DEFAU
         *common_facts(), fact(N.TYPE, F.lit(N.OFN + N.CLASS), IRI), fact(N.TYPE, F.concat(F.lit(N.OFN), kind), IRI), *public_facts(namespace),
         fact(namespace + N.AGENDA, T.agenda_iri(F.col("agendaCode")), IRI), fact(namespace + N.AIS, T.ais_iri(F.col("agendaSystemCode")), IRI), *governance_facts(),
     ]
-    lists = [
-        source_facts(s, "source", N.DEFINING_LAW, N.DEFINING_OTHER, namespace), source_facts(s, "relatedSource", N.RELATED_LAW, N.RELATED_OTHER, namespace),
-        list_facts(N.SKOS + "altLabel", T.split_list(F.col("alternativeName")), lang="cs"), list_facts(N.SKOS + "exactMatch", F.filter(T.split_list(F.col("equivalentConcept")), T.is_iri), IRI),
-    ]
-    return told(classes, s, *facts, *more, lists=lists, graph_id=graph_id)
+    return told(classes, s, *facts, *more, lists=shared_lists(s, namespace), graph_id=graph_id)
 
 
 def property_triples(properties: DataFrame, lookup: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:
@@ -107,7 +113,7 @@ def property_triples(properties: DataFrame, lookup: DataFrame, iri: str = "iri",
         fact(N.RDFS + "domain", F.col("domain_iri"), IRI), fact(N.RDFS + "range", F.col("range"), IRI), *public_facts(namespace), *governance_facts(),
         fact(namespace + N.PPDF, T.boolean_word(F.col("sharedInPPDF")), LITERAL, F.lit(N.XSD + "boolean")),
     ]
-    return told(typed, F.col(iri), *facts, graph_id=graph_id)
+    return told(typed, F.col(iri), *facts, lists=shared_lists(F.col(iri), namespace), graph_id=graph_id)
 
 
 def relationship_triples(relationships: DataFrame, lookup: DataFrame, iri: str = "iri", namespace: str = N.DEFAULT_NS, graph_id: str = "g") -> DataFrame:
@@ -116,7 +122,7 @@ def relationship_triples(relationships: DataFrame, lookup: DataFrame, iri: str =
         *common_facts(), fact(N.TYPE, F.lit(N.OFN + N.RELATION), IRI), fact(N.TYPE, F.lit(N.OWL + "ObjectProperty"), IRI), fact(N.RDFS + "domain", F.col("domain_iri"), IRI),
         fact(N.RDFS + "range", F.col("range_iri"), IRI), *public_facts(namespace), fact(namespace + N.PPDF, T.boolean_word(F.col("sharedInPPDF")), LITERAL, F.lit(N.XSD + "boolean")),
     ]
-    return told(both, F.col(iri), *facts, graph_id=graph_id)
+    return told(both, F.col(iri), *facts, lists=shared_lists(F.col(iri), namespace), graph_id=graph_id)
 
 
 def hierarchy_triples(hierarchies: DataFrame, lookup: DataFrame, property_names: DataFrame | None = None, graph_id: str = "g") -> DataFrame:
@@ -124,11 +130,13 @@ def hierarchy_triples(hierarchies: DataFrame, lookup: DataFrame, property_names:
 
     Edges need two different ends that aren't blank, no address as parent and a known IRI for either end."""
     held = hierarchies.where(~T.blank(F.col("subClass")) & ~T.blank(F.col("superClass")) & (F.col("subClass") != F.col("superClass")) & ~F.col("superClass").rlike("^https?://"))
-    ends = held.join(lookup.select(F.col("name").alias("subClass"), F.col("iri").alias("child")), "subClass").join(lookup.select(F.col("name").alias("superClass"), F.col("iri").alias("parent")), "superClass")
+    keys = model_keys(hierarchies, lookup)
+    known = lambda name, iri: lookup.select(*keys, F.col("name").alias(name), F.col("iri").alias(iri))
+    ends = held.join(known("subClass", "child"), [*keys, "subClass"]).join(known("superClass", "parent"), [*keys, "superClass"])
     if property_names is None:
         ends = ends.withColumn("of_property", F.lit(False))
     else:
-        ends = G.bind_exists(ends, property_names.select(F.col("name").alias("subClass")), "of_property")
+        ends = G.bind_exists(ends, property_names.select(*keys, F.col("name").alias("subClass")), "of_property")
     prop = F.col("of_property")
     return told(
         ends, F.col("child"),
@@ -155,17 +163,26 @@ def temporal_triples(vocabulary: DataFrame, iri: Column, graph_id: str = "g") ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def model_keys(*tables: DataFrame) -> list[str]:
+    """The column that names mean something within, where all the tables have it."""
+    return ["model"] if all("model" in t.columns for t in tables) else []
+
+
 def last_wins(*kinds: DataFrame) -> DataFrame:
-    """(name, iri) of several record kinds; a later kind, and in a kind the greatest IRI, takes a name."""
-    rows = G.union_bag(*[k.select("name", "iri", F.lit(i).alias("kind")) for i, k in enumerate(kinds)])
-    return rows.where(~T.blank(F.col("name"))).groupBy("name").agg(F.max_by("iri", F.struct("kind", "iri")).alias("iri"))
+    """(name, iri) of several record kinds, in each model if they have one; a later kind, and in a kind the greatest IRI, takes a name."""
+    keys = model_keys(*kinds)
+    rows = G.union_bag(*[k.select(*keys, "name", "iri", F.lit(i).alias("kind")) for i, k in enumerate(kinds)])
+    return rows.where(~T.blank(F.col("name"))).groupBy(*keys, "name").agg(F.max_by("iri", F.struct("kind", "iri")).alias("iri"))
 
 
 def resolved(records: DataFrame, lookup: DataFrame, field: str, to: str, namespace: str = N.DEFAULT_NS, vocabulary: str = "slovník") -> DataFrame:
-    """The IRI that a reference means: a URI itself, a known name's IRI, else an IRI made from the name."""
-    names = lookup.select(F.col("name").alias(field), F.col("iri").alias("__iri"))
-    made = T.concept_iri(F.lit(namespace), F.lit(vocabulary), F.col(field), F.lit(None).cast("string"))
-    return records.join(names, field, "left").withColumn(to, F.when(~T.blank(F.col(field)), F.coalesce(F.when(T.is_uri(F.col(field)), F.col(field)), "__iri", made))).drop("__iri")
+    """The IRI that a reference means: a URI itself, a known name's IRI, else an IRI made from the name and the records'
+    ``__namespace`` and ``__vocabulary``, if they have them."""
+    keys = model_keys(records, lookup)
+    own = lambda c, default: F.col(c) if c in records.columns else F.lit(default)
+    names = lookup.select(*keys, F.col("name").alias(field), F.col("iri").alias("__iri"))
+    made = T.concept_iri(own("__namespace", namespace), own("__vocabulary", vocabulary), F.col(field), F.lit(None).cast("string"))
+    return records.join(names, [*keys, field], "left").withColumn(to, F.when(~T.blank(F.col(field)), F.coalesce(F.when(T.is_uri(F.col(field)), F.col(field)), "__iri", made))).drop("__iri")
 
 
 def valid_rows(records: DataFrame, *fields: str) -> DataFrame:

@@ -133,7 +133,12 @@ def fn_source_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir, x).select("p_partkey", T.clean_sources(F.col("x")).alias("y"), T.is_plausible_source(F.lit("ab")).alias("short"))
 
 
-@query(r"SELECT doc_id, regexp_replace(translate(" + "replace(" * 5 + "text" + ", 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'Ae')" + f", '{T.LETTERS}{T.LETTERS.upper()}', '{T.PLAIN}{T.PLAIN.upper()}'), 'x{{0}}', '') AS y FROM (SELECT doc_id, replace(replace(replace(replace(replace(replace(text, 'Ö', 'Oe'), 'Ü', 'Ue'), 'œ', 'oe'), 'æ', 'ae'), 'Œ', 'Oe'), 'Æ', 'Ae') AS text FROM documents)")
+SPELLED_OUT = "text"
+for _k, _v in T.SPELLED.items():
+    SPELLED_OUT = f"replace({SPELLED_OUT}, '{_k}', '{_v}')" if _k == "ß" else f"replace(replace({SPELLED_OUT}, '{_k}', '{_v}'), '{_k.upper()}', '{_v.capitalize()}')"
+
+
+@query(f"SELECT doc_id, strip_accents({SPELLED_OUT}) AS y FROM documents")
 def fn_transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.transliterate(F.col("text")).alias("y"))
 

@@ -316,13 +316,19 @@ def limit_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph(tpch.triples(spark, sf_dir)).select("s", "p", "o").orderBy("s", "p", "o").limit(50)
 
 
-@query("SELECT page_id, url, CASE WHEN contains(lower(html), '<!doctype html') THEN 'HTML' WHEN contains(html, 'opengroup.org/xsd/archimate') THEN 'ARCHI_XML' ELSE 'UNSUPPORTED' END AS format FROM pages WHERE octet_length(encode(html)) <= 5242880")
+HEADS = {"ARCHI_XML": '<?xml version="1.0"?><model xmlns="http://www.opengroup.org/xsd/archimate/3.0/">', "XMI": '<?xml version="1.0"?><xmi:XMI>', "TURTLE": "@prefix e: <http://e/> .", "XLSX": "PK", "HTML": "", "UNSUPPORTED": '<?xml version="1.0"?><other/>'}
+_KINDS = list(HEADS)
+
+
+@query("SELECT page_id, url, CASE WHEN octet_length(encode(html)) > 5242880 THEN 'TOO LARGE' ELSE (CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END) END AS format FROM pages")
 def ingest_sniff_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format of each page by its first 4096 bytes, of pages up to the size limit."""
-    from lexigraph.sources.formats import sniff
+    """Format of each page, sent as a file of one of the formats by turns; one over the size limit is refused."""
+    from lexigraph.sources.formats import MAX_BYTES, sniff
 
-    pages = read(spark, sf_dir, "pages").where(F.octet_length("html") <= 5_242_880)
-    return pages.select("page_id", "url", sniff(F.col("url"), F.lit("text/html"), F.col("html")).alias("format"))
+    turn = (F.col("page_id") % 6).cast("int")
+    name = F.concat(F.lit("file-"), F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit({"XLSX": ".xlsx", "TURTLE": ".ttl"}.get(k, "")) for k in _KINDS]), turn + 1))
+    text = F.when(turn == _KINDS.index("HTML"), F.col("html")).otherwise(F.element_at(F.array(*[F.lit(v) for v in HEADS.values()]), turn + 1))
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.when(F.octet_length("html") > MAX_BYTES, "TOO LARGE").otherwise(sniff(name, F.lit(None).cast("string"), text)).alias("format"))
 
 
 @query(with_graph("SELECT iri, name FROM c WHERE trim(coalesce(description, '')) <> '' AND NOT (agendaCode IS NOT NULL)"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,28 +30,45 @@ def written(lines: DataFrame, name: str) -> str:
     return path
 
 
-@query(with_graph(f"SELECT s, p, o, o_kind, o_dt, o_lang FROM t WHERE s LIKE '{tpch.BASE}supplier%'"))
+#: The graph with its blank nodes named by what is said of them, as ``rdf.canonical_blanks`` does.
+NAMED = """also h AS (
+  SELECT s AS b, sha256('>|' || p || '|' || o || '|' || o_kind || '|' || coalesce(o_dt, '') || '|' || coalesce(o_lang, '')) AS h FROM t WHERE s_kind = 'bnode'
+  UNION ALL SELECT o, sha256('<|' || p || '|' || s || '|' || s_kind) FROM t WHERE o_kind = 'bnode'),
+n AS (SELECT b, '_:' || substr(sha256(string_agg(h, ',' ORDER BY h)), 1, 32) AS name FROM h GROUP BY b)
+SELECT coalesce(x.name, s) AS s, s_kind, p, CASE WHEN o_kind = 'bnode' THEN y.name ELSE o END AS o, o_kind, o_dt, o_lang FROM t LEFT JOIN n x ON s = x.b LEFT JOIN n y ON o = y.b"""
+COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
+
+
+@query(with_graph(NAMED))
 def ingest_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trip of the suppliers' graph through Turtle: each file holds the prefixes and some subjects."""
-    t = tpch.triples(spark, sf_dir).where(F.col("s").startswith(tpch.BASE + "supplier"))
-    blocks = D.turtle_blocks(t).select(F.concat(F.lit(D.turtle_head()), "block").alias("text"))
-    return rdf.read_turtle(spark, written(blocks, "turtle")).select("s", "p", "o", "o_kind", "o_dt", "o_lang")
+    """Round trip of the graph through Turtle: each file holds the prefixes, some concepts and the blank nodes that are theirs."""
+    t = tpch.triples(spark, sf_dir)
+    owner = t.where("o_kind = 'bnode'").select(F.col("o").alias("s"), F.col("s").alias("owner")).dropDuplicates(["s"])
+    blocks = D.turtle_blocks(t).join(owner, "s", "left").repartition(F.coalesce("owner", "s"))
+    return rdf.canonical_blanks(rdf.read_turtle(spark, written(blocks.select(F.concat(F.lit(D.turtle_head()), "block").alias("text")), "turtle"))).select(*COLUMNS)
 
 
-@query(with_graph("SELECT s, s_kind, p, o, o_kind, o_dt, o_lang FROM t"))
+@query(with_graph(NAMED))
 def ingest_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip of the graph through one N-Triples file a subject range; literals are escaped."""
     t = tpch.triples(spark, sf_dir)
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    literal = F.concat(F.lit('"'), "o", F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise(""))
+    escaped = F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    literal = F.concat(F.lit('"'), escaped, F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise(""))
     subject = F.when(F.col("s_kind") == L.IRI, iri(F.col("s"))).otherwise(F.col("s"))
-    line = F.concat_ws(" ", subject, iri(F.col("p")), F.when(F.col("o_kind") == L.IRI, iri(F.col("o"))).when(F.col("o_kind") == L.BNODE, F.col("o")).otherwise(literal), F.lit("."))
-    return rdf.read_ntriples(spark, written(t.select(line.alias("line")), "ntriples")).select("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
-
-
-def as_model(lines: DataFrame) -> DataFrame:
-    """The lines of a small model as one XML text."""
-    line = lines.columns[0]
-    return lines.agg(F.concat(F.lit("<model>"), F.array_join(F.collect_list(line), ""), F.lit("</model>")).alias("text"))
+    line = F.concat_ws(" ", subject, iri(F.col("p")), F.when(F.col("o_kind") == L.IRI, iri(F.col("o"))).when(F.col("o_kind") == L.BNODE, F.col("o")).otherwise(literal), F.lit(". # a triple"))
+    owner = t.where("o_kind = 'bnode'").select(F.col("o").alias("s"), F.col("s").alias("owner")).dropDuplicates(["s"])
+    lines = t.join(owner, "s", "left").repartition(F.coalesce("owner", "s")).select(line.alias("line"))
+    return rdf.canonical_blanks(rdf.read_ntriples(spark, written(lines, "ntriples"))).select(*COLUMNS)
+
+
+def written_files(lines: DataFrame, name: str, head: str, tail: str) -> str:
+    """Folder with a text file for each ``file`` of the lines (file, place, line), in the folder that driver and executors share."""
+    files = lines.select("file").distinct()
+    ends = files.select("file", F.lit(-1).alias("place"), F.lit(head).alias("line")).union(files.select("file", F.lit(1 << 30).alias("place"), F.lit(tail).alias("line")))
+    path = f"{(lines.sparkSession.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    lines.select("file", "place", "line").union(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "line").write.partitionBy("file").text(path)
+    return path
 
 
 def xml_text(c: Column) -> Column:
@@ -55,61 +77,108 @@ def xml_text(c: Column) -> Column:
     return c
 
 
-@query("""SELECT 'class' AS record, r_name AS name, 'Objekt práva' AS detail FROM region
-  UNION ALL SELECT 'property', n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'hierarchy', r_name, 'AFRICA' FROM region WHERE r_name <> 'AFRICA' UNION ALL SELECT 'relationship', 'is like', r_name FROM region WHERE r_name <> 'AFRICA'""")
+def models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations, and their suppliers and customers, each with ``file``: a model a nation."""
+    n, s, c = (read(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    nations = n.select(F.col("n_nationkey").alias("file"), F.col("n_name").alias("nation"))
+    suppliers = s.select(F.col("s_nationkey").alias("file"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
+    customers = c.select(F.col("c_nationkey").alias("file"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    return nations, suppliers, customers
+
+
+MODELS_SQL = """SELECT 'class' AS record, n_name AS name, 'Objekt práva' AS detail, 'popis ' || n_name AS description FROM nation
+  UNION ALL SELECT 'class', s_name, 'Subjekt práva', 'popis ' || s_name FROM supplier UNION ALL SELECT 'property', c_name, n_name, 'popis ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'hierarchy', s_name, n_name, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'relationship', 'dodává', s_name, NULL FROM supplier
+  UNION ALL SELECT 'vocabulary', 'Model ' || n_nationkey, 'https://n' || n_nationkey || '.example/', NULL FROM nation"""
+
+
+def picked(got: dict[str, DataFrame]) -> DataFrame:
+    columns = {"classes": ("class", "name", "type"), "properties": ("property", "name", "domain"), "hierarchies": ("hierarchy", "subClass", "superClass"), "relationships": ("relationship", "name", "domain"), "vocabulary": ("vocabulary", "name", "namespace")}
+    return reduce(DataFrame.union, [got[k].select(F.lit(record).alias("record"), F.col(name).alias("name"), F.col(detail).alias("detail"), F.col("description") if k in ("classes", "properties") else F.lit(None).cast("string").alias("description")) for k, (record, name, detail) in columns.items()])
+
+
+@query(MODELS_SQL)
 def ingest_archi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as classes, nations as their properties, and the other regions below Africa, through ArchiMate XML."""
-    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    both = n.join(r, n.n_regionkey == r.r_regionkey)
-    head = spark.createDataFrame([('<propertyDefinition identifier="d1" type="string"><name>typ</name></propertyDefinition>',), ('<propertyDefinition identifier="d2" type="string"><name>základ - popis</name></propertyDefinition>',)], "line string")
-    value = lambda ref, text: f'<property propertyDefinitionRef="{ref}"><value>{text}</value></property>'
-    element = lambda ident, name, kind: F.concat(F.lit('<element identifier="'), ident, F.lit('"><name>'), xml_text(name), F.lit(f"</name><properties>{value('d1', kind)}{value('d2', 'a%20b')}</properties></element>"))
-    link = lambda ident, source, target, kind, name: F.concat(F.lit('<relationship identifier="'), ident, F.lit('" source="'), source, F.lit('" target="'), target, F.lit(f'" xsi:type="{kind}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">{name}</relationship>'))
-    rk, nk = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    africa = F.concat(F.lit("r"), F.lit(r.where("r_name = 'AFRICA'").select("r_regionkey").first()[0]).cast("string"))
-    lines = head.union(r.select(element(rk, F.col("r_name"), "typ objektu"))).union(n.select(element(nk, F.col("n_name"), "typ vlastnosti"))).union(both.select(link(F.concat(F.lit("c"), nk), rk, nk, "Composition", "")))
-    lines = lines.union(r.where("r_name <> 'AFRICA'").select(link(F.concat(F.lit("s"), rk), rk, africa, "Specialization", "<name>is like</name>")))
-    got = archimate.read_archimate(spark, written(as_model(lines), "archi"))
-    pick = lambda k, name, detail: got[k].select(F.lit({"classes": "class", "properties": "property", "hierarchies": "hierarchy", "relationships": "relationship"}[k]).alias("record"), F.col(name).alias("name"), F.col(detail).alias("detail"))
-    return pick("classes", "name", "type").union(pick("properties", "name", "domain")).union(pick("hierarchies", "subClass", "superClass")).union(pick("relationships", "name", "domain"))
-
-
-@query("""SELECT 'class' AS record, r_name AS name, 'Subjekt práva' AS detail, 'popis ' || r_name AS description FROM region
-  UNION ALL SELECT 'property', n_name, r_name, 'popis ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+    """An ArchiMate file a nation: the nation and its suppliers as classes, its customers as properties. The files use the
+    same identifiers, and in every other one the definitions' identifiers are exchanged."""
+    nations, suppliers, customers = models(spark, sf_dir)
+    odd = F.col("file") % 2 == 1
+    ref = lambda a, b: F.when(odd, b).otherwise(a)
+    value = lambda r, text: F.concat(F.lit('<property propertyDefinitionRef="'), r, F.lit('"><value>'), text, F.lit("</value></property>"))
+    definition = lambda r, name: F.concat(F.lit('<propertyDefinition identifier="'), r, F.lit(f'" type="string"><name>{name}</name></propertyDefinition>'))
+    element = lambda ident, name, kind: F.concat(F.lit('<element identifier="'), ident, F.lit('"><name xml:lang="cs">'), xml_text(name), F.lit("</name><properties>"), value(ref("d1", "d2"), F.lit(kind)), value(ref("d2", "d1"), F.concat(F.lit("popis%20"), xml_text(name))), F.lit("</properties></element>"))
+    link = lambda ident, source, target, kind, name="": F.concat(F.lit('<relationship identifier="'), ident, F.lit('" source="'), source, F.lit('" target="'), target, F.lit(f'" xsi:type="{kind}">{name}</relationship>'))
+    root, own = F.lit("root"), F.col("id")
+    about = value(F.lit("d3"), F.concat(F.lit("https://n"), F.col("file").cast("string"), F.lit(".example/")))
+    lines = reduce(DataFrame.union, [
+        nations.select("file", F.lit(0).alias("place"), F.concat(F.lit('<name xml:lang="cs">Model '), F.col("file").cast("string"), F.lit("</name><properties>"), about, F.lit("</properties>")).alias("line")),
+        *[nations.select("file", F.lit(i), definition(r, name)) for i, (r, name) in enumerate(((ref("d1", "d2"), "typ"), (ref("d2", "d1"), "základ - popis"), (F.lit("d3"), "adresa lokálního katalogu dat")), 1)],
+        nations.select("file", F.lit(4), element(root, F.col("nation"), "typ objektu")), suppliers.select("file", F.lit(5), element(own, F.col("name"), "typ subjektu")), customers.select("file", F.lit(5), element(own, F.col("name"), "typ vlastnosti")),
+        customers.select("file", F.lit(6), link(F.concat(F.lit("p"), own), root, own, "Composition")), suppliers.select("file", F.lit(6), link(F.concat(F.lit("h"), own), own, root, "Specialization")),
+        suppliers.select("file", F.lit(6), link(F.concat(F.lit("r"), own), own, root, "Association", "<name>dodává</name>")),
+    ])
+    head = '<model xmlns="http://www.opengroup.org/xsd/archimate/3.0/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">'
+    return picked(archimate.read_archimate(spark, written_files(lines, "archi", head, "</model>")))
+
+
+@query(MODELS_SQL)
 def ingest_xmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as classes and nations as properties in a nested package of the vocabulary, through XMI."""
-    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    package = lambda ident, parent, kind: f'<element xmi:idref="{ident}" xmi:type="uml:Package" name="{ident}" xmlns:xmi="http://schema.omg.org/spec/XMI/2.1"><model package="{parent}"/><properties stereotype="{kind}"/></element>'
-    head = spark.createDataFrame([(package("p1", "root", xmi.PACKAGE_KIND),), (package("p2", "p1", "none"),), (package("p3", "p2", xmi.PACKAGE_KIND),)], "line string")
-
-    def element(ident: Column, name: Column, package: str, kind: str) -> Column:
-        head = F.concat(F.lit('<element xmi:idref="'), ident, F.lit('" xmi:type="uml:Class" name="'), xml_text(name), F.lit('" xmlns:xmi="http://schema.omg.org/spec/XMI/2.1">'))
-        body = F.concat(F.lit(f'<model package="{package}"/><properties stereotype="{kind}"/><tags><tag name="Základ - popis" value="popis '), xml_text(name), F.lit('#NOTES#x"/></tags></element>'))
-        return F.concat(head, body)
-
-    rk, nk = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    link = F.concat(F.lit('<connector xmi:idref="c" name="" xmlns:xmi="http://schema.omg.org/spec/XMI/2.1"><source xmi:idref="'), nk, F.lit('"/><target xmi:idref="'), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit('"/><properties ea_type="Aggregation"/></connector>'))
-    lines = head.union(r.select(element(rk, F.col("r_name"), "p2", "typSubjektu"))).union(n.select(element(nk, F.col("n_name"), "p1", "typVlastnosti"))).union(n.select(link))
-    lines = lines.union(r.select(element(F.concat(F.lit("x"), rk), F.concat(F.lit("other "), "r_name"), "p3", "typObjektu")))
-    got = xmi.read_xmi(spark, written(as_model(lines), "xmi"))
-    pick = lambda k, record, detail: got[k].select(F.lit(record).alias("record"), "name", F.col(detail).alias("detail"), "description")
-    return pick("classes", "class", "type").union(pick("properties", "property", "domain"))
-
-
-@query("""SELECT 'book-' || s_nationkey AS path, s_name AS name, 'Subjekt práva' AS type, CASE WHEN s_suppkey % 3 <> 0 THEN 'popis ' || s_name END AS description,
-         NULL::VARCHAR AS definition, 'S' || s_suppkey AS identifier FROM supplier WHERE s_suppkey % 5 <> 0""")
+    """An XMI file a nation with the same records; the files use the same ids. Elements stand in the vocabulary's package or in one within it, those of a vocabulary in it are left out."""
+    nations, suppliers, customers = models(spark, sf_dir)
+    tag = lambda name, text: F.concat(F.lit(f'<tag name="{name}" value="'), text, F.lit('"/>'))
+
+    def element(ident: Column, name: Column, package: str, kind: str, tags: Column, uml: str = "Class") -> Column:
+        return F.concat(F.lit('<element xmi:idref="'), ident, F.lit(f'" xmi:type="uml:{uml}" name="'), xml_text(name), F.lit(f'"><model package="{package}"/><properties stereotype="{kind}"/><tags>'), tags, F.lit("</tags></element>"))
+
+    def link(kind: str, stereotype: str, name: str = "") -> Column:
+        return F.concat(F.lit(f'<connector xmi:idref="k" name="{name}"><source xmi:idref="'), F.col("id"), F.lit(f'"/><target xmi:idref="root"/><properties ea_type="{kind}" stereotype="{stereotype}"/></connector>'))
+
+    text = lambda name: tag("Základ - POPIS", F.concat(F.lit("popis "), xml_text(name), F.lit("#NOTES#x")))
+    model, address, none = F.concat(F.lit("Model "), F.col("file").cast("string")), F.concat(F.lit("https://n"), F.col("file").cast("string"), F.lit(".example/")), F.lit("")
+    packages = [("p1", "top", xmi.PACKAGE_KIND, model, tag("Adresa lokálního katalogu dat", address)), ("p2", "p1", "none", F.lit("inner"), none), ("p3", "p2", xmi.PACKAGE_KIND, F.lit("other"), none)]
+    lines = reduce(DataFrame.union, [
+        *[nations.select("file", F.lit(i).alias("place"), element(F.lit(ident), name, parent, kind, tags, "Package").alias("line")) for i, (ident, parent, kind, name, tags) in enumerate(packages)],
+        nations.select("file", F.lit(4), element(F.lit("root"), F.col("nation"), "p2", "typObjektu", text(F.col("nation")))), nations.select("file", F.lit(4), element(F.lit("x"), F.col("nation"), "p3", "typObjektu", none)),
+        suppliers.select("file", F.lit(5), element(F.col("id"), F.col("name"), "p1", "typSubjektu", text(F.col("name")))), customers.select("file", F.lit(5), element(F.col("id"), F.col("name"), "p2", "typVlastnosti", text(F.col("name")))),
+        customers.select("file", F.lit(6), link("Aggregation", "")), suppliers.select("file", F.lit(6), link("Generalization", "")), suppliers.select("file", F.lit(6), link("Association", xmi.RELATION_KIND, "dodává")),
+    ])
+    return picked(xmi.read_xmi(spark, written_files(lines, "xmi", '<xmi:XMI xmlns:xmi="http://schema.omg.org/spec/XMI/2.1">', "</xmi:XMI>")))
+
+
+def workbook(sheets: dict[str, list[list[str | None]]]) -> bytes:
+    """A workbook with the texts of the sheets' rows."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{name}" sheetId="{i}" r:id="r{i}"/>' for i, name in enumerate(sheets, 1)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, grid in enumerate(sheets.values(), 1):
+            rows = ("".join(f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for c, v in enumerate(row) if v is not None) for r, row in enumerate(grid, 1))
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{r}">{cells}</row>' for r, cells in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query("""SELECT 'class' AS record, s_name AS name, 'Subjekt práva' AS detail, CASE WHEN s_suppkey % 3 <> 0 THEN 'popis ' || s_name END AS description FROM supplier WHERE s_suppkey % 5 <> 0
+  UNION ALL SELECT 'property', s_name || ' x', s_name, 'A' || s_nationkey FROM supplier UNION ALL SELECT 'relationship', 'dodává', s_name, 'Vozidlo' FROM supplier
+  UNION ALL SELECT 'hierarchy', s_name, 'Dodavatel', NULL FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT DISTINCT 'vocabulary', 'Slovník ' || s_nationkey, 'https://n' || s_nationkey || '.example/', NULL FROM supplier""")
 def ingest_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as the cells of one workbook a nation, read as class records: headers found by name, rows without a name left out."""
-    s = read(spark, sf_dir, "supplier")
-    book, sheet = F.concat(F.lit("book-"), F.col("s_nationkey").cast("string")).alias("path"), F.lit(xlsx.SHEETS["classes"][0]).alias("sheet")
-    cell = lambda row, col, value: F.struct(row.cast("long").alias("row"), F.lit(col).cast("long").alias("col"), value.alias("value"))
-    title = ["Popis subjektu", "Typ", "Název", "Identifikátor"]
-    heads = s.select("s_nationkey").distinct().select(book, sheet, F.inline(F.array(cell(F.lit(1), 0, F.lit("Slovník dodavatelů")), *[cell(F.lit(3), i, F.lit(x)) for i, x in enumerate(title)])))
-    key, name = F.col("s_suppkey"), F.col("s_name")
-    values = [F.when(key % 3 != 0, F.concat(F.lit("popis "), name)), F.lit("Subjekt práva"), F.when(key % 5 != 0, name), F.concat(F.lit("S"), key.cast("string"))]
-    body = s.select(book, sheet, F.inline(F.array(*[cell(key + 4, i, v) for i, v in enumerate(values)]))).where("value is not null")
-    return xlsx.sheet_records(heads.union(body), *xlsx.SHEETS["classes"]).select("path", "name", "type", "description", "definition", "identifier")
+    """Suppliers in one workbook a nation, which is packed, opened and read as records: headers found by name, rows without a name left out."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        nation = int(rows["s_nationkey"].iloc[0])
+        held = [(int(k), n) for k, n in zip(rows["s_suppkey"], rows["s_name"], strict=True)]
+        book = workbook({
+            "Slovník": [["Název slovníku:", f"Slovník {nation}"], ["Adresa lokálního katalogu dat, ve kterém bude slovník registrován:", f"https://n{nation}.example/"]],
+            "Subjekty a objekty práva": [["Seznam"], [], ["Popis subjektu", "Typ", "Název", "Nadřazený pojem"], *[[f"popis {n}" if k % 3 else None, "Subjekt práva", n if k % 5 else None, "Dodavatel"] for k, n in held]],
+            "Vlastnosti": [["Subjekt nebo objekt práva", "Název", "Agenda"], *[[n, f"{n} x", f"A{nation}"] for _, n in held]],
+            "Vztahy": [["Subjekt nebo objekt práva", "Název", "Subjekt nebo objekt práva"], *[[n, "dodává", "Vozidlo"] for _, n in held]],
+        })
+        return pd.DataFrame({"path": [f"book-{nation}"], "content": [book]})
+
+    got = xlsx.records_of(xlsx.read_cells(read(spark, sf_dir, "supplier").groupBy("s_nationkey").applyInPandas(pack, "path string, content binary")))
+    pick = lambda k, record, *c: got[k].select(F.lit(record).alias("record"), *[(F.col(x) if x else F.lit(None).cast("string")).alias(y) for x, y in zip(c, ("name", "detail", "description"), strict=True)])
+    kinds = [("classes", "class", "name", "type", "description"), ("properties", "property", "name", "domain", "agendaCode"), ("relationships", "relationship", "name", "domain", "range"), ("hierarchies", "hierarchy", "subClass", "superClass", None), ("vocabulary", "vocabulary", "name", "namespace", None)]
+    return reduce(DataFrame.union, [pick(*k) for k in kinds])
 
 
 RULE_FILE = f"""@prefix sh: <http://www.w3.org/ns/shacl#> .

@@ -113,7 +113,7 @@ def short(c: Column) -> Column:
     """An IRI as prefixed name where its local part is simple, else in angle brackets."""
     out = F.concat(F.lit("<"), c, F.lit(">"))
     for k, ns in PREFIXES.items():
-        rest = F.substring(c, len(ns) + 1, 10_000)
+        rest = F.substring(c, F.lit(len(ns) + 1), F.length(c))
         out = F.when(c.startswith(ns) & rest.rlike(r"^[\p{L}_][\p{L}\p{Nd}_-]*$"), F.concat(F.lit(k + ":"), rest)).otherwise(out)
     return out
 
@@ -140,9 +140,10 @@ def turtle_head() -> str:
 
 
 def scheme_triples(vocabulary: DataFrame, iri: Column, graph_id: str = "g") -> DataFrame:
-    """The vocabulary as concept scheme with its label."""
+    """The vocabulary as concept scheme with its label and description."""
     return L.told(
-        vocabulary, iri, L.fact(N.TYPE, F.lit(N.SKOS + "ConceptScheme"), L.IRI), L.fact(N.TYPE, F.lit(N.OFN + "slovník"), L.IRI), L.fact(N.SKOS + "prefLabel", F.col("name"), lang="cs"), graph_id=graph_id
+        vocabulary, iri, L.fact(N.TYPE, F.lit(N.SKOS + "ConceptScheme"), L.IRI), L.fact(N.TYPE, F.lit(N.OFN + "slovník"), L.IRI), L.fact(N.SKOS + "prefLabel", F.col("name"), lang="cs"),
+        *([L.fact(N.DCT + "description", F.col("description"), lang="cs")] if "description" in vocabulary.columns else []), graph_id=graph_id,
     )
 
 

@@ -1,4 +1,6 @@
-"""ArchiMate exchange files as record sets: the engine's XML reader gives the elements, joins do the rest."""
+"""ArchiMate exchange files as record sets: the engine's XML reader gives the elements, joins do the rest.
+
+Every record has its file in ``model``; identifiers and names mean something within their file only."""
 
 from __future__ import annotations
 
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 from lexigraph.functions import terms as T
 
 PROPERTY = "array<struct<_propertyDefinitionRef:string,value:string>>"
-ELEMENT = f"_identifier string, name string, properties struct<property:{PROPERTY}>"
-RELATION = f"_identifier string, _source string, _target string, `_xsi:type` string, name string, properties struct<property:{PROPERTY}>"
+NAMES = "array<struct<_VALUE:string,`_xml:lang`:string>>"
+MODEL = f"name {NAMES}, properties struct<property:{PROPERTY}>"
+ELEMENT = f"_identifier string, name {NAMES}, properties struct<property:{PROPERTY}>"
+RELATION = f"_identifier string, _source string, _target string, `_xsi:type` string, name {NAMES}, properties struct<property:{PROPERTY}>"
 #: Parts of the definitions' names, in order, and the fields that they mean.
 FIELDS = {
     "ekvivalentní pojem": "equivalentConcept", "související zdroj": "relatedSource", "ustanovení dokládající neveřejnost": "privacyProvision", "agendový informační systém": "agendaSystemCode",
@@ -24,40 +28,65 @@ VALUES = ["type", "description", "definition", "source", "identifier", "relatedS
 
 
 def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("model", F.col("_metadata.file_path"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``name``, the Czech one or the one without language, else the first; the others by language in ``names``."""
+    lang = lambda x: F.coalesce(x["_xml:lang"], F.lit("cs"))
+    own = F.get(F.filter("name", lambda x: lang(x) == "cs"), 0)["_VALUE"]
+    others = F.map_from_entries(F.array_distinct(F.transform(F.filter("name", lambda x: lang(x) != "cs"), lambda x: F.struct(F.concat(F.lit("lang="), lang(x)), x["_VALUE"]))))
+    return rows.withColumns({"names": F.coalesce(others, F.create_map().cast("map<string,string>")), "name": F.coalesce(own, F.get("name", 0)["_VALUE"])})
 
 
 def definitions(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, field): the first part in order that a definition's name holds."""
-    d = _rows(spark, path, "propertyDefinition", "_identifier string, name string")
-    field = reduce(lambda rest, kv: F.when(F.col("name").contains(kv[0]), kv[1]).otherwise(rest), reversed(FIELDS.items()), F.lit(None).cast("string"))
-    return d.select(F.col("_identifier").alias("ref"), field.alias("field")).where("field is not null")
+    """(model, ref, label, field): the first part in order that a definition's name holds, null if none."""
+    d = _rows(spark, path, "propertyDefinition", f"_identifier string, name {NAMES}").withColumn("label", F.get("name", 0)["_VALUE"])
+    field = reduce(lambda rest, kv: F.when(F.col("label").contains(kv[0]), kv[1]).otherwise(rest), reversed(FIELDS.items()), F.lit(None).cast("string"))
+    return d.select("model", F.col("_identifier").alias("ref"), "label", field.alias("field"))
+
+
+def told_values(rows: DataFrame, fields: DataFrame, *keys: str) -> DataFrame:
+    """(model, keys, label, field, value) of the rows' properties; %-escapes are decoded where they are sound."""
+    told = rows.select("model", *keys, F.explode("properties.property").alias("p")).select("model", *keys, F.col("p._propertyDefinitionRef").alias("ref"), F.col("p.value").alias("value"))
+    return told.join(fields, ["model", "ref"]).withColumn("value", F.when(F.col("value").contains("%"), F.coalesce(F.try_url_decode("value"), "value")).otherwise(F.col("value")))
 
 
 def with_values(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """``rows`` with a column a field; of several values the greatest counts, and %-escapes are decoded where they are sound."""
-    told = rows.select("_identifier", F.explode("properties.property").alias("p")).select("_identifier", F.col("p._propertyDefinitionRef").alias("ref"), F.col("p.value").alias("value"))
-    told = told.join(fields, "ref").withColumn("value", F.when(F.col("value").contains("%"), F.coalesce(F.try_url_decode("value"), "value")).otherwise(F.col("value")))
-    wide = told.groupBy("_identifier").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in VALUES])
-    return rows.join(wide, "_identifier", "left")
+    """``rows`` with a column a field; of several values the greatest counts."""
+    told = told_values(rows, fields.where("field is not null"), "_identifier")
+    wide = told.groupBy("model", "_identifier").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in VALUES])
+    return rows.join(wide, ["model", "_identifier"], "left")
+
+
+def vocabularies(spark: SparkSession, path: str, fields: DataFrame) -> DataFrame:
+    """(model, name, description, namespace) of each model: its name, and of its own properties the description and the
+    first valid address of a local catalogue."""
+    models = _named(_rows(spark, path, "model", MODEL))
+    label = F.lower("label")
+    catalogue = label.contains("adresa") & label.contains("lokální") | (label == "adresa-lokálního-katalogu-dat-ve-kterém-bude-slovník-registrován")
+    told = told_values(models, fields, "name").groupBy("model").agg(
+        F.max(F.when(label == "popis", F.col("value"))).alias("description"), F.min(F.when(catalogue & T.is_uri(F.col("value")), F.col("value"))).alias("namespace")
+    )
+    return models.select("model", F.coalesce("name", F.lit("Untitled Model")).alias("name")).join(told, "model", "left")
 
 
 def read_archimate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The record sets ``classes``, ``properties``, ``relationships`` and ``hierarchies`` of the models at ``path``."""
+    """The record sets ``vocabulary``, ``classes``, ``properties``, ``relationships`` and ``hierarchies`` of the models at ``path``."""
     fields = definitions(spark, path)
-    elements = with_values(_rows(spark, path, "element", ELEMENT), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS))
-    links = with_values(_rows(spark, path, "relationship", RELATION).withColumnRenamed("_xsi:type", "kind"), fields)
-    names = elements.select(F.col("_identifier").alias("id"), F.col("name").alias("end"))
-    ends = links.join(names.select(F.col("id").alias("_source"), F.col("end").alias("from")), "_source").join(names.select(F.col("id").alias("_target"), F.col("end").alias("to")), "_target")
-    ends = ends.where(~F.coalesce(F.col("from").isin(*ROOTS) | F.col("to").isin(*ROOTS), F.lit(False)))
+    elements = with_values(_named(_rows(spark, path, "element", ELEMENT)), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS))
+    links = with_values(_named(_rows(spark, path, "relationship", RELATION)).withColumnRenamed("_xsi:type", "kind"), fields)
+    end = lambda ref, name: elements.select("model", F.col("_identifier").alias(ref), F.col("name").alias(name))
+    ends = links.join(end("_source", "from"), ["model", "_source"]).join(end("_target", "to"), ["model", "_target"])
     is_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))
-    domains = ends.where("kind = 'Composition'").groupBy(F.col("to").alias("name")).agg(F.max("from").alias("domain"))
+    domains = ends.where("kind = 'Composition'").groupBy("model", F.col("to").alias("name")).agg(F.max("from").alias("domain"))
     ident = F.when(T.is_iri(F.col("identifier")), F.col("identifier"))
     return {
+        "vocabulary": vocabularies(spark, path, fields),
         "classes": elements.where(~is_property).withColumns({"id": F.col("_identifier"), "type": T.class_type(F.col("type")), "identifier": ident}).drop("_identifier", "properties", "dataType"),
-        "properties": elements.where(is_property).withColumns({"id": F.col("_identifier"), "identifier": ident}).drop("_identifier", "properties", "type").join(domains, "name", "left"),
+        "properties": elements.where(is_property).withColumns({"id": F.col("_identifier"), "identifier": ident}).drop("_identifier", "properties", "type").join(domains, ["model", "name"], "left"),
         "relationships": ends.where(F.col("name").isNotNull() & F.col("kind").isin("Association", "Composition", "Specialization")).select(
-            F.col("from").alias("domain"), "name", F.col("to").alias("range"), F.col("kind").alias("relationshipType"), *[v for v in VALUES if v not in ("type", "dataType")]
+            "model", F.col("from").alias("domain"), "name", F.col("to").alias("range"), F.col("kind").alias("relationshipType"), *[v for v in VALUES if v not in ("type", "dataType")]
         ),
-        "hierarchies": ends.where("kind = 'Specialization'").select(F.col("from").alias("subClass"), F.col("to").alias("superClass"), F.col("_identifier").alias("relationshipId"), F.col("name").alias("relationshipName")),
+        "hierarchies": ends.where("kind = 'Specialization'").select("model", F.col("from").alias("subClass"), F.col("to").alias("superClass"), F.col("_identifier").alias("relationshipId"), F.col("name").alias("relationshipName")),
     }

@@ -29,6 +29,9 @@ def sniff(name: Column, content_type: Column, text: Column) -> Column:
 
 
 def inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, length, content) of the files below ``path`` up to the size limit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_BYTES)
-    return files.select("path", sniff(F.col("path"), F.lit(""), F.decode(F.expr("substring(content, 1, 4096)"), "ISO-8859-1")).alias("format"), "length", "content")
+    """(path, format, length, content, error) of the files below ``path``. A file over the size limit is refused: it has an
+    error and no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = F.col("length") > MAX_BYTES
+    head = sniff(F.col("path"), F.lit(""), F.decode(F.expr("substring(content, 1, 4096)"), "ISO-8859-1"))
+    return files.select("path", F.when(~large, head).alias("format"), "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit(f"larger than {MAX_BYTES} bytes")).alias("error"))

@@ -1,72 +1,108 @@
-"""XMI files of UML models as record sets: packages, elements, tags and connectors as tables, joined by their ids."""
+"""XMI files of UML models as record sets: packages, elements, tags and connectors as tables, joined by their ids.
+
+Every record has its file in ``model``; ids and names mean something within their file only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.functions import names as N
 from lexigraph.functions import terms as T
 from lexigraph.operators.hierarchy import closure
 
 TAGS = "array<struct<_name:string,_value:string>>"
 ELEMENT = f"`_xmi:idref` string, `_xmi:type` string, _name string, model struct<_package:string>, properties struct<_stereotype:string>, tags struct<tag:{TAGS}>"
 CONNECTOR = f"`_xmi:idref` string, _name string, source struct<`_xmi:idref`:string>, target struct<`_xmi:idref`:string>, properties struct<_ea_type:string,_stereotype:string>, tags struct<tag:{TAGS}>"
-#: For each field, patterns on a tag's name (lower case) in their order.
-PATTERNS = {
-    "description": [r"z[aá]klad.*popis", r"popis", r"description"],
-    "definition": [r"z[aá]klad.*definice", r"definice", r"definition"],
-    "source": [r"z[aá]klad.*zdroj", r"^(?!.*souvisej).*zdroj", r"^(?!.*related).*source"],
-    "relatedSource": [r"souvisej[ií]c[ií][\s_-]*zdroj", r"related[\s_-]*source"],
-    "alternativeName": [r"alternativn[ií]\s+n[aá]zev", r"alternative.*name"],
-    "equivalentConcept": [r"ekvivalentn[ií]\s+pojem", r"equivalent.*concept"],
-    "dataType": [r"datov[ýy]\s+typ", r"data.*type"],
-    "sharedInPPDF": [r"sd[ií]len.*ppdf", r"shared.*ppdf"],
-    "isPublic": [r"^(?!.*neve).*ve[řr]ejn[ýy]", r"public"],
-    "privacyProvision": [r"dokl[aá]daj[ií]c[ií].*neve[řr]ejnost", r"privacy.*provision"],
-    "identifier": [r"identifik[aá]tor", r"identifier"],
-    "agendaCode": [r"agenda.*k[oó]d", r"agenda(?!.*syst[eé]m)"],
-    "agendaSystemCode": [r"agendov[ýy]\s+informa[čc]n[ií]\s+syst[eé]m", r"ais"],
-    "type": [r"\btyp\b", r"type"],
-}
 CLASS_KINDS, PROPERTY_KIND, RELATION_KIND, PACKAGE_KIND = ("typObjektu", "typSubjektu"), "typVlastnosti", "typVztahu", "slovnikyPackage"
+#: What tags are called, field by field, the closest name first. A name holds words that begin with each of the given
+#: beginnings, and none that begins with one after a minus; = asks for the whole word.
+TAG_NAMES = {
+    "description": ["zaklad popis", "popis", "description"],
+    "definition": ["zaklad definice", "definice", "definition"],
+    "source": ["zaklad zdroj -souvis", "zdroj -souvis", "source -related"],
+    "relatedSource": ["souvis zdroj", "related source"],
+    "alternativeName": ["alternativ nazev", "alternative name"],
+    "equivalentConcept": ["ekvivalent pojem", "equivalent concept"],
+    "dataType": ["datovy typ", "data type"],
+    "sharedInPPDF": ["sdilen ppdf", "shared ppdf"],
+    "isPublic": ["verejny -never", "public"],
+    "privacyProvision": ["dokladaj neverejnost", "privacy provision"],
+    "identifier": ["identifikator", "identifier"],
+    "agendaCode": ["agenda kod", "agenda -system"],
+    "agendaSystemCode": ["agendov system", "ais="],
+    "type": ["typ= -datov -obsah", "type= -data -content"],
+    "sharingMethod": ["zpusob sdileni", "sharing method"],
+    "acquisitionMethod": ["zpusob ziskani", "acquisition method"],
+    "contentType": ["typ obsah", "content type"],
+}
+#: The same for the tags of a vocabulary's package.
+PACKAGE_NAMES = {"description": ["popis slovnik", "popis"], "namespace": ["adresa katalog", "namespace"]}
+
+
+def called(name: Column, words: str) -> Column:
+    """Whether a tag's name holds the words; case and marks don't count."""
+    held = F.concat(F.lit(" "), F.regexp_replace(F.lower(T.transliterate(name)), "[^a-z0-9]+", " "), F.lit(" "))
+    tests = [~held.contains(f" {w[1:]}") if w[0] == "-" else held.contains(f" {w[:-1]} " if w[-1] == "=" else f" {w}") for w in words.split()]
+    return reduce(lambda a, b: a & b, tests)
 
 
-def tag_fields(tags: Column) -> list[Column]:
-    """A column a field: the first tag, by pattern and then by place, whose value isn't blank."""
+def tag_fields(tags: Column, names: dict[str, list[str]] = TAG_NAMES) -> list[Column]:
+    """A column a field: the first tag, by closeness of its name and then by place, whose value isn't blank."""
 
-    def first(pattern: str) -> Column:
-        named = F.filter(tags, lambda t: F.lower(t["_name"]).rlike(pattern))
-        return F.get(F.filter(F.transform(named, lambda t: T.clean_tag(t["_value"])), lambda v: v.isNotNull()), 0)
+    def first(words: str) -> Column:
+        values = F.transform(F.filter(tags, lambda t: called(t["_name"], words)), lambda t: T.clean_tag(t["_value"]))
+        return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
-    return [F.coalesce(*map(first, patterns)).alias(field) for field, patterns in PATTERNS.items()]
+    return [F.coalesce(*map(first, closest)).alias(field) for field, closest in names.items()]
 
 
 def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("__file", F.col("_metadata.file_path"))
 
 
-def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The record sets of the vocabulary package: the elements of the first package with the vocabulary stereotype and of
-    the packages in it, without packages that are vocabularies themselves."""
-    raw = _rows(spark, path, "element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull())
-    rows = raw.select(F.col("`_xmi:idref`").alias("id"), F.col("`_xmi:type`").alias("kind"), F.col("_name").alias("name"), F.col("model._package").alias("package"), F.col("properties._stereotype").alias("stereotype"), *tag_fields(F.col("tags.tag")))
-    packages = rows.where("kind = 'uml:Package'")
+def vocabulary_packages(packages: DataFrame) -> DataFrame:
+    """(model, top): the first package with the vocabulary stereotype of each file, in document order."""
     tops = packages.where(F.col("stereotype") == PACKAGE_KIND)
-    first = tops.agg(F.min("id").alias("top"))
-    inner = packages.where(F.coalesce(F.col("stereotype") != PACKAGE_KIND, F.lit(True))).select(F.col("id").alias("child"), F.col("package").alias("parent"))
-    below = closure(inner).join(F.broadcast(first), F.col("parent") == F.col("top")).select(F.col("child").alias("package"))
-    held = rows.where("kind = 'uml:Class'").join(below.union(first).distinct(), "package", "left_semi")
+    return tops.groupBy("model").agg(F.min_by("id", F.struct("place", "id")).alias("top"))
+
+
+def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The record sets of each file's vocabulary package: the elements of the first package with the vocabulary stereotype
+    and of the packages in it, without packages that are vocabularies themselves."""
+    raw = _rows(spark, path, "element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull()).withColumn("place", F.monotonically_increasing_id())
+    tags = F.col("tags.tag")
+    rows = raw.select(
+        F.col("__file").alias("model"), F.col("`_xmi:idref`").alias("id"), F.col("`_xmi:type`").alias("kind"), F.col("_name").alias("name"), F.col("model._package").alias("package"),
+        F.col("properties._stereotype").alias("stereotype"), "place", tags.alias("tags"), *tag_fields(tags),
+    )
+    packages = rows.where("kind = 'uml:Package'").select("model", "id", "name", "package", "stereotype", "place", "tags")
+    first = vocabulary_packages(packages)
+    node = lambda c: F.concat_ws("|", "model", c)
+    inner = packages.where(F.coalesce(F.col("stereotype") != PACKAGE_KIND, F.lit(True))).select(node("id").alias("child"), node("package").alias("parent"))
+    top = first.select(node("top").alias("parent"))
+    below = closure(inner).join(top, "parent", "left_semi").select(F.col("child").alias("__package"))
+    held = rows.where("kind = 'uml:Class'").withColumn("__package", node("package")).join(below.union(top).distinct(), "__package", "left_semi").drop("__package", "tags", "place")
     says_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))
     links = _rows(spark, path, "connector", CONNECTOR).select(
-        F.col("_name").alias("name"), F.col("source.`_xmi:idref`").alias("source_id"), F.col("target.`_xmi:idref`").alias("target_id"),
-        F.coalesce(F.when(F.col("properties._ea_type") != "", F.col("properties._ea_type")), F.col("properties._stereotype")).alias("link"), F.col("properties._stereotype").alias("stereotype"), *tag_fields(F.col("tags.tag")),
+        F.col("__file").alias("model"), F.monotonically_increasing_id().alias("place"), F.col("_name").alias("name"), F.col("source.`_xmi:idref`").alias("source_id"), F.col("target.`_xmi:idref`").alias("target_id"),
+        F.coalesce(F.when(F.col("properties._ea_type") != "", F.col("properties._ea_type")), F.col("properties._stereotype")).alias("link"), F.col("properties._stereotype").alias("stereotype"), *tag_fields(tags),
     )
-    names = held.select("id", F.col("name").alias("end"))
-    ends = links.join(names.select(F.col("id").alias("source_id"), F.col("end").alias("from")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("end").alias("to")), "target_id")
-    domains = ends.where("link = 'Aggregation'").groupBy(F.col("from").alias("name")).agg(F.max("to").alias("domain"))
+    end = lambda ref, name: held.select("model", F.col("id").alias(ref), F.col("name").alias(name))
+    ends = links.join(end("source_id", "from"), ["model", "source_id"]).join(end("target_id", "to"), ["model", "target_id"])
+    domains = ends.where("link = 'Aggregation'").groupBy("model", F.col("from").alias("name")).agg(F.max_by("to", "place").alias("domain"))
+    # Of several connectors between two classes the first tells what is said of their hierarchy.
+    told = F.struct(F.col("name").alias("relationshipName"), "description", "definition", "source")
+    above = ends.where("link = 'Generalization'").groupBy("model", F.col("from").alias("subClass"), F.col("to").alias("superClass")).agg(F.min_by(told, "place").alias("told"))
+    about = packages.join(first, (packages["model"] == first["model"]) & (packages["id"] == first["top"]), "left_semi").select("model", "name", *tag_fields(F.col("tags"), PACKAGE_NAMES))
     return {
+        "vocabulary": about.withColumn("namespace", F.coalesce("namespace", F.concat(F.lit(N.DEFAULT_NS), F.lower("name")))),
         "classes": held.where(F.col("stereotype").isin(*CLASS_KINDS) & ~says_property).withColumn("type", F.when(F.col("stereotype") == "typSubjektu", "Subjekt práva").otherwise("Objekt práva")).drop("kind", "package", "stereotype", "dataType"),
-        "properties": held.where(F.col("stereotype") == PROPERTY_KIND).drop("kind", "package", "stereotype", "type").join(domains, "name", "left"),
-        "relationships": ends.where((F.col("link") == "Association") & (F.col("stereotype") == RELATION_KIND) & F.col("name").isNotNull()).select(F.col("from").alias("domain"), "name", F.col("to").alias("range"), F.col("link").alias("relationshipType"), *[f for f in PATTERNS if f not in ("type", "dataType")]),
-        "hierarchies": ends.where("link = 'Generalization'").select(F.col("from").alias("subClass"), F.col("to").alias("superClass"), F.col("name").alias("relationshipName"), "description", "definition", "source"),
+        "properties": held.where(F.col("stereotype") == PROPERTY_KIND).drop("kind", "package", "stereotype", "type").join(domains, ["model", "name"], "left"),
+        "relationships": ends.where((F.col("link") == "Association") & (F.col("stereotype") == RELATION_KIND) & F.col("name").isNotNull()).select(
+            "model", F.col("from").alias("domain"), "name", F.col("to").alias("range"), F.col("link").alias("relationshipType"), *[f for f in TAG_NAMES if f not in ("type", "dataType")]
+        ),
+        "hierarchies": above.select("model", "subClass", "superClass", "told.*"),
     }

@@ -1,8 +1,5 @@
 """Shapes, reports, hierarchies, sources and streams on small hand-made inputs."""
 
-import io
-import zipfile
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +11,7 @@ from lexigraph.operators import shapes as S
 from lexigraph.plans import lift as L
 from lexigraph.schema import RESULTS, TRIPLES
 from lexigraph.sinks import documents as D
-from lexigraph.sources import rdf, xlsx
+from lexigraph.sources import rdf
 
 O = N.OFN
 
@@ -89,39 +86,6 @@ def test_turtle_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, t.drop("graph_id").collect()), key=str)
 
 
-def test_turtle_syntax():
-    text = '@prefix e: <http://e/> . # note\n@base <http://b/> .\ne:a a e:K ; e:p "x"@cs, 3, true ; e:q [ e:r <y> ] .\n_:n e:p """long\n"text""" .'
-    got = {(s, p, o) for _, s, _, p, o, *_ in rdf.statements(text, "g")}
-    assert ("http://e/a", "http://e/p", "3") in got and ("_:n", "http://e/p", 'long\n"text') in got and ("http://e/a", N.TYPE, "http://e/K") in got
-    node = next(o for s, p, o in got if p == "http://e/q")
-    assert (node, "http://e/r", "http://b/y") in got and len(got) == 7
-
-
-def workbook(path, sheets):
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    b = io.BytesIO()
-    with zipfile.ZipFile(b, "w") as z:
-        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
-        for i, grid in enumerate(sheets.values()):
-            cells = "".join(f'<c r="{chr(65 + c)}{r + 1}" t="{"n" if isinstance(v, float) else "inlineStr"}">' + (f"<v>{v}</v>" if isinstance(v, float) else f"<is><t>{v}</t></is>") + "</c>" for r, row in enumerate(grid) for c, v in enumerate(row) if v is not None)
-            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData><row>{cells}</row></sheetData></worksheet>")
-    path.write_bytes(b.getvalue())
-
-
-def test_workbook(spark, tmp_path):
-    workbook(tmp_path / "a.xlsx", {
-        "Slovník": [["Název slovníku", "Zkouška"]], "Subjekty a objekty práva": [["úvod"], ["Název", "Typ", "Popis pojmu"], [" Řidič ", "Subjekt práva", 5.0], [None, "x"]],
-        "Vlastnosti": [["Název", "Subjekt nebo objekt práva"], ["Jméno", "Řidič"]], "Vztahy": [["Subjekt nebo objekt práva", "Název"], ["Řidič", "řídí", "Vozidlo"]],
-    })
-    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
-    got = xlsx.read_xlsx(spark, str(tmp_path))
-    assert [(r["name"], r["type"], r["description"]) for r in got["classes"].collect()] == [("Řidič", "Subjekt práva", "5")]
-    assert [(r["name"], r["domain"]) for r in got["properties"].collect()] == [("Jméno", "Řidič")]
-    assert [(r["domain"], r["name"], r["range"]) for r in got["relationships"].collect()] == [("Řidič", "řídí", "Vozidlo")]
-    assert [(r["key"], r["value"]) for r in got["vocabulary"].collect()] == [("Název slovníku", "Zkouška")]
-
-
 def joined(path):
     return "".join(p.read_text() for p in sorted(path.glob("part-*")))
 

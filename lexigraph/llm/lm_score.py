@@ -41,7 +41,7 @@ TOP = 128
 CACHE = 300_000
 CHUNK = 4096
 #: Blocks in which a task's weights are sent.
-BLOCKS = 16
+BLOCKS = 64
 
 
 @dataclass

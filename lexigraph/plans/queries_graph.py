@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
 from lexigraph.functions import terms as T
+from lexigraph.operators import concepts as C
 from lexigraph.operators import graph as G
 from lexigraph.operators import hierarchy as H
 from lexigraph.plans import lift as L
@@ -145,36 +146,43 @@ def ssp_simple_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _concepts(tpch.triples(spark, sf_dir), PARTS).distinct()
 
 
-@query(with_graph(f"""SELECT a.s, a.label, d.o AS description, b.o AS source, EXISTS (SELECT 1 FROM t WHERE t.s = a.s AND t.p = '{D}{N.PROVISION}') AS owned, k.o AS kind
-  FROM (SELECT s, o AS label FROM t WHERE p = '{LAB}' AND starts_with(s, '{PARTS}')) a LEFT JOIN t d ON d.s = a.s AND d.p = '{DESC}' LEFT JOIN t b ON b.s = a.s AND b.p = '{SRC}'
-  LEFT JOIN t k ON k.s = a.s AND k.p = '{TY}' AND k.o IN ('{O}{N.PUBLIC}', '{O}{N.NON_PUBLIC}')"""))
+def thesaurus_sql(sql: str) -> str:
+    return f"WITH {tpch.THESAURUS_SQL} {sql}"
+
+
+_ABOUT = " ".join(f"LEFT JOIN (SELECT DISTINCT s, o FROM t WHERE p = '{p}') a{i} ON a{i}.s = c.s" for i, p in enumerate(C.ABOUT.values()))
+
+
+@query(thesaurus_sql(f"""SELECT DISTINCT c.s AS concept, h.o AS thesaurus, {", ".join(f'a{i}.o AS "{v}"' for i, v in enumerate(C.ABOUT))}, m.o AS "modelType", u.o AS "subClassOf",
+    EXISTS (SELECT 1 FROM t x JOIN t y ON x.o = y.s AND y.p = '{N.SKOS}member' WHERE x.p = '{N.DCT}hasPart' AND x.s = h.o AND y.o = c.s) AS "isOwned"
+  FROM (SELECT s FROM t WHERE p = '{TY}' AND o = '{N.SKOS}Concept' AND starts_with(s, '{tpch.THESAURUS}')) c JOIN t h ON h.s = c.s AND h.p = '{N.SKOS}inScheme' {_ABOUT}
+  LEFT JOIN t m ON m.s = c.s AND m.p = '{TY}' AND m.o IN ({", ".join(f"'{C.BASIC}{k}'" for k in C.KINDS)}) LEFT JOIN t u ON u.s = c.s AND u.p = '{N.RDFS}subClassOf'"""))
 def ssp_comprehensive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tpch.triples(spark, sf_dir)
-    x = G.optional(G.optional(_concepts(t, PARTS), G.match(t, "s", DESC, "description")), G.match(t, "s", SRC, "source"))
-    return G.optional(G.bind_exists(x, G.match(t, "s", D + N.PROVISION), "owned"), G.values(G.match(t, "s", TY, "kind"), "kind", O + N.PUBLIC, O + N.NON_PUBLIC))
+    """All that is said of the concepts, with optional facts that multiply and a collection two steps away."""
+    return C.comprehensive(tpch.thesaurus(spark, sf_dir), tpch.THESAURUS)
 
 
-RESTRICT = """r AS (SELECT 'o-' || c_custkey AS s, 'onProperty' AS p, 'n-' || c_nationkey AS o FROM customer UNION ALL SELECT 'o-' || c_custkey, 'someValuesFrom', c_mktsegment FROM customer
-  UNION ALL SELECT 'class-' || (c_custkey % 50), 'subClassOf', 'o-' || c_custkey FROM customer)"""
+@query(thesaurus_sql(f"""SELECT c.s AS concept, c.o AS type, d.o AS domain, r.o AS range FROM t c LEFT JOIN t d ON d.s = c.s AND d.p = '{N.RDFS}domain' LEFT JOIN t r ON r.s = c.s AND r.p = '{N.RDFS}range'
+  WHERE c.p = '{TY}' AND c.o IN ('{C.BASIC}typ-vlastnosti', '{C.BASIC}typ-vztahu') AND starts_with(c.s, '{tpch.THESAURUS}')"""))
+def ssp_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.domains_and_ranges(tpch.thesaurus(spark, sf_dir), tpch.THESAURUS)
 
 
-@query(f"WITH {RESTRICT} SELECT a.s AS class, b.o AS property, c.o AS value FROM r a JOIN r b ON a.o = b.s AND b.p = 'onProperty' JOIN r c ON a.o = c.s AND c.p = 'someValuesFrom' WHERE a.p = 'subClassOf'")
+@query(thesaurus_sql(f"""SELECT DISTINCT c.s AS concept, u.o AS restriction, p.o AS property, k.o AS class FROM t c JOIN t u ON u.s = c.s AND u.p = '{N.RDFS}subClassOf' JOIN t r ON r.s = u.o AND r.p = '{TY}' AND r.o = '{N.OWL}Restriction'
+  JOIN t p ON p.s = u.o AND p.p = '{N.OWL}onProperty' JOIN t k ON k.s = u.o AND k.p = '{N.OWL}onClass' WHERE c.p = '{TY}' AND c.o = '{C.BASIC}typ-vztahu'"""))
 def ssp_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as restrictions: on their nation's property, some values from their segment, of one of fifty classes."""
-    c = read(spark, sf_dir, "customer")
-    node = F.concat(F.lit("o-"), F.col("c_custkey").cast("string"))
-    t = G.union_bag(
-        L.told(c, node, L.fact("onProperty", F.concat(F.lit("n-"), F.col("c_nationkey").cast("string")), L.IRI), L.fact("someValuesFrom", F.col("c_mktsegment"), L.IRI)),
-        L.told(c, F.concat(F.lit("class-"), (F.col("c_custkey") % 50).cast("string")), L.fact("subClassOf", node, L.BNODE)),
-    )
-    return G.also(G.also(G.match(t, "class", "subClassOf", "r"), G.match(t, "r", "onProperty", "property")), G.match(t, "r", "someValuesFrom", "value")).drop("r")
+    return C.restrictions(tpch.thesaurus(spark, sf_dir), tpch.THESAURUS)
+
+
+_ALL_KINDS = ", ".join(f"'{prefix}{k}'" for prefix in (C.BASIC, C.BASIC + "pojem/") for k in C.KINDS)
 
 
-@query("SELECT DISTINCT n_name AS sub, r_name AS super FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
+@query(thesaurus_sql(f"""SELECT c.s AS child, x.o AS "childLabel", c.o AS parent, y.o AS "parentLabel", k.o AS "elementType" FROM t c JOIN t k ON k.s = c.s AND k.p = '{TY}' AND k.o IN ({_ALL_KINDS})
+  LEFT JOIN t x ON x.s = c.s AND x.p = '{LAB}' LEFT JOIN t y ON y.s = c.o AND y.p = '{LAB}'
+  WHERE c.p = '{N.RDFS}subClassOf' AND NOT starts_with(c.o, '_:') AND (EXISTS (SELECT 1 FROM t e WHERE e.s = c.o AND e.p = '{TY}' AND e.o = k.o) OR starts_with(c.o, '{C.BASIC}pojem/'))"""))
 def ssp_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specialisations among the nodes that themselves have something below them."""
-    h = tpch.hierarchies(spark, sf_dir).select(F.col("subClass").alias("sub"), F.col("superClass").alias("super"))
-    return G.where_exists(h, h.select(F.col("super").alias("sub"))).distinct()
+    """Specialisations below a parent of the same kind or a basic concept, with labels where there are some."""
+    return C.specializations(tpch.thesaurus(spark, sf_dir), tpch.THESAURUS)
 
 
 @query(with_graph(f"SELECT a.o AS label, b.o AS description, c.o AS agenda FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = '{DESC}' LEFT JOIN t c ON a.s = c.s AND c.p = '{AG}' WHERE a.p = '{LAB}' AND a.s = '{PARTS}1'"))
@@ -183,15 +191,15 @@ def ssp_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.optional(G.optional(G.match(t, "s", LAB, "label"), G.match(t, "s", DESC, "description")), G.match(t, "s", AG, "agenda")).drop("s")
 
 
-HEUR = "CASE WHEN contains(n, 'má') OR contains(n, 'je') OR ends_with(n, 'í') THEN 'vztah' WHEN contains(n, 'name') OR contains(n, 'kód') OR contains(n, 'ing') THEN 'vlastnost' ELSE 'objekt' END"
+_SUGGESTED = f"""CASE WHEN {" OR ".join([f"contains(n, '{x}')" for x in C.RELATION_PARTS] + [f"ends_with(n, '{x}')" for x in C.RELATION_ENDS])} THEN 'typ-vztahu'
+  WHEN {" OR ".join([f"starts_with(n, '{x}')" for x in C.PROPERTY_STARTS] + [f"contains(n, '{x}')" for x in C.PROPERTY_PARTS])} OR list_has_any(regexp_split_to_array(n, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), {C.PROPERTY_WORDS}) THEN 'typ-vlastnosti' ELSE 'typ-objektu' END"""
 
 
-@query(f"SELECT p_partkey, {HEUR} AS kind FROM (SELECT p_partkey, lower(p_name) AS n FROM part)")
+@query(thesaurus_sql(f"""SELECT DISTINCT l.s AS concept, coalesce(k.o, '{C.BASIC}pojem/' || {_SUGGESTED}) AS type
+  FROM (SELECT s, nfc_normalize(lower(o)) AS n FROM t WHERE p = '{LAB}') l LEFT JOIN t k ON k.s = l.s AND k.p = '{TY}' AND k.o IN ({_ALL_KINDS})"""))
 def ssp_heuristic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of untyped concepts by words in their names; a relation's words count before a property's."""
-    n = F.lower("p_name")
-    kind = F.when(n.contains("má") | n.contains("je") | n.endswith("í"), "vztah").when(n.contains("name") | n.contains("kód") | n.contains("ing"), "vlastnost").otherwise("objekt")
-    return read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+    """Kinds of the concepts, and of those without one the kind that words and endings of the name suggest."""
+    return C.concept_types(tpch.thesaurus(spark, sf_dir), tpch.THESAURUS)
 
 
 @query(with_graph(f"SELECT s, CASE o WHEN '{O}{N.SUBJECT_TYPE}' THEN 'Subjekt práva' ELSE 'Objekt práva' END AS type, 'class' AS record FROM t WHERE p = '{TY}' AND o IN ('{O}{N.SUBJECT_TYPE}', '{O}{N.OBJECT_TYPE}')"))

@@ -77,6 +77,52 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.class_triples(classes(spark, sf_dir), graph_id="tpch", more=[L.fact(N.DEFAULT_NS + N.PPDF, flag, L.LITERAL, N.XSD + "boolean")])
 
 
+THESAURUS = "https://slovník.gov.cz/data/pojem/"
+#: Names of every kind, by turns.
+NAME_WORDS = ["kód ", "má ", "jed", "Název vozu ", "vozidlo ", "číslo-", "Vykonává ", "hodnoty ", "x", "čí", "datum", "Kódy "]
+
+
+def thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as concepts of a thesaurus a nation: labels, notes, kinds, links, restrictions and collections, each for some of them."""
+    k = F.col("s_suppkey")
+    node = lambda n: F.concat(F.lit(THESAURUS + "s-"), n.cast("string"))
+    scheme, basic = F.concat(F.lit("https://t/"), F.col("s_nationkey").cast("string")), "https://slovník.gov.cz/základní/"
+    restriction = F.concat(F.lit("_:b"), k.cast("string"))
+    text = lambda prefix, test: F.when(test, F.concat(F.lit(prefix), k.cast("string")))
+    name = F.concat(F.element_at(F.array(*map(F.lit, NAME_WORDS)), (k % len(NAME_WORDS) + 1).cast("int")), F.when(k % 2 == 0, F.col("s_nationkey").cast("string")).otherwise(""))
+    facts = [
+        L.fact(N.TYPE, F.lit(N.SKOS + "Concept"), L.IRI), L.fact(N.SKOS + "inScheme", scheme, L.IRI), L.fact(N.SKOS + "prefLabel", F.when(k % 7 != 0, name)), L.fact(N.SKOS + "definition", text("def ", k % 3 == 0)),
+        L.fact(N.SKOS + "altLabel", text("alt ", k % 5 == 0)), L.fact(N.SKOS + "altLabel", text("other ", k % 5 == 0)), L.fact(N.DCT + "source", text("src ", k % 4 == 1)), L.fact(N.SKOS + "scopeNote", text("note ", k % 6 == 0)),
+        L.fact(N.SKOS + "broader", F.when(k % 8 == 1, node(k + 1)), L.IRI), L.fact(N.SKOS + "narrower", F.when(k % 9 == 0, node(k + 2)), L.IRI), L.fact(N.SKOS + "related", F.when(k % 8 == 0, node(k + 1)), L.IRI),
+        L.fact(N.TYPE, F.when(k % 4 == 0, basic + "typ-objektu").when(k % 4 == 1, basic + "typ-vlastnosti").when(k % 4 == 2, basic + "pojem/typ-vztahu").when(k % 8 == 3, basic + "typ-vztahu"), L.IRI),
+        L.fact(N.RDFS + "subClassOf", F.when(k % 8 == 0, node(k - 4)).when(k % 8 == 4, basic + "pojem/objekt").when(k % 8 == 1, node(k + 1)), L.IRI), L.fact(N.RDFS + "subClassOf", F.when(k % 8 == 3, restriction), L.BNODE),
+        L.fact(N.RDFS + "domain", F.when(k % 4 == 1, node(k % 10)), L.IRI), L.fact(N.RDFS + "range", F.when(k % 8 == 1, node(k % 3)), L.IRI),
+        *[L.fact(p, F.when(k % 8 == 3, o), L.IRI, s=restriction) for p, o in ((N.TYPE, F.lit(N.OWL + "Restriction")), (N.OWL + "onProperty", node(k % 5)), (N.OWL + "onClass", node(k % 6)))],
+        L.fact(N.SKOS + "member", F.when(k % 2 == 0, node(k)), L.IRI, s=F.concat(F.lit("https://c/"), F.col("s_nationkey").cast("string"))),
+    ]
+    parts = L.told(read(spark, sf_dir, "nation"), F.concat(F.lit("https://t/"), F.col("n_nationkey").cast("string")), L.fact(N.DCT + "hasPart", F.concat(F.lit("https://c/"), F.col("n_nationkey").cast("string")), L.IRI))
+    return L.told(read(spark, sf_dir, "supplier"), node(k), *facts).unionByName(parts)
+
+
+def _thesaurus_sql() -> str:
+    basic, node = "https://slovník.gov.cz/základní/", lambda n: f"'{THESAURUS}s-' || ({n})"
+    words = "[" + ", ".join(f"'{w}'" for w in NAME_WORDS) + "]"
+    facts = [
+        ("TRUE", None, N.TYPE, f"'{N.SKOS}Concept'"), ("TRUE", None, N.SKOS + "inScheme", "'https://t/' || n"), ("k % 7 <> 0", None, N.SKOS + "prefLabel", f"{words}[k % {len(NAME_WORDS)} + 1] || CASE WHEN k % 2 = 0 THEN n::VARCHAR ELSE '' END"),
+        ("k % 3 = 0", None, N.SKOS + "definition", "'def ' || k"), ("k % 5 = 0", None, N.SKOS + "altLabel", "'alt ' || k"), ("k % 5 = 0", None, N.SKOS + "altLabel", "'other ' || k"), ("k % 4 = 1", None, N.DCT + "source", "'src ' || k"),
+        ("k % 6 = 0", None, N.SKOS + "scopeNote", "'note ' || k"), ("k % 8 = 1", None, N.SKOS + "broader", node("k + 1")), ("k % 9 = 0", None, N.SKOS + "narrower", node("k + 2")), ("k % 8 = 0", None, N.SKOS + "related", node("k + 1")),
+        ("k % 4 <> 3", None, N.TYPE, f"'{basic}' || ['typ-objektu', 'typ-vlastnosti', 'pojem/typ-vztahu'][k % 4 + 1]"), ("k % 8 = 3", None, N.TYPE, f"'{basic}typ-vztahu'"), ("k % 8 = 0", None, N.RDFS + "subClassOf", node("k - 4")),
+        ("k % 8 = 4", None, N.RDFS + "subClassOf", f"'{basic}pojem/objekt'"), ("k % 8 = 1", None, N.RDFS + "subClassOf", node("k + 1")), ("k % 8 = 3", None, N.RDFS + "subClassOf", "'_:b' || k"), ("k % 4 = 1", None, N.RDFS + "domain", node("k % 10")),
+        ("k % 8 = 1", None, N.RDFS + "range", node("k % 3")), ("k % 8 = 3", "'_:b' || k", N.TYPE, f"'{N.OWL}Restriction'"), ("k % 8 = 3", "'_:b' || k", N.OWL + "onProperty", node("k % 5")), ("k % 8 = 3", "'_:b' || k", N.OWL + "onClass", node("k % 6")),
+        ("k % 2 = 0", "'https://c/' || n", N.SKOS + "member", node("k")),
+    ]
+    rows = [f"SELECT {s or node('k')} AS s, '{p}' AS p, {o} AS o FROM x WHERE {test}" for test, s, p, o in facts]
+    return "x AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),\nt AS (" + "\n UNION ALL ".join([*rows, f"SELECT 'https://t/' || n_nationkey, '{N.DCT}hasPart', 'https://c/' || n_nationkey FROM nation"]) + ")"
+
+
+#: The thesaurus in SQL: WITH t.
+THESAURUS_SQL = _thesaurus_sql()
+
 #: The same class records and triples in SQL, for the comparisons: WITH c, t.
 GRAPH_SQL = f"""
 c AS (

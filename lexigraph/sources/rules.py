@@ -1,16 +1,18 @@
 """Constraint shapes from Turtle files. The files are small and are read on the driver; what they ask is checked by joins.
 
-A node shape has targets, a severity, a message, property shapes and alternatives (sh:or). Shapes whose constraint is
-query text are taken over only where their IRI is that of a rule of the profile; others are named in ``skipped``.
+A node shape has targets, a severity, a message, property shapes with their own, sh:closed, and sh:or, sh:and, sh:xone,
+sh:not and sh:node over other shapes. Shapes whose constraint is query text are taken over only where their IRI is that
+of a rule of the profile. Whatever else a shape holds is named in ``skipped``, and so are paths that aren't one predicate.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
@@ -33,6 +35,8 @@ class Check:
     component: str
     values: list[str]
     flags: str = ""
+    severity: str | None = None  # of the property shape, where it has one of its own
+    message: str | None = None
 
 
 @dataclass
@@ -42,7 +46,8 @@ class NodeShape:
     message: str = ""
     targets: list[tuple[str, str]] = field(default_factory=list)
     checks: list[Check] = field(default_factory=list)
-    alternatives: list[list[Check]] = field(default_factory=list)
+    logic: list[tuple[str, list[list[Check]]]] = field(default_factory=list)  # or, and, xone, not or node, and the shapes' checks
+    closed: list[str] | None = None  # the predicates that a closed shape allows
     rule: str | None = None  # key of a rule of the profile
 
 
@@ -58,6 +63,11 @@ COMPONENTS = [
 ]
 
 
+TARGETS = ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf")
+#: What a shape may hold besides components.
+PLAIN = {SH + x for x in ("path", "flags", "severity", "message", "property", "name", "description", "order", "group", "deactivated", "prefixes")}
+
+
 def load_rules(spark: SparkSession, path: str) -> RuleSet:
     """The node shapes of the Turtle files at ``path``."""
     told: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
@@ -74,29 +84,51 @@ def load_rules(spark: SparkSession, path: str) -> RuleSet:
             node = told[node][N.RDF + "rest"][0]
         return out
 
-    def checks(node: str) -> list[Check]:
+    skipped: list[str] = []
+
+    def leave(shape: str, what: str) -> None:
+        skipped.append(f"{shape}: {what.removeprefix(SH)}")
+
+    def checks(node: str, shape: str) -> list[Check]:
+        """Of a property shape, or of a shape within another by its property shapes."""
         held, path = told[node], told[node].get(SH + "path", [""])[0]
-        out = []
-        for c in COMPONENTS:
-            for v in held.get(SH + c, []):
-                out.append(Check(path, c, items(v) if c in ("in", "languageIn") else [v], "".join(held.get(SH + "flags", []))))
+        if path.startswith("_:"):
+            leave(shape, "path")
+            return []
+        severity = SEVERITIES.get(next(iter(held.get(SH + "severity", [])), ""))
+        message = next(iter(sorted(held.get(SH + "message", []))), None)
+        out = [Check(path, c, items(v) if c in ("in", "languageIn") else [v], "".join(held.get(SH + "flags", [])), severity, message) for c in (COMPONENTS if path else ()) for v in held.get(SH + c, [])]
+        out += [c for p in held.get(SH + "property", []) for c in checks(p, shape)]
+        known = PLAIN | ({SH + c for c in COMPONENTS} if path else set())
+        for p in sorted(held):
+            if p.startswith(SH) and p not in known:
+                leave(shape, p)
         return out
 
     known = {r.iri: k for k, r in S.RULES.items()}
-    shapes, skipped = [], []
+    shapes = []
     for s in sorted(told):
         held = told[s]
-        if SH + "NodeShape" not in held.get(N.TYPE, []):
+        if SH + "NodeShape" not in held.get(N.TYPE, []) or "true" in held.get(SH + "deactivated", []):
             continue
         shape = NodeShape(s, SEVERITIES.get(next(iter(held.get(SH + "severity", [])), ""), "ERROR"), next(iter(sorted(held.get(SH + "message", []))), ""))
-        shape.targets = [(kind, v) for kind in ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf") for v in held.get(SH + kind, [])]
+        shape.targets = [(kind, v) for kind in TARGETS for v in held.get(SH + kind, [])]
         if SH + "sparql" in held or SH + "select" in held:
             shape.rule = known.get(s)
             if shape.rule is None:
-                skipped.append(s)
+                leave(s, "a query")
                 continue
-        shape.checks = [c for p in held.get(SH + "property", []) for c in checks(p)]
-        shape.alternatives = [[*checks(x), *[c for p in told[x].get(SH + "property", []) for c in checks(p)]] for lst in held.get(SH + "or", []) for x in items(lst)]
+        shape.checks = [c for p in held.get(SH + "property", []) for c in checks(p, s)]
+        for kind in ("or", "and", "xone"):
+            shape.logic += [(kind, [checks(x, s) for x in items(lst)]) for lst in held.get(SH + kind, [])]
+        for kind in ("not", "node"):
+            shape.logic += [(kind, [checks(x, s)]) for x in held.get(SH + kind, [])]
+        if "true" in held.get(SH + "closed", []):
+            own = [path for p in held.get(SH + "property", []) for path in told[p].get(SH + "path", [])]
+            shape.closed = own + [x for lst in held.get(SH + "ignoredProperties", []) for x in items(lst)]
+        for p in sorted(held):
+            if p.startswith(SH) and p not in PLAIN | {SH + x for x in (*TARGETS, "or", "and", "xone", "not", "node", "closed", "ignoredProperties", "sparql", "select")}:
+                leave(s, p)
         shapes.append(shape)
     return RuleSet(shapes, skipped)
 
@@ -114,17 +146,24 @@ def targets_of(triples: DataFrame, shape: NodeShape) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct() if parts else triples.select("s").limit(0)
 
 
+def _number(c: Check) -> float:
+    return float(c.values[0])
+
+
+#: Components that test the values of a path one by one, as expressions over a triple.
+VALUE_TESTS: dict[str, Callable[[Check], Column]] = {
+    "datatype": lambda c: F.col("o_dt") == c.values[0], "nodeKind": lambda c: F.col("o_kind").isin(*KINDS[c.values[0]]), "pattern": lambda c: F.col("o").rlike(f"(?{c.flags}){c.values[0]}" if c.flags else c.values[0]),
+    "minLength": lambda c: F.length("o") >= int(c.values[0]), "maxLength": lambda c: F.length("o") <= int(c.values[0]), "in": lambda c: F.col("o").isin(*c.values), "languageIn": lambda c: F.col("o_lang").isin(*c.values),
+    "minInclusive": lambda c: F.col("o").try_cast("double") >= _number(c), "maxInclusive": lambda c: F.col("o").try_cast("double") <= _number(c),
+    "minExclusive": lambda c: F.col("o").try_cast("double") > _number(c), "maxExclusive": lambda c: F.col("o").try_cast("double") < _number(c),
+}
+
+
 def failing(triples: DataFrame, focus: DataFrame, check: Check) -> DataFrame:
     """(s, value) of the check's violations."""
-    o, v, path = F.col("o"), check.values[0] if check.values else "", check.path
-    number = o.try_cast("double")
-    tests = {
-        "datatype": lambda: F.col("o_dt") == v, "nodeKind": lambda: F.col("o_kind").isin(*KINDS[v]), "pattern": lambda: o.rlike(f"(?{check.flags}){v}" if check.flags else v),
-        "minLength": lambda: F.length(o) >= int(v), "maxLength": lambda: F.length(o) <= int(v), "minInclusive": lambda: number >= float(v), "maxInclusive": lambda: number <= float(v),
-        "minExclusive": lambda: number > float(v), "maxExclusive": lambda: number < float(v), "in": lambda: o.isin(*check.values), "languageIn": lambda: F.col("o_lang").isin(*check.values),
-    }
-    if check.component in tests:
-        return S.values_failing(triples, focus, path, tests[check.component]())
+    v, path = check.values[0] if check.values else "", check.path
+    if check.component in VALUE_TESTS:
+        return S.values_failing(triples, focus, path, VALUE_TESTS[check.component](check))
     return {
         "minCount": lambda: S.count_outside(triples, focus, path, least=int(v)), "maxCount": lambda: S.count_outside(triples, focus, path, most=int(v)), "hasValue": lambda: S.missing_value(triples, focus, path, v),
         "class": lambda: S.values_not_of_class(triples, focus, path, v), "equals": lambda: S.unequal_values(triples, focus, path, v), "disjoint": lambda: S.common_values(triples, focus, path, v),
@@ -134,17 +173,32 @@ def failing(triples: DataFrame, focus: DataFrame, check: Check) -> DataFrame:
 
 
 def validate_with(triples: DataFrame, rules: RuleSet) -> DataFrame:
-    """Results of loaded rules: a row a violating value of a property shape, a row a node where no alternative holds."""
+    """Results of loaded rules: a row a violating value of a property shape or a foreign predicate of a closed one, a row a
+    node where the logic over other shapes isn't met.
+
+    The components that test values one by one share one scan and one join with the focus nodes of their shape."""
     parts = [S.validate(triples, [s.rule for s in rules.shapes if s.rule])]
     for shape in (s for s in rules.shapes if not s.rule):
         focus = targets_of(triples, shape)
+        told = lambda c, shape=shape: (c.severity or shape.severity, c.message or shape.message, shape.iri, F.lit(c.path))
+        by_value = [c for c in shape.checks if c.component in VALUE_TESTS]
+        if by_value:
+            tests = [F.when((F.col("p") == c.path) & ~F.coalesce(VALUE_TESTS[c.component](c), F.lit(False)), F.struct(*[F.lit(x).alias(y) for x, y in zip((c.severity or shape.severity, c.message or shape.message, c.path), ("severity", "message", "path"), strict=True)])) for c in by_value]
+            held = triples.where(F.col("p").isin(*{c.path for c in by_value})).join(focus, "s", "left_semi").select("s", "o", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("f"))
+            parts.append(held.select(F.col("f.severity").alias("severity"), F.col("f.message").alias("message"), F.lit(shape.iri).alias("ruleName"), F.col("s").alias("focusNodeUri"), F.col("f.path").alias("resultPathUri"), F.col("o").alias("value")))
         for c in shape.checks:
-            parts.append(S.results(failing(triples, focus, c), shape.severity, shape.message, shape.iri, F.lit(c.path), F.col("value")))
-        if shape.alternatives:
+            if c.component not in VALUE_TESTS:
+                severity, message, iri, path = told(c)
+                parts.append(S.results(failing(triples, focus, c), severity, message, iri, path, F.col("value")))
+        if shape.closed is not None:
+            parts.append(S.results(S.foreign_predicates(triples, focus, shape.closed), shape.severity, shape.message, shape.iri, F.col("p"), F.col("value")))
+        for kind, branches in shape.logic:
             held = focus
-            for i, branch in enumerate(shape.alternatives):
-                bad = reduce(DataFrame.union, [failing(triples, focus, c).select("s") for c in branch])
+            for i, branch in enumerate(branches):
+                bad = reduce(DataFrame.union, [failing(triples, focus, c).select("s") for c in branch], focus.limit(0))
                 held = G.bind_exists(held, bad, f"fails_{i}")
-            none = reduce(lambda a, b: a & b, [F.col(f"fails_{i}") for i in range(len(shape.alternatives))])
-            parts.append(S.results(held.where(none).select("s"), shape.severity, shape.message, shape.iri))
+            fails = [F.col(f"fails_{i}") for i in range(len(branches))]
+            met = sum((~f).cast("int") for f in fails) if fails else F.lit(0)
+            broken = {"or": met == 0, "and": met < len(fails), "node": met < len(fails), "not": met > 0, "xone": met != 1}[kind]
+            parts.append(S.results(held.where(broken).select("s"), shape.severity, shape.message, shape.iri))
     return reduce(DataFrame.unionByName, parts)

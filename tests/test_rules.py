@@ -22,7 +22,7 @@ e:1 a e:K ; e:a "x" ; e:n 2 . e:2 a e:K ; e:b "z" . e:3 a e:K . e:4 e:a "x", "z"
 def test_rule_files(spark, tmp_path):
     (tmp_path / "a.ttl").write_text(TEXT)
     loaded = rules.load_rules(spark, str(tmp_path))
-    assert loaded.skipped == ["http://e/query"] and [s.rule for s in loaded.shapes if s.rule] == ["agenda-ais"]
+    assert loaded.skipped == ["http://e/query: a query"] and [s.rule for s in loaded.shapes if s.rule] == ["agenda-ais"]
     t = spark.createDataFrame(statements(DATA, "g"), TRIPLES)
     got = sorted((r["severity"], r["focusNodeUri"][-1], (r["resultPathUri"] or "")[-1:], r["value"]) for r in rules.validate_with(t, loaded).collect())
     assert got == sorted([
@@ -30,6 +30,29 @@ def test_rule_files(spark, tmp_path):
     ])
 
 
+LOGIC = f"""
+@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix e: <http://e/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+e:not a sh:NodeShape ; sh:targetNode e:1, e:2 ; sh:not [ sh:property [ sh:path e:a ; sh:minCount 1 ] ] .
+e:xone a sh:NodeShape ; sh:targetNode e:1, e:2, e:3 ; sh:xone ( [ sh:path e:a ; sh:minCount 1 ] [ sh:path e:b ; sh:minCount 1 ] ) .
+e:and a sh:NodeShape ; sh:targetNode e:1, e:3 ; sh:and ( [ sh:path e:a ; sh:minCount 1 ] [ sh:path e:b ; sh:minCount 1 ] ) .
+e:node a sh:NodeShape ; sh:targetNode e:1, e:2 ; sh:node e:other . e:other sh:property [ sh:path e:a ; sh:maxLength 1 ] .
+e:closed a sh:NodeShape ; sh:targetNode e:1, e:3 ; sh:closed true ; sh:ignoredProperties ( <{N.TYPE}> ) ; sh:property [ sh:path e:a ; sh:minLength 1 ; sh:severity sh:Info ; sh:message "own" ] .
+e:off a sh:NodeShape ; sh:targetNode e:1 ; sh:deactivated true ; sh:property [ sh:path e:a ; sh:maxCount 0 ] .
+e:more a sh:NodeShape ; sh:targetNode e:1 ; sh:property [ sh:path [ sh:inversePath e:a ] ; sh:minCount 1 ] ; sh:property [ sh:path e:a ; sh:qualifiedValueShape e:other ; sh:qualifiedMinCount 1 ; sh:maxCount 9 ] .
+"""
+
+
+def test_logic_and_what_is_skipped(spark, tmp_path):
+    (tmp_path / "l.ttl").write_text(LOGIC)
+    loaded = rules.load_rules(spark, str(tmp_path))
+    assert loaded.skipped == ["http://e/more: path", "http://e/more: qualifiedMinCount", "http://e/more: qualifiedValueShape"]
+    t = spark.createDataFrame(statements("@prefix e: <http://e/> . e:1 a e:K ; e:a 'xx', '' . e:2 e:b 'y' . e:3 e:a 'x' ; e:b 'y' ; e:c 'z' .", "g"), TRIPLES)
+    got = sorted((r["ruleName"][9:], r["focusNodeUri"][-1], r["severity"], r["message"]) for r in rules.validate_with(t, loaded).collect())
+    assert got == [
+        ("and", "1", "ERROR", ""), ("closed", "1", "INFO", "own"), ("closed", "3", "ERROR", ""), ("closed", "3", "ERROR", ""), ("node", "1", "ERROR", ""), ("not", "1", "ERROR", ""), ("xone", "3", "ERROR", ""),
+    ]
+
+
 def test_lists_and_empty_lists():
     got = {(p.split("#")[-1], o) for *_, p, o, _, _, _ in statements("@prefix e: <http://e/> . e:a e:p ( 1 e:b ) ; e:q () .", "g")}
     assert {("first", "1"), ("first", "http://e/b"), ("rest", N.RDF + "nil"), ("http://e/q", N.RDF + "nil")} <= got and len(got) == 6

@@ -125,11 +125,21 @@ def relationship_triples(relationships: DataFrame, lookup: DataFrame, iri: str =
     return told(both, F.col(iri), *facts, lists=shared_lists(F.col(iri), namespace), graph_id=graph_id)
 
 
+#: Names of the kinds of concepts, which no hierarchy is made of.
+ROOTS = ["Subjekt", "Objekt", "Vlastnost"]
+
+
+def sound_edges(hierarchies: DataFrame) -> DataFrame:
+    """Edges with two different ends that aren't blank, no address as parent, and no kind of concept at either end."""
+    child, parent = F.col("subClass"), F.col("superClass")
+    return hierarchies.where(~T.blank(child) & ~T.blank(parent) & (child != parent) & ~parent.rlike("^https?://") & ~child.isin(*ROOTS) & ~parent.isin(*ROOTS))
+
+
 def hierarchy_triples(hierarchies: DataFrame, lookup: DataFrame, property_names: DataFrame | None = None, graph_id: str = "g") -> DataFrame:
     """subClassOf (subPropertyOf where both ends are in ``property_names``) and the profile's own predicate for it.
 
-    Edges need two different ends that aren't blank, no address as parent and a known IRI for either end."""
-    held = hierarchies.where(~T.blank(F.col("subClass")) & ~T.blank(F.col("superClass")) & (F.col("subClass") != F.col("superClass")) & ~F.col("superClass").rlike("^https?://"))
+    Edges must be sound and need a known IRI for either end."""
+    held = sound_edges(hierarchies)
     keys = model_keys(hierarchies, lookup)
     known = lambda name, iri: lookup.select(*keys, F.col("name").alias(name), F.col("iri").alias(iri))
     ends = held.join(known("subClass", "child"), [*keys, "subClass"]).join(known("superClass", "parent"), [*keys, "superClass"])
@@ -206,6 +216,53 @@ def missing_references(properties: DataFrame, classes: DataFrame, field: str = "
     return valid_rows(properties, field).join(classes.select(F.col("name").alias(field)), field, "left_anti")
 
 
+def type_status(kind: Column) -> Column:
+    """Whether a class record's type is VALID, EMPTY_TYPE or INVALID_TYPE."""
+    return F.when(T.blank(kind), "EMPTY_TYPE").when(kind.isin("Objekt práva", "Subjekt práva"), "VALID").otherwise("INVALID_TYPE")
+
+
+def lacking(records: DataFrame, record: str, key: str, *fields: str) -> DataFrame:
+    """(record, id, field) for each of the ``fields`` that a record must have and lacks."""
+    gaps = F.array_compact(F.array(*[F.when(T.blank(F.col(f)), F.lit(f)) for f in fields]))
+    return records.select(F.lit(record).alias("record"), F.col(key).alias("id"), F.explode(gaps).alias("field"))
+
+
+def publicity_conflicts(records: DataFrame) -> DataFrame:
+    """``records`` whose flag and provision contradict each other, with ``conflict``."""
+    flag, told = T.boolean_word(F.col("isPublic")), T.provision(F.col("privacyProvision")).isNotNull()
+    conflict = F.when(flag & told, "public with provision").when(~flag & ~told, "non-public without provision")
+    return records.withColumn("conflict", conflict).where("conflict is not null")
+
+
+def used_kinds(classes: DataFrame) -> DataFrame:
+    """One row: whether some class is a subject, an object, public and not public."""
+    kind = T.public_kind(F.col("isPublic"), F.col("privacyProvision"))
+    some = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    return classes.agg(some(F.col("type").contains("Subjekt"), "subject"), some(F.col("type").contains("Objekt"), "object"), some(T.boolean_word(F.col("isPublic")), "public"), some(kind == N.NON_PUBLIC, "closed"))
+
+
+def described_records(**kinds: DataFrame) -> DataFrame:
+    """(name, kind, description) of the records of all kinds, by the name of the kind."""
+    return G.union_bag(*[k.select("name", F.lit(kind).alias("kind"), "description") for kind, k in kinds.items()])
+
+
+def in_scheme(triples: DataFrame, scheme: str, but: str = N.OFN + N.PROPERTY) -> DataFrame:
+    """Triples that put every concept into the scheme, without those of the type ``but``."""
+    held = G.where_not_exists(G.instances(triples, N.OFN + N.CONCEPT), G.instances(triples, but))
+    return told(held, F.col("s"), fact(N.SKOS + "inScheme", F.lit(scheme), IRI))
+
+
+#: The profile's classes that a graph may use and must declare then.
+BASE_TERMS = [N.OFN + x for x in (N.CONCEPT, N.CLASS, N.RELATION, N.PROPERTY, N.SUBJECT_TYPE, N.OBJECT_TYPE, N.PUBLIC, N.NON_PUBLIC)]
+
+
+def base_schema(triples: DataFrame) -> DataFrame:
+    """Declarations of the profile's classes that the graph uses, and of its own predicates."""
+    kinds = triples.where((F.col("p") == N.TYPE) & F.col("o").isin(*BASE_TERMS)).select(F.col("o").alias("term"), F.lit(N.OWL + "Class").alias("kind"))
+    predicates = triples.where(F.col("p").startswith(N.DEFAULT_NS)).select(F.col("p").alias("term"), F.when(F.col("o_kind") == LITERAL, N.OWL + "DatatypeProperty").otherwise(N.OWL + "ObjectProperty").alias("kind"))
+    return told(kinds.union(predicates).distinct(), F.col("term"), fact(N.TYPE, F.col("kind"), IRI))
+
+
 def used_fields(records: DataFrame, *fields: str) -> DataFrame:
     """(field) for each field that some record fills, in one pass."""
     flags = records.agg(*[F.coalesce(F.bool_or(~T.blank(F.col(f))), F.lit(False)).alias(f) for f in fields])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from functools import reduce
 from xml.sax.saxutils import escape
@@ -17,35 +16,16 @@ from lexigraph.plans import lift as L
 from lexigraph.plans import tpch
 from lexigraph.plans.registry import query
 from lexigraph.plans.tpch import read, with_graph
+from lexigraph.plans.written import COLUMNS, NAMED, shared_folder, turtle_round_trip, with_owners, written
 from lexigraph.sinks import documents as D
 from lexigraph.sources import archimate, rdf, rules, xlsx, xmi
 from lexigraph.streaming import checks
 
 
-def written(lines: DataFrame, name: str) -> str:
-    """Folder of text files with the lines of the one column, in the folder that driver and executors share."""
-    spark = lines.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    lines.write.text(path)
-    return path
-
-
-#: The graph with its blank nodes named by what is said of them, as ``rdf.canonical_blanks`` does.
-NAMED = """also h AS (
-  SELECT s AS b, sha256('>|' || p || '|' || o || '|' || o_kind || '|' || coalesce(o_dt, '') || '|' || coalesce(o_lang, '')) AS h FROM t WHERE s_kind = 'bnode'
-  UNION ALL SELECT o, sha256('<|' || p || '|' || s || '|' || s_kind) FROM t WHERE o_kind = 'bnode'),
-n AS (SELECT b, '_:' || substr(sha256(string_agg(h, ',' ORDER BY h)), 1, 32) AS name FROM h GROUP BY b)
-SELECT coalesce(x.name, s) AS s, s_kind, p, CASE WHEN o_kind = 'bnode' THEN y.name ELSE o END AS o, o_kind, o_dt, o_lang FROM t LEFT JOIN n x ON s = x.b LEFT JOIN n y ON o = y.b"""
-COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
-
-
 @query(with_graph(NAMED))
 def ingest_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of the graph through Turtle: each file holds the prefixes, some concepts and the blank nodes that are theirs."""
-    t = tpch.triples(spark, sf_dir)
-    owner = t.where("o_kind = 'bnode'").select(F.col("o").alias("s"), F.col("s").alias("owner")).dropDuplicates(["s"])
-    blocks = D.turtle_blocks(t).join(owner, "s", "left").repartition(F.coalesce("owner", "s"))
-    return rdf.canonical_blanks(rdf.read_turtle(spark, written(blocks.select(F.concat(F.lit(D.turtle_head()), "block").alias("text")), "turtle"))).select(*COLUMNS)
+    return turtle_round_trip(tpch.triples(spark, sf_dir))
 
 
 @query(with_graph(NAMED))
@@ -57,8 +37,7 @@ def ingest_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     literal = F.concat(F.lit('"'), escaped, F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise(""))
     subject = F.when(F.col("s_kind") == L.IRI, iri(F.col("s"))).otherwise(F.col("s"))
     line = F.concat_ws(" ", subject, iri(F.col("p")), F.when(F.col("o_kind") == L.IRI, iri(F.col("o"))).when(F.col("o_kind") == L.BNODE, F.col("o")).otherwise(literal), F.lit(". # a triple"))
-    owner = t.where("o_kind = 'bnode'").select(F.col("o").alias("s"), F.col("s").alias("owner")).dropDuplicates(["s"])
-    lines = t.join(owner, "s", "left").repartition(F.coalesce("owner", "s")).select(line.alias("line"))
+    lines = with_owners(t).repartition("owner").select(line.alias("line"))
     return rdf.canonical_blanks(rdf.read_ntriples(spark, written(lines, "ntriples"))).select(*COLUMNS)
 
 
@@ -66,7 +45,7 @@ def written_files(lines: DataFrame, name: str, head: str, tail: str) -> str:
     """Folder with a text file for each ``file`` of the lines (file, place, line), in the folder that driver and executors share."""
     files = lines.select("file").distinct()
     ends = files.select("file", F.lit(-1).alias("place"), F.lit(head).alias("line")).union(files.select("file", F.lit(1 << 30).alias("place"), F.lit(tail).alias("line")))
-    path = f"{(lines.sparkSession.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(lines.sparkSession, name)
     lines.select("file", "place", "line").union(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "line").write.partitionBy("file").text(path)
     return path
 

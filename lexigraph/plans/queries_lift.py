@@ -12,6 +12,7 @@ from lexigraph.plans import lift as L
 from lexigraph.plans import tpch
 from lexigraph.plans.registry import query
 from lexigraph.plans.tpch import read, with_graph
+from lexigraph.plans.written import NAMED, turtle_round_trip
 
 TY, O, D = N.TYPE, N.OFN, N.DEFAULT_NS
 LAB, DESC = N.SKOS + "prefLabel", N.DCT + "description"
@@ -102,17 +103,12 @@ def lift_required_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_graph("SELECT bool_or(type = 'Subjekt práva') AS subject, bool_or(type = 'Objekt práva') AS object, bool_or(isPublic IN ('ano', 'true')) AS public, bool_or(isPublic = 'ne' OR privacyProvision IS NOT NULL) AS closed FROM c"))
 def lift_required_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = T.public_kind(F.col("isPublic"), F.col("privacyProvision"))
-    return tpch.classes(spark, sf_dir).agg(
-        F.bool_or(F.col("type").contains("Subjekt")).alias("subject"), F.bool_or(F.col("type").contains("Objekt")).alias("object"),
-        F.bool_or(F.lower("isPublic").isin("ano", "true")).alias("public"), F.bool_or(kind == N.NON_PUBLIC).alias("closed"),
-    )
+    return L.used_kinds(tpch.classes(spark, sf_dir))
 
 
-@query(with_graph("SELECT name, 'class' AS kind, description FROM c UNION ALL SELECT n_name, 'property', NULL FROM nation"))
+@query(with_graph("SELECT name, 'class' AS kind, description FROM c UNION ALL SELECT n_name, 'property', NULL FROM nation UNION ALL SELECT o_orderpriority, 'relationship', NULL FROM orders JOIN lineitem ON o_orderkey = l_orderkey"))
 def lift_metadata_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = tpch.classes(spark, sf_dir).select("name", F.lit("class").alias("kind"), "description")
-    return a.unionByName(tpch.properties(spark, sf_dir).select("name", F.lit("property").alias("kind"), "description"))
+    return L.described_records(**{"class": tpch.classes(spark, sf_dir), "property": tpch.properties(spark, sf_dir), "relationship": tpch.relationships(spark, sf_dir)})
 
 
 @query(f"""WITH v AS (SELECT 'e-' || event_id AS s, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS m FROM events),
@@ -138,14 +134,10 @@ def lift_governance_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.told(c, F.col("iri"), *L.governance_facts()).select(*SPO)
 
 
-BASE_TERMS = [N.CONCEPT, N.CLASS, N.RELATION, N.PROPERTY, N.SUBJECT_TYPE, N.OBJECT_TYPE, N.PUBLIC, N.NON_PUBLIC]
-
-
-@query(with_graph("SELECT term FROM (VALUES " + ", ".join(f"('{x}')" for x in BASE_TERMS) + f") v(term) WHERE EXISTS (SELECT 1 FROM t WHERE p = '{TY}' AND o = '{O}' || term)"))
+@query(with_graph(f"SELECT o AS s, '{N.OWL}Class' AS o FROM (SELECT DISTINCT o FROM t WHERE p = '{TY}' AND o IN ({', '.join(repr(x) for x in L.BASE_TERMS)})) UNION ALL SELECT DISTINCT p, CASE o_kind WHEN 'literal' THEN '{N.OWL}DatatypeProperty' ELSE '{N.OWL}ObjectProperty' END FROM t WHERE starts_with(p, '{D}')"))
 def lift_base_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile's classes that the graph uses, and so must declare."""
-    terms = spark.createDataFrame([(x,) for x in BASE_TERMS], "term string").withColumn("o", F.concat(F.lit(O), "term"))
-    return terms.join(tpch.triples(spark, sf_dir).where(F.col("p") == TY).select("o").distinct(), "o", "left_semi").select("term")
+    """Declarations of the profile's classes and predicates that the graph uses."""
+    return L.base_schema(tpch.triples(spark, sf_dir)).select("s", "o")
 
 
 # Filters.
@@ -169,8 +161,7 @@ def filter_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN p_type LIKE '%BRASS' THEN 'VALID' WHEN p_type LIKE '%TIN' THEN 'EMPTY_TYPE' ELSE 'INVALID_TYPE' END AS status, count(*) AS n FROM part GROUP BY ALL")
 def filter_class_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("p_type").endswith("BRASS"), "Objekt práva").when(F.col("p_type").endswith("TIN"), " ").otherwise(F.col("p_type"))
-    status = F.when(T.blank(t), "EMPTY_TYPE").when(t.isin("Objekt práva", "Subjekt práva"), "VALID").otherwise("INVALID_TYPE")
-    return read(spark, sf_dir, "part").select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "part").select(L.type_status(t).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 RENAMED = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.PUBLISHED.items()) + " ELSE p END"
@@ -181,12 +172,12 @@ def filter_namespace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_triples(tpch.triples(spark, sf_dir), tpch.BASE + "part-").select("s", "p", "o", "o_lang")
 
 
-@query("SELECT record, id FROM (SELECT 'order' AS record, o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0 UNION ALL SELECT 'part', p_partkey FROM part WHERE p_size % 3 = 0)")
+@query("SELECT record, id, field FROM (SELECT 'order' AS record, o_orderkey AS id, 'name' AS field FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0 UNION ALL SELECT 'part', p_partkey, 'type' FROM part WHERE p_size % 3 = 0)")
 def filter_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that lack a field they must have, as rows instead of an abort."""
-    o = read(spark, sf_dir, "orders").select(F.lit("order").alias("record"), F.col("o_orderkey").alias("id"), F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0), " ").otherwise("x").alias("f"))
-    p = read(spark, sf_dir, "part").select(F.lit("part").alias("record"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("f"))
-    return o.unionByName(p).where(T.blank(F.col("f"))).select("record", "id")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0), " ").otherwise("x").alias("name"))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("type"))
+    return L.lacking(o, "order", "o_orderkey", "name").unionByName(L.lacking(p, "part", "p_partkey", "name", "type"))
 
 
 @query("SELECT c_name AS \"subClass\", n_name AS \"superClass\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 > 1")
@@ -195,12 +186,12 @@ def filter_hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     k = F.col("c_custkey") % 4
     h = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("subClass"), F.when(k == 0, F.col("c_name")).when(k == 1, "https://x.example/y").otherwise(F.col("n_name")).alias("superClass"))
-    return h.where(~T.blank(F.col("superClass")) & (F.col("subClass") != F.col("superClass")) & ~F.col("superClass").rlike("^https?://"))
+    return L.sound_edges(h)
 
 
-@query(with_graph(f"SELECT DISTINCT o AS term, o IN ({', '.join(repr(O + x) for x in BASE_TERMS)}) AS base FROM t WHERE p = '{TY}'"))
+@query(with_graph(f"SELECT DISTINCT o AS term, o IN ({', '.join(map(repr, L.BASE_TERMS))}) AS base FROM t WHERE p = '{TY}'"))
 def filter_base_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tpch.triples(spark, sf_dir).where(F.col("p") == TY).select(F.col("o").alias("term")).distinct().withColumn("base", F.col("term").isin(*[O + x for x in BASE_TERMS]))
+    return tpch.triples(spark, sf_dir).where(F.col("p") == TY).select(F.col("o").alias("term")).distinct().withColumn("base", F.col("term").isin(*L.BASE_TERMS))
 
 
 @query("SELECT c_custkey, c_nationkey % 3 < 2 AS allowed FROM customer")
@@ -212,9 +203,7 @@ def filter_governance_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_graph("SELECT iri, CASE WHEN isPublic IN ('ano', 'true') AND privacyProvision IS NOT NULL THEN 'public with provision' WHEN isPublic = 'ne' AND privacyProvision IS NULL THEN 'non-public without provision' END AS conflict FROM c WHERE (isPublic IN ('ano', 'true') AND privacyProvision IS NOT NULL) OR (isPublic = 'ne' AND privacyProvision IS NULL)"))
 def filter_publicity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag, told = T.boolean_word(F.col("isPublic")), T.provision(F.col("privacyProvision")).isNotNull()
-    conflict = F.when(flag & told, "public with provision").when(~flag & ~told, "non-public without provision")
-    return tpch.classes(spark, sf_dir).select("iri", conflict.alias("conflict")).where("conflict is not null")
+    return L.publicity_conflicts(tpch.classes(spark, sf_dir)).select("iri", "conflict")
 
 
 # The published form.
@@ -264,10 +253,10 @@ def export_label_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("s", F.explode("labels").alias("lang", "label"))
 
 
-@query(with_graph(f"SELECT DISTINCT s FROM t WHERE p = '{TY}' AND o = '{O}{N.CONCEPT}' AND s NOT IN (SELECT s FROM t WHERE p = '{TY}' AND o = '{O}{N.PROPERTY}')"))
+@query(with_graph(f"SELECT DISTINCT s, '{N.SKOS}inScheme' AS p, 'https://v' AS o FROM t WHERE p = '{TY}' AND o = '{O}{N.CONCEPT}' AND s NOT IN (SELECT s FROM t WHERE p = '{TY}' AND o = '{O}{N.OBJECT_TYPE}')"))
 def export_inscheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tpch.triples(spark, sf_dir)
-    return G.where_not_exists(G.instances(t, O + N.CONCEPT), G.instances(t, O + N.PROPERTY))
+    """Concepts into the scheme, without those of one type."""
+    return L.in_scheme(tpch.triples(spark, sf_dir), "https://v", O + N.OBJECT_TYPE).select(*SPO)
 
 
 @query("SELECT 'scheme' AS s, unnest(['" + N.SKOS + "ConceptScheme', '" + O + "slovník', 'Regions']) AS o, unnest(['" + TY + "', '" + TY + "', '" + LAB + "']) AS p")
@@ -295,26 +284,35 @@ def export_field_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concept_objects(tpch.triples(spark, sf_dir)).where(F.col("object").rlike(r'^\{"iri":.*"typ":\[.*\],"název":')).agg(F.count("*").alias("concepts"))
 
 
-@query()
+_ONE = " UNION ALL ".join(f"SELECT s, '{field}', o FROM t WHERE p = '{D}{path}'" for field, path in (("agenda", N.AGENDA), ("agendový-informační-systém", N.AIS), ("je-sdílen-v-ppdf", N.PPDF)))
+_TEXTS = " UNION ALL ".join(f"""SELECT s, '{field}', '{{"cs":"' || o || '"}}' FROM t WHERE p = '{path}'""" for field, path in (("název", LAB), ("popis", DESC)))
+
+
+@query(with_graph(f"""SELECT s AS iri, 'iri' AS field, s AS value FROM (SELECT DISTINCT s FROM t WHERE p = '{TY}' AND o = '{O}{N.CONCEPT}')
+  UNION ALL SELECT s, 'typ', '["' || string_agg({LABEL_CASE}, '","' ORDER BY {ORDER_CASE}) || '"]' FROM t WHERE p = '{TY}' AND {LABEL_CASE} IS NOT NULL GROUP BY s
+  UNION ALL {_TEXTS} UNION ALL {_ONE} UNION ALL SELECT s, 'ustanovení-dokládající-neveřejnost-údaje', '["' || o || '"]' FROM t WHERE p = '{D}{N.PROVISION}'
+  UNION ALL SELECT x.s, 'definující-nelegislativní-zdroj', '[{{"typ":"Digitální objekt","název":{{"cs":"' || y.o || '"}}}}]' FROM t x JOIN t y ON x.o = y.s AND y.p = '{N.DCT}title' WHERE x.p = '{D}{N.DEFINING_OTHER}'"""))
 def export_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concepts' objects of the JSON document, taken apart into their fields."""
     from lexigraph.sinks.documents import concept_objects
 
-    return concept_objects(tpch.triples(spark, sf_dir))
+    return concept_objects(tpch.triples(spark, sf_dir)).select("iri", F.explode(F.from_json("object", "map<string,string>")).alias("field", "value"))
 
 
-@query()
+@query(with_graph(f"also u AS (SELECT s, s_kind, {RENAMED} AS p, o, o_kind, o_dt, o_lang FROM t), " + NAMED[4:].replace("FROM t", "FROM u")))
 def export_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexigraph.sinks.documents import turtle_blocks
-
-    return turtle_blocks(L.export_triples(tpch.triples(spark, sf_dir), tpch.BASE))
+    """The published form written as Turtle and read again."""
+    return turtle_round_trip(L.export_triples(tpch.triples(spark, sf_dir), tpch.BASE))
 
 
-@query()
+@query(f"SELECT 'Regions' AS name, '{tpch.BASE}' AS iri, 'Datová sada' AS typ, 'Regions' AS title_en, 'Regions of the driver''s tables' AS text_cs, '{tpch.BASE}' AS access, 'https://www.iana.org/assignments/media-types/application/ld+json' AS media")
 def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a catalogue record, read back from its JSON."""
     from lexigraph.sinks.documents import catalog_record
 
     v = spark.createDataFrame([("Regions", "Regions of the driver's tables", tpch.BASE)], "name string, description string, namespace string")
-    return catalog_record(v)
+    paths = {"iri": "$.iri", "typ": "$.typ", "title_en": "$['název'].en", "text_cs": "$['popis'].cs", "access": "$.distribuce[0]['přístupové_url']", "media": "$.distribuce[0]['typ_média']"}
+    return catalog_record(v).select("name", *[F.get_json_object("record", p).alias(c) for c, p in paths.items()])
 
 
 @query("SELECT r_name AS name, r_name AS title_cs, CASE WHEN r_regionkey % 2 = 0 THEN 'Popis ' || r_name ELSE 'Slovník ' || r_name END AS description_cs FROM region")

@@ -14,20 +14,25 @@ from lexigraph.plans import lift as L
 #: The fields of a concept's object in order, with the predicates they come from.
 TEXT_FIELDS = {"název": N.SKOS + "prefLabel", "popis": N.DCT + "description", "definice": N.SKOS + "definition"}
 ALT_NAME, IDENT = "alternativní-název", "identifikátor"
+#: Predicate (as built, as published) -> field, and whether it is a list.
 IRI_FIELDS = {
-    "ekvivalentní-pojem": [N.SKOS + "exactMatch"],
-    "definující-ustanovení-právního-předpisu": [N.DEFAULT_NS + N.DEFINING_LAW, N.OFN + N.DEFINING_LAW],
-    "související-ustanovení-právního-předpisu": [N.DEFAULT_NS + N.RELATED_LAW, N.OFN + N.RELATED_LAW],
-    "definující-nelegislativní-zdroj": [N.DEFAULT_NS + N.DEFINING_OTHER],
-    "související-nelegislativní-zdroj": [N.DEFAULT_NS + N.RELATED_OTHER],
-    "definiční-obor": [N.RDFS + "domain"],
-    "obor-hodnot": [N.RDFS + "range"],
-    "nadřazená-vlastnost": [N.RDFS + "subPropertyOf"],
-    "nadřazená-třída": [N.RDFS + "subClassOf"],
-    "způsob-sdílení-údaje": [N.GOVERNANCE["sharingMethod"][0]],
-    "způsob-získání-údaje": [N.GOVERNANCE["acquisitionMethod"][0]],
-    "typ-obsahu-údaje": [N.GOVERNANCE["contentType"][0]],
+    "ekvivalentní-pojem": ([N.SKOS + "exactMatch"], True),
+    "definující-ustanovení-právního-předpisu": ([N.DEFAULT_NS + N.DEFINING_LAW, N.OFN + N.DEFINING_LAW], True),
+    "související-ustanovení-právního-předpisu": ([N.DEFAULT_NS + N.RELATED_LAW, N.OFN + N.RELATED_LAW], True),
+    "definiční-obor": ([N.RDFS + "domain"], False),
+    "obor-hodnot": ([N.RDFS + "range"], False),
+    "nadřazená-vlastnost": ([N.RDFS + "subPropertyOf"], True),
+    "nadřazená-třída": ([N.RDFS + "subClassOf"], True),
+    "způsob-sdílení-údaje": ([N.GOVERNANCE["sharingMethod"][0]], True),
+    "způsob-získání-údaje": ([N.GOVERNANCE["acquisitionMethod"][0]], False),
+    "typ-obsahu-údaje": ([N.GOVERNANCE["contentType"][0]], False),
+    "agenda": ([N.DEFAULT_NS + N.AGENDA, N.AGENDA_104 + N.AGENDA_LONG], False),
+    "agendový-informační-systém": ([N.DEFAULT_NS + N.AIS, N.AGENDA_104 + N.AIS_LONG], False),
+    "ustanovení-dokládající-neveřejnost-údaje": ([N.DEFAULT_NS + N.PROVISION, N.LAW_111 + N.PROVISION_LONG], True),
 }
+PPDF_FIELD, PPDF_PATHS = "je-sdílen-v-ppdf", [N.DEFAULT_NS + N.PPDF, N.AGENDA_104 + N.PPDF_LONG]
+#: Fields of sources that are digital objects, and their predicates.
+OBJECT_FIELDS = {"definující-nelegislativní-zdroj": N.DEFAULT_NS + N.DEFINING_OTHER, "související-nelegislativní-zdroj": N.DEFAULT_NS + N.RELATED_OTHER}
 PREFIXES = {"rdf": N.RDF, "rdfs": N.RDFS, "owl": N.OWL, "xsd": N.XSD, "skos": N.SKOS, "dct": N.DCT, "ofn": N.OFN, "čas": N.TIME_NS, "a104": N.AGENDA_104, "l111": N.LAW_111}
 
 
@@ -56,8 +61,8 @@ def type_labels(triples: DataFrame) -> DataFrame:
 def concept_objects(triples: DataFrame) -> DataFrame:
     """(iri, object): each concept as JSON with its fields in the fixed order, empty ones left out, by one aggregation.
 
-    Texts are maps from language to the greatest text; alternative names are lists by language; other fields are sorted
-    lists of IRIs."""
+    Texts are maps from language to the greatest text; alternative names are lists by language; other fields are IRIs, of
+    several the least, or sorted lists of them. Sources that are digital objects stand there with their title and address."""
     p, o = F.col("p"), F.col("o")
     lang = F.coalesce(F.nullif("o_lang", F.lit("")), F.lit("cs"))
     listed = lambda test, v: F.array_sort(F.collect_set(F.when(test, v)))
@@ -65,7 +70,8 @@ def concept_objects(triples: DataFrame) -> DataFrame:
     rows = triples.groupBy("s").agg(
         types.alias("kinds"),
         *[listed((p == path) & (F.col("o_kind") == L.LITERAL) & ~T.blank(o), F.struct(lang.alias("lang"), o.alias("v"))).alias(k) for k, path in (TEXT_FIELDS | {ALT_NAME: N.SKOS + "altLabel"}).items()],
-        *[listed(p.isin(*paths), o).alias(k) for k, paths in IRI_FIELDS.items()],
+        *[listed(p.isin(*paths), o).alias(k) for k, (paths, _) in IRI_FIELDS.items()],
+        F.bool_or(F.when(p.isin(*PPDF_PATHS), F.lower("o").isin("true", "ano"))).alias(PPDF_FIELD),
     )
     rows = rows.where(F.array_contains("kinds", N.OFN + N.CONCEPT))
 
@@ -81,11 +87,27 @@ def concept_objects(triples: DataFrame) -> DataFrame:
     labels = F.filter(F.array(*[F.when(F.array_contains("kinds", N.OFN + k), v) for k, v in N.TYPE_LABELS.items()]), lambda x: x.isNotNull())
     fields = [
         F.col("s").alias("iri"), labels.alias("typ"), by_language(F.col("název")).alias("název"), lists(F.col(ALT_NAME)).alias(ALT_NAME),
-        *[by_language(F.col(k)).alias(k) for k in ("popis", "definice")], *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in IRI_FIELDS],
+        *[by_language(F.col(k)).alias(k) for k in ("popis", "definice")], *[F.col(k) for k in OBJECT_FIELDS],
+        *[(F.when(F.size(k) > 0, F.col(k)) if is_list else F.get(k, 0)).alias(k) for k, (_, is_list) in IRI_FIELDS.items()], F.col(PPDF_FIELD),
     ]
+    rows = rows.join(digital_objects(triples), "s", "left")
     return rows.select(F.col("s").alias("iri"), F.to_json(F.struct(*fields)).alias("object"))
 
 
+def digital_objects(triples: DataFrame) -> DataFrame:
+    """(s, and a list a field of OBJECT_FIELDS): the digital objects that a concept names as sources."""
+    p, o = F.col("p"), F.col("o")
+    title, url = (F.max(F.when(p == path, o)) for path in (N.DCT + "title", N.SCHEMA_URL))
+    told = triples.where(p.isin(N.DCT + "title", N.SCHEMA_URL)).groupBy(F.col("s").alias("o")).agg(title.alias("title"), url.alias("url"))
+    about = F.struct(F.lit("Digitální objekt").alias("typ"), F.when(F.col("title").isNotNull(), F.create_map(F.lit("cs"), "title")).alias("název"), "url")
+    named = triples.where(p.isin(*OBJECT_FIELDS.values())).select("s", "p", "o").join(told, "o").select("s", "p", F.struct(F.coalesce("title", "url").alias("by"), about.alias("about")).alias("x"))
+    # Sorted by title or address; a map can't be compared.
+    order = lambda a, b: F.when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0)
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(p == path, F.col("x"))), order), lambda x: x["about"]).alias(k) for k, path in OBJECT_FIELDS.items()]
+    out = named.groupBy("s").agg(*lists)
+    return out.select("s", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in OBJECT_FIELDS])
+
+
 def jsonld_lines(triples: DataFrame, iri: str, name: str, context: str = "https://ofn.gov.cz/slovníky/draft/kontexty/slovníky.jsonld") -> DataFrame:
     """(place, iri, line): the lines of the whole document, a concept a line. Sorted by place and iri and written as text
     (see write_lines), the part files one after another are the document."""

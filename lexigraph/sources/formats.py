@@ -28,10 +28,16 @@ def sniff(name: Column, content_type: Column, text: Column) -> Column:
     )
 
 
+def charset_of(content: Column) -> Column:
+    """The first of UTF-8, windows-1252 and ISO-8859-2 in which a file's bytes are all defined."""
+    undefined = F.hex(content).rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
+    return F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").when(~undefined, "windows-1252").otherwise("ISO-8859-2")
+
+
 def inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, length, content, error) of the files below ``path``. A file over the size limit is refused: it has an
+    """(path, format, charset, length, content, error) of the files below ``path``. A file over the size limit is refused: it has an
     error and no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     large = F.col("length") > MAX_BYTES
     head = sniff(F.col("path"), F.lit(""), F.decode(F.expr("substring(content, 1, 4096)"), "ISO-8859-1"))
-    return files.select("path", F.when(~large, head).alias("format"), "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit(f"larger than {MAX_BYTES} bytes")).alias("error"))
+    return files.select("path", F.when(~large, head).alias("format"), F.when(~large, charset_of(F.col("content"))).alias("charset"), "length", F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit(f"larger than {MAX_BYTES} bytes")).alias("error"))

@@ -71,7 +71,9 @@ def vocabulary_packages(packages: DataFrame) -> DataFrame:
 
 def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The record sets of each file's vocabulary package: the elements of the first package with the vocabulary stereotype
-    and of the packages in it, without packages that are vocabularies themselves."""
+    and of the packages in it, without packages that are vocabularies themselves.
+
+    Files in another charset than UTF-8 must declare it; ``formats.inputs`` tells the charsets of files."""
     raw = _rows(spark, path, "element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull()).withColumn("place", F.monotonically_increasing_id())
     tags = F.col("tags.tag")
     rows = raw.select(

@@ -165,6 +165,22 @@ def test_large_files_are_refused(spark, tmp_path):
     assert got["a.ttl"] == ("TURTLE", None) and got["b.ttl"][0] is None and "larger" in got["b.ttl"][1]
 
 
+def test_charsets(spark, tmp_path):
+    """Bytes tell their charset, and a model that declares another than UTF-8 is read in it."""
+    name = "Řidič"
+    text = (
+        '<?xml version="1.0" encoding="CHARSET"?><xmi:XMI xmlns:xmi="http://schema.omg.org/spec/XMI/2.1"><element xmi:idref="p" xmi:type="uml:Package" name="V"><properties stereotype="slovnikyPackage"/></element>'
+        f'<element xmi:idref="e" xmi:type="uml:Class" name="{name}"><model package="p"/><properties stereotype="typSubjektu"/></element></xmi:XMI>'
+    )
+    for folder, charset, written in (("u", "UTF-8", name), ("l", "ISO-8859-2", name + "\x8d"), ("w", "windows-1252", "café")):
+        (tmp_path / folder).mkdir()
+        path = str(tmp_path / folder)
+        (tmp_path / folder / "m.xml").write_bytes(text.replace(name, written).replace("CHARSET", charset).encode(charset))
+        assert [r["charset"] for r in formats.inputs(spark, path).collect()] == [charset]
+        if folder != "l":  # its control character isn't allowed in XML
+            assert [r["name"] for r in xmi.read_xmi(spark, path)["classes"].collect()] == [written]
+
+
 def test_long_iris(spark, tmp_path):
     long = N.OFN + "x" * 12_000
     t = spark.createDataFrame([("g", "https://a.example/x", "iri", long, long, "iri", None, None)], TRIPLES)

@@ -17,7 +17,8 @@ MIN_LANGUAGE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with a recognised language; texts without letters and undecided ones go."""
+    """Keeps the documents with a recognised language; null, empty and letterless texts and undecided ones go. Null ids and
+    repeated rows stay; an empty table gives an empty one."""
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))
     kept = identify_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE))
     return kept.select(*docs.columns)
@@ -25,22 +26,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that many sources share out of the texts; n_chars follows the text. Texts without a line of
-    their own are copies of documents and are left to the next stage."""
+    their own are copies of documents and are left to the next stage. Every row stays, null sources are one source."""
     return line_dedup(docs, spare_whole=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, the one with the least id."""
+    """Keeps one document of each class of near-duplicates, the one with the least id, and of rows alike in id and text one;
+    rows with a null id and texts without words stay."""
     return drop_near_duplicates(docs)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item; null and empty texts and, with an empty benchmark, all stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size, their source's size and target, and the words taken."""
+    """The documents that the mix takes, with their size, their source's size and target, and the words taken. Texts without
+    words are never taken; null sources are one source, the last."""
     return mix_sources(docs).where("taken > 0")
 
 

@@ -725,3 +725,18 @@ def test_pipeline_stages(spark, sf_dir):
     before, after = seen["decontamination"]
     assert ids(after) == {r["doc_id"] for r in decontaminate(before, table(spark, sf_dir, "benchmark")).where("n_hit = 0").collect()}
     assert P.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_odd_rows(spark, sf_dir, odd):
+    """Null, empty, very long and repeated texts, null ids, clashing columns, and an empty table, through all stages."""
+    import corpus_pipeline as P
+
+    clash = odd.withColumns({c: F.lit("old") for c in ("line", "at", "w", "pos", "term", "win", "root", "row", "score", "lang_pred", "n_words", "size_", "salt", "model")})
+    for docs in (clash, odd.limit(0)):
+        left, some = docs, docs is clash
+        for name, stage in P.STAGES:
+            out = stage(spark, left, sf_dir)
+            assert len(out.columns) == len(set(out.columns)) and (name == "mixing" or out.columns == docs.columns)
+            assert name == "near_dedup" or not some or out.where("line <> 'old' or salt <> 'old'").count() == 0
+            left = out.persist()
+            assert (left.count() > 0) == some

@@ -211,6 +211,19 @@ def without_filtered(records: DataFrame, lookup: DataFrame, pattern: str, own: s
     return out.select(*records.columns)
 
 
+def filter_counts(records: DataFrame, lookup: DataFrame, pattern: str, own: str = "identifier", references: tuple[str, ...] = (), softened: tuple[str, ...] = ()) -> DataFrame:
+    """(reason, n): how many records ``without_filtered`` drops for their identifier or else for a reference, and how many
+    references of the others it empties, by the name of the field."""
+    hit = lambda c: F.coalesce(c.rlike(f"^(?:{pattern})$"), F.lit(False))
+    out, gone, counts = records, hit(F.col(own)), [F.count_if(hit(F.col(own))).alias(own)]
+    for i, ref in enumerate((*references, *softened)):
+        out = out.join(lookup.select(F.col("name").alias(ref), F.col("identifier").alias(f"__id{i}")), ref, "left")
+        bad = hit(F.coalesce(f"__id{i}", ref))
+        counts.append(F.count_if(~gone & bad).alias(ref))
+        gone = gone | bad if ref in references else gone
+    return out.agg(*counts).unpivot([], [own, *references, *softened], "reason", "n")
+
+
 def missing_references(properties: DataFrame, classes: DataFrame, field: str = "domain") -> DataFrame:
     """Records whose domain isn't the name of a class."""
     return valid_rows(properties, field).join(classes.select(F.col("name").alias(field)), field, "left_anti")

@@ -158,6 +158,15 @@ def filter_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.without_filtered(p, lookup, ".*-1[0-9]", softened=("domain",)).select("name", "domain")
 
 
+@query(f"""WITH k AS (SELECT regexp_full_match('{tpch.BASE}nation-' || n_nationkey, '.*-1[0-9]') AS own, r_name = 'ASIA' AS a, r_name = 'AFRICA' AS b, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+  SELECT 'identifier' AS reason, count(*) FILTER (own) AS n FROM k UNION ALL SELECT 'domain', count(*) FILTER (NOT own AND a) FROM k UNION ALL SELECT 'superProperty', count(*) FILTER (NOT own AND NOT a AND n_name LIKE '%A') FROM k""")
+def filter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many properties a filter drops, by reason, and how many references it empties."""
+    p = tpch.properties(spark, sf_dir).withColumn("superProperty", F.when(F.col("name").endswith("A"), "x-19"))
+    lookup = read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.when(F.col("r_name") == "ASIA", "x-12").otherwise("x-2").alias("identifier"))
+    return L.filter_counts(p, lookup, ".*-1[0-9]", references=("domain",), softened=("superProperty",))
+
+
 @query("SELECT CASE WHEN p_type LIKE '%BRASS' THEN 'VALID' WHEN p_type LIKE '%TIN' THEN 'EMPTY_TYPE' ELSE 'INVALID_TYPE' END AS status, count(*) AS n FROM part GROUP BY ALL")
 def filter_class_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("p_type").endswith("BRASS"), "Objekt práva").when(F.col("p_type").endswith("TIN"), " ").otherwise(F.col("p_type"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexigraph.llm import contamination, html, language, lines, lm_score, mixing, near_dup, quality, toxicity, urls
+from lexigraph.llm import audit, contamination, html, language, lines, lm_score, mixing, near_dup, quality, substrings, toxicity, urls, whitening
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_html_extraction": html.op10_html_extraction,
+    "op11_substring_dedup": substrings.op11_substring_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_filter_audit": audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,6 @@ SQL = {
     "op5_quality_rules": quality.OP5_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_substring_dedup": substrings.OP11_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }

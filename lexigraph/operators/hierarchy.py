@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds of a closure; as each doubles the paths' length, no hierarchy is deeper.
 MAX_DEPTH = 50
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (a local one only where none is set), so that plans stay small and lost executors cost one round."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; only a session on one machine may do without, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that plans stay small and lost executors cost one round."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(child, parent) over paths of any length, each pair once. Rounds double the paths' length; cycles end by themselves."""
-    paths = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct())
+    paths = cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct())
     size = paths.count()
     for _ in range(MAX_DEPTH):
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"))
-        grown = _cut(paths.union(longer).distinct())
+        grown = cut(paths.union(longer).distinct())
         more = grown.count()
         if more == size:
             return paths
@@ -46,7 +60,7 @@ def inherited_domains(properties: DataFrame, hierarchies: DataFrame) -> DataFram
     links = hierarchies.select(F.col("subClass").alias("name"), F.col("superClass").alias("super")).distinct()
     while True:
         ups = links.join(own.where("domain is not null").withColumnRenamed("name", "super"), "super").groupBy("name").agg(F.min("domain").alias("found"))
-        filled = _cut(own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
+        filled = cut(own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
         if filled.where("new").limit(1).count() == 0:
             break
         own = filled.drop("new")

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.operators.hierarchy import shared_dir
 from lexigraph.sinks import documents as D
 from lexigraph.sources import rdf
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; a local one only where the session names none, as in tests."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(lines: DataFrame, name: str) -> str:

@@ -1,204 +1,177 @@
-"""Constraint shapes from Turtle files. The files are small and are read on the driver; what they ask is checked by joins.
+"""Constraint shapes from Turtle files. The files are small and are read on the driver; what they ask is checked by joins
+(``operators/shacl.py``).
 
-A node shape has targets, a severity, a message, property shapes with their own, sh:closed, and sh:or, sh:and, sh:xone,
-sh:not and sh:node over other shapes. Shapes whose constraint is query text are taken over only where their IRI is that
-of a rule of the profile. Whatever else a shape holds is named in ``skipped``, and so are paths that aren't one predicate.
+Every subject with a target is a shape, with or without a type; a shape with sh:path is a property shape. Shapes whose
+constraint is query text are taken over only where their IRI is that of a rule of the profile. A shape with anything that isn't
+taken over, or that leads back to itself, is left out whole and named in ``skipped``, as half of a shape would give
+other answers. A property shape or branch without a severity or message of its own has those of the shape around it.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lexigraph.functions import names as N
-from lexigraph.operators import graph as G
+from lexigraph.operators import paths as P
 from lexigraph.operators import shapes as S
+from lexigraph.operators.shacl import KINDS, SET_COMPONENTS, SH, VALUE_TESTS, Constraint, Shape, Term, implied_class, validate_shapes
 from lexigraph.sources.rdf import read_turtle
 
-SH = "http://www.w3.org/ns/shacl#"
 #: Largest number of triples that rule files may have.
 MAX_RULE_TRIPLES = 100_000
 SEVERITIES = {SH + "Violation": "ERROR", SH + "Warning": "WARNING", SH + "Info": "INFO"}
-KINDS = {SH + "IRI": ("iri",), SH + "BlankNode": ("bnode",), SH + "Literal": ("literal",), SH + "BlankNodeOrIRI": ("bnode", "iri"), SH + "IRIOrLiteral": ("iri", "literal"), SH + "BlankNodeOrLiteral": ("bnode", "literal")}
-
-
-@dataclass
-class Check:
-    """One component on one path."""
-
-    path: str
-    component: str
-    values: list[str]
-    flags: str = ""
-    severity: str | None = None  # of the property shape, where it has one of its own
-    message: str | None = None
-
-
-@dataclass
-class NodeShape:
-    iri: str
-    severity: str = "ERROR"
-    message: str = ""
-    targets: list[tuple[str, str]] = field(default_factory=list)
-    checks: list[Check] = field(default_factory=list)
-    logic: list[tuple[str, list[list[Check]]]] = field(default_factory=list)  # or, and, xone, not or node, and the shapes' checks
-    closed: list[str] | None = None  # the predicates that a closed shape allows
-    rule: str | None = None  # key of a rule of the profile
+TARGETS = ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf")
+#: Components whose value is one term, and those whose value is a shape or a list of shapes.
+TERMS = {*VALUE_TESTS, *SET_COMPONENTS, "hasValue", "class", "equals", "disjoint"}
+WITHIN, LISTED = ("node", "not", "property"), ("and", "or", "xone")
+QUALIFIED = ("qualifiedValueShape", "qualifiedMinCount", "qualifiedMaxCount", "qualifiedValueShapesDisjoint")
+#: What a shape may hold besides components.
+PLAIN = {"path", "flags", "severity", "message", "name", "description", "order", "group", "deactivated", "prefixes", "defaultValue", "closed", "ignoredProperties", *TARGETS, *QUALIFIED}
 
 
 @dataclass
 class RuleSet:
-    shapes: list[NodeShape]
+    shapes: list[Shape]
     skipped: list[str]
 
 
-COMPONENTS = [
-    "minCount", "maxCount", "datatype", "nodeKind", "pattern", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "in", "hasValue", "class", "equals", "disjoint",
-    "lessThan", "lessThanOrEquals", "uniqueLang", "languageIn",
-]
+class NotTaken(ValueError):
+    """What of a shape isn't taken over."""
 
 
-TARGETS = ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf")
-#: What a shape may hold besides components.
-PLAIN = {SH + x for x in ("path", "flags", "severity", "message", "property", "name", "description", "order", "group", "deactivated", "prefixes")}
+class Reader:
+    """The shapes of one set of triples."""
 
+    def __init__(self, rows: list) -> None:
+        self.told: dict[str, dict[str, list[Term]]] = defaultdict(lambda: defaultdict(list))
+        for r in rows:
+            self.told[r["s"]][r["p"]].append(Term(r["o"], r["o_kind"], r["o_dt"], r["o_lang"]))
 
-def load_rules(spark: SparkSession, path: str) -> RuleSet:
-    """The node shapes of the Turtle files at ``path``."""
-    told: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
-    rows = read_turtle(spark, path).select("s", "p", "o").limit(MAX_RULE_TRIPLES + 1).collect()
-    if len(rows) > MAX_RULE_TRIPLES:
-        raise ValueError("these are too many triples for rules")
-    for r in rows:
-        told[r["s"]][r["p"]].append(r["o"])
+    def held(self, node: str, name: str) -> list[Term]:
+        return self.told[node].get(SH + name, []) if node in self.told else []
 
-    def items(node: str) -> list[str]:
-        out = []
+    def items(self, node: str) -> list[Term]:
+        out, seen = [], set()
         while node != N.RDF + "nil":
-            out += told[node][N.RDF + "first"]
-            node = told[node][N.RDF + "rest"][0]
+            first, rest = (self.told[node].get(N.RDF + x, []) if node in self.told else [] for x in ("first", "rest"))
+            if len(first) != 1 or len(rest) != 1 or node in seen:
+                raise NotTaken("a list that isn't one")
+            seen.add(node)
+            out += first
+            node = rest[0].o
         return out
 
-    skipped: list[str] = []
-
-    def leave(shape: str, what: str) -> None:
-        skipped.append(f"{shape}: {what.removeprefix(SH)}")
-
-    def checks(node: str, shape: str) -> list[Check]:
-        """Of a property shape, or of a shape within another by its property shapes."""
-        held, path = told[node], told[node].get(SH + "path", [""])[0]
-        if path.startswith("_:"):
-            leave(shape, "path")
-            return []
-        severity = SEVERITIES.get(next(iter(held.get(SH + "severity", [])), ""))
-        message = next(iter(sorted(held.get(SH + "message", []))), None)
-        out = [Check(path, c, items(v) if c in ("in", "languageIn") else [v], "".join(held.get(SH + "flags", [])), severity, message) for c in (COMPONENTS if path else ()) for v in held.get(SH + c, [])]
-        out += [c for p in held.get(SH + "property", []) for c in checks(p, shape)]
-        known = PLAIN | ({SH + c for c in COMPONENTS} if path else set())
+    def path(self, node: Term, seen: frozenset[str] = frozenset()) -> P.Path:
+        told = self.told.get(node.o, {})
+        if node.kind == "iri":
+            return P.predicate(node.o)
+        if node.kind != "bnode" or node.o in seen:
+            raise NotTaken("path")
+        seen |= {node.o}
+        if N.RDF + "first" in told:
+            return P.sequence(*[self.path(x, seen) for x in self.items(node.o)])
+        one = lambda name: self.path(told[SH + name][0], seen)
+        if SH + "inversePath" in told:
+            return P.inverse(one("inversePath"))
+        if SH + "alternativePath" in told:
+            return P.alternative(*[self.path(x, seen) for x in self.items(told[SH + "alternativePath"][0].o)])
+        for name, make in (("zeroOrMorePath", P.repeated), ("oneOrMorePath", lambda p: P.repeated(p, 1)), ("zeroOrOnePath", P.at_most_once)):
+            if SH + name in told:
+                return make(one(name))
+        raise NotTaken("path")
+
+    def true(self, node: str, name: str) -> bool:
+        return any(t.o in ("true", "1") for t in self.held(node, name))
+
+    def shape(self, node: Term, severity: str = "ERROR", message: str = "", around: tuple[str, ...] = ()) -> Shape:
+        """A shape with all that it refers to; NotTaken tells the first part that can't be taken over."""
+        if node.kind == "literal":
+            raise NotTaken("a literal instead of a shape")
+        if node.o in around:
+            raise NotTaken("recursion")
+        inner, held = (*around, node.o), self.told.get(node.o, {})
+        severity = SEVERITIES.get(next((t.o for t in self.held(node.o, "severity")), ""), severity)
+        message = next(iter(sorted(t.o for t in self.held(node.o, "message"))), message)
+        out = Shape(node.o, severity, message, targets=[(kind, t) for kind in TARGETS for t in self.held(node.o, kind)])
+        if implied_class(held.get(N.TYPE, [])) and not node.o.startswith("_:"):
+            out.targets.append(("targetClass", node))
+        paths = self.held(node.o, "path")
+        if len(paths) > 1:
+            raise NotTaken("path")
+        out.path = self.path(paths[0]) if paths else None
+        if self.true(node.o, "deactivated"):
+            return out
+        sub = lambda t: self.shape(t, severity, message, inner)
+        flags = "".join(t.o for t in self.held(node.o, "flags"))
         for p in sorted(held):
-            if p.startswith(SH) and p not in known:
-                leave(shape, p)
-        return out
-
-    known = {r.iri: k for k, r in S.RULES.items()}
-    shapes = []
-    for s in sorted(told):
-        held = told[s]
-        if SH + "NodeShape" not in held.get(N.TYPE, []) or "true" in held.get(SH + "deactivated", []):
-            continue
-        shape = NodeShape(s, SEVERITIES.get(next(iter(held.get(SH + "severity", [])), ""), "ERROR"), next(iter(sorted(held.get(SH + "message", []))), ""))
-        shape.targets = [(kind, v) for kind in TARGETS for v in held.get(SH + kind, [])]
-        if SH + "sparql" in held or SH + "select" in held:
-            shape.rule = known.get(s)
-            if shape.rule is None:
-                leave(s, "a query")
+            name = p.removeprefix(SH)
+            if not p.startswith(SH) or name in PLAIN:
                 continue
-        shape.checks = [c for p in held.get(SH + "property", []) for c in checks(p, s)]
-        for kind in ("or", "and", "xone"):
-            shape.logic += [(kind, [checks(x, s) for x in items(lst)]) for lst in held.get(SH + kind, [])]
-        for kind in ("not", "node"):
-            shape.logic += [(kind, [checks(x, s)]) for x in held.get(SH + kind, [])]
-        if "true" in held.get(SH + "closed", []):
-            own = [path for p in held.get(SH + "property", []) for path in told[p].get(SH + "path", [])]
-            shape.closed = own + [x for lst in held.get(SH + "ignoredProperties", []) for x in items(lst)]
-        for p in sorted(held):
-            if p.startswith(SH) and p not in PLAIN | {SH + x for x in (*TARGETS, "or", "and", "xone", "not", "node", "closed", "ignoredProperties", "sparql", "select")}:
-                leave(s, p)
-        shapes.append(shape)
-    return RuleSet(shapes, skipped)
-
-
-def targets_of(triples: DataFrame, shape: NodeShape) -> DataFrame:
-    def one(kind: str, value: str) -> DataFrame:
-        if kind == "targetClass":
-            return S.focus_nodes(triples, value)
-        if kind == "targetNode":
-            return triples.sparkSession.range(1).select(F.lit(value).alias("s"))
-        held = triples.where(F.col("p") == value)
-        return held.select("s" if kind == "targetSubjectsOf" else F.col("o").alias("s"))
-
-    parts = [one(k, v) for k, v in shape.targets]
-    return reduce(DataFrame.union, parts).distinct() if parts else triples.select("s").limit(0)
-
-
-def _number(c: Check) -> float:
-    return float(c.values[0])
+            if name in ("minCount", "maxCount", *SET_COMPONENTS) and not paths:
+                raise NotTaken(name)
+            for t in held[p]:
+                if name in ("in", "languageIn"):
+                    out.constraints.append(Constraint(name, self.items(t.o)))
+                elif name in TERMS:
+                    out.constraints.append(Constraint(name, [self.checked(name, t)], flags=flags))
+                elif name in WITHIN:
+                    out.constraints.append(Constraint(name, shapes=[sub(t)]))
+                elif name in LISTED:
+                    out.constraints.append(Constraint(name, shapes=[sub(x) for x in self.items(t.o)]))
+                else:
+                    raise NotTaken(name)
+        for t in self.held(node.o, "qualifiedValueShape"):
+            least, most = (next((int(self.checked("minCount", x).o) for x in self.held(node.o, n)), None) for n in QUALIFIED[1:3])
+            apart = [sub(x) for x in self.siblings(node.o) if x != t] if self.true(node.o, "qualifiedValueShapesDisjoint") else []
+            out.constraints.append(Constraint("qualified", shapes=[sub(t)], least=least or 0, most=most, apart=apart))
+        if self.true(node.o, "closed"):
+            own = [path for p in self.held(node.o, "property") for path in self.held(p.o, "path") if path.kind == "iri"]
+            out.constraints.append(Constraint("closed", own + [x for lst in self.held(node.o, "ignoredProperties") for x in self.items(lst.o)]))
+        return out
 
+    def checked(self, name: str, t: Term) -> Term:
+        """A component's term, refused where the component can't be asked with it."""
+        if name in ("minCount", "maxCount", "minLength", "maxLength") and not t.o.lstrip("+").isdigit() or name == "nodeKind" and t.o not in KINDS:
+            raise NotTaken(name)
+        return t
 
-#: Components that test the values of a path one by one, as expressions over a triple.
-VALUE_TESTS: dict[str, Callable[[Check], Column]] = {
-    "datatype": lambda c: F.col("o_dt") == c.values[0], "nodeKind": lambda c: F.col("o_kind").isin(*KINDS[c.values[0]]), "pattern": lambda c: F.col("o").rlike(f"(?{c.flags}){c.values[0]}" if c.flags else c.values[0]),
-    "minLength": lambda c: F.length("o") >= int(c.values[0]), "maxLength": lambda c: F.length("o") <= int(c.values[0]), "in": lambda c: F.col("o").isin(*c.values), "languageIn": lambda c: F.col("o_lang").isin(*c.values),
-    "minInclusive": lambda c: F.col("o").try_cast("double") >= _number(c), "maxInclusive": lambda c: F.col("o").try_cast("double") <= _number(c),
-    "minExclusive": lambda c: F.col("o").try_cast("double") > _number(c), "maxExclusive": lambda c: F.col("o").try_cast("double") < _number(c),
-}
+    def siblings(self, node: str) -> list[Term]:
+        """Qualified shapes of the property shapes beside this one."""
+        beside = [p.o for s in self.told for props in [self.held(s, "property")] if any(p.o == node for p in props) for p in props]
+        return list(dict.fromkeys(t for p in beside for t in self.held(p, "qualifiedValueShape")))
 
 
-def failing(triples: DataFrame, focus: DataFrame, check: Check) -> DataFrame:
-    """(s, value) of the check's violations."""
-    v, path = check.values[0] if check.values else "", check.path
-    if check.component in VALUE_TESTS:
-        return S.values_failing(triples, focus, path, VALUE_TESTS[check.component](check))
-    return {
-        "minCount": lambda: S.count_outside(triples, focus, path, least=int(v)), "maxCount": lambda: S.count_outside(triples, focus, path, most=int(v)), "hasValue": lambda: S.missing_value(triples, focus, path, v),
-        "class": lambda: S.values_not_of_class(triples, focus, path, v), "equals": lambda: S.unequal_values(triples, focus, path, v), "disjoint": lambda: S.common_values(triples, focus, path, v),
-        "lessThan": lambda: S.not_less(triples, focus, path, v), "lessThanOrEquals": lambda: S.not_less(triples, focus, path, v, or_equal=True),
-        "uniqueLang": lambda: S.repeated_languages(triples, focus, path) if v == "true" else S.repeated_languages(triples.limit(0), focus, path),
-    }[check.component]()
+def load_rules(spark: SparkSession, path: str) -> RuleSet:
+    """The shapes with targets of the Turtle files at ``path``."""
+    rows = read_turtle(spark, path).select("s", "p", "o", "o_kind", "o_dt", "o_lang").limit(MAX_RULE_TRIPLES + 1).collect()
+    if len(rows) > MAX_RULE_TRIPLES:
+        raise ValueError("these are too many triples for rules")
+    reader, rules = Reader(rows), {r.iri: k for k, r in S.RULES.items()}
+    shapes, skipped = [], []
+    for s in sorted(reader.told):
+        held = reader.told[s]
+        typed = any(t.o in (SH + "NodeShape", SH + "PropertyShape") for t in held.get(N.TYPE, []))
+        if not typed and not any(SH + kind in held for kind in TARGETS) or reader.true(s, "deactivated"):
+            continue
+        if SH + "sparql" in held or SH + "select" in held:
+            if s in rules:
+                shapes.append(Shape(s, rule=rules[s]))
+            else:
+                skipped.append(f"{s}: a query")
+            continue
+        try:
+            shape = reader.shape(Term(s, "bnode" if s.startswith("_:") else "iri"))
+        except NotTaken as e:
+            skipped.append(f"{s}: {e}")
+            continue
+        if shape.targets:
+            shapes.append(shape)
+    return RuleSet(shapes, skipped)
 
 
 def validate_with(triples: DataFrame, rules: RuleSet) -> DataFrame:
-    """Results of loaded rules: a row a violating value of a property shape or a foreign predicate of a closed one, a row a
-    node where the logic over other shapes isn't met.
-
-    The components that test values one by one share one scan and one join with the focus nodes of their shape."""
-    parts = [S.validate(triples, [s.rule for s in rules.shapes if s.rule])]
-    for shape in (s for s in rules.shapes if not s.rule):
-        focus = targets_of(triples, shape)
-        told = lambda c, shape=shape: (c.severity or shape.severity, c.message or shape.message, shape.iri, F.lit(c.path))
-        by_value = [c for c in shape.checks if c.component in VALUE_TESTS]
-        if by_value:
-            tests = [F.when((F.col("p") == c.path) & ~F.coalesce(VALUE_TESTS[c.component](c), F.lit(False)), F.struct(*[F.lit(x).alias(y) for x, y in zip((c.severity or shape.severity, c.message or shape.message, c.path), ("severity", "message", "path"), strict=True)])) for c in by_value]
-            held = triples.where(F.col("p").isin(*{c.path for c in by_value})).join(focus, "s", "left_semi").select("s", "o", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("f"))
-            parts.append(held.select(F.col("f.severity").alias("severity"), F.col("f.message").alias("message"), F.lit(shape.iri).alias("ruleName"), F.col("s").alias("focusNodeUri"), F.col("f.path").alias("resultPathUri"), F.col("o").alias("value")))
-        for c in shape.checks:
-            if c.component not in VALUE_TESTS:
-                severity, message, iri, path = told(c)
-                parts.append(S.results(failing(triples, focus, c), severity, message, iri, path, F.col("value")))
-        if shape.closed is not None:
-            parts.append(S.results(S.foreign_predicates(triples, focus, shape.closed), shape.severity, shape.message, shape.iri, F.col("p"), F.col("value")))
-        for kind, branches in shape.logic:
-            held = focus
-            for i, branch in enumerate(branches):
-                bad = reduce(DataFrame.union, [failing(triples, focus, c).select("s") for c in branch], focus.limit(0))
-                held = G.bind_exists(held, bad, f"fails_{i}")
-            fails = [F.col(f"fails_{i}") for i in range(len(branches))]
-            met = sum((~f).cast("int") for f in fails) if fails else F.lit(0)
-            broken = {"or": met == 0, "and": met < len(fails), "node": met < len(fails), "not": met > 0, "xone": met != 1}[kind]
-            parts.append(S.results(held.where(broken).select("s"), shape.severity, shape.message, shape.iri))
-    return reduce(DataFrame.unionByName, parts)
+    """Results of loaded rules: a row a violating value, or a node where a count, a missing value or the logic over other shapes isn't met."""
+    return validate_shapes(triples, rules.shapes)

@@ -22,6 +22,9 @@ from lexigraph.llm.common import table
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+QUOTED = re.compile(r"""("[^"]*"|'[^']*')""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+UNSEEN = re.compile(r"""\bstyle\s*=\s*(["'])[^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 
 # HTML tag names.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "annotation", "annotation-xml"}
@@ -43,7 +46,7 @@ AWAY_NAMES = {
     "replies", "respond", "sharing", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 # Words that do so alone or with words of their kind, but have other senses too (related-work, legal-history).
-AWAY_ALONE = {"alert", "disclaimer", "legal", "notice", "notices", "related", "reply", "search", "share", "social", "tags"}
+AWAY_ALONE = {"alert", "conversation", "disclaimer", "discussion", "discussions", "feedback", "legal", "notice", "notices", "related", "reply", "search", "share", "social", "tags"}
 # Words that say nothing of what a part of a page is for.
 PLAIN_NAMES = {
     "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "column", "container", "content", "entry", "form", "group", "icons", "inner", "item", "items", "js", "left",
@@ -61,6 +64,8 @@ STOP_WORDS = set(
     " sus también te tiene todo un una uno y ya".split()
 )
 
+# Words that name what readers write, and mark it as the last word of a name too (user-comment).
+READERS = {"comment", "comments", "commentlist", "replies"}
 # Parts of a class name that say that a page or article has something, not that it is that.
 STATES = {"has", "no", "not", "with", "without", "enabled", "disabled", "hidden", "off"}
 
@@ -86,9 +91,12 @@ def away_name(attributes: str, in_article: bool) -> bool:
     In an article all parts of the name must speak for it, and its header is the article's own."""
     for found in NAMES.findall(attributes):
         for name in "".join(found).lower().split():
-            parts = {p for p in re.split(r"[^a-z]+", name) if p}
+            ordered = [p for p in re.split(r"[^a-z]+", name) if p]
+            parts = set(ordered)
             if parts & STATES:
                 continue
+            if ordered and ordered[-1] in READERS:
+                return True
             known = AWAY_NAMES - {"header"} if in_article else AWAY_NAMES
             if parts & known and not in_article:
                 return True
@@ -97,6 +105,12 @@ def away_name(attributes: str, in_article: bool) -> bool:
     return False
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element isn't shown, by its own attributes."""
+    bare = QUOTED.sub('""', attributes)
+    return bool(HIDDEN.search(bare) or UNSEEN.search(attributes))
+
+
 def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
     """The page's blocks in order, character references decoded and white space runs as one space; empty ones left out.
     With ``wrapped`` outermost forms and elements named as away are taken for wrappers of the page."""
@@ -157,7 +171,7 @@ def blocks_of(page: str, wrapped: bool = False) -> list[Block]:
             named = tag == "form" or (tag not in ("body", "html") and away_name(m[3], bool(article) and tag not in ARTICLE))
             if named and wrapped and not inside and tag in WRAPPERS:
                 named, inside = False, True
-            away = away or named or (tag in AWAY and tag != "form") or (tag == "header" and not article)
+            away = away or named or (tag in AWAY and tag != "form") or (tag == "header" and not article) or hidden(m[3])
             open_.append((tag, away, article, inside))
     end()
     return out

@@ -185,18 +185,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     driver gets. Rows with a null id teach nothing. Without toxic or unlabelled texts the model has no evidence.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n_toxic = known.where("toxic = 1").count()
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    n, n_known = ids.count(), known.count()
+    ids = stored(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "ids")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    positive = known.where((F.col("toxic") == 1) & (draw < max_toxic / max(n_toxic, 1))).select("doc_id", F.lit(True).alias("positive"))
-
-    def drawn(left: int) -> DataFrame:
-        return ids.where(draw >= 1 - max_rows / max(left, 1)).distinct()
-
-    unlabelled = drawn(n - n_known).join(known, "doc_id", "left_anti")
-    if unlabelled.limit(1).count() == 0:
-        unlabelled = drawn(n)
+    toxic_ids = known.where("toxic = 1").join(ids, "doc_id", "left_semi")
+    positive = toxic_ids.where(draw < max_toxic / max(toxic_ids.count(), 1)).select("doc_id", F.lit(True).alias("positive"))
+    # Counted are the ids that can be drawn: labels may be of other documents, and ids may be repeated.
+    free = ids.join(known, "doc_id", "left_anti")
+    n_free = free.count()
+    pool, n = (free, n_free) if n_free else (ids, ids.count())
+    unlabelled = pool.where(draw >= 1 - max_rows / max(n, 1))
     chosen = stored(positive.unionByName(unlabelled.withColumn("positive", F.lit(False))), "toxicity_rows")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lexigraph.functions import names as N
+from lexigraph.operators.isomorphism import canonical_blanks  # noqa: F401
 from lexigraph.schema import TRIPLES
 
 LINE = r'^\s*(<[^<>\s]*>|_:[^\s<>"]+)\s*<([^<>\s]*)>\s*(?:<([^<>\s]*)>|(_:[^\s<>"]*[^\s<>".])|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?)\s*\.\s*(?:#.*)?$'
@@ -102,7 +103,10 @@ def unescaped(text: str) -> str:
             if m[3] not in ESCAPES:
                 raise ValueError(f"there is no escape \\{m[3]}")
             return ESCAPES[m[3]]
-        return chr(int(m[1] or m[2], 16))
+        code = int(m[1] or m[2], 16)
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            raise ValueError(f"there is no character {m[0]}")
+        return chr(code)
 
     return ESCAPE.sub(char, text)
 
@@ -294,10 +298,21 @@ def xml_statements(text: str, graph: str) -> list[tuple]:
         if e.tag != rdf + "Description":
             rows.append((graph, *s[:2], N.TYPE, plain(e.tag), "iri", None, None))
         facts(e, s, lang)
-        for child in e:
-            rows.append((graph, *s[:2], plain(child.tag), *value(child, lang, base)))
+        contents(e, s, lang, base)
         return s
 
+    def contents(e: ElementTree.Element, s: tuple, lang: str | None, base: str) -> None:
+        items = 0
+        for child in e:
+            items += child.tag == rdf + "li"
+            p = f"{N.RDF}_{items}" if child.tag == rdf + "li" else plain(child.tag)
+            o = value(child, lang, base)
+            rows.append((graph, *s[:2], p, *o))
+            if (name := child.get(rdf + "ID")) is not None:  # the statement itself has a name
+                statement = (address("#" + name, child.get(xml + "base", base)), "iri")
+                told = ((N.TYPE, N.RDF + "Statement", "iri", None, None), (N.RDF + "subject", *s[:2], None, None), (N.RDF + "predicate", p, "iri", None, None), (N.RDF + "object", *o))
+                rows.extend((graph, *statement, *t) for t in told)
+
     def facts(e: ElementTree.Element, s: tuple, lang: str | None) -> None:
         for k, v in e.attrib.items():
             if k == rdf + "type":
@@ -316,8 +331,7 @@ def xml_statements(text: str, graph: str) -> list[tuple]:
             return ((e.text or "") + "".join(ElementTree.tostring(x, encoding="unicode") for x in e), "literal", N.RDF + "XMLLiteral", None)
         if kind == "Resource":
             o = (ids.blank(), "bnode", None, None)
-            for child in e:
-                rows.append((graph, *o[:2], plain(child.tag), *value(child, lang, base)))
+            contents(e, o, lang, base)
             return o
         if kind == "Collection":
             o = (N.RDF + "nil", "iri", None, None)
@@ -328,6 +342,10 @@ def xml_statements(text: str, graph: str) -> list[tuple]:
             return o
         if len(e):
             return node(e[0], lang, base)
+        if any(k.startswith("{") and not k.startswith((rdf, xml)) or k == rdf + "type" for k in e.attrib):
+            o = (ids.blank(), "bnode", None, None)
+            facts(e, o, lang)
+            return o
         return (e.text or "", "literal", dt, None) if (dt := e.get(rdf + "datatype")) else (e.text or "", "literal", None, lang)
 
     lang, base = inherited(root, None, "")
@@ -343,26 +361,3 @@ def read_rdfxml(spark: SparkSession, path: str) -> DataFrame:
 
 def rdfxml_errors(spark: SparkSession, path: str) -> DataFrame:
     return read_checked(spark, path, xml_statements).where("error IS NOT NULL").select(F.col("graph_id").alias("path"), "error")
-
-
-def canonical_blanks(triples: DataFrame, rounds: int = 2) -> DataFrame:
-    """``triples`` with blank nodes named by what is said of them, so that graphs from different texts compare as sets.
-
-    In each round a node's name becomes a hash of its facts, forth and back, under the names so far; ``rounds`` covers
-    chains of that many blank nodes. Nodes of which the same is said get one name.
-    """
-    hashed = lambda *parts: F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
-    nodes = triples.where("s_kind = 'bnode'").select(F.col("s").alias("b")).union(triples.where("o_kind = 'bnode'").select(F.col("o").alias("b"))).distinct()
-    named = nodes.withColumn("name", F.lit(""))
-    out = triples
-    for _ in range(rounds):
-        forth, back = (named.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s", "o"))
-        out = triples.join(forth, "s", "left").join(back, "o", "left")
-        s = F.when(F.col("s_kind") == "bnode", F.col("s_name")).otherwise(F.col("s"))
-        o = F.when(F.col("o_kind") == "bnode", F.col("o_name")).otherwise(F.col("o"))
-        facts = out.where("s_kind = 'bnode'").select(F.col("s").alias("b"), hashed(F.lit(">"), F.col("p"), o, F.col("o_kind"), F.col("o_dt"), F.col("o_lang")).alias("h"))
-        facts = facts.union(out.where("o_kind = 'bnode'").select(F.col("o").alias("b"), hashed(F.lit("<"), F.col("p"), s, F.col("s_kind")).alias("h")))
-        named = facts.groupBy("b").agg(F.concat(F.lit("_:"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256), 1, 32)).alias("name"))
-    forth, back = (named.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s", "o"))
-    out = triples.join(forth, "s", "left").join(back, "o", "left")
-    return out.withColumns({"s": F.coalesce("s_name", "s"), "o": F.coalesce(F.when(F.col("o_kind") == "bnode", F.col("o_name")), "o")}).select(*triples.columns)

@@ -71,7 +71,7 @@ def test_rdf_xml(spark, tmp_path):
     )
     (tmp_path / "g.ttl").write_text('@prefix e: <http://e/> . @base <http://b/> . <x> a e:K ; e:q "at"@cs ; e:p "text"@cs ; e:r <#y> ; e:n _:k ; e:c ( <z> <w> ) ; e:d "5"^^<http://t> ; e:m [ e:p "in" ] . _:k e:p "node"@en .')
     (tmp_path / "bad.rdf").write_text("<rdf:RDF")
-    x, y = (rdf.canonical_blanks(t, 3).drop("graph_id").collect() for t in (rdf.read_rdfxml(spark, str(tmp_path / "*.rdf")), rdf.read_turtle(spark, str(tmp_path / "g.ttl"))))
+    x, y = (rdf.canonical_blanks(t).drop("graph_id").collect() for t in (rdf.read_rdfxml(spark, str(tmp_path / "*.rdf")), rdf.read_turtle(spark, str(tmp_path / "g.ttl"))))
     assert len(x) == 14 and sorted(map(str, x)) == sorted(map(str, y))
     assert rdf.rdfxml_errors(spark, str(tmp_path / "*.rdf")).count() == 1
 
@@ -187,3 +187,40 @@ def test_long_iris(spark, tmp_path):
     D.write_turtle(t, str(tmp_path / "t"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
     assert [(r[3], r[4]) for r in rdf.statements(text, "g")] == [(long, long)]
+
+
+def graph_of(spark, text):
+    return spark.createDataFrame(rdf.statements("@prefix e: <http://e/> . " + text, "g"), TRIPLES)
+
+
+def test_graphs_compare_whatever_blank_nodes_are_called(spark):
+    """Chains of five blank nodes that differ at their ends only, alike siblings, copies and a circle."""
+    from lexigraph.operators.isomorphism import canonical_blanks, graph_difference
+
+    chain = lambda x, end: f"e:{x} e:p _:{x}1 . " + " ".join(f"_:{x}{i} e:p _:{x}{i + 1} ." for i in range(1, 5)) + f" _:{x}5 e:p '{end}' . "
+    free = lambda x, end: chain(x, end).replace(f"e:{x} e:p _:{x}1 . ", "")
+    first = chain("a", "x") + chain("b", "x") + free("c", "x") + free("d", "y") + free("e", "y") + "e:t e:child [ e:n 1 ], [ e:n 1 ] . _:u e:p _:v . _:v e:p _:w . _:w e:p _:u ."
+    renamed = "_:m e:p _:k . _:k e:p _:l . _:l e:p _:m . " + free("z", "x") + free("q", "y") + free("r", "y") + chain("b", "x").replace("_:b", "_:o") + chain("a", "x").replace("_:a", "_:bb") + "e:t e:child [ e:n 1 ], [ e:n 1 ] ."
+    x, y = graph_of(spark, first), graph_of(spark, renamed)
+    assert graph_difference(x, y).count() == 0
+    named = canonical_blanks(x)
+    assert named.select("s").where("s like '\\_:%'").distinct().count() == 25 + 2 + 3 and named.distinct().count() == x.count()
+    for other in (first.replace("_:b5 e:p 'x'", "_:b5 e:p 'z'"), first.replace("[ e:n 1 ], [ e:n 1 ]", "[ e:n 1 ], [ e:n 1 ], [ e:n 1 ]"), first.replace(free("e", "y"), ""), first.replace("_:w e:p _:u", "_:w e:p _:v")):
+        assert graph_difference(x, graph_of(spark, other)).count() > 0
+
+
+def test_surrogates_and_rdf_xml_forms(spark, tmp_path):
+    for code in ("\\uD800", "\\uDFFF", "\\U00110000"):
+        with pytest.raises(ValueError, match="no character"):
+            rdf.statements(f'<http://a> <http://b> "{code}" .', "g")
+    text = (
+        f'<rdf:RDF xmlns:rdf="{N.RDF}" xmlns:e="http://e/" xml:base="http://b/"><rdf:Bag rdf:about="x"><rdf:li>1</rdf:li><e:p>p</e:p><rdf:li rdf:resource="y"/></rdf:Bag>'
+        '<rdf:Description rdf:about="z"><e:p rdf:ID="st">v</e:p><e:q e:r="in"/></rdf:Description></rdf:RDF>'
+    )
+    want = (
+        f'@prefix e: <http://e/> . @prefix rdf: <{N.RDF}> . @base <http://b/> . <x> a rdf:Bag ; rdf:_1 "1" ; e:p "p" ; rdf:_2 <y> . <z> e:p "v" ; e:q [ e:r "in" ] .'
+        ' <#st> a rdf:Statement ; rdf:subject <z> ; rdf:predicate e:p ; rdf:object "v" .'
+    )
+    from lexigraph.operators.isomorphism import graph_difference
+
+    assert graph_difference(spark.createDataFrame(rdf.xml_statements(text, "g"), TRIPLES), spark.createDataFrame(rdf.statements(want, "g"), TRIPLES)).count() == 0

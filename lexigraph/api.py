@@ -19,7 +19,7 @@ from lexigraph.operators import shapes as S
 from lexigraph.plans import lift as L
 from lexigraph.schema import CLASSES, PROPERTIES, RELATIONSHIPS, TRIPLES, VOCABULARY
 from lexigraph.sinks import documents as D
-from lexigraph.sources import archimate, rdf, xlsx, xmi
+from lexigraph.sources import archimate, formats, jsonld, rdf, xlsx, xmi
 from lexigraph.sources import rules as rule_sets
 
 
@@ -88,9 +88,10 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "TURTLE": rdf.read_turtle,
     "N-TRIPLES": rdf.read_ntriples,
     "RDF/XML": rdf.read_rdfxml,
+    "JSON-LD": jsonld.read_jsonld,
 }
 #: What tells in rows (path, error) which inputs, or parts of them, couldn't be read.
-ERRORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"XLSX": xlsx.workbook_errors, "TURTLE": rdf.turtle_errors, "N-TRIPLES": rdf.ntriples_errors, "RDF/XML": rdf.rdfxml_errors}
+ERRORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"ARCHI_XML": formats.xml_errors, "XMI": formats.xml_errors, "XLSX": xlsx.workbook_errors, "TURTLE": rdf.turtle_errors, "N-TRIPLES": rdf.ntriples_errors, "RDF/XML": rdf.rdfxml_errors, "JSON-LD": jsonld.jsonld_errors}
 
 
 def convert(spark: SparkSession, path: str, kind: str, rules: list[str] | None = None, rule_files: str | None = None) -> Conversion:

@@ -18,7 +18,8 @@ from lexigraph.plans.registry import query
 from lexigraph.plans.tpch import read, with_graph
 from lexigraph.plans.written import COLUMNS, NAMED, shared_folder, turtle_round_trip, with_owners, written
 from lexigraph.sinks import documents as D
-from lexigraph.sources import archimate, rdf, rules, xlsx, xmi
+from lexigraph.operators import isomorphism
+from lexigraph.sources import archimate, jsonld, rdf, rules, xlsx, xmi
 from lexigraph.streaming import checks
 
 
@@ -160,6 +161,35 @@ def ingest_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, [pick(*k) for k in kinds])
 
 
+@query(with_graph(NAMED))
+def ingest_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph from the JSON document that its concepts were written to: the file's lines are read through the document's context."""
+    path = shared_folder(spark, "jsonld")
+    D.write_lines(D.jsonld_lines(tpch.triples(spark, sf_dir), tpch.BASE, "tables"), path)
+    got = jsonld.read_objects(jsonld.object_lines(spark, path))
+    if not (bad := got.where("error is not null")).isEmpty():
+        raise ValueError(f"not read: {bad.first()}")
+    return isomorphism.canonical_blanks(got.drop("error")).select(*COLUMNS)
+
+
+@query("""SELECT side, p, sum(times) AS n FROM supplier, (VALUES ('left'), ('right')) x (side), (VALUES ('first', 1), ('next', 4), ('end', 1)) y (p, times) WHERE s_suppkey % 3 = 0 GROUP BY ALL
+  UNION ALL SELECT 'right', p, count(*) FROM supplier, (VALUES ('twin'), ('is')) y (p) WHERE s_suppkey % 5 = 0 GROUP BY p""")
+def graph_isomorphism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs, by predicate, between two graphs whose blank nodes are called otherwise: a chain of five a supplier, which ends
+    otherwise for every third one, and two alike siblings, for every fifth three in the second graph."""
+    k = F.col("s_suppkey")
+
+    def graph(tag: str, end: Column, more: Column) -> DataFrame:
+        node = lambda i: F.concat(F.lit("_:"), F.sha2(F.concat_ws("|", F.lit(tag), F.lit(i), k.cast("string")), 256))
+        iri = F.concat(F.lit(tpch.BASE + "supplier-"), k.cast("string"))
+        chain = [L.fact("next", node(i + 1), L.BNODE, s=node(i)) for i in range(1, 5)]
+        twins = [x for i in (6, 7, 8) for x in (L.fact("twin", F.when(F.lit(i < 8) | more, node(i)), L.BNODE), L.fact("is", F.when(F.lit(i < 8) | more, iri), L.IRI, s=node(i)))]
+        return L.told(read(spark, sf_dir, "supplier"), iri, L.fact("first", node(1), L.BNODE), *chain, L.fact("end", end, s=node(5)), *twins)
+
+    found = isomorphism.graph_difference(graph("a", F.lit("x"), F.lit(False)), graph("b", F.when(k % 3 == 0, "y").otherwise("x"), k % 5 == 0))
+    return found.groupBy("side", "p").agg(F.count("*").alias("n"))
+
+
 RULE_FILE = f"""@prefix sh: <http://www.w3.org/ns/shacl#> .
 <https://rules.example/described> a sh:NodeShape ; sh:targetClass <{N.OFN}{N.CONCEPT}> ; sh:severity sh:Warning ; sh:message "no description" ;
   sh:or ( [ sh:path <{N.DCT}description> ; sh:minCount 1 ] [ sh:path <{N.SKOS}definition> ; sh:minCount 1 ] ) .

@@ -108,7 +108,11 @@ def digital_objects(triples: DataFrame) -> DataFrame:
     return out.select("s", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in OBJECT_FIELDS])
 
 
-def jsonld_lines(triples: DataFrame, iri: str, name: str, context: str = "https://ofn.gov.cz/slovníky/draft/kontexty/slovníky.jsonld") -> DataFrame:
+#: Fixed value: the context that the documents name.
+CONTEXT = "https://ofn.gov.cz/slovníky/draft/kontexty/slovníky.jsonld"
+
+
+def jsonld_lines(triples: DataFrame, iri: str, name: str, context: str = CONTEXT) -> DataFrame:
     """(place, iri, line): the lines of the whole document, a concept a line. Sorted by place and iri and written as text
     (see write_lines), the part files one after another are the document."""
     spark = triples.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.functions import terms as T
+from lexigraph.sources.formats import XmlFiles, xml_files
 
 PROPERTY = "array<struct<_propertyDefinitionRef:string,value:string>>"
 NAMES = "array<struct<_VALUE:string,`_xml:lang`:string>>"
@@ -27,8 +28,8 @@ ROOTS = ("Subjekt", "Objekt", "Vlastnost")
 VALUES = ["type", "description", "definition", "source", "identifier", "relatedSource", "alternativeName", "equivalentConcept", "dataType", "sharedInPPDF", "agendaCode", "agendaSystemCode", "isPublic", "privacyProvision", "sharingMethod", "acquisitionMethod", "contentType"]
 
 
-def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("model", F.col("_metadata.file_path"))
+def rows_of(files: XmlFiles, tag: str, schema: str) -> DataFrame:
+    return files.rows(tag, schema).withColumnRenamed("__file", "model").drop("__place")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -39,9 +40,9 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"names": F.coalesce(others, F.create_map().cast("map<string,string>")), "name": F.coalesce(own, F.get("name", 0)["_VALUE"])})
 
 
-def definitions(spark: SparkSession, path: str) -> DataFrame:
+def definitions(files: XmlFiles) -> DataFrame:
     """(model, ref, label, field): the first part in order that a definition's name holds, null if none."""
-    d = _rows(spark, path, "propertyDefinition", f"_identifier string, name {NAMES}").withColumn("label", F.get("name", 0)["_VALUE"])
+    d = rows_of(files, "propertyDefinition", f"_identifier string, name {NAMES}").withColumn("label", F.get("name", 0)["_VALUE"])
     field = reduce(lambda rest, kv: F.when(F.col("label").contains(kv[0]), kv[1]).otherwise(rest), reversed(FIELDS.items()), F.lit(None).cast("string"))
     return d.select("model", F.col("_identifier").alias("ref"), "label", field.alias("field"))
 
@@ -59,10 +60,10 @@ def with_values(rows: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.join(wide, ["model", "_identifier"], "left")
 
 
-def vocabularies(spark: SparkSession, path: str, fields: DataFrame) -> DataFrame:
+def vocabularies(files: XmlFiles, fields: DataFrame) -> DataFrame:
     """(model, name, description, namespace) of each model: its name, and of its own properties the description and the
     first valid address of a local catalogue."""
-    models = _named(_rows(spark, path, "model", MODEL))
+    models = _named(rows_of(files, "model", MODEL))
     label = F.lower("label")
     catalogue = label.contains("adresa") & label.contains("lokální") | (label == "adresa-lokálního-katalogu-dat-ve-kterém-bude-slovník-registrován")
     told = told_values(models, fields, "name").groupBy("model").agg(
@@ -72,17 +73,19 @@ def vocabularies(spark: SparkSession, path: str, fields: DataFrame) -> DataFrame
 
 
 def read_archimate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The record sets ``vocabulary``, ``classes``, ``properties``, ``relationships`` and ``hierarchies`` of the models at ``path``."""
-    fields = definitions(spark, path)
-    elements = with_values(_named(_rows(spark, path, "element", ELEMENT)), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS))
-    links = with_values(_named(_rows(spark, path, "relationship", RELATION)).withColumnRenamed("_xsi:type", "kind"), fields)
+    """The record sets ``vocabulary``, ``classes``, ``properties``, ``relationships`` and ``hierarchies`` of the models at ``path``; files that can't be read give none
+    (``formats.xml_errors`` tells them)."""
+    files = xml_files(spark, path)
+    fields = definitions(files)
+    elements = with_values(_named(rows_of(files, "element", ELEMENT)), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS))
+    links = with_values(_named(rows_of(files, "relationship", RELATION)).withColumnRenamed("_xsi:type", "kind"), fields)
     end = lambda ref, name: elements.select("model", F.col("_identifier").alias(ref), F.col("name").alias(name))
     ends = links.join(end("_source", "from"), ["model", "_source"]).join(end("_target", "to"), ["model", "_target"])
     is_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))
     domains = ends.where("kind = 'Composition'").groupBy("model", F.col("to").alias("name")).agg(F.max("from").alias("domain"))
     ident = F.when(T.is_iri(F.col("identifier")), F.col("identifier"))
     return {
-        "vocabulary": vocabularies(spark, path, fields),
+        "vocabulary": vocabularies(files, fields),
         "classes": elements.where(~is_property).withColumns({"id": F.col("_identifier"), "type": T.class_type(F.col("type")), "identifier": ident}).drop("_identifier", "properties", "dataType"),
         "properties": elements.where(is_property).withColumns({"id": F.col("_identifier"), "identifier": ident}).drop("_identifier", "properties", "type").join(domains, ["model", "name"], "left"),
         "relationships": ends.where(F.col("name").isNotNull() & F.col("kind").isin("Association", "Composition", "Specialization")).select(

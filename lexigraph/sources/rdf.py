@@ -247,7 +247,7 @@ def read_checked(spark: SparkSession, path: str, parse: Callable[[str, str], lis
             for where, text in zip(batch["path"], batch["text"], strict=True):
                 try:
                     rows = [(*r, None) for r in parse(text, where)]
-                except (ValueError, IndexError, KeyError, RecursionError) as e:
+                except (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError) as e:
                     rows = [(where, *[None] * 7, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=CHECKED.names, dtype=object)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import names as N
 from lexigraph.functions import terms as T
 from lexigraph.operators.hierarchy import closure
+from lexigraph.sources.formats import xml_files
 
 TAGS = "array<struct<_name:string,_value:string>>"
 ELEMENT = f"`_xmi:idref` string, `_xmi:type` string, _name string, model struct<_package:string>, properties struct<_stereotype:string>, tags struct<tag:{TAGS}>"
@@ -59,10 +60,6 @@ def tag_fields(tags: Column, names: dict[str, list[str]] = TAG_NAMES) -> list[Co
     return [F.coalesce(*map(first, closest)).alias(field) for field, closest in names.items()]
 
 
-def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("__file", F.col("_metadata.file_path"))
-
-
 def vocabulary_packages(packages: DataFrame) -> DataFrame:
     """(model, top): the first package with the vocabulary stereotype of each file, in document order."""
     tops = packages.where(F.col("stereotype") == PACKAGE_KIND)
@@ -73,8 +70,10 @@ def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The record sets of each file's vocabulary package: the elements of the first package with the vocabulary stereotype
     and of the packages in it, without packages that are vocabularies themselves.
 
-    Files in another charset than UTF-8 must declare it; ``formats.inputs`` tells the charsets of files."""
-    raw = _rows(spark, path, "element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull()).withColumn("place", F.monotonically_increasing_id())
+    Files are read in the charset that they declare or, where that fails, in the first fallback in which they are XML; those
+    that can't be read give no records (``formats.xml_errors`` tells them)."""
+    files = xml_files(spark, path)
+    raw = files.rows("element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull()).withColumnRenamed("__place", "place")
     tags = F.col("tags.tag")
     rows = raw.select(
         F.col("__file").alias("model"), F.col("`_xmi:idref`").alias("id"), F.col("`_xmi:type`").alias("kind"), F.col("_name").alias("name"), F.col("model._package").alias("package"),
@@ -88,8 +87,8 @@ def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     below = closure(inner).join(top, "parent", "left_semi").select(F.col("child").alias("__package"))
     held = rows.where("kind = 'uml:Class'").withColumn("__package", node("package")).join(below.union(top).distinct(), "__package", "left_semi").drop("__package", "tags", "place")
     says_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))
-    links = _rows(spark, path, "connector", CONNECTOR).select(
-        F.col("__file").alias("model"), F.monotonically_increasing_id().alias("place"), F.col("_name").alias("name"), F.col("source.`_xmi:idref`").alias("source_id"), F.col("target.`_xmi:idref`").alias("target_id"),
+    links = files.rows("connector", CONNECTOR).select(
+        F.col("__file").alias("model"), F.col("__place").alias("place"), F.col("_name").alias("name"), F.col("source.`_xmi:idref`").alias("source_id"), F.col("target.`_xmi:idref`").alias("target_id"),
         F.coalesce(F.when(F.col("properties._ea_type") != "", F.col("properties._ea_type")), F.col("properties._stereotype")).alias("link"), F.col("properties._stereotype").alias("stereotype"), *tag_fields(tags),
     )
     end = lambda ref, name: held.select("model", F.col("id").alias(ref), F.col("name").alias(name))

@@ -90,3 +90,27 @@ def concept_types(triples: DataFrame, namespace: str) -> DataFrame:
     kinds = [prefix + k for prefix in (BASIC, BASIC + "pojem/") for k in KINDS]
     told = star_product(triples, "concept", {"label": N.SKOS + "prefLabel"}, {"type": N.TYPE}, {"type": kinds}).where(F.col("concept").startswith(namespace))
     return told.select("concept", F.coalesce("type", kind_by_name(F.col("label"))).alias("type")).distinct()
+
+
+#: The properties whose restrictions name the ends of a relation.
+ENDS = {"domain": BASIC + "pojem/má-vztažený-prvek-1", "range": BASIC + "pojem/má-vztažený-prvek-2"}
+
+
+def relationship_ends(triples: DataFrame, namespace: str, kind: str = BASIC + "pojem/typ-vztahu") -> DataFrame:
+    """(relationship, domain, range) of the namespace's relations: what they have themselves, then what object properties have,
+    then the classes of restrictions on the two ends. Each source is optional and must agree with what is bound before it."""
+    ends = ("domain", "range")
+    rows = G.instances(triples, kind, "relationship").where(F.col("relationship").startswith(namespace))
+    for end in ends:
+        rows = G.optional(rows, G.match(triples, "relationship", N.RDFS + end, end))
+    again = G.instances(triples, N.OWL + "ObjectProperty", "relationship")
+    for end in ends:
+        again = G.optional(again, G.match(triples, "relationship", N.RDFS + end, end))
+    rows = G.optional_shared(rows, again, ["relationship"], ends)
+    restricted = G.match(triples, "relationship", N.RDFS + "subClassOf", "restriction")
+    told = star_product(triples, "restriction", {"property": N.OWL + "onProperty", "class": N.OWL + "onClass"}, {})
+    told = G.where_exists(told, G.instances(triples, N.OWL + "Restriction", "restriction"))
+    for end in ends:
+        held = G.also(restricted, told.where(F.col("property") == ENDS[end]).select("restriction", F.col("class").alias(end))).drop("restriction")
+        rows = G.optional_shared(rows, held.withColumn(end, F.col(end)), ["relationship"], [end])
+    return rows.distinct()

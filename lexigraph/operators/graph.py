@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
+from lexigraph.operators.hierarchy import cut
 
 
 def graph(df: DataFrame) -> DataFrame:
@@ -54,6 +55,45 @@ def optional_compatible(left: DataFrame, right: DataFrame, key: str, var: str) -
     return joined.withColumn(var, F.coalesce(var, "__var")).drop("__key", "__var")
 
 
+def optional_shared(left: DataFrame, right: DataFrame, keys: Sequence[str], maybe: Sequence[str]) -> DataFrame:
+    """An optional pattern that shares ``keys``, bound on both sides, and the variables ``maybe``, each of which may be unbound on either side.
+
+    A solution of ``right`` fits where every variable that both sides bind is the same, and binds the others. With keys this is one
+    join on them. Without, the solutions are split by the variables that they bind, so that each part is a join on what it has in
+    common, and none a comparison of all with all; parts without anything in common are refused unless one is empty.
+    """
+    more = [c for c in right.columns if c not in left.columns]
+    columns = [*left.columns, *more]
+    if keys:
+        other = right.select(*[F.col(c).alias(f"__{c}") for c in right.columns])
+        fits = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(v).isNull() | F.col(f"__{v}").isNull() | (F.col(v) == F.col(f"__{v}")) for v in maybe]
+        joined = left.join(other, reduce(lambda a, b: a & b, fits), "left")
+        return joined.select(*[F.coalesce(c, f"__{c}").alias(c) if c in maybe else F.col(f"__{c}").alias(c) if c in more else F.col(c) for c in columns])
+    left, right = cut(left), cut(right)
+
+    def bound(df: DataFrame, those: Sequence[str], of: Sequence[str]) -> DataFrame:
+        return df.where(reduce(lambda a, b: a & b, [F.col(v).isNotNull() if v in those else F.col(v).isNull() for v in of], F.lit(True)))
+
+    def subsets(of: Sequence[str]) -> list[list[str]]:
+        return [[v for i, v in enumerate(of) if k >> i & 1] for k in range(1 << len(of))]
+
+    parts = []
+    for mine in subsets(maybe):
+        rest = begin = bound(left, mine, maybe)
+        for common in subsets(mine):
+            other, on = bound(right, common, mine), [*keys, *common]
+            if not on:
+                if begin.isEmpty() or other.isEmpty():
+                    continue
+                raise ValueError("the patterns have no bound variable in common")
+            renamed = other.select(*on, *more, *[F.col(v).alias(f"__{v}") for v in maybe if v not in on])
+            found = begin.join(renamed, on)
+            parts.append(found.select(*[F.coalesce(c, f"__{c}").alias(c) if c in maybe and c not in on else F.col(c) for c in columns]))
+            rest = rest.join(other.select(*on).distinct(), on, "left_anti")
+        parts.append(rest.select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in more]).select(*columns))
+    return union_bag(*parts)
+
+
 def union_bag(*parts: DataFrame) -> DataFrame:
     """Alternatives; a solution of two of them comes twice."""
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -105,3 +145,32 @@ def language_map(triples: DataFrame, p: str) -> DataFrame:
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Triples of the first graph that the second doesn't have."""
     return graph(left).select(*right.columns).exceptAll(graph(right))
+
+
+def reachable(links: DataFrame, begin: DataFrame) -> DataFrame:
+    """(node) of all that ``links`` (s, o) lead to from the nodes of ``begin`` (s), over any number of them; round by round, each
+    written to the checkpoint folder, so that only what is reached is read again."""
+    edges = cut(links.select("s", "o").distinct())
+    front = cut(edges.join(begin.select("s").distinct(), "s", "left_semi").select(F.col("o").alias("node")).distinct())
+    known = front
+    while not front.isEmpty():
+        further = edges.join(front.withColumnRenamed("node", "s"), "s", "left_semi").select(F.col("o").alias("node")).distinct()
+        front = cut(further.join(known, "node", "left_anti"))
+        known = known.union(front)
+    return known
+
+
+def first_values(triples: DataFrame, columns: dict[str, str], order: str = "place", s: str = "s") -> DataFrame:
+    """One row a subject with the object of each predicate that comes first in the document, by ``order``."""
+    held = triples.where(F.col("p").isin(*columns.values()))
+    return held.groupBy(F.col("s").alias(s)).agg(*[F.min_by("o", F.when(F.col("p") == p, F.struct(order, "o"))).alias(c) for c, p in columns.items()])
+
+
+def fold_ordered(triples: DataFrame, last: dict[str, str], lists: dict[str, str], order: str = "place", s: str = "s") -> DataFrame:
+    """One row a subject: of the predicates ``last`` the object that comes last in the document, of ``lists`` all objects in the document's order, repeated ones too."""
+    place = F.struct(order, "o")
+    held = triples.where(F.col("p").isin(*last.values(), *lists.values()))
+    rows = held.groupBy(F.col("s").alias(s)).agg(
+        *[F.max_by("o", F.when(F.col("p") == p, place)).alias(c) for c, p in last.items()], *[F.array_sort(F.collect_list(F.when(F.col("p") == p, place))).alias(c) for c, p in lists.items()]
+    )
+    return rows.select(s, *last, *[F.transform(c, lambda x: x["o"]).alias(c) for c in lists])

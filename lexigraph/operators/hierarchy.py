@@ -50,18 +50,18 @@ def in_cycles(edges: DataFrame, child: str = "child", parent: str = "parent") ->
     return closure(edges, child, parent).where("child = parent").select(F.col("child").alias("node")).distinct()
 
 
-def inherited_domains(properties: DataFrame, hierarchies: DataFrame) -> DataFrame:
-    """``properties`` (name, domain, ...) whose blank domains are those of their nearest super-properties.
+def inherited_domains(properties: DataFrame, hierarchies: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``properties`` (name, domain, ...) whose blank domains are those of their nearest super-properties, by names within the same ``keys``.
 
     The search goes level by level until nothing changes (each round fills a name at least, so it ends), so that its result doesn't depend on the rows' order; of
     several super-properties the least domain counts.
     """
-    own = properties.select("name", F.when(F.trim(F.coalesce("domain", F.lit(""))) != "", F.col("domain")).alias("domain")).groupBy("name").agg(F.max("domain").alias("domain"))
-    links = hierarchies.select(F.col("subClass").alias("name"), F.col("superClass").alias("super")).distinct()
+    own = properties.select(*keys, "name", F.when(F.trim(F.coalesce("domain", F.lit(""))) != "", F.col("domain")).alias("domain")).groupBy(*keys, "name").agg(F.max("domain").alias("domain"))
+    links = hierarchies.select(*keys, F.col("subClass").alias("name"), F.col("superClass").alias("super")).distinct()
     while True:
-        ups = links.join(own.where("domain is not null").withColumnRenamed("name", "super"), "super").groupBy("name").agg(F.min("domain").alias("found"))
-        filled = cut(own.join(ups, "name", "left").select("name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
+        ups = links.join(own.where("domain is not null").withColumnRenamed("name", "super"), [*keys, "super"]).groupBy(*keys, "name").agg(F.min("domain").alias("found"))
+        filled = cut(own.join(ups, [*keys, "name"], "left").select(*keys, "name", F.coalesce("domain", "found").alias("domain"), (F.col("domain").isNull() & F.col("found").isNotNull()).alias("new")))
         if filled.where("new").limit(1).count() == 0:
             break
         own = filled.drop("new")
-    return properties.drop("domain").join(own, "name", "left")
+    return properties.drop("domain").join(own, [*keys, "name"], "left")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
 from lexigraph.functions import terms as T
+from lexigraph.operators.hierarchy import cut
+from lexigraph.schema import RESULTS
 
 
 def _by_severity(column: Column, part: int, other: str) -> Column:
@@ -91,3 +97,33 @@ def csv_rows(results: DataFrame, concepts: DataFrame | None = None, compatible:
 def may_publish(results: DataFrame) -> bool:
     """Whether a catalogue record may be made: there is no error."""
     return results.where(F.col("severity") == "ERROR").limit(1).count() == 0
+
+
+def violation_keys(results: DataFrame) -> DataFrame:
+    """``by_concept`` with ``key``: the rule, or for results without one violation-rule-n, n being the place among the concept's rules in order."""
+    place = F.row_number().over(Window.partitionBy("focusNodeUri").orderBy("ruleName"))
+    unknown = F.col("ruleName") == "unknown-rule"
+    return by_concept(results).withColumn("key", F.when(unknown, F.concat(F.lit("violation-rule-"), place)).otherwise(F.col("ruleName")))
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """``rows`` of texts in Unicode NFC and trimmed, nulls as empty; all columns in one pass."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.apply(lambda c: c.map(lambda x: unicodedata.normalize("NFC", x).strip() if isinstance(x, str) else ""))
+
+    return rows.mapInPandas(clean, rows.schema)
+
+
+def system_error(spark: SparkSession, reason: str) -> DataFrame:
+    """The one result of a validation that failed."""
+    return spark.createDataFrame([("ERROR", f"Validation failed: {reason}", "system-error", None, None, None)], RESULTS)
+
+
+def results_or_error(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The results that ``make`` gives, computed and stored; if that fails, the one result that says so."""
+    try:
+        return cut(make())
+    except Exception as e:  # whatever fails in a rule is told as a result
+        return system_error(spark, f"{type(e).__name__}: {e}"[:500])

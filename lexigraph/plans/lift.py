@@ -120,7 +120,7 @@ def relationship_triples(relationships: DataFrame, lookup: DataFrame, iri: str =
     both = resolved(resolved(relationships, lookup, "domain", "domain_iri"), lookup, "range", "range_iri")
     facts = [
         *common_facts(), fact(N.TYPE, F.lit(N.OFN + N.RELATION), IRI), fact(N.TYPE, F.lit(N.OWL + "ObjectProperty"), IRI), fact(N.RDFS + "domain", F.col("domain_iri"), IRI),
-        fact(N.RDFS + "range", F.col("range_iri"), IRI), *public_facts(namespace), fact(namespace + N.PPDF, T.boolean_word(F.col("sharedInPPDF")), LITERAL, F.lit(N.XSD + "boolean")),
+        fact(N.RDFS + "range", F.col("range_iri"), IRI), *public_facts(namespace), *governance_facts(), fact(namespace + N.PPDF, T.boolean_word(F.col("sharedInPPDF")), LITERAL, F.lit(N.XSD + "boolean")),
     ]
     return told(both, F.col(iri), *facts, lists=shared_lists(F.col(iri), namespace), graph_id=graph_id)
 
@@ -199,13 +199,13 @@ def valid_rows(records: DataFrame, *fields: str) -> DataFrame:
     return records.where(reduce(lambda a, b: a & b, [~T.blank(F.col(f)) for f in fields]))
 
 
-def without_filtered(records: DataFrame, lookup: DataFrame, pattern: str, own: str = "identifier", references: tuple[str, ...] = (), softened: tuple[str, ...] = ()) -> DataFrame:
+def without_filtered(records: DataFrame, lookup: DataFrame, pattern: str, own: str = "identifier", references: tuple[str, ...] = (), softened: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
     """Drops records whose identifier matches ``pattern`` in full, or whose reference in ``references`` does; such
-    references in ``softened`` become null. Names are resolved to identifiers by ``lookup`` (name, identifier) first."""
+    references in ``softened`` become null. Names are resolved to identifiers by ``lookup`` (name, identifier) first, within the same ``keys``."""
     hit = lambda c: F.coalesce(c.rlike(f"^(?:{pattern})$"), F.lit(False))
     out = records.where(~hit(F.col(own)))
     for ref in (*references, *softened):
-        out = out.join(lookup.select(F.col("name").alias(ref), F.col("identifier").alias("__id")), ref, "left")
+        out = out.join(lookup.select(*keys, F.col("name").alias(ref), F.col("identifier").alias("__id")), [*keys, ref], "left")
         bad = hit(F.coalesce("__id", ref))
         out = (out.where(~bad) if ref in references else out.withColumn(ref, F.when(~bad, F.col(ref)))).drop("__id")
     return out.select(*records.columns)
@@ -282,10 +282,21 @@ def used_fields(records: DataFrame, *fields: str) -> DataFrame:
     return flags.unpivot([], list(fields), "field", "used").where("used").select("field")
 
 
+def domain_and_range(triples: DataFrame, namespace: str) -> DataFrame:
+    """``triples`` with a vocabulary's own predicates of domain and range as those of RDFS, where they lead to a resource."""
+    p = F.col("p")
+    standard = F.when(p == namespace + "definiční-obor", N.RDFS + "domain").when(p == namespace + "obor-hodnot", N.RDFS + "range")
+    return triples.withColumn("p", F.when(F.col("o_kind") != LITERAL, F.coalesce(standard, p)).otherwise(p))
+
+
 def export_triples(triples: DataFrame, namespace: str) -> DataFrame:
-    """The published form: blank literals and subjects outside the namespace go (blank nodes stay), predicates get their
-    published names, the PPDF flag its published form, and literals without language labels in Czech."""
-    kept = triples.where(~((F.col("o_kind") == LITERAL) & T.blank(F.col("o")))).where((F.col("s_kind") == BNODE) | F.col("s").startswith(namespace))
+    """The published form: blank literals, subjects outside the namespace and the base schema go; blank nodes stay if what is kept leads to them.
+    Predicates get their published names, the PPDF flag its published form, and literals without language labels in Czech."""
+    told = triples.where(~((F.col("o_kind") == LITERAL) & T.blank(F.col("o"))))
+    own = told.where((F.col("s_kind") != BNODE) & F.col("s").startswith(namespace) & ~F.col("s").isin(*BASE_TERMS))
+    blank = told.where(F.col("s_kind") == BNODE)
+    led_to = G.reachable(own.union(blank).where(F.col("o_kind") == BNODE), own)
+    kept = domain_and_range(own.unionByName(blank.join(led_to.withColumnRenamed("node", "s"), "s", "left_semi").select(*own.columns)), namespace)
     renamed = F.create_map(*[F.lit(x) for pair in N.PUBLISHED.items() for x in pair])
     labels = F.col("p").isin(N.SKOS + "prefLabel", N.SKOS + "definition", N.SKOS + "altLabel", N.RDFS + "label")
     flag = F.col("p") == N.DEFAULT_NS + N.PPDF

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexigraph.functions import names as N
 from lexigraph.operators.isomorphism import canonical_blanks  # noqa: F401
@@ -236,7 +236,9 @@ def statements(text: str, graph: str) -> list[tuple]:
     return Reader(text.removeprefix("﻿"), graph).read()
 
 
+#: Triples with their place in their file, and the error of a file that has none.
 CHECKED = StructType([*TRIPLES.fields, StructField("error", StringType())])
+PLACED = StructType([*TRIPLES.fields, StructField("place", LongType())])
 
 
 def read_checked(spark: SparkSession, path: str, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
@@ -260,6 +262,23 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     return read_checked(spark, path, statements).where("error IS NULL").drop("error")
 
 
+def read_turtle_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``read_turtle`` with ``place``, the number of the triple in its file, for what depends on the document's order
+    (``graph.first_values``, ``graph.fold_ordered``). Joins and filters keep it."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    rows = statements(text, where)
+                except (ValueError, IndexError, KeyError, RecursionError):
+                    rows = []  # told by turtle_errors
+                yield pd.DataFrame([(*r, i) for i, r in enumerate(rows)], columns=PLACED.names, dtype=object)
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.mapInPandas(split, PLACED)
+
+
 def turtle_errors(spark: SparkSession, path: str) -> DataFrame:
     """(path, error) for every Turtle file that can't be read."""
     return read_checked(spark, path, statements).where("error IS NOT NULL").select(F.col("graph_id").alias("path"), "error")

@@ -157,3 +157,43 @@ def test_domains_from_any_depth(spark, monkeypatch):
     links = spark.createDataFrame([*[(f"p{i}", f"p{i - 1}") for i in range(1, 7)], ("x", "y"), ("y", "x")], "subClass string, superClass string")
     got = {r["name"]: r["domain"] for r in H.inherited_domains(properties, links).collect()}
     assert got == {**{f"p{i}": "d" for i in range(7)}, "x": None, "y": None}
+
+
+def test_optional_with_shared_variables(spark):
+    """Against the definition, with and without a variable that is always bound."""
+    left = [(1, "a", None), (1, None, "x"), (2, None, None), (3, "b", "y"), (3, "b", "y")]
+    right = [(1, "a", "x", "p"), (1, "a", None, "q"), (1, "c", "x", "r"), (2, None, "z", "s"), (3, "c", "y", "t")]
+
+    def brute(left, right):
+        out = []
+        for x in left:
+            fits = [y for y in right if all(a is None or b is None or a == b for a, b in zip(x, y))]
+            out += [(*(a if a is not None else b for a, b in zip(x, y)), y[-1]) for y in fits] or [(*x, None)]
+        return sorted(map(str, out))
+
+    l3, r3 = spark.createDataFrame(left, "k int, a string, b string"), spark.createDataFrame(right, "k int, a string, b string, x string")
+    assert sorted(str(tuple(r)) for r in G.optional_shared(l3, r3, ["k"], ["a", "b"]).collect()) == brute(left, right)
+    bound = [r[1:] for r in left if r[1] or r[2]]
+    both = [(a, b, x) for _, a, b, x in right if a and b]
+    l2, r2 = spark.createDataFrame(bound, "a string, b string"), spark.createDataFrame(both, "a string, b string, x string")
+    assert sorted(str(tuple(r)) for r in G.optional_shared(l2, r2, [], ["a", "b"]).collect()) == brute(bound, both)
+    with pytest.raises(ValueError):
+        G.optional_shared(l2.union(spark.createDataFrame([(None, None)], "a string, b string")), r2, [], ["a", "b"])
+
+
+def test_failed_validation_is_a_result(spark):
+    from lexigraph.operators import report as R
+
+    fails = lambda: spark.sql("SELECT raise_error('x') AS severity, '' AS message, '' AS ruleName, '' AS focusNodeUri, '' AS resultPathUri, '' AS value")
+    row = R.results_or_error(fails, spark).first()
+    assert (row["severity"], row["ruleName"]) == ("ERROR", "system-error")
+    rows = spark.createDataFrame([(" é ", None)], "a string, b string")
+    assert R.normalised(rows).first() == ("é", "")
+
+
+def test_values_of_any_depth(spark):
+    from lexigraph.functions import trees
+
+    t = spark.createDataFrame([(1, '{"a": [{"b": [[], {"c": " "}]}, 0, false], "d": {"e": {"f": "x"}}}'), (2, '[{}, [null]]'), (3, "no json"), (4, None), (5, "7")], "k int, t string")
+    assert [r[0] for r in t.orderBy("k").select(trees.pruned_json("t")).collect()] == ['{"a":[0,false],"d":{"e":{"f":"x"}}}', None, None, None, "7"]
+    assert {(r["k"], r["path"], r["value"]) for r in trees.leaves(t, "k", "t").collect()} == {(1, "a[0].b[1].c", " "), (1, "a[1]", "0"), (1, "a[2]", "false"), (1, "d.e.f", "x"), (2, "[1][0]", None), (5, "", "7")}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,10 +131,23 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_turtle(triples: DataFrame, path: str) -> None:
-    """Writes the graph as Turtle: the prefixes, then the subjects in order."""
-    spark = triples.sparkSession
-    head = spark.createDataFrame([(0, "", turtle_head())], "place int, iri string, line string")
-    write_lines(head.unionByName(turtle_blocks(triples).select(F.lit(1).alias("place"), F.col("s").alias("iri"), F.col("block").alias("line"))), path)
+    """Writes the graph as Turtle: files of subjects in order, each beginning with the prefixes, so that every file can be read by itself.
+
+    Blank nodes stand with the subject that refers to them first, as their labels hold within a file only."""
+    owners = triples.where("o_kind = 'bnode'").groupBy(F.col("o").alias("b")).agg(F.min("s").alias("owner"))
+    owner = F.coalesce("owner", F.col("s"))
+    blocks = turtle_blocks(triples).join(owners, F.col("s") == F.col("b"), "left").select(owner.alias("owner"), (F.col("b").isNotNull()).alias("blank"), "s", "block")
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for batch in batches:
+            lines = batch["block"].tolist()
+            if first and lines:
+                lines[0], first = turtle_head() + lines[0], False
+            yield pd.DataFrame({"line": lines})
+
+    ordered = blocks.repartitionByRange("owner").sortWithinPartitions("owner", "blank", "s").select("block")
+    ordered.mapInPandas(headed, "line string").write.mode("overwrite").text(path)
 
 
 def short(c: Column) -> Column:
@@ -173,14 +188,26 @@ def scheme_triples(vocabulary: DataFrame, iri: Column, graph_id: str = "g") -> D
     )
 
 
+def vocabulary_metadata(triples: DataFrame) -> DataFrame:
+    """(namespace, name, description, description_en) of the graph's vocabularies: subjects that are ontologies or concept schemes. Czech texts count before untagged ones, which stand for
+    English too; a name may be a label or a preferred label."""
+    p, o, lang = F.col("p"), F.col("o"), F.lower(F.coalesce("o_lang", F.lit("")))
+    own = (p == N.TYPE) & o.isin(N.OWL + "Ontology", N.SKOS + "ConceptScheme")
+    text = lambda test, tag: F.coalesce(F.max(F.when(test & (lang == tag), o)), F.max(F.when(test & (lang == ""), o)))
+    named, told = p.isin(N.RDFS + "label", N.SKOS + "prefLabel"), p == N.DCT + "description"
+    rows = triples.where(own | ((F.col("o_kind") == L.LITERAL) & (named | told))).groupBy(F.col("s").alias("namespace"))
+    return rows.agg(F.bool_or(own).alias("own"), text(named, "cs").alias("name"), text(named, "en").alias("name_en"), text(told, "cs").alias("description"), text(told, "en").alias("description_en")).where("own").drop("own")
+
+
 def catalog_record(vocabulary: DataFrame) -> DataFrame:
     """(name, record): the catalogue record of each vocabulary (name, description, namespace) as JSON; a missing description gets a default, a missing name the namespace's last part."""
     name = F.coalesce(F.when(~T.blank(F.col("name")), F.col("name")), T.local_name(F.rtrim("namespace", F.lit("/#"))))
     text = F.coalesce(F.when(~T.blank(F.col("description")), F.col("description")), F.concat(F.lit("Slovník "), name))
-    both = lambda c: F.create_map(F.lit("cs"), c, F.lit("en"), c)
+    english = lambda c: F.col(c) if c in vocabulary.columns else F.lit(None).cast("string")
+    both = lambda c, en: F.create_map(F.lit("cs"), c, F.lit("en"), F.coalesce(english(en), c))
     record = F.struct(
         F.lit("https://ofn.gov.cz/rozhraní-katalogů-otevřených-dat/2021-01-11/kontexty/rozhraní-katalogů-otevřených-dat.jsonld").alias("@context"), F.col("namespace").alias("iri"), F.lit("Datová sada").alias("typ"),
-        both(name).alias("název"), both(text).alias("popis"),
+        both(name, "name_en").alias("název"), both(text, "description_en").alias("popis"),
         F.array(F.struct(F.lit("Distribuce").alias("typ"), F.col("namespace").alias("přístupové_url"), F.lit("https://www.iana.org/assignments/media-types/application/ld+json").alias("typ_média"))).alias("distribuce"),
     )
     return vocabulary.select(name.alias("name"), F.to_json(record).alias("record"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.functions import terms as T
+from lexigraph.operators.hierarchy import cut
 from lexigraph.sources.formats import XmlFiles, xml_files
 
 PROPERTY = "array<struct<_propertyDefinitionRef:string,value:string>>"
@@ -76,9 +77,10 @@ def read_archimate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The record sets ``vocabulary``, ``classes``, ``properties``, ``relationships`` and ``hierarchies`` of the models at ``path``; files that can't be read give none
     (``formats.xml_errors`` tells them)."""
     files = xml_files(spark, path)
-    fields = definitions(files)
-    elements = with_values(_named(rows_of(files, "element", ELEMENT)), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS))
-    links = with_values(_named(rows_of(files, "relationship", RELATION)).withColumnRenamed("_xsi:type", "kind"), fields)
+    # Definitions, elements and relations are stored: each is read several times.
+    fields = cut(definitions(files))
+    elements = cut(with_values(_named(rows_of(files, "element", ELEMENT)), fields).where(F.col("name").isNotNull() & ~F.col("name").isin(*ROOTS)))
+    links = cut(with_values(_named(rows_of(files, "relationship", RELATION)).withColumnRenamed("_xsi:type", "kind"), fields))
     end = lambda ref, name: elements.select("model", F.col("_identifier").alias(ref), F.col("name").alias(name))
     ends = links.join(end("_source", "from"), ["model", "_source"]).join(end("_target", "to"), ["model", "_target"])
     is_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))

@@ -22,7 +22,8 @@ MAX_BYTES = 5_242_880
 
 
 def sniff(name: Column, content_type: Column, text: Column) -> Column:
-    """XLSX by name, then ArchiMate and XMI by the first 4096 characters of an XML text, Turtle by type or name, HTML by its doctype, else UNSUPPORTED."""
+    """XLSX by name, then ArchiMate and XMI by the first 4096 characters of an XML text, Turtle by type or name, N-Triples and JSON-LD by
+    name, RDF/XML by its namespace, HTML by its doctype, else UNSUPPORTED."""
     head = F.substring(text, 1, 4096)
     xml = F.coalesce(content_type.contains("xml"), F.lit(False)) | head.startswith("<?xml")
     is_xmi = head.contains(XMI[0])
@@ -33,6 +34,9 @@ def sniff(name: Column, content_type: Column, text: Column) -> Column:
         .when(xml & head.contains(ARCHI), "ARCHI_XML")
         .when(xml & is_xmi, "XMI")
         .when((content_type == "text/turtle") | F.lower(name).endswith(".ttl"), "TURTLE")
+        .when(F.lower(name).endswith(".nt"), "N-TRIPLES")
+        .when(F.lower(name).endswith(".jsonld"), "JSON-LD")
+        .when(xml & head.contains("http://www.w3.org/1999/02/22-rdf-syntax-ns#"), "RDF/XML")
         .when(F.lower(head).contains("<!doctype html"), "HTML")
         .otherwise("UNSUPPORTED")
     )

@@ -44,7 +44,7 @@ class Context:
 
     def address(self, value: str, as_term: bool = False) -> str | None:
         """The IRI or keyword that a name means, None if none."""
-        if value in KEYWORDS:
+        if value in KEYWORDS or re.fullmatch("@[A-Za-z]+", value):
             return value
         if as_term and value in self.terms:
             return self.terms[value].iri
@@ -201,7 +201,7 @@ class Walk(Reader):
                 kind = x.get(keys.get("@type"))
                 return self.literal(told, context.address(kind, True) if kind else None, x.get(keys.get("@language")))
             return self.node(x, context)
-        if isinstance(x, str) and term.kind in ("@id", "@vocab"):
+        if isinstance(x, str) and (term.reverse or term.kind in ("@id", "@vocab")):  # what a reverse term holds is a node
             return self.named(context.address(x, term.kind == "@vocab") or context.address(x))
         kind = term.kind if term.kind and not term.kind.startswith("@") else None
         language = term.language if term.own_language else context.language

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
 from lexigraph.functions import terms as T
-from lexigraph.operators.hierarchy import closure
+from lexigraph.operators.hierarchy import closure, cut
 from lexigraph.sources.formats import xml_files
 
 TAGS = "array<struct<_name:string,_value:string>>"
@@ -43,21 +43,22 @@ TAG_NAMES = {
 PACKAGE_NAMES = {"description": ["popis slovnik", "popis"], "namespace": ["adresa katalog", "namespace"]}
 
 
-def called(name: Column, words: str) -> Column:
-    """Whether a tag's name holds the words; case and marks don't count."""
-    held = F.concat(F.lit(" "), F.regexp_replace(F.lower(T.transliterate(name)), "[^a-z0-9]+", " "), F.lit(" "))
-    tests = [~held.contains(f" {w[1:]}") if w[0] == "-" else held.contains(f" {w[:-1]} " if w[-1] == "=" else f" {w}") for w in words.split()]
-    return reduce(lambda a, b: a & b, tests)
+def plain_names(tags: Column) -> Column:
+    """The tags whose value isn't blank, as (name, value): the name's words in lower case without marks, between spaces."""
+    held = lambda name: F.concat(F.lit(" "), F.regexp_replace(F.lower(T.transliterate(name)), "[^a-z0-9]+", " "), F.lit(" "))
+    return F.filter(F.transform(tags, lambda t: F.struct(held(t["_name"]).alias("name"), T.clean_tag(t["_value"]).alias("value"))), lambda t: t["value"].isNotNull())
 
 
-def tag_fields(tags: Column, names: dict[str, list[str]] = TAG_NAMES) -> list[Column]:
-    """A column a field: the first tag, by closeness of its name and then by place, whose value isn't blank."""
+def called(held: Column, words: str) -> Column:
+    """Whether a plain name holds the words."""
+    tests = [~held.contains(f" {w[1:]}") if w[0] == "-" else held.contains(f" {w[:-1]} " if w[-1] == "=" else f" {w}") for w in words.split()]
+    return reduce(lambda a, b: a & b, tests)
 
-    def first(words: str) -> Column:
-        values = F.transform(F.filter(tags, lambda t: called(t["_name"], words)), lambda t: T.clean_tag(t["_value"]))
-        return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
-    return [F.coalesce(*map(first, closest)).alias(field) for field, closest in names.items()]
+def with_tags(rows: DataFrame, tags: str = "tags", names: dict[str, list[str]] = TAG_NAMES) -> DataFrame:
+    """``rows`` with a column a field instead of ``tags``: the first tag, by closeness of its name and then by place, whose value isn't blank."""
+    first = lambda words: F.get(F.filter("__tags", lambda t: called(t["name"], words)), 0)["value"]
+    return rows.withColumn("__tags", plain_names(F.col(tags))).withColumns({field: F.coalesce(*map(first, closest)) for field, closest in names.items()}).drop("__tags", tags)
 
 
 def vocabulary_packages(packages: DataFrame) -> DataFrame:
@@ -74,11 +75,12 @@ def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     that can't be read give no records (``formats.xml_errors`` tells them)."""
     files = xml_files(spark, path)
     raw = files.rows("element", ELEMENT).where(F.col("`_xmi:idref`").isNotNull()).withColumnRenamed("__place", "place")
-    tags = F.col("tags.tag")
     rows = raw.select(
         F.col("__file").alias("model"), F.col("`_xmi:idref`").alias("id"), F.col("`_xmi:type`").alias("kind"), F.col("_name").alias("name"), F.col("model._package").alias("package"),
-        F.col("properties._stereotype").alias("stereotype"), "place", tags.alias("tags"), *tag_fields(tags),
+        F.col("properties._stereotype").alias("stereotype"), "place", F.col("tags.tag").alias("tags"),
     )
+    # Elements and connectors are stored as records: each is read several times.
+    rows = cut(with_tags(rows.withColumn("__all", F.col("tags")))).withColumnRenamed("__all", "tags")
     packages = rows.where("kind = 'uml:Package'").select("model", "id", "name", "package", "stereotype", "place", "tags")
     first = vocabulary_packages(packages)
     node = lambda c: F.concat_ws("|", "model", c)
@@ -89,15 +91,17 @@ def read_xmi(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     says_property = F.coalesce(F.lower("type").contains("vlastnost"), F.lit(False))
     links = files.rows("connector", CONNECTOR).select(
         F.col("__file").alias("model"), F.col("__place").alias("place"), F.col("_name").alias("name"), F.col("source.`_xmi:idref`").alias("source_id"), F.col("target.`_xmi:idref`").alias("target_id"),
-        F.coalesce(F.when(F.col("properties._ea_type") != "", F.col("properties._ea_type")), F.col("properties._stereotype")).alias("link"), F.col("properties._stereotype").alias("stereotype"), *tag_fields(tags),
+        F.coalesce(F.when(F.col("properties._ea_type") != "", F.col("properties._ea_type")), F.col("properties._stereotype")).alias("link"), F.col("properties._stereotype").alias("stereotype"), F.col("tags.tag").alias("tags"),
     )
+    links = cut(with_tags(links))
     end = lambda ref, name: held.select("model", F.col("id").alias(ref), F.col("name").alias(name))
     ends = links.join(end("source_id", "from"), ["model", "source_id"]).join(end("target_id", "to"), ["model", "target_id"])
     domains = ends.where("link = 'Aggregation'").groupBy("model", F.col("from").alias("name")).agg(F.max_by("to", "place").alias("domain"))
     # Of several connectors between two classes the first tells what is said of their hierarchy.
     told = F.struct(F.col("name").alias("relationshipName"), "description", "definition", "source")
     above = ends.where("link = 'Generalization'").groupBy("model", F.col("from").alias("subClass"), F.col("to").alias("superClass")).agg(F.min_by(told, "place").alias("told"))
-    about = packages.join(first, (packages["model"] == first["model"]) & (packages["id"] == first["top"]), "left_semi").select("model", "name", *tag_fields(F.col("tags"), PACKAGE_NAMES))
+    about = packages.join(first, (packages["model"] == first["model"]) & (packages["id"] == first["top"]), "left_semi").select("model", "name", "tags")
+    about = with_tags(about, names=PACKAGE_NAMES)
     return {
         "vocabulary": about.withColumn("namespace", F.coalesce("namespace", F.concat(F.lit(N.DEFAULT_NS), F.lower("name")))),
         "classes": held.where(F.col("stereotype").isin(*CLASS_KINDS) & ~says_property).withColumn("type", F.when(F.col("stereotype") == "typSubjektu", "Subjekt práva").otherwise("Objekt práva")).drop("kind", "package", "stereotype", "dataType"),

@@ -108,7 +108,7 @@ def test_tag_names(spark):
         "Ustanovení dokládající neveřejnost pojmu", "Způsob sdílení údaje", "Detail", "related source",
     ]
     d = spark.createDataFrame([([(n, f"v{i}") for i, n in enumerate(names)],)], f"tags {xmi.TAGS}")
-    got = d.select(*xmi.tag_fields(F.col("tags"))).first().asDict()
+    got = xmi.with_tags(d).first().asDict()
     assert {k: names[int(v[1:])] for k, v in got.items() if v} == {
         "description": "Základ - popis", "source": "Zdroj", "relatedSource": "Související zdroj", "type": "Typ", "dataType": "Datový typ", "contentType": "Typ obsahu údaje",
         "agendaSystemCode": "Agendový informační systém", "agendaCode": "Agenda (kód)", "isPublic": "Je pojem veřejný?", "privacyProvision": "Ustanovení dokládající neveřejnost pojmu", "sharingMethod": "Způsob sdílení údaje",
@@ -278,3 +278,24 @@ def test_jsonld(spark, tmp_path):
     assert sorted(r["path"][-8:] for r in got.errors.collect()) == ["b.jsonld", "c.jsonld", "d.jsonld", "e.jsonld"]
     known = {"https://nowhere.example/": {"@context": {"p": "http://e/p"}}}
     assert [(r[3], r[4]) for r in jsonld.statements(files["c.jsonld"], "g", known)] == [("http://e/p", "1")]
+
+
+def test_a_folder_of_several_formats(spark, tmp_path):
+    """Formats are found out, what can't be read is told, the graph is declared, filtered, published and read back."""
+    good = JSONLD.replace(', "@unknown": 1', "")
+    (tmp_path / "a.xml").write_text(XMI_TEXT.replace("NAME", "Řidič").replace("CHARSET", "UTF-8").replace("</xmi:XMI>", '<element xmi:idref="f" xmi:type="uml:Class" name="Auto"><model package="p"/><properties stereotype="typObjektu"/>'
+        '<tags><tag name="identifikátor" value="https://slovník.gov.cz/x/pojem/auto-9"/></tags></element></xmi:XMI>'))
+    (tmp_path / "b.jsonld").write_text(good)
+    (tmp_path / "c.ttl").write_text(f'<https://slovník.gov.cz/x> a <{N.OWL}Ontology> ; <{N.RDFS}label> "plain", "Slovník"@cs ; <{N.DCT}description> "text"@en . <https://slovník.gov.cz/x/pojem/y> a <{N.OFN}pojem> ; <{N.SKOS}prefLabel> "Y" .')
+    (tmp_path / "d.nt").write_text("<http://a> <http://p> bad .\n<http://a> <http://p> <http://b> .")
+    (tmp_path / "e.txt").write_text("nothing")
+    (tmp_path / "f.xml").write_text("<?xml version='1.0'?><xmi:XMI xmlns:xmi='http://schema.omg.org/spec/XMI/2.1'><element>")
+    got = api.convert(spark, str(tmp_path), without=".*-9", declare=True)
+    assert sorted(r["path"].split("/")[-1] for r in got.errors.collect()) == ["d.nt", "e.txt", "f.xml"]
+    facts = {(r["s"].split("/")[-1], r["p"].split("#")[-1].split("/")[-1], r["o"].split("/")[-1]) for r in got.triples.collect()}
+    assert {("řidič", "prefLabel", "Řidič"), ("y", "prefLabel", "Y"), ("a", "p", "b"), ("a", "plain", "p"), ("pojem", "type", "owl#Class")} <= {(s, p, o.split("/")[-1]) for s, p, o in facts} and not any(o == "Auto" for *_, o in facts)
+    record = {r["name"]: r["record"] for r in got.catalog().collect()} if got.may_publish() else {}
+    assert '"cs":"Slovník","en":"plain"' in record["Slovník"] and '"en":"text"' in record["Slovník"]
+    got.write_turtle(str(tmp_path / "out"))
+    back = rdf.read_turtle(spark, str(tmp_path / "out"))
+    assert rdf.turtle_errors(spark, str(tmp_path / "out")).count() == 0 and sorted(r["o"] for r in back.where(F.col("p") == N.SKOS + "prefLabel").collect()) == ["Slovník", "V", "Y", "plain", "Řidič"]

@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import names as N
 from lexigraph.operators import graph as G
-from lexigraph.operators.hierarchy import closure
 
 
 def focus_nodes(triples: DataFrame, target: str) -> DataFrame:
     """Distinct instances of the target class and of all its subclasses in the graph."""
-    below = triples.where(F.col("p") == N.RDFS + "subClassOf").select(F.col("s").alias("child"), F.col("o").alias("parent"))
-    if below.limit(1).count() == 0:
+    below = triples.where(F.col("p") == N.RDFS + "subClassOf").select(F.col("o").alias("s"), F.col("s").alias("o"))
+    if below.isEmpty():
         return G.instances(triples, target)
-    kinds = closure(below).where(F.col("parent") == target).select(F.col("child").alias("o"))
-    kinds = kinds.union(triples.sparkSession.range(1).select(F.lit(target).alias("o"))).distinct()
+    own = triples.sparkSession.range(1).select(F.lit(target).alias("s"))
+    kinds = G.reachable(below, own).select(F.col("node").alias("o")).union(own).distinct()
     return triples.where(F.col("p") == N.TYPE).select("s", "o").join(kinds, "o").select("s").distinct()
 
 

@@ -268,12 +268,13 @@ def export_inscheme(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.in_scheme(tpch.triples(spark, sf_dir), "https://v", O + N.OBJECT_TYPE).select(*SPO)
 
 
-@query("SELECT 'scheme' AS s, unnest(['" + N.SKOS + "ConceptScheme', '" + O + "slovník', 'Regions']) AS o, unnest(['" + TY + "', '" + TY + "', '" + LAB + "']) AS p")
+@query(f"""SELECT 'https://v/' || c_custkey AS s, unnest(['{TY}', '{TY}', '{LAB}', '{DESC}']) AS p, unnest(['{N.SKOS}ConceptScheme', '{O}slovník', c_name, c_mktsegment]) AS o FROM customer""")
 def export_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary a customer as concept scheme."""
     from lexigraph.sinks.documents import scheme_triples
 
-    v = spark.createDataFrame([("Regions",)], "name string")
-    return scheme_triples(v, F.lit("scheme")).select(*SPO)
+    v = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"))
+    return scheme_triples(v, F.concat(F.lit("https://v/"), F.col("c_custkey").cast("string"))).select(*SPO)
 
 
 @query(with_graph(f"SELECT s AS iri, max(o) FILTER (p = '{LAB}') AS nazev, max(o) FILTER (p = '{DESC}') AS popis FROM t WHERE s IN (SELECT s FROM t WHERE p = '{TY}' AND o = '{O}{N.CONCEPT}') GROUP BY s"))
@@ -314,12 +315,14 @@ def export_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turtle_round_trip(L.export_triples(tpch.triples(spark, sf_dir), tpch.BASE))
 
 
-@query(f"SELECT 'Regions' AS name, '{tpch.BASE}' AS iri, 'Datová sada' AS typ, 'Regions' AS title_en, 'Regions of the driver''s tables' AS text_cs, '{tpch.BASE}' AS access, 'https://www.iana.org/assignments/media-types/application/ld+json' AS media")
+@query("""SELECT c_name AS name, 'https://v/' || c_custkey AS iri, 'Datová sada' AS typ, c_name AS title_en, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'Slovník ' || c_name END AS text_cs, 'https://v/' || c_custkey AS access,
+  'https://www.iana.org/assignments/media-types/application/ld+json' AS media FROM customer""")
 def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fields of a catalogue record, read back from its JSON."""
+    """The fields of a catalogue record a customer, read back from its JSON."""
     from lexigraph.sinks.documents import catalog_record
 
-    v = spark.createDataFrame([("Regions", "Regions of the driver's tables", tpch.BASE)], "name string, description string, namespace string")
+    k = F.col("c_custkey")
+    v = read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("description"), F.concat(F.lit("https://v/"), k.cast("string")).alias("namespace"))
     paths = {"iri": "$.iri", "typ": "$.typ", "title_en": "$['název'].en", "text_cs": "$['popis'].cs", "access": "$.distribuce[0]['přístupové_url']", "media": "$.distribuce[0]['typ_média']"}
     return catalog_record(v).select("name", *[F.get_json_object("record", p).alias(c) for c, p in paths.items()])
 

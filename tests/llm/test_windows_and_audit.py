@@ -184,3 +184,29 @@ def test_digest_of_kept_words(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in substrings.substring_dedup(table(spark, sf_dir, "documents")).collect()}
     got = substrings.op11_substring_dedup(spark, sf_dir).collect()
     assert all(r["kept_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got) and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("part, kept", [
+    ('<section class="discussion">{}</section>', False), ('<div class="user-comment">{}</div>', False), ("<p hidden>{}</p>", False), ('<div style="color:red; display: none">{}</div>', False),
+    ('<div class="no-comments">{}</div>', True), ('<p title="hidden">{}</p>', True), ('<p data-hidden="1">{}</p>', True),
+])
+def test_comments_and_hidden_parts_of_an_article(part, kept):
+    from lexigraph.llm.html import main_text
+
+    text = "This is the text of the article and it is about the things that we have seen in the city. " * 4
+    said = "I think that this is the best that I have read of it in a long time, and so are all the others of you."
+    assert (said in main_text(f"<article><p>{text}</p>{part.format(said)}</article>")) == kept
+
+
+def test_toxic_rows_are_drawn_by_what_can_be_drawn(spark, monkeypatch):
+    """Labels of other documents and repeated ids don't change how many documents are drawn."""
+    from lexigraph.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train_nnpu", lambda toxic, other, prior: seen.append((len(toxic), len(other))))
+    monkeypatch.setattr(toxicity, "estimate_prior", lambda toxic, other: 0.1)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    labels = spark.range(1900, 1950).selectExpr("id AS doc_id", "1 AS toxic").union(spark.range(10_000, 14_000).selectExpr("id AS doc_id", "1 AS toxic"))
+    toxicity.fit_toxicity(docs.union(docs), labels, max_toxic=1000, max_rows=200)
+    (toxic, other), = seen
+    assert toxic == 50 and 140 < other < 260

@@ -25,9 +25,9 @@ def _name(hashes: Column) -> Column:
     return F.concat(F.lit("_:"), F.substring(F.sha2(F.array_join(F.array_sort(hashes), ","), 256), 1, 32))
 
 
-def _refined(alone: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
+def _refined(alone: DataFrame, links: DataFrame, names: DataFrame, linked: bool) -> DataFrame:
     """(b, name) after as many rounds as tell more nodes apart. ``alone`` (b, hs): hashes of facts without another blank node;
-    ``links`` (s, p, o): facts between two; a node's name so far stays part of the new one where it isn't empty."""
+    ``links`` (s, p, o): facts between two; without any (``linked``) one round tells all."""
     known = names.select("name").distinct().count()
     while True:
         far = lambda c: names.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name"))
@@ -38,6 +38,8 @@ def _refined(alone: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
         none = F.array().cast("array<string>")
         marks = F.when(F.col("mark") != "", F.array("mark")).otherwise(none)
         new = cut(names.select("b", "mark").join(alone, "b", "left").join(seen, "b", "left").select("b", "mark", _name(F.concat(F.coalesce("hs", none), F.coalesce("more", none), marks)).alias("name")))
+        if not linked:
+            return new
         apart = new.select("name").distinct().count()
         if apart <= known:
             return new
@@ -76,7 +78,8 @@ def blank_names(triples: DataFrame) -> DataFrame:
     links = held.where(s_blank & o_blank).select("s", "p", "o")
     nodes = held.where(s_blank).select(F.col("s").alias("b")).union(held.where(o_blank).select(F.col("o").alias("b"))).distinct()
     alone = cut(facts.groupBy("b").agg(F.collect_list("h").alias("hs")))
-    names = _refined(alone, links, nodes.select("b", F.lit("").alias("mark"), F.lit("").alias("name")))
+    linked = not links.isEmpty()
+    names = _refined(alone, links, nodes.select("b", F.lit("").alias("mark"), F.lit("").alias("name")), linked)
     if names.groupBy("name").count().where("count > 1").isEmpty():
         return names.select("b", "name")
     sets = _linked_sets(links, nodes)
@@ -86,7 +89,7 @@ def blank_names(triples: DataFrame) -> DataFrame:
         if first.isEmpty():
             break
         marked = names.join(first, "b", "left").withColumn("mark", F.when(F.col("chosen"), F.concat("mark", F.lit("+"))).otherwise(F.col("mark"))).withColumn("name", F.concat("name", "mark")).drop("chosen")
-        names = _refined(alone, links, cut(marked))
+        names = _refined(alone, links, cut(marked), linked)
     alike = names.join(sets, "b").groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("sign"))
     turns = names.join(sets, "b").join(_counted(alike), "root")
     return cut(turns.select("b", F.when(F.col("turn") == 1, F.col("name")).otherwise(F.concat(F.lit("_:"), F.substring(F.sha2(F.concat_ws("|", "name", "turn"), 256), 1, 32))).alias("name")))

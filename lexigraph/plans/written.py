@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.operators.hierarchy import shared_dir
+from lexigraph.operators.hierarchy import shared_dir, stored
 from lexigraph.sinks import documents as D
 from lexigraph.sources import rdf
 
@@ -40,7 +40,8 @@ def with_owners(triples: DataFrame) -> DataFrame:
 
 
 def turtle_round_trip(triples: DataFrame) -> DataFrame:
-    """The graph from the Turtle files that it was written to, each with the prefixes, some subjects and their blank nodes."""
+    """The graph from the Turtle files that it was written to, each with the prefixes, some subjects and their blank nodes. Files are of bounded size, and each is read once."""
     owners = with_owners(triples).select("s", "owner").distinct()
-    blocks = D.turtle_blocks(triples).join(owners, "s").repartition("owner").select(F.concat(F.lit(D.turtle_head()), "block").alias("text"))
-    return rdf.canonical_blanks(rdf.read_turtle(triples.sparkSession, written(blocks, "turtle"))).select(*COLUMNS)
+    parts = D.turtle_files(triples)
+    blocks = D.turtle_blocks(triples.repartition(parts, "s")).join(owners, "s").repartition(parts, "owner")
+    return rdf.canonical_blanks(stored(rdf.read_turtle(triples.sparkSession, written(D.headed(blocks), "turtle")))).select(*COLUMNS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -130,24 +131,39 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("place", "iri").sortWithinPartitions("place", "iri").select("line").write.mode("overwrite").text(path)
 
 
+#: Subjects a Turtle file holds about; a reader takes a file as a whole.
+FILE_SUBJECTS = 5_000
+
+
+def turtle_files(triples: DataFrame) -> int:
+    """How many files the graph's subjects are dealt over, by about how many there are."""
+    return max(1, math.ceil(triples.agg(F.approx_count_distinct("s")).first()[0] / FILE_SUBJECTS))
+
+
+def headed(blocks: DataFrame) -> DataFrame:
+    """(line): the blocks, with the prefixes before the first one of each partition."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for batch in batches:
+            held = batch["block"].tolist()
+            if first and held:
+                held[0], first = turtle_head() + held[0], False
+            yield pd.DataFrame({"line": held})
+
+    return blocks.select("block").mapInPandas(lines, "line string")
+
+
 def write_turtle(triples: DataFrame, path: str) -> None:
     """Writes the graph as Turtle: files of subjects in order, each beginning with the prefixes, so that every file can be read by itself.
+    However large the graph, a file holds about ``FILE_SUBJECTS`` subjects and their blank nodes.
 
     Blank nodes stand with the subject that refers to them first, as their labels hold within a file only."""
     owners = triples.where("o_kind = 'bnode'").groupBy(F.col("o").alias("b")).agg(F.min("s").alias("owner"))
     owner = F.coalesce("owner", F.col("s"))
     blocks = turtle_blocks(triples).join(owners, F.col("s") == F.col("b"), "left").select(owner.alias("owner"), (F.col("b").isNotNull()).alias("blank"), "s", "block")
 
-    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for batch in batches:
-            lines = batch["block"].tolist()
-            if first and lines:
-                lines[0], first = turtle_head() + lines[0], False
-            yield pd.DataFrame({"line": lines})
-
-    ordered = blocks.repartitionByRange("owner").sortWithinPartitions("owner", "blank", "s").select("block")
-    ordered.mapInPandas(headed, "line string").write.mode("overwrite").text(path)
+    headed(blocks.repartitionByRange(turtle_files(triples), "owner").sortWithinPartitions("owner", "blank", "s")).write.mode("overwrite").text(path)
 
 
 def short(c: Column) -> Column:

@@ -9,12 +9,14 @@ from lexigraph.functions import names as N
 from lexigraph.operators import paths as P
 from lexigraph.plans import lift as L
 from lexigraph.plans.registry import query
-from lexigraph.plans.tpch import read
+from lexigraph.plans.tpch import dealt, read, tasks
 from lexigraph.plans.written import written
 from lexigraph.sources import rules
 
 E, RULE = "https://orders.example/", "https://rules.example/"
 DATE, WHOLE = N.XSD + "date", N.XSD + "integer"
+#: Orders or lines a task turns into triples.
+TASK_LINES = 400_000
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +24,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = lambda c: F.date_format(c, "yyyy-MM-dd")
     iri = lambda kind, *keys: F.concat(F.lit(E + kind), *[x for k in keys for x in (F.lit("-"), F.col(k).cast("string"))])
     line, whole = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
-    o = read(spark, sf_dir, "orders")
-    lines = read(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    parts, dates = tasks(li, TASK_LINES), o.select("o_orderkey", "o_orderdate")
+    if parts > 1:
+        li, dates = li.repartition(parts, "l_orderkey"), dates.repartition(parts, "o_orderkey")
+    lines, o = li.join(dates, F.col("l_orderkey") == F.col("o_orderkey")), dealt(o, TASK_LINES)
     tongue = F.when(line % 4 == 0, "en").when(line % 4 == 1, "en-GB").when(line % 4 == 2, "cs").otherwise("english")
     r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     return (

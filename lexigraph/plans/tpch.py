@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Records a task turns into triples; a triple takes many times the room of what the tables hold for it.
+TASK_RECORDS = 50_000
+
+
+def tasks(df: DataFrame, rows: int = TASK_RECORDS) -> int:
+    """How many tasks give each about ``rows`` rows."""
+    return max(1, math.ceil(df.count() / rows))
+
+
+def dealt(df: DataFrame, rows: int = TASK_RECORDS) -> DataFrame:
+    """``df`` over as many tasks as give each about ``rows`` rows, however few files the rows come from."""
+    parts = tasks(df, rows)
+    return df if parts == 1 else df.repartition(parts)
+
+
 def _filled(df: DataFrame, schema, **columns) -> DataFrame:
     return df.select(*[columns.get(f.name, nothing()).cast("string").alias(f.name) for f in schema], columns["iri"].alias("iri"))
 
@@ -74,7 +91,7 @@ def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph of the class records, with the subjects' PPDF flags as asserted triples."""
     flag = F.when(F.col("sharedInPPDF") == "ano", "true").when(F.col("sharedInPPDF") == "ne", "false")
-    return L.class_triples(classes(spark, sf_dir), graph_id="tpch", more=[L.fact(N.DEFAULT_NS + N.PPDF, flag, L.LITERAL, N.XSD + "boolean")])
+    return L.class_triples(dealt(classes(spark, sf_dir)), graph_id="tpch", more=[L.fact(N.DEFAULT_NS + N.PPDF, flag, L.LITERAL, N.XSD + "boolean")])
 
 
 THESAURUS = "https://slovník.gov.cz/data/pojem/"

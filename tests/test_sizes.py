@@ -30,3 +30,12 @@ def test_models_are_dealt_over_files(spark, sf_dir, monkeypatch):
     assert suppliers.select("file").union(customers.select("file")).distinct().count() > spark.read.parquet(f"{sf_dir}/nation.parquet").count()
     for name in ("ingest_archi", "ingest_xmi"):
         same_rows(spark, sf_dir, connect(sf_dir), catalogue.QUERIES[name], catalogue.SQL[name])
+
+
+def test_records_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
+    df = tpch.classes(spark, sf_dir)
+    assert tpch.dealt(df, 100).rdd.getNumPartitions() == tpch.tasks(df, 100) > 2
+    assert tpch.dealt(df, 100).count() == df.count()
+    monkeypatch.setattr(queries_rules, "TASK_LINES", 500)
+    for name in ("path_sequence", "path_alternative"):
+        same_rows(spark, sf_dir, connect(sf_dir), catalogue.QUERIES[name], catalogue.SQL[name])

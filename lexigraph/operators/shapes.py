@@ -142,16 +142,21 @@ def repeated_languages(triples: DataFrame, focus: DataFrame, path: str) -> DataF
     return held.groupBy("s", "o_lang").agg(F.count("*").alias("n")).where("n > 1").select("s", F.col("o_lang").alias("value"))
 
 
+def _by_path(triples: DataFrame, focus: DataFrame, path: str, other: str) -> DataFrame:
+    """(s, value, a, b): the values that the nodes have by either path, each once, and whether they have it by the one and by the other."""
+    told = [path_values(triples, p).select("s", F.col("o").alias("value"), F.lit(p == path).alias("a"), F.lit(p == other).alias("b")) for p in dict.fromkeys((path, other))]
+    held = reduce(DataFrame.unionByName, told).groupBy("s", "value").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return held.join(focus, "s", "left_semi")
+
+
 def unequal_values(triples: DataFrame, focus: DataFrame, path: str, other: str) -> DataFrame:
     """equals: values of one path that the other lacks."""
-    a, b = (focus.join(path_values(triples, p).select("s", F.col("o").alias("value")), "s").distinct() for p in (path, other))
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    return _by_path(triples, focus, path, other).where("a <> b").select("s", "value")
 
 
 def common_values(triples: DataFrame, focus: DataFrame, path: str, other: str) -> DataFrame:
     """disjoint: values that both paths have."""
-    a, b = (focus.join(path_values(triples, p).select("s", F.col("o").alias("value")), "s").distinct() for p in (path, other))
-    return a.join(b, ["s", "value"])
+    return _by_path(triples, focus, path, other).where("a AND b").select("s", "value")
 
 
 def not_less(triples: DataFrame, focus: DataFrame, path: str, other: str, or_equal: bool = False) -> DataFrame:

@@ -133,7 +133,7 @@ def shape_core_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tpch.read(spark, sf_dir, "part").select(
+    p = tpch.dealt(tpch.read(spark, sf_dir, "part")).select(
         F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("s"), F.col("p_name").alias("a"), F.col("p_type").alias("b"), F.col("p_size").alias("n"), F.col("p_size").alias("x")
     )
     return L.told(p, F.col("s"), L.fact("a", F.col("a")), L.fact("b", F.col("b")), L.fact("n", F.col("n")), L.fact("m", (F.col("x") * 7) % 50)).select("s", "p", "o", "o_kind", "o_dt", "o_lang")

@@ -39,3 +39,14 @@ def test_records_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries_rules, "TASK_LINES", 500)
     for name in ("path_sequence", "path_alternative"):
         same_rows(spark, sf_dir, connect(sf_dir), catalogue.QUERIES[name], catalogue.SQL[name])
+
+
+def test_pairs_of_paths_by_one_aggregation(spark):
+    t = spark.createDataFrame([("x", "a", "1"), ("x", "a", "1"), ("x", "b", "1"), ("x", "b", "2"), ("y", "a", "3"), ("z", "a", "4")], "s string, p string, o string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("o_kind", "o_dt", "o_lang")}
+    )
+    focus = spark.createDataFrame([("x",), ("y",)], "s string")
+    unequal, common = shapes.unequal_values(t, focus, "a", "b"), shapes.common_values(t, focus, "a", "b")
+    assert sorted(map(tuple, unequal.collect())) == [("x", "2"), ("y", "3")] and [tuple(r) for r in common.collect()] == [("x", "1")]
+    assert shapes.unequal_values(t, focus, "a", "a").count() == 0 and shapes.common_values(t, focus, "a", "a").count() == 2
+    assert plan(unequal).count("Join") < 3

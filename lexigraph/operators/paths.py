@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.operators.hierarchy import cut
+from lexigraph.operators.hierarchy import cut, stored
 
 TERM = ["v", "o", "o_kind", "o_dt", "o_lang"]
 
@@ -78,11 +78,19 @@ def nodes(subjects: DataFrame) -> DataFrame:
     return subjects.select(s.alias("f"), s.alias("v"), s.alias("o"), kind.alias("o_kind"), nothing.alias("o_dt"), nothing.alias("o_lang")).distinct()
 
 
+def predicates(*paths: Path) -> set[str]:
+    """All predicates that the paths name."""
+    return {iri for p in paths for iri in (p.iri, *predicates(*p.parts)) if iri}
+
+
 def walk(triples: DataFrame, held: DataFrame, path: Path) -> DataFrame:
     """Where ``path`` leads to from ``held``, each value of a start once. ``triples`` are named ones.
 
     A repeated path is followed from these nodes, round by round until nothing new is reached, each round written to the
-    checkpoint folder; so it reads as many rows as the walk meets, whatever else the graph holds, and ends in cycles."""
+    checkpoint folder; so it reads as many rows as the walk meets, whatever else the graph holds, and ends in cycles. The triples
+    of its predicates are stored first, as every round reads them."""
+    if path.kind in ("plus", "star"):
+        triples = stored(triples.where(F.col("p").isin(*sorted(predicates(path)))))
     if path.kind == "iri":
         step = triples.where(F.col("p") == path.iri).select("s", *TERM)
         return held.select("f", F.col("v").alias("s")).join(step, "s").select("f", *TERM).distinct()
@@ -98,7 +106,7 @@ def walk(triples: DataFrame, held: DataFrame, path: Path) -> DataFrame:
     if path.kind == "opt":
         return held.select("f", *TERM).unionByName(walk(triples, held, path.parts[0])).distinct()
     if path.kind == "plus":
-        return walk(triples, walk(triples, held, path.parts[0]), Path("star", parts=path.parts))
+        held = walk(triples, held, path.parts[0])
     known = front = cut(held.select("f", *TERM).distinct())
     while True:
         front = cut(walk(triples, front, path.parts[0]).join(known.select("f", "v"), ["f", "v"], "left_anti"))

@@ -19,6 +19,7 @@ from lexigraph.functions import names as N
 from lexigraph.functions import values as V
 from lexigraph.operators import paths as P
 from lexigraph.operators import shapes as S
+from lexigraph.operators.hierarchy import stored
 
 SH = "http://www.w3.org/ns/shacl#"
 KINDS = {SH + "IRI": ("iri",), SH + "BlankNode": ("bnode",), SH + "Literal": ("literal",), SH + "BlankNodeOrIRI": ("bnode", "iri"), SH + "IRIOrLiteral": ("iri", "literal"), SH + "BlankNodeOrLiteral": ("bnode", "literal")}
@@ -204,11 +205,29 @@ def targets_of(triples: DataFrame, shape: Shape) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["f"])
 
 
+def predicates_of(shapes: Sequence[Shape]) -> set[str] | None:
+    """The predicates that the shapes and those within them ask for; None for all, as closed shapes do."""
+    out = {N.TYPE, N.RDFS + "subClassOf"}
+    for s in shapes:
+        out |= P.predicates(*([s.path] if s.path else [])) | {t.o for kind, t in s.targets if kind in ("targetSubjectsOf", "targetObjectsOf")}
+        for c in s.constraints:
+            within = predicates_of([*c.shapes, *c.apart])
+            if c.component == "closed" or within is None:
+                return None
+            out |= within | ({c.terms[0].o} if c.component in ("equals", "disjoint", "lessThan", "lessThanOrEquals") else set())
+    return out
+
+
 def validate_shapes(triples: DataFrame, shapes: Sequence[Shape]) -> DataFrame:
-    """Results (schema.RESULTS) of the shapes with targets, under the name of the shape that has them; and of the profile's rules among them."""
-    graph = P.named(triples)
+    """Results (schema.RESULTS) of the shapes with targets, under the name of the shape that has them; and of the profile's rules among them.
+
+    What the shapes ask for is stored once, as each target, path and comparison reads it."""
+    own = [s for s in shapes if not s.rule]
+    asked = predicates_of(own)
+    graph = P.named(triples if asked is None else triples.where(F.col("p").isin(*sorted(asked))))
+    graph = stored(graph) if own else graph
     parts = [S.validate(triples, [s.rule for s in shapes if s.rule])]
-    for shape in (s for s in shapes if not s.rule):
+    for shape in own:
         found = violations(graph, shape, targets_of(graph, shape))
         parts.append(found.select("severity", "message", F.lit(shape.iri).alias("ruleName"), F.col("focus").alias("focusNodeUri"), F.col("path").alias("resultPathUri"), "value"))
     return reduce(DataFrame.unionByName, parts)

@@ -50,3 +50,17 @@ def test_pairs_of_paths_by_one_aggregation(spark):
     assert sorted(map(tuple, unequal.collect())) == [("x", "2"), ("y", "3")] and [tuple(r) for r in common.collect()] == [("x", "1")]
     assert shapes.unequal_values(t, focus, "a", "a").count() == 0 and shapes.common_values(t, focus, "a", "a").count() == 2
     assert plan(unequal).count("Join") < 3
+
+
+def test_repeated_paths_and_shapes_read_a_stored_graph(spark, monkeypatch):
+    kept = []
+    for module in (paths, shacl):
+        monkeypatch.setattr(module, "stored", lambda df, keep=module.stored: kept.append(sorted(r[0] for r in df.select("p").distinct().collect())) or keep(df))
+    rows = spark.createDataFrame([("a", "iri", p, o, "iri", None, None) for p, o in (("in", "b"), ("other", "c"), (shacl.N.TYPE, "K"))], "s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    graph = paths.named(rows)
+    assert paths.walk(graph, paths.nodes(rows.select("s")), paths.repeated(paths.predicate("in"))).count() == 2
+    shape = shacl.Shape("r", path=paths.predicate("in"), targets=[("targetClass", shacl.Term("K"))], constraints=[shacl.Constraint("minCount", [shacl.Term("2")])])
+    assert shacl.validate_shapes(rows, [shape]).count() == 1
+    assert kept == [["in"], sorted(["in", shacl.N.TYPE])]
+    closed = shacl.Shape("r", targets=shape.targets, constraints=[shacl.Constraint("closed", [shacl.Term("in")])])
+    assert shacl.predicates_of([closed]) is None and shacl.validate_shapes(rows, [closed]).count() == 2

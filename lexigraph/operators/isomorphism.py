@@ -2,7 +2,8 @@
 
 Blank nodes get names made of what is said of them, round by round, until no round tells more of them apart. Nodes that are
 still alike are told apart one by one: within a set of linked blank nodes one of them is marked and the names are refined
-again; sets that are alike as a whole are counted through. For graphs whose alike nodes can be exchanged (as copies and
+again; sets that are alike as a whole are counted through. Tables of nodes are never sent whole to the tasks: joins on them are merges,
+as their size is guessed too low from the packed tables that they come from. For graphs whose alike nodes can be exchanged (as copies and
 siblings can) the names are the same for every way of calling the nodes.
 """
 
@@ -30,14 +31,14 @@ def _refined(alone: DataFrame, links: DataFrame, names: DataFrame, linked: bool)
     ``links`` (s, p, o): facts between two; without any (``linked``) one round tells all."""
     known = names.select("name").distinct().count()
     while True:
-        far = lambda c: names.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name"))
+        far = lambda c: names.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name")).hint("shuffle_merge")
         told = links.join(far("s"), "s").join(far("o"), "o")
         forth = told.select(F.col("s").alias("b"), _hashed(F.lit(">"), "p", "o_name", F.lit("bnode"), F.lit(""), F.lit("")).alias("h"))
         back = told.select(F.col("o").alias("b"), _hashed(F.lit("<"), "p", "s_name", F.lit("bnode")).alias("h"))
         seen = forth.unionByName(back).groupBy("b").agg(F.collect_list("h").alias("more"))
         none = F.array().cast("array<string>")
         marks = F.when(F.col("mark") != "", F.array("mark")).otherwise(none)
-        new = cut(names.select("b", "mark").join(alone, "b", "left").join(seen, "b", "left").select("b", "mark", _name(F.concat(F.coalesce("hs", none), F.coalesce("more", none), marks)).alias("name")))
+        new = cut(names.select("b", "mark").join(alone.hint("shuffle_merge"), "b", "left").join(seen.hint("shuffle_merge"), "b", "left").select("b", "mark", _name(F.concat(F.coalesce("hs", none), F.coalesce("more", none), marks)).alias("name")))
         if not linked:
             return new
         apart = new.select("name").distinct().count()
@@ -51,9 +52,9 @@ def _linked_sets(links: DataFrame, nodes: DataFrame) -> DataFrame:
     both = cut(links.select(F.col("s").alias("a"), F.col("o").alias("b")).union(links.select("o", "s")).distinct())
     roots = nodes.select("b", F.col("b").alias("root"))
     while True:
-        near = both.join(roots.select(F.col("b").alias("a"), "root"), "a").groupBy("b").agg(F.min("root").alias("near"))
+        near = both.join(roots.select(F.col("b").alias("a"), "root").hint("shuffle_merge"), "a").groupBy("b").agg(F.min("root").alias("near"))
         up = roots.select(F.col("b").alias("root"), F.col("root").alias("over"))
-        lower = roots.join(near, "b", "left").join(up, "root", "left").select("b", "root", F.least("root", "near", "over").alias("low"))
+        lower = roots.join(near.hint("shuffle_merge"), "b", "left").join(up.hint("shuffle_merge"), "root", "left").select("b", "root", F.least("root", "near", "over").alias("low"))
         moved = cut(lower.select("b", F.col("low").alias("root"), (F.col("low") < F.col("root")).alias("moved")))
         if moved.where("moved").isEmpty():
             return moved.drop("moved")
@@ -84,14 +85,14 @@ def blank_names(triples: DataFrame) -> DataFrame:
         return names.select("b", "name")
     sets = _linked_sets(links, nodes)
     while True:
-        tied = names.join(sets, "b").groupBy("root", "name").agg(F.count("*").alias("n"), F.min("b").alias("first")).where("n > 1")
+        tied = names.join(sets.hint("shuffle_merge"), "b").groupBy("root", "name").agg(F.count("*").alias("n"), F.min("b").alias("first")).where("n > 1")
         first = cut(tied.groupBy("root").agg(F.min_by("first", "name").alias("b")).select("b", F.lit(True).alias("chosen")))
         if first.isEmpty():
             break
-        marked = names.join(first, "b", "left").withColumn("mark", F.when(F.col("chosen"), F.concat("mark", F.lit("+"))).otherwise(F.col("mark"))).withColumn("name", F.concat("name", "mark")).drop("chosen")
+        marked = names.join(first.hint("shuffle_merge"), "b", "left").withColumn("mark", F.when(F.col("chosen"), F.concat("mark", F.lit("+"))).otherwise(F.col("mark"))).withColumn("name", F.concat("name", "mark")).drop("chosen")
         names = _refined(alone, links, cut(marked), linked)
-    alike = names.join(sets, "b").groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("sign"))
-    turns = names.join(sets, "b").join(_counted(alike), "root")
+    alike = names.join(sets.hint("shuffle_merge"), "b").groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ","), 256).alias("sign"))
+    turns = names.join(sets.hint("shuffle_merge"), "b").join(_counted(alike).hint("shuffle_merge"), "root")
     return cut(turns.select("b", F.when(F.col("turn") == 1, F.col("name")).otherwise(F.concat(F.lit("_:"), F.substring(F.sha2(F.concat_ws("|", "name", "turn"), 256), 1, 32))).alias("name")))
 
 
@@ -99,7 +100,7 @@ def canonical_blanks(triples: DataFrame) -> DataFrame:
     """``triples`` with blank nodes named as above, so that graphs from different texts compare as sets. Only triples with a blank node are joined."""
     s_blank, o_blank = F.col("s_kind") == "bnode", F.col("o_kind") == "bnode"
     names = blank_names(triples)
-    far = lambda c: names.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name"))
+    far = lambda c: names.select(F.col("b").alias(c), F.col("name").alias(f"{c}_name")).hint("shuffle_merge")
     held = triples.where(s_blank | o_blank).join(far("s"), "s", "left").join(far("o"), "o", "left")
     named = held.withColumns({"s": F.when(s_blank, F.col("s_name")).otherwise(F.col("s")), "o": F.when(o_blank, F.col("o_name")).otherwise(F.col("o"))})
     return triples.where(~s_blank & ~o_blank).unionByName(named.select(*triples.columns))

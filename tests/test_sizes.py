@@ -64,3 +64,8 @@ def test_repeated_paths_and_shapes_read_a_stored_graph(spark, monkeypatch):
     assert kept == [["in"], sorted(["in", shacl.N.TYPE])]
     closed = shacl.Shape("r", targets=shape.targets, constraints=[shacl.Constraint("closed", [shacl.Term("in")])])
     assert shacl.predicates_of([closed]) is None and shacl.validate_shapes(rows, [closed]).count() == 2
+
+
+def test_nodes_are_not_sent_whole(spark):
+    t = lift.told(spark.range(5), F.concat(F.lit("http://e/"), F.col("id").cast("string")), lift.fact("p", F.concat(F.lit("_:"), F.col("id").cast("string")), lift.BNODE))
+    assert "BroadcastHashJoin" not in plan(isomorphism.canonical_blanks(t))

@@ -75,3 +75,13 @@ def test_json_is_read_once(spark, sf_dir, monkeypatch):
     calls = []
     monkeypatch.setattr(queries_ingest, "stored", lambda df, keep=queries_ingest.stored: calls.append(1) or keep(df))
     assert "MapInPandas" not in plan(catalogue.QUERIES["ingest_jsonld"](spark, sf_dir)) and calls == [1]
+
+
+def test_lines_meet_orders_with_their_customers(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(tpch.relationships(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x for x in text.split("\n") if "Exchange hashpartitioning" in x]
+    assert sum("l_partkey" in x or "l_orderkey" in x for x in lines) == 2 and not any("o_custkey" in x and "l_" in x for x in lines)

@@ -7,7 +7,8 @@ their counts, so that a word's probability is the product of the decisions on it
 of the group's occurrences besides: p(word | sides) = p(group | sides) * n(word) / n(group).
 
 The words and all counts come from the whole corpus: tasks hold the frequent words by name, more of them the larger the
-corpus; the counts of all others are a table that is joined to the texts' words. The network is trained on all
+corpus; the counts of all others are a table that is joined to the texts' words. Texts are turned into ids once,
+which are stored for training and scoring. The network is trained on all
 documents: each task makes its pass over its own texts from the same start, which gives the words their own frequencies,
 and each row of weights is averaged by the number of times that the tasks used it. The result depends on how the rows
 are dealt to tasks: the same files, read in the same splits, give the same scores.
@@ -19,7 +20,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import checkpointed, salted_join, table
+from lexigraph.llm.common import checkpointed, stored, table
 
 #: Words held by name: so many at least, and KNOWN_RATE times the fourth root of the corpus's words.
 KNOWN, KNOWN_RATE = 40_000, 400
@@ -35,7 +36,7 @@ KNOWN, KNOWN_RATE = 40_000, 400
 LEAVES = 1024
 #: Places to the left and to the right, and sizes of the embedding and hidden layers.
 SIDES, EMBED, HIDDEN = 2, 8, 16
-#: Decisions nearest to the tree's root, on most words' ways, that are computed for all words at once.
+#: Decisions nearest to the tree's root, on most words' ways, that are computed at once for all words that share them.
 TOP = 128
 #: Words whose count a task holds before it sends them on.
 CACHE = 300_000
@@ -137,22 +138,22 @@ def fit_vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary({r["word"]: i for i, r in enumerate(top)}, np.log(mass), *tree_ways([r["n"] for r in top] + mass.astype(np.int64).tolist()), tail)
 
 
-class Encoder:
-    """Ids of words; the groups of words that aren't held by name are kept for the next time."""
+class Encoder(dict):
+    """Ids of words; the groups of the last two letters of words that aren't held by name are kept for the next time."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.ids, self.groups = vocabulary.ids, {}
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        self.named, self.groups = len(ids), {}
+
+    def __missing__(self, word: str) -> int:
+        if (got := self.groups.get(word[-2:])) is None:
+            if len(self.groups) > CACHE:
+                self.groups.clear()
+            got = self.groups[word[-2:]] = self.named + group_of(word)
+        return got
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = [self.ids.get(w, -1) for w in words]
-        for i, w in enumerate(words):
-            if out[i] < 0:
-                if (got := self.groups.get(w)) is None:
-                    if len(self.groups) > CACHE:
-                        self.groups.clear()
-                    got = self.groups[w] = len(self.ids) + group_of(w)
-                out[i] = got
-        return np.array(out, dtype=np.int64)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 class Network:
@@ -168,106 +169,184 @@ class Network:
             rows = {k: rng.normal(0, s, (n, m)) for k, (n, m, s) in shapes.items()}
             rows["o"][:, -1] = vocabulary.lean
         self.rows = {k: x.astype(np.float32) for k, x in rows.items()}
-
-    @staticmethod
-    def sides(ids: np.ndarray, edge: int) -> np.ndarray:
-        """Ids around each word of one text, words by 2 * SIDES."""
-        padded = np.concatenate([np.full(SIDES, edge), ids, np.full(SIDES, edge)])
-        return np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDES + 1)[:, [k for k in range(2 * SIDES + 1) if k != SIDES]]
+        # The leaves below the same side of a decision share their way near the root: the ways as a table, short ones filled up with turns of 0.
+        first, nodes, turns = vocabulary.near_root
+        length, last = np.diff(first), first[:-1]
+        _, leaf, exits = np.unique(2 * nodes[last] + (turns[last] > 0), return_index=True, return_inverse=True)
+        on = np.arange(length.max()) < length[leaf, None]
+        at = first[leaf, None] + np.where(on, np.arange(length.max()), 0)
+        self.exits, self.depth = exits.astype(np.int16), np.diff(vocabulary.low[0]).astype(np.int16)
+        self.ways, self.turns = nodes[at], np.where(on, turns[at], 0).astype(np.float32)
+        self.onto = np.zeros((nodes.max() + 1, self.ways.size), dtype=np.float32)
+        self.onto[self.ways.ravel(), np.arange(self.ways.size)] = self.turns.ravel()
+        self.passed = np.abs(self.onto).reshape(len(self.onto), *self.ways.shape).sum(axis=2, dtype=np.float64)
+        self.low = (vocabulary.low[0].astype(np.int64), vocabulary.low[1].astype(np.int64), vocabulary.low[2])
 
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What stands around the words, and the hidden layer; both end with a column of ones."""
         one = np.ones((len(near), 1), dtype=np.float32)
-        x = np.concatenate([self.rows["e"][near].reshape(len(near), 2 * SIDES * EMBED), one], axis=1)
+        x = np.concatenate([self.rows["e"].take(near, axis=0).reshape(len(near), 2 * SIDES * EMBED), one], axis=1)
         return x, np.concatenate([np.tanh(x @ self.rows["h"]), one], axis=1)
 
-    @staticmethod
-    def steps(way: tuple[np.ndarray, np.ndarray, np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By each decision on the words' ways: the word's place, the decision and the turn."""
-        first, nodes, turns = way
-        begin = first[target]
-        n = first[target + 1] - begin
-        who = np.repeat(np.arange(len(target)), n)
-        at = np.arange(len(who)) + np.repeat(begin - np.cumsum(n) + n, n)
-        return who, nodes[at], turns[at]
-
-    def decisions(self, h: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Steps near the root and below, each with turn times the decision's sum; ``h`` ends with a column of ones."""
-        o, (who, node, turn), (low_who, low_node, low_turn) = self.rows["o"], self.steps(self.words.near_root, target), self.steps(self.words.low, target)
-        dense = h @ o[:TOP].T
-        z, low_z = dense.ravel()[who * dense.shape[1] + node], np.einsum("ij,ij->i", h[low_who], o[low_node])
-        return [(who, node, turn, turn * z), (low_who, low_node, low_turn, low_turn * low_z)]
+    def near_root(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Of words in the order of their exits: turns times the decisions' weights by exit and step, turns times the decisions' sums by word and step, and the
+        exits with their words (exit, begin, end)."""
+        signed = self.rows["o"].take(self.ways, axis=0) * self.turns[:, :, None]
+        ends = np.cumsum(np.bincount(self.exits[target], minlength=len(signed))).tolist()
+        parts = [(k, begin, end) for k, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)) if end > begin]
+        z = np.empty((len(target), signed.shape[1]), dtype=h.dtype)
+        for k, begin, end in parts:
+            np.matmul(h[begin:end], signed[k].T, out=z[begin:end])
+        return signed, z, parts
+
+    def below(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The decisions below TOP of words in the order of ``deepest``, a step of all ways at a time: how many words still go on (the first ones), decisions,
+        turns, weights, and turns times the decisions' sums."""
+        first, nodes, turns = self.low
+        begin, going = first.take(target), np.cumsum(np.bincount(self.depth[target])[::-1])[::-1]
+        for k, n in enumerate(going[1:].tolist()):
+            at = begin[:n] + k
+            node, turn = nodes.take(at), turns.take(at)
+            weights = self.rows["o"].take(node, axis=0)
+            yield n, node, turn, weights, turn * np.einsum("ij,ij->i", h[:n], weights)
+
+    def deepest(self, target: np.ndarray) -> np.ndarray:
+        """Places of the words whose ways go on below TOP, the longest ways first."""
+        order = np.argsort(-self.depth[target], kind="stable")
+        return order[: np.count_nonzero(self.depth[target])]
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, h = self.hidden(near)
-        parts = self.decisions(h, target)
-        return -sum(np.bincount(who, weights=np.log1p(np.exp(-z)), minlength=len(target)) for who, _, _, z in parts)
+        order = np.argsort(self.exits[target], kind="stable")
+        target = target[order]
+        _, h = self.hidden(near.take(order, axis=0))
+        _, z, _ = self.near_root(h, target)
+        lost = (softplus(-z) * (self.turns != 0).astype(z.dtype)[self.exits[target]]).sum(axis=1, dtype=np.float64)
+        deep = self.deepest(target)
+        more = np.zeros(len(deep))
+        for n, *_, z in self.below(h.take(deep, axis=0), target[deep]):
+            more[:n] += softplus(-z)
+        lost[deep] += more
+        out = np.empty(len(target))
+        out[order] = -lost
+        return out
 
     def gradients(self, near: np.ndarray, target: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Slopes of the words' mean negative log-probability: by matrix the rows used, how often each is, and their slopes."""
+        order = np.argsort(self.exits[target], kind="stable")
+        near, target = near.take(order, axis=0), target[order]
         x, h = self.hidden(near)
-        (who, node, turn, z), (low_who, low_node, low_turn, low_z) = self.decisions(h, target)
-        o = self.rows["o"]
-        dense = np.zeros((len(target), min(TOP, len(o))), dtype=np.float32)
-        dense.ravel()[who * dense.shape[1] + node] = -turn / (1 + np.exp(z)) / len(target)
-        back = dense @ o[:TOP]
-        low = (-low_turn / (1 + np.exp(low_z)) / len(target))[:, None]
-        back += summed(low_who, low * o[low_node], len(target))
-        used = np.bincount(node, minlength=dense.shape[1])
-        rows, (low_rows, low_times, low_slopes) = np.flatnonzero(used), row_sums(low_node, h[low_who] * low)
+        signed, z, parts = self.near_root(h, target)
+        slopes, back = -1 / (1 + np.exp(z)) / len(target), np.empty_like(h)
+        by_way, passing = np.zeros_like(signed), np.zeros(len(signed))
+        for k, begin, end in parts:
+            np.matmul(slopes[begin:end], signed[k], out=back[begin:end])
+            np.matmul(slopes[begin:end].T, h[begin:end], out=by_way[k])
+            passing[k] = end - begin
+        used = self.passed @ passing
+        rows = np.flatnonzero(used)
+        deep = self.deepest(target)
+        low_h = h.take(deep, axis=0)
+        low_back, steps = back.take(deep, axis=0), [(np.arange(0), np.arange(0), np.zeros(0, dtype=np.float32))]
+        for n, node, turn, weights, z in self.below(low_h, target[deep]):
+            low = -turn / (1 + np.exp(z)) / len(target)
+            low_back[:n] += low[:, None] * weights
+            steps.append((np.arange(n), node, low))
+        back[deep] = low_back
+        who, node, low = (np.concatenate(x) for x in zip(*steps, strict=True))
+        pairs = paired(low_h)
+        low = low.astype(pairs.dtype)
+        low_rows, low_times, low_slopes = row_sums(node, (pair.take(who) * low for pair in pairs), h.shape[1])
         back = back[:, :-1] * (1 - h[:, :-1] ** 2)
+        top_slopes = self.onto @ by_way.reshape(-1, h.shape[1])
         return {
-            "o": (np.concatenate([rows, low_rows]), np.concatenate([used[rows], low_times]), np.concatenate([(dense.T @ h)[rows], low_slopes])),
+            "o": (np.concatenate([rows, low_rows]), np.concatenate([used[rows].astype(np.int64), low_times]), np.concatenate([top_slopes[rows], low_slopes])),
             "h": (np.arange(x.shape[1]), np.full(x.shape[1], len(target)), x.T @ back),
-            "e": row_sums(near.ravel(), (back @ self.rows["h"][:-1].T).reshape(-1, EMBED)),
+            "e": row_sums(near.ravel(), paired((back @ self.rows["h"][:-1].T).reshape(-1, EMBED)), EMBED),
         }
 
     def step(self, near: np.ndarray, target: np.ndarray, state: dict[str, np.ndarray], use: dict[str, np.ndarray], rate: float) -> None:
         """One step by Adagrad with a rate for each row of weights; ``use`` counts how often each row was used."""
         for k, (rows, times, slopes) in self.gradients(near, target).items():
-            use.setdefault(k, np.zeros(len(self.rows[k]), dtype=np.int64))[rows] += times
-            held = state.setdefault(k, np.full(len(self.rows[k]), 1e-8, dtype=np.float32))
+            if k not in use:
+                use[k], state[k] = np.zeros(len(self.rows[k]), dtype=np.int64), np.full(len(self.rows[k]), 1e-8, dtype=np.float32)
+            use[k][rows] += times
+            held = state[k]
             held[rows] = squares = held[rows] + np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
-            self.rows[k][rows] -= (rate / np.sqrt(squares))[:, None] * slopes
+            self.rows[k][rows] = self.rows[k].take(rows, axis=0) - (rate / np.sqrt(squares))[:, None] * slopes
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.log(1 + np.exp(z))
 
 
-def summed(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by their group, 0 to ``groups`` - 1."""
-    width = values.shape[1]
-    at = group[:, None] * width + np.arange(width)
-    return np.bincount(at.ravel(), weights=values.ravel(), minlength=groups * width).reshape(groups, width).astype(values.dtype)
+def paired(values: np.ndarray) -> np.ndarray:
+    """The columns of ``values`` as complex numbers, two in one, so that a pass over them adds both."""
+    pairs = np.zeros((len(values), (values.shape[1] + 1) // 2), dtype=np.result_type(values, 1j))
+    pairs.view(values.dtype)[:, : values.shape[1]] = values
+    return np.ascontiguousarray(pairs.T)
 
 
-def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, how often each occurs, and the sums of their values."""
-    order = np.argsort(rows)
-    at = rows[order]
-    first = np.ones(len(at), dtype=bool)
-    np.not_equal(at[1:], at[:-1], out=first[1:])
-    group = np.empty(len(at), dtype=np.int64)
-    group[order] = np.cumsum(first) - 1
-    found = at[first]
-    return found, np.bincount(group, minlength=len(found)), summed(group, values, len(found))
+def row_sums(rows: np.ndarray, pairs: Iterable[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sums of their values: ``width`` columns, given as ``paired`` makes them."""
+    times = np.bincount(rows)
+    found = np.flatnonzero(times)
+    place = np.empty(len(times), dtype=np.int64)
+    place[found] = np.arange(len(found))
+    group, sums = place.take(rows), []
+    for pair in pairs:
+        sums.append(np.zeros(len(found), dtype=pair.dtype))
+        np.add.at(sums[-1], group, pair)
+    both = np.stack(sums, axis=1)
+    return found, times[found], both.view(both.real.dtype)[:, :width]
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` with the ids of the texts' words (__ids, 32 bits each) and their words that aren't held by name (__rest)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.ids)
+
+    @F.pandas_udf("ids binary, rest array<string>")
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        to_ids, named = Encoder(shared.value), len(shared.value)
+        for batch in texts:
+            ids, rest = [], []
+            for words in map(words_in, batch):
+                got = to_ids(words)
+                ids.append(got.tobytes())
+                rest.append([words[k] for k in np.flatnonzero(got >= named).tolist()])
+            yield pd.DataFrame({"ids": ids, "rest": rest})
 
+    return docs.withColumn("__encoded", encode(F.col("text"))).withColumns({"__ids": F.col("__encoded.ids"), "__rest": F.col("__encoded.rest")}).drop("__encoded")
 
-def windows_in(texts: Iterator[list[str]], encode: Encoder, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of whole texts' words (number of the text, ids around, id), CHUNK words or a text's end at a time, in batches of about CHUNK words."""
-    near, target, who, size = [], [], [], 0
-    for i, words in enumerate(texts):
-        if not words:
+
+def stored_ids(docs: DataFrame, vocabulary: Vocabulary, *drop: str) -> DataFrame:
+    """``docs`` as ``encoded`` gives them, with a number of each row (__row), stored once for training and scoring, without the columns ``drop``."""
+    return stored(encoded(docs, vocabulary).withColumn("__row", F.monotonically_increasing_id()).drop(*drop), "lm_ids")
+
+
+def windows_in(texts: Iterable[bytes], edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of whole texts' ids (number of the text, ids around, id), CHUNK words or a text's end at a time, in batches of about CHUNK words."""
+    beyond = np.full(SIDES, edge, dtype=np.int32)
+    who, pieces, size = [], [], 0
+    for i, text in enumerate(texts):
+        if not text:
             continue
-        ids = encode(words)
-        around = Network.sides(ids, edge)
-        for k in range(0, len(ids), CHUNK):
-            near.append(around[k : k + CHUNK])
-            target.append(ids[k : k + CHUNK])
-            who.append(np.full(len(target[-1]), i))
-            size += len(target[-1])
+        ids = np.concatenate([beyond, np.frombuffer(text, dtype=np.int32), beyond])
+        for k in range(0, len(ids) - 2 * SIDES, CHUNK):
+            who.append(i)
+            pieces.append(ids[k : k + CHUNK + 2 * SIDES])
+            size += len(pieces[-1]) - 2 * SIDES
             if size >= CHUNK:
-                yield np.concatenate(who), np.concatenate(near), np.concatenate(target)
-                near, target, who, size = [], [], [], 0
+                yield batch_of(who, pieces)
+                who, pieces, size = [], [], 0
     if size:
-        yield np.concatenate(who), np.concatenate(near), np.concatenate(target)
+        yield batch_of(who, pieces)
+
+
+def batch_of(who: list[int], pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of pieces of texts and what stands around them; a piece begins and ends with SIDES ids that are only around its words."""
+    ids, sizes = np.concatenate(pieces).astype(np.int64), np.array([len(x) - 2 * SIDES for x in pieces])
+    at = np.arange(sizes.sum()) + np.repeat(SIDES + 2 * SIDES * np.arange(len(sizes)), sizes)
+    return np.repeat(who, sizes), ids.take(at[:, None] + [k for k in range(-SIDES, SIDES + 1) if k]), ids.take(at)
 
 
 def merged(parts: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +355,7 @@ def merged(parts: pd.DataFrame) -> pd.DataFrame:
     rows = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in parts["rows"]])
     uses = np.concatenate([np.frombuffer(x, dtype=np.float64) for x in parts["uses"]])
     sums = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in parts["sums"]]).reshape(len(rows), -1)
-    found, _, both = row_sums(rows, np.concatenate([uses[:, None], sums], axis=1))
+    found, _, both = row_sums(rows, paired(np.concatenate([uses[:, None], sums], axis=1)), sums.shape[1] + 1)
     return pd.DataFrame({"matrix": parts["matrix"].iloc[:1].tolist(), "block": parts["block"].iloc[:1].tolist(), "task": [int(parts["task"].min()) // 64], "rows": [found.tobytes()], "uses": [both[:, 0].tobytes()], "sums": [both[:, 1:].astype(np.float32).tobytes()]})
 
 
@@ -288,16 +367,17 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
     words the network stays as it began.
     """
     net = Network(vocabulary)
+    ids = (docs if "__ids" in docs.columns else encoded(docs, vocabulary)).select("__ids")
     kind = "matrix string, block long, task long, rows binary, uses binary, sums binary"
     for k in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.rows))
+        shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, ids={}, tail=None), net.rows))
 
         def train(batches: Iterator[pd.DataFrame], shared=shared, rate=rate / (k + 1)) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
             words, start = shared.value
             own, state, use = Network(words, {k: v.copy() for k, v in start.items()}), {}, {}
-            for _, near, target in windows_in((words_in(t) for b in batches for t in b["text"]), Encoder(words), words.size):
+            for _, near, target in windows_in((t for b in batches for t in b["__ids"]), words.size):
                 own.step(near, target, state, use, rate)
             for matrix, times in use.items():
                 used = np.flatnonzero(times)
@@ -308,7 +388,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
                         sums = (own.rows[matrix][rows] * uses[:, None]).astype(np.float32)
                         yield pd.DataFrame({"matrix": [matrix], "block": [block], "task": [TaskContext.get().partitionId()], "rows": [rows.tobytes()], "uses": [uses.tobytes()], "sums": [sums.tobytes()]})
 
-        trained = docs.select("text").mapInPandas(train, kind)
+        trained = ids.mapInPandas(train, kind)
         group = F.floor(F.col("task") / 64).alias("group")
         for r in trained.groupBy("matrix", "block", group).applyInPandas(merged, kind).groupBy("matrix", "block").applyInPandas(merged, kind).toLocalIterator():
             rows, uses = np.frombuffer(r["rows"], dtype=np.int64), np.frombuffer(r["uses"], dtype=np.float64)
@@ -316,29 +396,10 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, rate:
     return net
 
 
-def tail_sums(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(__text, __tail) of ``texts`` (__text, text): the sum of the logarithms of the corpus counts of the words not held by name."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.ids)
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = shared.value
-        for batch in batches:
-            key, word, times = [], [], []
-            for k, text in zip(batch["__text"], batch["text"], strict=True):
-                found = Counter([w for w in words_in(text) if w not in ids])
-                key += [k] * len(found)
-                word += found.keys()
-                times += found.values()
-                if len(key) > CACHE:
-                    yield pd.DataFrame({"__text": key, "word": word, "times": times})
-                    key, word, times = [], [], []
-            if key:
-                yield pd.DataFrame({"__text": key, "word": word, "times": times})
-
-    met = texts.mapInPandas(others, "__text long, word string, times long").join(vocabulary.tail, "word")
-    # Repeated texts count once.
-    once = met.groupBy("word", "__text").agg(F.max(F.col("times") * F.log("n")).alias("logs"))
-    return once.groupBy("__text").agg(F.sum("logs").alias("__tail"))
+def tail_sums(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(__row, __tail) of stored ``docs``: the sum of the logarithms of the corpus counts of the words not held by name."""
+    met = docs.select("__row", F.explode("__rest").alias("word")).join(vocabulary.tail, "word")
+    return met.groupBy("__row").agg(F.sum(F.log("n")).alias("__tail"))
 
 
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
@@ -349,35 +410,37 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> Da
     named like the new ones replaced. A word that the corpus of the vocabulary doesn't hold counts as one that it holds
     once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, tail=None), net.rows))
+    if "__ids" not in docs.columns:
+        docs = stored_ids(docs, vocabulary)
+    shared, named = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, ids={}, tail=None), net.rows)), len(vocabulary.ids)
 
     @F.pandas_udf("lm_words long, lm_logprob double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, rows = shared.value
-        own, known, encode = Network(words, rows), len(words.ids), Encoder(words)
+        own = Network(words, rows)
         for batch in texts:
             n, total = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
-            for who, near, target in windows_in(map(words_in, batch), encode, words.size):
+            for who, near, target in windows_in(batch, words.size):
                 logs = own.log_probs(near, target)
-                other = target >= known
-                logs[other] -= words.log_mass[target[other] - known]
+                other = target >= named
+                logs[other] -= words.log_mass[target[other] - named]
                 n += np.bincount(who, minlength=len(batch))
                 total += np.bincount(who, weights=logs, minlength=len(batch))
             yield pd.DataFrame({"lm_words": n, "lm_logprob": total})
 
-    scored, total = docs.withColumn("__lm", score(F.col("text"))), F.col("__lm.lm_logprob")
+    scored, total = docs.withColumn("__lm", score(F.col("__ids"))), F.col("__lm.lm_logprob")
     if vocabulary.tail is not None:
-        key = F.xxhash64("text").alias("__text")
-        scored = salted_join(scored.withColumn("__text", key), tail_sums(docs.select(key, "text"), vocabulary), "__text", F.col("doc_id") if "doc_id" in docs.columns else F.col("text"))
+        scored = scored.drop("__ids", "__rest").join(tail_sums(docs, vocabulary), "__row", "left")
         total = total + F.coalesce("__tail", F.lit(0.0))
     return (
         scored.withColumns({"lm_words": F.col("__lm.lm_words"), "lm_logprob": total})
         .withColumn("lm_mean", F.when(F.col("lm_words") > 0, F.col("lm_logprob") / F.col("lm_words")).otherwise(0.0))
-        .drop("__lm", "__text", "__tail")
+        .drop("__lm", "__row", "__tail", "__ids", "__rest")
     )
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = fit_vocabulary(docs)
-    return score_documents(docs.select("doc_id", "text"), vocabulary, fit_network(docs, vocabulary)).select("doc_id", "lm_words", "lm_logprob", "lm_mean")
+    ids = stored_ids(docs, vocabulary, "text")
+    return score_documents(ids, vocabulary, fit_network(ids, vocabulary)).select("doc_id", "lm_words", "lm_logprob", "lm_mean")

@@ -257,6 +257,71 @@ def test_lm_gradients():
             assert math.isclose((loss[0] - loss[1]) / 2e-4, slopes[at, column], rel_tol=2e-3, abs_tol=2e-6)
 
 
+def lm_sample(words):
+    from lexigraph.llm import lm_score as L
+
+    rng = np.random.default_rng(3)
+    counts = [*(60_000 // k for k in range(1, 2001)), *[9] * L.LEAVES]
+    net = L.Network(L.Vocabulary({f"w{i}": i for i in range(2000)}, np.zeros(L.LEAVES), *L.tree_ways(counts)))
+    net.rows["o"] += rng.normal(0, 0.1, net.rows["o"].shape).astype(np.float32)
+    return net, rng.integers(0, net.words.size + 1, (words, 2 * L.SIDES)), rng.choice(len(counts), words, p=np.array(counts) / sum(counts))
+
+
+def test_lm_slopes_step_by_step():
+    """All slopes, uses and probabilities against a walk of every word's way, decision by decision, and of every neighbour."""
+    net, near, target = lm_sample(400)
+    h = np.concatenate([np.tanh(np.concatenate([net.rows["e"][near].reshape(len(near), -1), np.ones((len(near), 1))], axis=1) @ net.rows["h"]), np.ones((len(near), 1))], axis=1)
+    want = {k: np.zeros(net.rows[k].shape) for k in "eho"}
+    uses = {k: np.zeros(len(net.rows[k]), dtype=int) for k in "eho"}
+    for i, t in enumerate(target):
+        back, log = np.zeros(h.shape[1]), 0.0
+        for first, nodes, turns in (net.words.near_root, net.words.low):
+            for at in range(first[t], first[t + 1]):
+                z = turns[at] * (h[i] @ net.rows["o"][nodes[at]])
+                slope, log = -turns[at] / (1 + math.exp(z)) / len(target), log - math.log1p(math.exp(-z))
+                want["o"][nodes[at]] += slope * h[i]
+                uses["o"][nodes[at]] += 1
+                back += slope * net.rows["o"][nodes[at]]
+        assert math.isclose(net.log_probs(near[i : i + 1], target[i : i + 1])[0], log, rel_tol=1e-5) and math.isclose(net.log_probs(near, target)[i], log, rel_tol=1e-5)
+        back = back[:-1] * (1 - h[i, :-1] ** 2)
+        want["h"] += np.outer([*net.rows["e"][near[i]].ravel(), 1], back)
+        uses["h"] += 1
+        for word, slope in zip(near[i], (net.rows["h"][:-1] @ back).reshape(near.shape[1], -1), strict=True):
+            want["e"][word] += slope
+            uses["e"][word] += 1
+    for k, (rows, times, slopes) in net.gradients(near, target).items():
+        assert sorted(rows) == np.flatnonzero(uses[k]).tolist() and (uses[k][rows] == times).all()
+        assert np.allclose(slopes, want[k][rows], rtol=1e-4, atol=1e-7)
+
+
+def test_lm_work_of_a_word():
+    """A step's tables hold the decisions on the words' ways, not those near the root for every word."""
+    import tracemalloc
+
+    net, near, target = lm_sample(4096)
+    tracemalloc.start()
+    net.gradients(near, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(target) < 1600
+
+
+def test_lm_texts_read_once(spark, monkeypatch):
+    """Training and scoring go over stored ids; texts aren't asked again, and repeated, null and empty ones score as from the texts."""
+    from lexigraph.llm import lm_score as L
+
+    monkeypatch.setattr(L, "KNOWN", 20)
+    monkeypatch.setattr(L, "KNOWN_RATE", 1)
+    rows = [(i, " ".join(f"w{k}a{'bcd'[k % 3]}" for k in range(120) if i % (k // 10 + 1) == 0)) for i in range(30)]
+    d = spark.createDataFrame([*rows, rows[1], (None, rows[2][1]), (62, None), (63, " ")], "doc_id long, text string")
+    v = L.fit_vocabulary(d)
+    ids = L.stored_ids(d, v, "text")
+    net = L.fit_network(ids, v)
+    assert "text" not in ids.columns and net.rows["e"].any()
+    got, want = (sorted((str(r["doc_id"]), r["lm_words"], round(r["lm_logprob"], 6)) for r in L.score_documents(x, v, net).collect()) for x in (ids, d))
+    assert got == want and len(got) == d.count()
+
+
 # Toxicity.
 
 

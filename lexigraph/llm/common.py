@@ -35,6 +35,11 @@ def line_array(text: Column) -> Column:
     return F.transform(F.split(flat, "\n", -1), lambda line: F.trim(line))
 
 
+def salted_copies(right: DataFrame, salts: int) -> DataFrame:
+    """Each row of ``right`` once a salt. The optimizer doesn't count the copies in its estimate of the size, so they are never left to it to be sent whole."""
+    return right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).hint("merge")
+
+
 def salted_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, salts: int = 32) -> DataFrame:
     """Left semi join whose left side may hold one key in a third of its rows.
 
@@ -42,15 +47,13 @@ def salted_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     are dealt over the salts by ``spread``, so that no task gets all rows of a hot key.
     """
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = right.select(*keys).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*keys, "__salt"], "left_semi").drop("__salt")
+    return salted.join(salted_copies(right.select(*keys), salts), [*keys, "__salt"], "left_semi").drop("__salt")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
     """Left join on ``key`` whose left side may hold one key in a third of its rows; ``right`` must be distinct on it."""
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    return salted.join(salted_copies(right, salts), [key, "__salt"], "left").drop("__salt")
 
 
 #: Rows of a table that may be sent to all tasks; larger ones are joined by a shuffle.

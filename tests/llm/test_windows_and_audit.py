@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.llm import audit, substrings, whitening
-from lexigraph.llm.common import table
+from lexigraph.llm.common import salted_join, salted_semi, table
 from tests.llm.test_corpus import ODD, DOCS, odd  # noqa: F401
 
 
@@ -179,6 +179,19 @@ def test_audit_brute_force(spark, odd):  # noqa: F811
     assert audit.filter_audit(d.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_salted_copies_are_never_sent_whole(spark):
+    """Their number isn't in the optimizer's estimate of the size: neither it nor what is measured while a query runs may broadcast them."""
+    left, right = spark.range(100).selectExpr("id % 7 AS key", "id"), spark.range(3).selectExpr("id AS key", "id * 10 AS v")
+    named, kept = salted_join(left, right, "key", F.col("id")), salted_semi(left, right, ["key"], F.col("id"))
+    assert sorted(r["id"] for r in kept.collect()) == [i for i in range(100) if i % 7 < 3]
+    assert {(r["id"], r["v"]) for r in named.collect()} == {(i, i % 7 * 10 if i % 7 < 3 else None) for i in range(100)}
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('text ', id % 20) AS text", "'en' AS lang")
+    audited = audit.filter_audit(docs, spark.range(50).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert {r["good_lost"] for r in audited.where("filter_order = 'ABCDE' AND step = 1").collect()} == {50}
+    for df in (named, kept, audited):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_digest_of_kept_words(spark, sf_dir):
     """The query's digest is that of the operator's text."""
     texts = {r["doc_id"]: r["text"] for r in substrings.substring_dedup(table(spark, sf_dir, "documents")).collect()}
